@@ -11,19 +11,19 @@ once per block, nothing is broadcast, and nothing reaches the driver but fixed-s
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 3 << 20
+from .shared import stored, work_path
+
+BLOCK_BYTES = 3 << 19
+BLOCK_DOCS = 1 << 16
 RANGE_BYTES = 8 << 20
 #: Stands for a null id inside blocks.
 NULL_ID = np.iinfo(np.int64).max
@@ -31,35 +31,12 @@ NULL_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="rosterlens-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rosterlens/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # --------------------------------------------------------------------------- hashing
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift, multiply), elementwise."""
-    x = x.astype(U64, copy=True)
-    x ^= x >> U64(30)
+    x = x ^ (x >> U64(30))
     x *= U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
     x *= U64(0x94D049BB133111EB)
@@ -100,6 +77,14 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h)
 
 
+def gram_hash(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k bytes, as span_hash has them."""
+    h = prefix[k:] - prefix[:-k]
+    h *= powers(_INVERSE, len(prefix))[: len(h)]
+    h += U64(k * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    return mix(h)
+
+
 # ------------------------------------------------------------------------ byte classes
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -181,7 +166,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    seq, held, size = 0, [], 0
+    seq, held, size, n = 0, [], 0, 0
 
     def flush() -> pa.RecordBatch:
         ids, lens, data = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -197,13 +182,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         while at < len(ids):
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES - size, "right")))
+            to = min(max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES - size, "right"))), at + BLOCK_DOCS - n)
             held.append((ids[at:to], np.where(valid, lens, -1)[at:to], data[base : ends[to - 1]].copy()))
             size += int(ends[to - 1] - base)
             at = to
-            if size >= BLOCK_BYTES * 0.9:
+            n += len(held[-1][0])
+            if size >= BLOCK_BYTES * 0.9 or n >= BLOCK_DOCS:
                 yield flush()
-                seq, held, size = seq + 1, [], 0
+                seq, held, size, n = seq + 1, [], 0, 0
     if held:
         yield flush()
 
@@ -342,7 +328,3 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     n = np.bincount(where, weights, len(uniq)).astype(np.int64) if len(uniq) else np.zeros(0, np.int64)
     return uniq, where, n
 
-
-def crc_mod(column: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(column.cast("string").cast("binary")) % n

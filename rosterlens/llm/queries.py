@@ -12,6 +12,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of the URL query: action, host/path. Fixed values.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled page (its id is the label's doc_id) is bad if it is toxic or of low quality."""
+    from . import host_reputation
+
+    labels = _table(spark, sf_dir, "labels")
+    bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return host_reputation.judge(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_lm
 
@@ -24,9 +44,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.classes(_table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import sql
+
+    return dict(sql.ORACLES)
