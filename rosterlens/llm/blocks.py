@@ -328,3 +328,17 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     n = np.bincount(where, weights, len(uniq)).astype(np.int64) if len(uniq) else np.zeros(0, np.int64)
     return uniq, where, n
 
+
+
+def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of about BLOCK_BYTES straight from batches of (id, text, ...); ``extra`` has the slice."""
+    for b in batches:
+        ids = int_ids(b.column(0))
+        data, lens, valid = utf8_parts(b.column(1))
+        ends = np.cumsum(lens)
+        at = 0
+        while at < len(ids):
+            base = int(ends[at - 1]) if at else 0
+            to = min(max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right"))), at + BLOCK_DOCS)
+            yield Block(0, ids[at:to], np.where(valid, lens, -1)[at:to], data[base : ends[to - 1]], {"rows": b.slice(at, to - at)})
+            at = to
