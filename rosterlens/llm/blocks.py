@@ -12,7 +12,7 @@ once per block, nothing is broadcast, and nothing reaches the driver but fixed-s
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,7 +159,7 @@ def ids_out(ids: np.ndarray) -> pa.Array:
 
 # ------------------------------------------------------------------------------ blocks
 
-_BLOCK_SCHEMA = "block long, n_bytes long, ids binary, lens binary, data binary"
+_BLOCK_SCHEMA = "block long, n_bytes long, ids binary, lens binary, data binary, carry binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,21 +169,29 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seq, held, size, n = 0, [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        ids, lens, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, lens, data = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
+        carry = None
+        if held[0][3].num_columns:
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_batches([h[3] for h in held]).combine_chunks()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            carry = sink.getvalue().to_pybytes()
         return pa.RecordBatch.from_arrays(
-            [pa.array([part << 24 | seq]), pa.array([len(data)]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([lens.astype("<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())],
-            ["block", "n_bytes", "ids", "lens", "data"],
+            [pa.array([part << 24 | seq]), pa.array([len(data)]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([lens.astype("<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([carry], pa.binary())],
+            ["block", "n_bytes", "ids", "lens", "data", "carry"],
         )
 
     for b in batches:
         ids = int_ids(b.column(0))
         data, lens, valid = utf8_parts(b.column(1))
+        rest = b.select(range(2, b.num_columns))
         ends = np.cumsum(lens)
         at = 0
         while at < len(ids):
             base = ends[at - 1] if at else 0
             to = min(max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES - size, "right"))), at + BLOCK_DOCS - n)
-            held.append((ids[at:to], np.where(valid, lens, -1)[at:to], data[base : ends[to - 1]].copy()))
+            held.append((ids[at:to], np.where(valid, lens, -1)[at:to], data[base : ends[to - 1]].copy(), rest.slice(at, to - at)))
             size += int(ends[to - 1] - base)
             at = to
             n += len(held[-1][0])
@@ -195,11 +203,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Blocks:
-    """The documents as a table of blocks, bucketed by block key."""
+    """The documents as a table of blocks, bucketed by block key.
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    Columns named in ``carry`` travel with the blocks and come back by ``carried``.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()):
         spark = self.spark = docs.sparkSession
-        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        self.carry = list(carry)
+        others = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
+        self.carry_kinds = [f.dataType.simpleString() for f in source.schema.fields[2:]]
         size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = int(min(max(width, min(size, 1 << 50) // (64 << 20)), 100_000))
@@ -225,6 +239,14 @@ class Blocks:
         return df.mapInArrow(lambda batches: (out for b in batches for block in _blocks(b) for out in f(block)), schema)
 
 
+def carried(block: Block) -> list[pa.Array]:
+    """The columns that travelled with a block."""
+    raw = block.extra.get("carry")
+    if raw is None or not raw.is_valid:
+        return []
+    return [c.combine_chunks() for c in pa.ipc.open_stream(raw.as_buffer()).read_all().columns]
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[Block]:
     names = batch.schema.names
     extra = [n for n in names if n not in ("block", "n_bytes", "ids", "lens", "data")]

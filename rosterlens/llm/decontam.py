@@ -68,7 +68,7 @@ def _matches(places: DataFrame, prefix: DataFrame, size: int, lengths: bool) ->
     return (
         places.withColumn("key", F.when(behind, F.lit(0).cast("long")).otherwise(_key("w", F.col("i"), size)))
         .join(F.broadcast(prefix), "key").filter(hit)
-        .select("row", "doc_id", at.alias("start"), (at + F.col("k")).alias("end"), "items", F.when(F.col("k") == 0, at).alias("n"))
+        .select("row", "doc_id", "text_hash", at.alias("start"), (at + F.col("k")).alias("end"), "items", F.when(F.col("k") == 0, at).alias("n"))
     )
 
 
@@ -81,13 +81,13 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
+    """Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, text_hash (xxhash64)."""
     if window < 1:
         raise ValueError("window must be at least 1")
     wins = stored(_windows(items, item_col, item_text_col, window), "windows")
     counts = {r["size"]: r["n"] for r in wins.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
-    places = texts.select("doc_id", "row", "w", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("i"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
+    places = texts.select("doc_id", "text_hash", "row", "w", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("i"))
 
     def blocks(df: DataFrame, size: int) -> list[DataFrame]:
         df, n = df.filter(F.col("size") == size), -(-counts[size] // WINDOW_BLOCK)
@@ -112,9 +112,15 @@ def contamination(
     fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))), F.lit(0))
     per = (
         rows.withColumn("fresh", fresh).groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.max("n").alias("n_words"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        .agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.max("n").alias("n_words"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     )
     return per.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "text_hash",
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose text holds a window of an item."""
+    hit = contamination(docs, items, id_col, text_col, **options).filter("contaminated").select(F.col("doc_id").alias("hit_id"), "text_hash").distinct()
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.xxhash64(text_col) == F.col("text_hash")), "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, NULL_ID, SPACE, U64, Block, Blocks, exchange, mix, prefix_hash, span_hash, token_spans, told
+from .blocks import LOWER, NULL_ID, SPACE, U64, Block, Blocks, carried, exchange, ids_out, mix, prefix_hash, span_hash, token_spans, told
 from .components import components
 from .shared import stored
 
@@ -209,9 +209,39 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     ``class_id`` is the smallest id with the same shingle set, ``component_id`` the smallest
     that links lead to.
     """
+    rows = resolved(Blocks(docs, id_col, text_col), words, num, den)
+    real = lambda c: F.when(F.col(c) != int(NULL_ID), F.col(c))
+    return rows.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("class_id").alias("class_id"), real("component_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, the first of repeated rows.
+
+    Documents without words stay. Column names and types are those of ``docs``.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    blocks = Blocks(docs, id_col, text_col, others)
+    rows = resolved(blocks, words, num, den)
+    first = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct("id", "block", "place")).alias("m")).select("m.block", "m.place")
+    kept = first.unionByName(rows.filter("root is null").select("block", "place")).groupBy("block").agg(F.collect_list("place").alias("kept"))
+
+    def emit(block: Block) -> Iterator[pa.RecordBatch]:
+        if not block.extra["kept"].is_valid:
+            return
+        at = np.sort(np.array(block.extra["kept"].as_py(), np.int64))
+        off, raw = block.offsets, block.data.tobytes()
+        text = [raw[off[i] : off[i + 1]].decode() if block.lens[i] >= 0 else None for i in at]
+        yield pa.RecordBatch.from_arrays([ids_out(block.ids[at]), pa.array(text, pa.string()), *(c.take(pa.array(at)) for c in carried(block))], ["id", "text", *(f"carry_{i}" for i in range(len(others)))])
+
+    out = blocks.map(blocks.with_facts(kept), emit, "id long, text string" + "".join(f", carry_{i} {k}" for i, k in enumerate(blocks.carry_kinds)))
+    back = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col(f"carry_{i}") for i, c in enumerate(others)}
+    return out.select(*(back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def resolved(blocks: Blocks, words: int, num: int, den: int) -> DataFrame:
+    """id, block, place, n, root (of its component; null without words), class_id and component_id of each row."""
     if not 0 < num <= den:
         raise ValueError("similarity must be in (0, 1]")
-    blocks = Blocks(docs, id_col, text_col)
     packed = lambda arrays: pa.array([x.astype("<u8").tobytes() for x in arrays], pa.binary())
 
     def signatures(block: Block) -> Iterator[pa.RecordBatch]:
@@ -313,12 +343,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         groups = groups.unionByName(groups.select(F.col("root").alias("cid"), "root").distinct())
     named = kind.join(groups, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "root").select("n", "s1", "s2", "class_id", "component_id")
-    real = lambda c: F.when(F.col(c) != int(NULL_ID), F.col(c))
-    return rows.join(named, ["n", "s1", "s2"], "left").select(
-        real("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        *(F.when(F.col("n") > 0, real(c)).otherwise(real("id")).alias(c) for c in ("class_id", "component_id")),
-    )
+    named = named.join(least, "root").select("n", "s1", "s2", "root", "class_id", "component_id")
+    wordless = [F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("id")).alias(c) for c in ("class_id", "component_id")]
+    return rows.join(named, ["n", "s1", "s2"], "left").select("id", "block", "place", "n", "root", *wordless)
 
 
 def _across(sets: DataFrame, alone: DataFrame, join: Callable, join_more: Callable, shape: str) -> DataFrame:

@@ -319,14 +319,16 @@ def classify(
     """Columns: doc_id, held_out, score, predicted, and those of ``docs`` named in ``keep``."""
     machine = train(training_rows(docs, labels, label_col, id_col, text_col, modulus, remainder, max_rows))
     names = [f"kept_{i}" for i in range(len(keep))]
+    texts = [i for i, c in enumerate(keep) if c == text_col]
+    others = [i for i, c in enumerate(keep) if c != text_col]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in streamed(batches):
             rows = block.extra["rows"]
             s = machine.score(machine.features(block))
-            yield pa.RecordBatch.from_arrays([ids_out(block.ids), rows.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *(rows.column(3 + i) for i in range(len(keep)))], ["doc_id", "held_out", "score", "predicted", *names])
+            yield pa.RecordBatch.from_arrays([ids_out(block.ids), rows.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *(rows.column(1) for _ in texts), *(rows.column(3 + i) for i in range(len(others)))], ["doc_id", "held_out", "score", "predicted", *(names[i] for i in texts + others)])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), fold(F.col(id_col), modulus, remainder).alias("held_out"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
-    schema = "doc_id long, held_out boolean, score double, predicted int" + "".join(f", {n} {source.schema[n].dataType.simpleString()}" for n in names)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), fold(F.col(id_col), modulus, remainder).alias("held_out"), *(F.col(keep[i]).alias(names[i]) for i in others))
+    schema = "doc_id long, held_out boolean, score double, predicted int" + "".join(f", {names[i]} string" for i in texts) + "".join(f", {names[i]} {source.schema[names[i]].dataType.simpleString()}" for i in others)
     out = source.mapInArrow(apply, schema)
     return out.select("doc_id", "held_out", "score", "predicted", *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)))
