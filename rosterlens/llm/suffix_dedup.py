@@ -22,19 +22,23 @@ other; a null id is larger than every other. Ids and texts are the only columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import U64, Block, Blocks, exchange, ids_out, prefix_hash, range_of, span_hash, stored, told
+from .blocks import U64, Block, Blocks, carried, exchange, gram_hash, ids_out, mix, pack_keys, prefix_hash, range_of, span_hash, told, unpack_keys
+from .shared import stored
 
 SPAN = 50
 ANCHOR = 25
 HOT = 5000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+STRETCH = 1 << 16
+#: Bytes of documents for each shard.
+SHARD_BYTES = 2 << 20
 
 
 # ----------------------------------------------------------------------- suffix arrays
@@ -58,7 +62,7 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = packed(data)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     # A suffix shorter than eight bytes and one that goes on with zeros pack alike: the shorter comes first.
     zeros = np.flatnonzero((s[1:] == s[:-1]) & (np.maximum(order[1:], order[:-1]) > n - 8))
@@ -83,7 +87,7 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
         ahead = suffix + h
         then = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         both = group * (n + 1) + then
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         suffix, both = suffix[by], both[by]
         order[slots] = suffix
         new[slots[1:]] |= both[1:] != both[:-1]
@@ -178,25 +182,31 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def _runs(block: Block, prefix: np.ndarray, skip: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lowest(data: np.ndarray, span: int) -> np.ndarray:
+    """The smallest anchor hash in each window, a stretch of bytes at a time."""
+    out = np.empty(len(data) - span + 1, U64)
+    for at in range(0, len(out), STRETCH):
+        prefix = prefix_hash(data[at : at + STRETCH + span - 1])
+        out[at : at + STRETCH] = _sliding_min(gram_hash(prefix, ANCHOR), span - ANCHOR + 1)
+    return out
+
+
+def _runs(block: Block, skip: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of windows with one smallest anchor hash: start, windows, document, hash."""
     n, offsets = len(block.data), block.offsets
     if n < span:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
-    at = np.arange(n - ANCHOR + 1)
-    low = _sliding_min(span_hash(prefix, at, at + ANCHOR), span - ANCHOR + 1)
-    lens = np.maximum(block.lens, 0)
-    doc = np.repeat(np.arange(len(lens)), lens)[: len(low)]
-    inside = np.arange(len(low)) + span <= offsets[1:][doc]
-    if skip.any():
-        inside &= ~skip[doc]
+    low = _lowest(block.data, span)
     new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = low[1:] != low[:-1]
+    new[offsets[:-1][offsets[:-1] < len(low)]] = True
     first = np.flatnonzero(new)
-    count = np.add.reduceat(inside, first, dtype=np.int64)
-    keep = count > 0
-    first, count = first[keep], count[keep]
-    return first, count, doc[first], low[first]
+    doc = np.searchsorted(offsets, first, "right") - 1
+    # Of a run, the windows count that end within the document.
+    count = np.minimum(np.append(first[1:], len(low)), offsets[doc + 1] - span + 1) - first
+    keep = (count > 0) & ~skip[doc]
+    first, count, doc = first[keep], count[keep], doc[keep]
+    return first, count, doc, mix(low[first] ^ U64(0x9E3779B97F4A7C15))  # smallest hashes crowd near zero
 
 
 def _skip(block: Block) -> np.ndarray:
@@ -207,8 +217,8 @@ def _skip(block: Block) -> np.ndarray:
     return out
 
 
-def _anchors(block: Block, prefix: np.ndarray, span: int):
-    runs = _runs(block, prefix, _skip(block), span)
+def _anchors(block: Block, span: int):
+    runs = _runs(block, _skip(block), span)
     uniq, where = np.unique(runs[3], return_inverse=True)
     return runs, uniq, where
 
@@ -216,7 +226,7 @@ def _anchors(block: Block, prefix: np.ndarray, span: int):
 def _strings(block: Block, span: int):
     """Runs at shared anchors: start, windows, document, and for the distinct ones the order in which they are sent, their smallest id and route."""
     prefix = prefix_hash(block.data)
-    (start, count, doc, low), _, where = _anchors(block, prefix, span)
+    (start, count, doc, low), _, where = _anchors(block, span)
     total = told(block.extra["anchors"])[where] if len(where) else np.zeros(0, np.int64)
     keep = total > 1
     start, count, doc, low, total = (x[keep] for x in (start, count, doc, low, total))
@@ -245,15 +255,16 @@ def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False, keep_columns: Sequence[str] = ()) -> DataFrame:
     """What is left of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     ``with_text`` adds ``text``, the kept bytes; there a character that a removed run cuts
-    through stays whole. A null text stays null.
+    through stays whole. A null text stays null. ``keep_columns`` adds columns of ``docs``.
     """
     if span < ANCHOR:
         raise ValueError(f"span must be at least {ANCHOR}")
-    blocks = Blocks(docs, id_col, text_col)
+    blocks = Blocks(docs, id_col, text_col, keep_columns)
+    others = [f"carry_{i}" for i in range(len(keep_columns))]
 
     def digests(block: Block) -> Iterator[pa.RecordBatch]:
         off = block.offsets
@@ -268,12 +279,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     copies = stored(rows.join(least, "digest").filter("id > least").groupBy("block").agg(F.collect_list("place").alias("copies")), "copies")
 
     def ask(block: Block) -> tuple[np.ndarray, np.ndarray]:
-        (_, _, doc, _), uniq, where = _anchors(block, prefix_hash(block.data), span)
+        (_, _, doc, _), uniq, where = _anchors(block, span)
         pair = np.unique(where * (len(block.ids) + 1) + doc)
         return uniq, np.bincount(pair // (len(block.ids) + 1), minlength=len(uniq))
 
     anchors, _ = exchange(blocks, blocks.with_facts(copies), ask, "anchors")
-    ranges = blocks.ranges
+    ranges = max(blocks.ranges, blocks.n_bytes // SHARD_BYTES)
 
     def send(block: Block) -> Iterator[pa.RecordBatch]:
         start, count, _, ids, sent, _, low = _strings(block, span)
@@ -284,8 +295,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             s = sent[a:b]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[a]]), pa.array([block.key]), pa.array([count[s].astype("<i4").tobytes()], pa.binary()), pa.array([ids[s].astype("<i8").tobytes()], pa.binary()), pa.array([_cut(block.data, start[s], count[s] + span - 1).tobytes()], pa.binary())],
-                ["r", "block", "counts", "ids", "data"],
+                [pa.array([r[a]]), pa.array([block.key]), pa.array([pack_keys(low[s])], pa.binary()), pa.array([count[s].astype("<i4").tobytes()], pa.binary()), pa.array([ids[s].astype("<i8").tobytes()], pa.binary()), pa.array([_cut(block.data, start[s], count[s] + span - 1).tobytes()], pa.binary())],
+                ["r", "block", "anchors", "counts", "ids", "data"],
             )
 
     def settle(group: pa.Table) -> pa.Table:
@@ -295,22 +306,31 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
         own = np.cumsum([len(x.as_buffer()) // 4 for x in group["counts"]])
         size = count + span - 1
         start = np.cumsum(size) - size
+        anchor = np.concatenate([unpack_keys(x.as_buffer()) for x in group["anchors"]])
         # Runs that several blocks sent are kept once, with the least of their ids.
         text = span_hash(prefix_hash(data), start, start + size)
-        order = np.lexsort((count, text))
-        new = np.ones(len(order), bool)
+        order = np.lexsort((count, text, anchor))
         a, b = order[1:], order[:-1]
-        new[1:] = (text[a] != text[b]) | (count[a] != count[b])
+        other = np.ones(len(order), bool)
+        other[1:] = anchor[a] != anchor[b]
+        new = other.copy()
+        new[1:] |= (text[a] != text[b]) | (count[a] != count[b])
         first = np.flatnonzero(new)
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         least = np.minimum.reduceat(ids[order], first)
         once = order[first]
-        data, n = _cut(data, start[once], size[once]), count[once]
-        begin = np.cumsum(n + span - 1) - (n + span - 1)
+        n = count[once]
         base = np.cumsum(n) - n
-        step = np.arange(n.sum()) - np.repeat(base, n)
-        lowest = window_minima(data, np.repeat(begin, n) + step, np.repeat(least, n), span)
+        lowest = np.repeat(least, n)
+        # Where an anchor has a single run, its windows equal no others; the rest are sorted.
+        alone = other[first] & np.append(other[first][1:], True)
+        some = np.flatnonzero(~alone)
+        if len(some):
+            length = n[some] + span - 1
+            begin = np.cumsum(length) - length
+            step = np.arange(n[some].sum()) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+            lowest[np.repeat(~alone, n)] = window_minima(_cut(data, start[once[some]], length), np.repeat(begin, n[some]) + step, np.repeat(least[some], n[some]), span)
         k = np.repeat(kind, count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         gone = lowest[base[k] + at] < np.repeat(ids, count)
@@ -318,7 +338,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
         bits = [np.packbits(x).tobytes() for x in np.split(gone, ends[:-1])]
         return pa.table([group["r"], group["block"], pa.array(bits, pa.binary())], names=["r", "block", "bits"])
 
-    shared = stored(blocks.map(blocks.with_facts(copies, anchors), send, "r long, block long, counts binary, ids binary, data binary").groupBy("r").applyInArrow(settle, "r long, block long, bits binary"), "windows")
+    shared = stored(blocks.map(blocks.with_facts(copies, anchors), send, "r long, block long, anchors binary, counts binary, ids binary, data binary").groupBy("r").applyInArrow(settle, "r long, block long, bits binary"), "windows")
     bits = shared.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("r", "bits"))).alias("bits"))
 
     def keep(block: Block) -> Iterator[pa.RecordBatch]:
@@ -359,7 +379,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
             raw = block.data[left].tobytes()
             cols.append(pa.array([None if n < 0 else raw[a:b].decode() for n, a, b in zip(block.lens.tolist(), stay[:-1], stay[1:], strict=True)], pa.string()))
             names.append("text")
-        yield pa.RecordBatch.from_arrays(cols, names)
+        yield pa.RecordBatch.from_arrays([*cols, *carried(block)], [*names, *others])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return blocks.map(blocks.with_facts(copies, anchors, bits), keep, schema)
+    schema += "".join(f", {n} {k}" for n, k in zip(others, blocks.carry_kinds, strict=True))
+    out = blocks.map(blocks.with_facts(copies, anchors, bits), keep, schema)
+    return out.select(*(c for c in out.columns if c not in others), *(F.col(n).alias(c) for n, c in zip(others, keep_columns, strict=True)))
