@@ -138,7 +138,7 @@ def oracles(test_rules, test_first, test_links) -> dict[str, str]:
         "page_links": f"SELECT page_id, count(*) AS n_links, count(DISTINCT trim(href)) AS n_distinct FROM ({links}) GROUP BY 1",
         "link_scores_top6": f"""WITH l AS ({links}), f AS (SELECT page_id, k, regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*') || trim(href), '(?s)[?#].*$', ''), '/+$', '') AS full_url, anchor FROM l WHERE starts_with(trim(href), '/')),
           s AS (SELECT page_id, full_url, max({score}) AS score, min(k) AS k FROM f WHERE NOT contains(lower(full_url), 'privacy') AND ({score}) > 0 GROUP BY 1, 2)
-          SELECT page_id, CAST(row_number() OVER w - 1 AS INT) AS rank, full_url AS url, CAST(score AS INT) AS score FROM s QUALIFY row_number() OVER w <= 6 WINDOW w AS (PARTITION BY page_id ORDER BY score DESC, k)""",
+          SELECT page_id, CAST(row_number() OVER w - 1 AS INT) AS rank, full_url AS url, CAST(score AS INT) AS score FROM s WINDOW w AS (PARTITION BY page_id ORDER BY score DESC, k) QUALIFY row_number() OVER w <= 6""",
         "left_join_defaults": "SELECT c_custkey, c_mktsegment, coalesce(n_orders, 0) AS n_orders, coalesce(spent, 0.0::DOUBLE) AS spent FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1) USING (c_custkey)",
         "semi_qualified": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
         "anti_unseen": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
