@@ -202,6 +202,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+#: Estimates of more bytes than this stand for plans whose size isn't known.
+UNKNOWN_BYTES = 1 << 50
+
+
+def input_bytes(source: DataFrame) -> int:
+    """Bytes of (id, text) rows as the optimizer estimates them; counted where it can't tell."""
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < UNKNOWN_BYTES:
+        return size
+    return int(source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+
+
 class Blocks:
     """The documents as a table of blocks, bucketed by block key.
 
@@ -214,9 +226,8 @@ class Blocks:
         others = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
         source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
         self.carry_kinds = [f.dataType.simpleString() for f in source.schema.fields[2:]]
-        size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.buckets = int(min(max(width, min(size, 1 << 50) // (64 << 20)), 100_000))
+        self.buckets = int(min(max(width, input_bytes(source) // (64 << 20)), 100_000))
         name = f"rosterlens_{uuid.uuid4().hex}"
         (
             source.mapInArrow(_pack, _BLOCK_SCHEMA)

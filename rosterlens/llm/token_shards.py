@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import NULL_ID, U64, Block, ids_out, mix, prefix_hash, span_hash, streamed
+from .blocks import NULL_ID, U64, Block, ids_out, input_bytes, mix, prefix_hash, span_hash, streamed
 from .shared import stored, work_path
 
 MAGIC = b"RLTOKEN1"
@@ -282,7 +282,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
     """Write the shards of all documents to ``path``; returns (shard, file, n_docs, n_ids, start)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = input_bytes(source)
     n = int(min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * size // SHARD_BYTES), 1 << 20))
     dealt = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, F.col("id").asc_nulls_first(), "tie")
     dealt = dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), "tie").drop("tie")
