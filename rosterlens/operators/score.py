@@ -112,17 +112,17 @@ def number_text(value: Column) -> Column:
     return F.regexp_replace(fixed, r"(\.[0-9])0\z", "$1")
 
 
-def reason(parts: Mapping[str, Column], industry: Column, use_cases: Column, score: Column) -> Column:
+def reason(parts: Mapping[str, Column], industry: Column, use_cases: Column, score: Column, target: str = L.TARGET) -> Column:
     domain, ai, use = (parts[k].cast("double") for k in ("domain", "ai", "use_case"))
     first = F.coalesce(F.get(use_cases, F.lit(0)), F.lit("aligned application"))
-    target = F.coalesce(F.nullif(industry, F.lit("")), F.lit("target sector"))
+    sector = F.coalesce(F.nullif(industry, F.lit("")), F.lit("target sector"))
     signals = F.array_compact(F.array(
-        F.when(domain >= 12, F.concat(F.lit("domain match ("), target, F.lit(")"))),
+        F.when(domain >= 12, F.concat(F.lit("domain match ("), sector, F.lit(")"))),
         F.when(ai >= 8, F.lit("AI/vision capabilities")),
         F.when(use >= 8, F.concat(F.lit("use case: "), first)),
         F.when(use >= 10, F.lit("strong use-case alignment")),
     ))
-    return F.when(F.size(signals) == 0, L.WEAK_REASON).otherwise(F.concat(F.lit(L.FIT_REASON), F.array_join(signals, "; "), F.lit(" (score "), number_text(score), F.lit(").")))
+    return F.when(F.size(signals) == 0, L.WEAK_REASON.format(target=target)).otherwise(F.concat(F.lit(L.FIT_REASON.format(target=target)), F.array_join(signals, "; "), F.lit(" (score "), number_text(score), F.lit(").")))
 
 
 def score_text(text: Column, lexicon: Mapping = LEXICON) -> Column:

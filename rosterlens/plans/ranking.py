@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.arrays import strings
 from ..operators import profile as P
@@ -21,7 +22,7 @@ DEFAULTS = {
 }
 
 
-def ranked(companies: DataFrame, lexicon: Mapping = S.LEXICON) -> DataFrame:
+def ranked(companies: DataFrame, lexicon: Mapping = S.LEXICON, target: str = L.TARGET) -> DataFrame:
     """Scores, explanations and order of companies whose attributes are columns.
 
     Reads text, summary, industry, products, services, technologies, use_cases, confidence,
@@ -36,7 +37,7 @@ def ranked(companies: DataFrame, lexicon: Mapping = S.LEXICON) -> DataFrame:
     df = df.withColumns({
         "score": F.col("__score").cast("double"), "breakdown": F.struct(*(c.cast("double").alias(k) for k, c in parts.items())),
         "category": S.category(F.col("__score")), "recommended_products": S.recommendation(F.col("__text"), F.col("products")),
-        "reason": S.reason(parts, F.col("industry"), F.col("use_cases"), F.col("__score")),
+        "reason": S.reason(parts, F.col("industry"), F.col("use_cases"), F.col("__score"), target),
     })
     return df.drop("__text", "__score", *(f"__{k}" for k in points))
 
@@ -52,6 +53,7 @@ def outcomes(
     extractor: Callable[[DataFrame], DataFrame] | None = None,
     lexicon: Mapping = S.LEXICON,
     offline: bool = False,
+    target: str = L.TARGET,
 ) -> DataFrame:
     """Every company of a roster: ranked attributes, or ``skip_reason``.
 
@@ -82,7 +84,7 @@ def outcomes(
         "product_specifications": T.blank_to_null(F.col("specifications")), "multiplier": S.multiplier(F.col("quality"), F.col("extracted")),
         "penalty": S.penalty(F.col("quality"), F.col("extracted"), F.col("confidence")),
     })
-    df = ranked(df, lexicon).drop("all", "page_products", "page_services", "specifications")
+    df = ranked(df, lexicon, target).drop("all", "page_products", "page_services", "specifications")
     return df.unionByName(skipped.select("ord", "name", "website", "quality", "skip_reason"), allowMissingColumns=True)
 
 

@@ -125,7 +125,7 @@ def oracles(test_rules, test_first, test_links) -> dict[str, str]:
         "lexicon_join": f"SELECT word, count(*) AS n_docs FROM documents, {_rules(test_rules)} WHERE contains(lower({_T}), word) GROUP BY 1",
         "category_histogram": f"WITH {_FIT} SELECT {_CATEGORY} AS category, count(*) AS n, round(avg(CAST(total AS DOUBLE)), 4) AS mean_score FROM fit GROUP BY 1",
         "recommend_reason": f"""WITH {_FIT}, r AS (SELECT *, list_filter([CASE WHEN b_domain >= 12 THEN 'domain match (' || source || ')' END, CASE WHEN b_ai >= 8 THEN 'AI/vision capabilities' END, CASE WHEN b_use >= 8 THEN 'use case: aligned application' END, CASE WHEN b_use >= 10 THEN 'strong use-case alignment' END], lambda x: x IS NOT NULL) AS sig FROM fit)
-          SELECT doc_id, CASE WHEN len(sig) = 0 THEN {q(L.WEAK_REASON)} ELSE {q(L.FIT_REASON)} || array_to_string(sig, '; ') || ' (score ' || regexp_replace(printf('%.2f', CAST(total AS DOUBLE)), '(\\.[0-9])0$', '\\1') || ').' END AS reason,
+          SELECT doc_id, CASE WHEN len(sig) = 0 THEN {q(L.WEAK_REASON.format(target=L.TARGET))} ELSE {q(L.FIT_REASON.format(target=L.TARGET))} || array_to_string(sig, '; ') || ' (score ' || regexp_replace(printf('%.2f', CAST(total AS DOUBLE)), '(\\.[0-9])0$', '\\1') || ').' END AS reason,
           CASE WHEN contains(low, 'thth') OR contains(low, 'license') THEN 'A1,A2' WHEN contains(low, 'eau') OR contains(low, 'sch') THEN 'B1' ELSE 'C1' END AS advice FROM r""",
         "penalised_score": f"""WITH {_FIT}, l AS (SELECT doc_id, max(quality) AS ql FROM labels GROUP BY 1), z AS (SELECT fit.doc_id, total, {_FLAG} AS f, coalesce(ql = 1, false) AS ok FROM fit LEFT JOIN l USING (doc_id)),
           m AS (SELECT *, CAST((CASE f WHEN 'GOOD' THEN 1.00 WHEN 'LOW' THEN 0.70 ELSE 0.50 END) * (CASE WHEN ok THEN 1.00 ELSE 0.60 END) AS DECIMAL(4,2)) AS mult, CASE WHEN NOT ok THEN 10 WHEN f = 'LOW' THEN 5 ELSE 0 END AS pen FROM z)

@@ -128,4 +128,4 @@ def test_profiles_rank_with_defaults(spark):
     roster = spark.createDataFrame([(0, "A", "a"), (1, "B", "b"), (2, "C", "c")], "ord long, name string, website string")
     profiles = spark.createDataFrame([("a", "we build houses", "Construction"), ("b", "autonomous drones with lidar", "Robotics")], "website string, text string, industry string")
     got = ranking.rank_profiles(roster, profiles).collect()
-    assert [r["name"] for r in got] == ["B", "A", "C"] and got[2]["score"] == 0.0 and got[2]["reason"] == L.WEAK_REASON
+    assert [r["name"] for r in got] == ["B", "A", "C"] and got[2]["score"] == 0.0 and got[2]["reason"] == L.WEAK_REASON.format(target=L.TARGET)
