@@ -43,17 +43,27 @@ def label_scores(low: Column, rules: Sequence[Rule], most: int = 3, lone_words_t
     labels: dict[str, list[tuple[int, str, int]]] = {}
     for i, (word, label, weight) in enumerate(rules):
         labels.setdefault(label, []).append((i, word, weight))
-    entries = []
-    for label, own in labels.items():
-        score, first = F.lit(0), []
-        for i, word, weight in own:
-            n = occurrences(low, word)
-            if lone_words_twice and " " not in word:
-                n = F.when(n >= 2, n).otherwise(0)
-            score = score - F.least(n, F.lit(most)) * weight
-            first.append(F.when(n > 0, F.lit(i)))
-        entries.append(F.struct(score.alias("minus"), (F.least(*first) if len(first) > 1 else first[0]).alias("first"), F.lit(label).alias("label")))
-    return F.array_sort(F.filter(F.array(*entries), lambda e: e["minus"] < 0))
+    table = F.array(*(F.lit(w) for w, _, _ in rules))
+
+    def count(low: Column) -> Column:
+        found = lambda w: ((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int")
+        return F.transform(table, lambda w: F.when(low.contains(w), found(w)).otherwise(0))
+
+    def score(counts: Column) -> Column:
+        entries = []
+        for label, own in labels.items():
+            minus, first = F.lit(0), []
+            for i, word, weight in own:
+                n = F.get(counts, F.lit(i))
+                if lone_words_twice and " " not in word:
+                    n = F.when(n >= 2, n).otherwise(0)
+                minus = minus - F.least(n, F.lit(most)) * weight
+                first.append(F.when(n > 0, F.lit(i)))
+            entries.append(F.struct(minus.alias("minus"), (F.least(*first) if len(first) > 1 else first[0]).alias("first"), F.lit(label).alias("label")))
+        return F.array_sort(F.filter(F.array(*entries), lambda e: e["minus"] < 0))
+
+    # The text is lowered once and each word counted once, whatever refers to them.
+    return let(low, lambda text: let(count(text), score))
 
 
 def top_labels(low: Column, rules: Sequence[Rule], n: int, **options) -> Column:
