@@ -3,9 +3,12 @@
 Landmarks are the word beginnings and words whose presence in a labelled text says most
 about its label; one that a longer one explains as well gives way to it. A word's
 likeness to a landmark is the string kernel of common subsequences of three characters,
-each weighed by ``DECAY`` for every character it spans, relative to the landmark's own:
-an insult with characters put in or gaps between keeps most of its likeness, and runs of
-single characters are read as one word. A text's features are its words' summed
+each weighed by ``DECAY`` for every character it spans in the landmark and by ``GAP`` for
+every one in the word, relative to the landmark's own. Each three characters of the landmark
+count once, where the word has them closest together, so that repeats in a long word don't
+add up. An insult with a character put in after each of its own keeps 0.65 to 0.8; up to
+``LEAST`` counts as nothing. Punctuation inside a word is passed over, and runs of single
+characters are read as one word. A text's features are its words' summed
 likenesses, whitened by the landmarks' kernel matrix (Nyström), and their totals; a linear machine with
 squared hinge loss, trained on labelled texts, scores them through a logistic.
 
@@ -20,6 +23,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,12 @@ from .quality import fold, training_rows
 MAX_ROWS = 6000
 LANDMARKS = 40
 DECAY = 0.6
+#: Decay of a character spanned in a text's word: insertions cost less than gaps in the landmark.
+GAP = 0.9
 WIDTH = 24
 LEAST = 0.45
+#: Letters, digits and bytes of wide characters; other bytes are punctuation.
+KEPT = np.array([chr(c).isalnum() or c > 127 for c in range(256)])
 #: A landmark whose toxic share has a lower bound above this counts as pure.
 PURE = 0.8
 STARTS = (4, 5, 6, 7, 8)
@@ -42,29 +50,53 @@ STARTS = (4, 5, 6, 7, 8)
 # --------------------------------------------------------------------------- the kernel
 
 
-def kernel(words: np.ndarray, landmark: bytes, decay: float = DECAY) -> np.ndarray:
-    """Weight of common subsequences of length three of each row of ``words`` (zero padded) and the landmark."""
+def kernel(words: np.ndarray, landmark: bytes, decay: float = DECAY, gap: float | None = None) -> np.ndarray:
+    """Weight of common subsequences of length three of each row of ``words`` (zero padded) and the landmark.
+
+    ``decay`` is for characters spanned in the landmark, ``gap`` (the same by default) for those in the word.
+    """
+    gap = decay if gap is None else gap
     n, width = words.shape
     m = len(landmark)
+    same = {c: np.ascontiguousarray((words == c).T, np.float64) * (decay * gap) for c in set(landmark)}
     # tail[q][i][j]: subsequences of length q in s[:i], t[:j], weighed to the ends of both.
-    below = np.ones((m + 1, n, width + 1))
-    total = np.zeros(n)
-    for q in range(3):
-        here = np.zeros((m + 1, n, width + 1))
-        for j in range(1, m + 1):
-            same = (words == landmark[j - 1]).astype(float)
-            if q == 2:
-                total += decay * decay * (same * below[j - 1][:, :-1]).sum(1)
-                continue
-            run = np.zeros((n, width + 1))
-            hit = decay * decay * same * below[j - 1][:, :-1]
-            for i in range(1, width + 1):
-                run[:, i] = decay * run[:, i - 1] + hit[:, i - 1]
-            here[j] = decay * here[j - 1] + run
+    below = [np.ones((width + 1, n))] * (m + 1)
+    for q in range(2):
+        here = [np.zeros((width + 1, n))] * (q + 1)
+        for j in range(q + 1, m + 1):
+            run = np.zeros((width + 1, n))
+            np.multiply(same[landmark[j - 1]], below[j - 1][:-1], out=run[1:])
+            for i in range(2, width + 1):
+                run[i] += gap * run[i - 1]
+            if j > q + 1:
+                run += decay * here[j - 1]
+            here.append(run)
         below = here
+    total = np.zeros(n)
+    for j in range(3, m + 1):
+        total += np.einsum("ij,ij->j", same[landmark[j - 1]], below[j - 1][:-1])
     return total
 
 
+def covered(words: np.ndarray, landmark: bytes, decay: float = DECAY, gap: float = GAP) -> np.ndarray:
+    """As ``kernel``, but each three characters of the landmark count once, by where a row has them closest together."""
+    at = np.array(list(combinations(range(len(landmark)), 3)))
+    one, two, three = np.frombuffer(landmark, np.uint8)[at.T]
+    weight = decay ** (at[:, 2] - at[:, 0] + 1.0)
+    out = np.empty(len(words))
+    step = max(1, (1 << 17) // len(at))
+    for k in range(0, len(words), step):
+        some = words[k : k + step]
+        a, b, c = (np.zeros((len(some), len(at))) for _ in range(3))
+        for i in range(words.shape[1]):
+            here = some[:, i, None]
+            np.maximum(c, (here == three) * b, out=c)
+            np.maximum(gap * b, (here == two) * (gap * a), out=b)
+            np.maximum(gap * a, (here == one) * gap, out=a)
+        out[k : k + step] = c @ weight * gap
+    return out
+
+
 def _matrix(words: list[bytes], width: int) -> np.ndarray:
     out = np.zeros((len(words), width), np.uint8)
     for i, w in enumerate(words):
@@ -72,6 +104,15 @@ def _matrix(words: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def _bare(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with ASCII punctuation before a letter or digit, and those rows without any."""
+    sign = (words != 0) & ~KEPT[words]
+    at = np.flatnonzero((sign[:, :-1] & (words[:, 1:] != 0)).any(1))
+    some, sign = words[at], sign[at]
+    order = np.argsort(sign | (some == 0), 1, kind="stable")
+    return at, np.take_along_axis(np.where(sign, 0, some), order, 1)
+
+
 def _letters(words: np.ndarray) -> np.ndarray:
     """A set of each row's characters, as bits (of the byte modulo 64)."""
     bits = (U64(1) << (words & 63).astype(U64)) * (words != 0)
@@ -128,7 +169,7 @@ def words_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass
 class Machine:
     landmarks: list[bytes]
-    own: np.ndarray
+    reach: np.ndarray
     white: np.ndarray
     weights: np.ndarray
     bias: float
@@ -147,6 +188,9 @@ class Machine:
 
     def likeness(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each landmark the pieces that resemble it, and how much (0 to 1)."""
+        # A word with punctuation put in counts as the better of itself and its letters alone.
+        n, (spoilt, bare) = len(rows), _bare(rows)
+        rows = np.concatenate([rows, bare])
         have = _letters(rows)
         for k, mark in enumerate(self.landmarks):
             need = _letters(_matrix([mark], WIDTH))[0]
@@ -161,9 +205,15 @@ class Machine:
                 where = np.flatnonzero(fit)
                 for part in range(0, len(where), 4096):
                     some = where[part : part + 4096]
-                    value[some] = kernel(rows[at[some], :width], mark) / self.own[k]
-            value = np.clip((np.minimum(value, 1) - LEAST) / (1 - LEAST), 0, 1)
-            yield k, at[value > 0], value[value > 0]
+                    value[some] = kernel(rows[at[some], :width], mark, gap=GAP) / self.reach[k]
+            # The kernel is never less than the likeness.
+            more = np.flatnonzero(value > LEAST)
+            value[more] = covered(rows[at[more]], mark) / self.reach[k]
+            best = np.zeros(len(rows))
+            best[at] = np.clip((np.minimum(value, 1) - LEAST) / (1 - LEAST), 0, 1)
+            best[spoilt] = np.maximum(best[spoilt], best[n:])
+            at = np.flatnonzero(best[:n])
+            yield k, at, best[at]
 
     def features(self, block: Block) -> np.ndarray:
         """Summed likeness of each document's words to each landmark, and the number of words."""
@@ -289,7 +339,8 @@ def train(rows: DataFrame, most: int = LANDMARKS) -> Machine:
     value, vector = np.linalg.eigh((gram + gram.T) / 2 + 0.1 * np.eye(len(marks)))
     white = vector / np.sqrt(np.maximum(value, 0.05)) @ vector.T
     pure = np.array([bounds[m] > PURE for m in marks])
-    machine = Machine(marks, own, white, np.zeros(0), 0.0, 1.0, 0.0, pure)
+    reach = np.array([covered(_matrix([m], len(m)), m)[0] for m in marks])
+    machine = Machine(marks, reach, white, np.zeros(0), 0.0, 1.0, 0.0, pure)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in streamed(batches):
@@ -301,7 +352,7 @@ def train(rows: DataFrame, most: int = LANDMARKS) -> Machine:
     x, y = machine.mapped(x[order]), y[order]
     weights, bias = _svm(x, y)
     slope, offset = _platt(x @ weights + bias, y)
-    return Machine(marks, own, white, weights, bias, slope, offset, pure)
+    return Machine(marks, reach, white, weights, bias, slope, offset, pure)
 
 
 def classify(

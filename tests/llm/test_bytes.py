@@ -198,6 +198,35 @@ def test_kernel_counts_gapped_subsequences():
     assert got[1] / got[0] > 0.4 > got[3] / got[0]
 
 
+@pytest.mark.parametrize("mark", [b"scum", b"idiot", b"moron", b"stupid", b"disgusting"])
+def test_gapped_words_keep_their_likeness(mark):
+    from rosterlens.llm import toxicity as T
+
+    m = mark.decode()
+    machine = T.Machine([mark], T.covered(T._matrix([mark], len(mark)), mark), np.zeros((1, 1)), np.zeros(0), 0.0, 1.0, 0.0, np.ones(1, bool))
+    texts = [f"{m[:2]}{c}{m[2:]} {m[0]}{c}{m[1:-1]}{c}{m[-1]} {c.join(m)}" for c in ".x"] + [c.join(m) for c in ".x"] + ["table of the house"]
+    got = machine.features(block(texts))[:, 0]
+    assert got[0] > 2.9 and got[1] > 1.8 and got[2] > 0.9 and got[3] > 0.3 and got[4] == 0
+
+
+def test_landmark_parts_count_once():
+    from itertools import combinations
+
+    from rosterlens.llm import toxicity as T
+
+    def slow(s, t):
+        total = 0.0
+        for b in combinations(range(len(t)), 3):
+            spans = [a[-1] - a[0] + 1 for a in combinations(range(len(s)), 3) if all(s[i] == t[j] for i, j in zip(a, b, strict=True))]
+            total += T.DECAY ** (b[-1] - b[0] + 1) * max((T.GAP**x for x in spans), default=0.0)
+        return total
+
+    words = [b"moron", b"ororonron", b"mxoxrxoxn", b"norom", b"ab"]
+    got = T.covered(T._matrix(words, 10), b"moron")
+    assert np.allclose(got, [slow(w, b"moron") for w in words])
+    assert (got <= T.kernel(T._matrix(words, 10), b"moron", gap=T.GAP) + 1e-12).all()
+
+
 def test_spelled_words_are_read_as_one():
     from rosterlens.llm import toxicity as T
 

@@ -251,6 +251,18 @@ def test_toxicity(spark):
     assert toxicity.classify(docs, labels.filter("false")).filter("predicted = 1 or score is null").count() >= 0
 
 
+def test_toxicity_of_spoilt_insults(spark):
+    docs, labels = labelled(spark)
+    spoilt = []
+    for word in ("blockhead", "scoundrel", "nitwit"):
+        for put in ".", "*", "x":
+            mid = len(word) // 2
+            spoilt += [word[:mid] + put + word[mid:], word[:2] + put + word[2:-2] + put + word[-2:], put.join(word)]
+    more = spark.createDataFrame([(1000 + i, f"house river garden {w} window letter winter") for i, w in enumerate([*spoilt, "summer"])], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs.unionByName(more), labels).filter("doc_id >= 1000").collect()}
+    assert [w for i, w in enumerate(spoilt) if not got[1000 + i]] == [] and got[1000 + len(spoilt)] == 0
+
+
 def test_quality(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join("".join(rng.choice(list("abcdef"), 5)) + ("!!" if i % 3 == 0 else "") for _ in range(40)).upper() if i % 3 == 0 else " ".join("".join(rng.choice(list("abcdef"), 5)) for _ in range(40)) + ".") for i in range(300)]
