@@ -14,14 +14,15 @@ documents, ids, keys, buckets, seed, 0, 0); 64-bit end of each document counted
 
 Encoding is that of the tokenizers library, piece by piece: its byte-level pre-tokenizer
 is restated over arrays of code points, and each worker has the library encode a distinct
-piece once. Strings of special tokens in a text are ordinary text. Null and empty texts
-have the end id alone. A null document id comes first and has no key. Rows that repeat an
-id follow each other in order of their text's hash.
+piece once. Added tokens in a text are cut out first and get their own ids, as by the
+library. Null and empty texts have the end id alone. A null document id comes first and has
+no key. Rows that repeat an id follow each other in order of their text's hash.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import uuid
@@ -110,14 +111,23 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of texts, by way of their distinct pieces."""
+    """Ids of texts, by way of their distinct pieces.
 
-    def __init__(self, path: str):
+    With ``special`` special tokens in a text get their own ids, as the library does by
+    default; without, their strings are ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not special
+        added = [t for t in self.model.get_added_tokens_decoder().values() if special or not t.special]
+        plain = {t.content: not (t.lstrip or t.rstrip or t.single_word) for t in added}
+        # Leftmost and longest. A text with a token that takes its surroundings into account is one piece.
+        self.plain = {t.encode(): v for t, v in plain.items()}
+        self.added = re.compile(b"|".join(re.escape(t) for t in sorted(self.plain, key=len, reverse=True))) if plain else None
         self.reset()
 
     def reset(self) -> None:
@@ -125,28 +135,43 @@ class PieceEncoder:
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
+    def _added(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Begin and end of the added tokens in the texts, which are pieces of their own."""
+        if self.added is None or not self.added.search(raw):
+            return np.zeros((0, 2), np.int64)
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            found = list(self.added.finditer(raw, a, b))
+            out += [m.span() for m in found] if all(self.plain[m[0]] for m in found) else [(a, b)]
+        return np.array(out, np.int64).reshape(-1, 2)
+
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         n_docs = len(block.ids)
         if not len(block.data):
             return np.zeros(0, np.uint32), np.zeros(n_docs, np.int64)
-        text = block.data.tobytes().decode()
+        raw = block.data.tobytes()
+        text = raw.decode()
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         wide = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
         at = np.concatenate([[0], np.cumsum(wide)])
         cuts = np.searchsorted(at, block.offsets)
-        starts = piece_starts(points, np.unique(cuts))
+        begin, end = np.searchsorted(at, self._added(raw, block.offsets)).T
+        starts = piece_starts(points, np.unique(np.concatenate([cuts, begin, end])))
+        if len(begin):
+            k = np.searchsorted(begin, starts, "right") - 1
+            starts = starts[(k < 0) | (starts == begin[k]) | (starts >= end[k])]
         a = at[starts]
         b = np.append(a[1:], len(block.data))
         uniq, first, where = np.unique(span_hash(prefix_hash(block.data), a, b), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_PIECES:
+        if len(self.keys) > CACHE_PIECES or len(self.ids) > 8 * CACHE_PIECES:
             self.reset()
         place = np.searchsorted(self.keys, uniq)
         fresh = np.ones(len(uniq), bool)
         inside = place < len(self.keys)
         fresh[inside] = self.keys[place[inside]] != uniq[inside]
         if fresh.any():
-            raw, f = block.data.tobytes(), first[fresh]
+            f = first[fresh]
             got = [x.ids for x in self.model.encode_batch_fast([raw[i:j].decode() for i, j in zip(a[f].tolist(), b[f].tolist(), strict=True)], add_special_tokens=False)]
             size = np.array([len(x) for x in got], np.int32)
             flat = np.array([i for x in got for i in x], np.uint32)
@@ -169,7 +194,7 @@ _encoders: dict[str, PieceEncoder] = {}
 def encoder(path: str) -> PieceEncoder:
     """One per worker and vocabulary."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path, special=True)
     return _encoders[path]
 
 

@@ -141,6 +141,28 @@ def test_pieces_like_the_library():
     assert parts == [e.ids for e in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_added_tokens_like_the_library(tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    import json
+
+    from tokenizers import AddedToken, Tokenizer
+
+    path, rng = public.path("byte_bpe_50k.json"), random.Random(6)
+    more = Tokenizer.from_file(path)
+    more.add_tokens(["<|end", "é日"])
+    more.add_special_tokens([AddedToken("<s>", lstrip=True, rstrip=True, special=True)])
+    more.save(str(tmp_path / "more.json"))
+    assert "<s>" in json.dumps(json.loads((tmp_path / "more.json").read_text())["added_tokens"])
+    parts = ["<|endoftext|>", "<|end", "<|endof", "oftext|>", " <s> ", " ", "  ", "\n", "it's", "'s", "a", "é日", "é", "12", "!"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>'s", "x <|endof", "text|> y", None, "", "  <|endoftext|>  "]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(600)]
+    for file in (path, str(tmp_path / "more.json")):
+        want = [e.ids for e in Tokenizer.from_file(file).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        ids, count = K.encoder(file).encode(block(texts))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(count)[:-1])] == want
+    assert K.encoder(path).encode(block(texts[:1]))[0].tolist() == [64, 220, 50256, 275]
+
+
 def test_lattice_samples_the_posterior_and_decodes():
     public = pytest.importorskip("public_tokenizers")
     import math

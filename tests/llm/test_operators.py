@@ -199,6 +199,21 @@ def test_token_shards(docs, spark, tmp_path):
     assert token_shards.round_trip(odd.filter("false"), path, path=str(tmp_path / "e")).count() == 0
 
 
+def test_token_shards_with_added_tokens(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    texts = ["one", "a <|endoftext|> b", "two"]
+    rows = token_shards.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, path=str(tmp_path / "s")).orderBy("doc_id").collect()
+    start = 0
+    for r, t in zip(rows, texts, strict=True):
+        ids = np.array([*model.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_pieces(docs, empty):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("piece_bpe_32k.model")
