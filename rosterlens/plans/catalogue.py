@@ -254,8 +254,8 @@ def anti_unseen(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def grounded_items(spark: SparkSession, d: str) -> DataFrame:
-    """Which texts hold the opening of a benchmark item, without case."""
-    items = table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("word"))
+    """Which texts hold a whole benchmark item, without case."""
+    items = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("word"))
     found = X.match_rules(table(spark, d, "documents").select("doc_id", "text"), items)
     return found.select("doc_id", "item_id")
 

@@ -153,3 +153,13 @@ def test_streams(spark, tmp_path):
     rows = spark.readStream.schema("website_key string, cached_at timestamp, data string").parquet(str(tmp_path / "c_in"))
     refresh.cache_writer(rows, str(tmp_path / "cache"), str(tmp_path / "ck")).start().awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
+
+
+def test_grounded_items_are_whole(spark, tmp_path):
+    from rosterlens.plans import catalogue
+
+    item = "The opening of an item that is longer than forty characters, and its end"
+    texts = [f"It says: {item.upper()}.", f"It says: {item[:60]}", item[:40], None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, item), (8, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(r) for r in catalogue.grounded_items(spark, str(tmp_path)).collect()] == [(0, 7)]
