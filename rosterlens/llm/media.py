@@ -274,23 +274,25 @@ def samples(content: bytes, track: Track) -> bytes:
     return b"".join(out)
 
 
-_COLUMNS = "struct<codec: string, handler: string, timescale: long, duration_s: double, n_samples: long, keyframes: array<struct<offset: long, size: long>>, error: string>"
+_TRACK = "codec: string, handler: string, timescale: long, duration_s: double, n_samples: long, keyframes: array<struct<offset: long, size: long>>"
+_COLUMNS = f"struct<{_TRACK}, error: string, tracks: array<struct<{_TRACK}>>>"
 
 
 def media_columns(df: DataFrame, content_col: str = "content", out_col: str = "media") -> DataFrame:
-    """``df`` and a struct of the first track's codec, duration and keyframe byte ranges."""
+    """``df`` and a struct of codec, duration and keyframe byte ranges: the first track's, and those of all in ``tracks``."""
     import pandas as pd
 
     def probed(column: pd.Series) -> pd.DataFrame:
-        names = ["codec", "handler", "timescale", "duration_s", "n_samples", "keyframes", "error"]
+        names = ["codec", "handler", "timescale", "duration_s", "n_samples", "keyframes"]
         rows = []
         for content in column:
             try:
-                t = probe(bytes(content) if content is not None else b"")[0]
-                rows.append((t.codec, t.handler, t.timescale, t.seconds, len(t.sizes), [{"offset": o, "size": s} for o, s in t.keyframes()], None))
+                tracks = probe(bytes(content) if content is not None else b"")
+                every = [(t.codec, t.handler, t.timescale, t.seconds, len(t.sizes), [{"offset": o, "size": s} for o, s in t.keyframes()]) for t in tracks]
+                rows.append((*every[0], None, [dict(zip(names, t, strict=True)) for t in every]))
             except ValueError as e:
-                rows.append((None,) * 6 + (str(e),))
-        return pd.DataFrame(rows, columns=names)
+                rows.append((None,) * 6 + (str(e), None))
+        return pd.DataFrame(rows, columns=[*names, "error", "tracks"])
 
     return df.withColumn(out_col, F.pandas_udf(probed, _COLUMNS, F.PandasUDFType.SCALAR)(F.col(content_col)))
 

@@ -180,6 +180,19 @@ def test_media_columns(docs, empty):
     assert media.read_back(media.stored_texts(empty)).count() == 0
 
 
+def test_media_columns_have_every_track(spark):
+    import struct
+
+    def trak(number, handler, codec):
+        full, box = media._full, media._box
+        return box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, number)), box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 1000 * number, 2000)), full(b"hdlr", bytes(4), handler), box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))), full(b"stsz", struct.pack(">II", 0, 0)), full(b"stco", struct.pack(">I", 0)), full(b"stsc", struct.pack(">I", 0))))))
+
+    content = media._box(b"moov", trak(1, b"soun", b"mp4a"), trak(2, b"vide", b"avc1"))
+    got = media.media_columns(spark.createDataFrame([(content,), (None,)], "content binary")).select("media.*").collect()
+    assert [(t["handler"], t["codec"], t["timescale"]) for t in got[0]["tracks"]] == [("soun", "mp4a", 1000), ("vide", "avc1", 2000)]
+    assert got[0]["codec"] == "mp4a" and got[0]["error"] is None and got[1]["error"] and got[1]["tracks"] is None
+
+
 def test_token_shards(docs, spark, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
