@@ -13,6 +13,7 @@ Null labels count for nothing; a page labelled more than once counts once for ea
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,9 +36,9 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
-    two = "|".join(x.replace(".", r"\.") for x in TWO_LABEL_SUFFIXES)
-    return F.coalesce(F.nullif(F.regexp_extract(host, rf"([^.]+\.(?:{two}|[^.]+))$", 1), F.lit("")), host)
+def registered_domain(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    two = "".join(re.escape(x) + "|" for x in sorted(suffixes, key=len, reverse=True))
+    return F.coalesce(F.nullif(F.regexp_extract(host, rf"([^.]+\.(?:{two}[^.]+))$", 1), F.lit("")), host)
 
 
 def suffix_of(domain: Column) -> Column:
@@ -79,17 +80,18 @@ def judge(
     url_col: str = "url",
     threshold: float = THRESHOLD,
     z: float = Z,
+    shared_suffixes: Sequence[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """Verdict on every page.
 
     ``outcomes`` has ``page_id`` and ``bad`` (boolean). ``rules`` are pairs of action and
-    ``host/path``. Columns: page_id, host, path, rule, verdict, n_labelled, bad_mean, bad_low.
+    ``host/path``; ``shared_suffixes`` are those of several labels under which names are registered. Columns: page_id, host, path, rule, verdict, n_labelled, bad_mean, bad_low.
     """
     url = F.col(url_col)
     pages = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     marks = outcomes.filter("bad is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
     hosts = pages.select("page_id", "host").join(marks, "page_id").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
+    hosts = hosts.withColumn("domain", registered_domain(F.col("host"), shared_suffixes)).withColumn("suffix", suffix_of(F.col("domain")))
     hosts = stored(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -101,7 +103,7 @@ def judge(
 
     suffixes = suffixes.select("suffix", shrunk(F.lit(rate), k_suffix).alias("suffix_mean"))
     domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("suffix_mean"), k_domain).alias("domain_mean"), "suffix_mean")
-    every = pages.select("host").distinct().withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
+    every = pages.select("host").distinct().withColumn("domain", registered_domain(F.col("host"), shared_suffixes)).withColumn("suffix", suffix_of(F.col("domain")))
     table = (
         every.join(hosts.select("host", "n", "bad"), "host", "left")
         .join(domains.select("domain", "domain_mean"), "domain", "left")

@@ -254,6 +254,14 @@ def test_host_reputation(spark):
     assert host_reputation.judge(pages.filter("false"), bad.filter("false"), rules).count() == 0
 
 
+def test_host_reputation_takes_suffixes(spark):
+    pages = spark.createDataFrame([(i, f"http://{h}/p{i}") for i, h in enumerate(["spam.co.nz", "fine.co.nz"] * 100 + ["new.spam.co.nz", "new.fine.co.nz"])], "page_id long, url string")
+    marks = spark.createDataFrame([(i, i % 2 == 0) for i in range(200)], "page_id long, bad boolean")
+    mean = lambda **more: [r["bad_mean"] for r in host_reputation.judge(pages, marks, (), **more).filter("page_id >= 200").orderBy("page_id").collect()]
+    pooled, apart = mean(), mean(shared_suffixes=("co.nz",))
+    assert pooled[0] == pooled[1] and apart[0] > 0.8 and apart[1] < 0.2
+
+
 def labelled(spark, n=400):
     rng = np.random.default_rng(4)
     plain = ["house", "river", "garden", "window", "letter", "winter", "summer", "orange", "silver", "travel"]
