@@ -1,17 +1,17 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with the weights of a backoff automaton of order two, in closed form.
 
-States are the root and one state per known word; an arc (v, w) exists for every bigram
-seen in training and weighs ``log10((1-e_v) c(vw)/c(v) + e_v p(w))``; the failure arc of v
-leads to the root at ``log10 e_v``, where w's own arc weighs ``log10 p(w)``. The text is
-read once from left to right: the state after a token is that token (the root after an
-unknown one), and weights add up. Escape masses ``e`` are Good-Turing estimates (the share
-of bigrams seen once) per power of two of the context's count; the root's unknown-word arc
-gets the share of words seen once. Every distribution sums to one over the known words,
-the end and one unknown.
+The automaton isn't built: each position gets the weight that its path would add. States
+are the root and one state per known word; an arc (v, w) exists for every bigram seen in
+training and weighs ``log10((1-e_v) c(vw)/c(v) + e_v p(w))``; the failure arc of v leads to
+the root at ``log10 e_v``, where w's own arc weighs ``log10 p(w)``. The state after a token
+is that token (the root after an unknown one), and weights add up. Escape masses ``e`` are
+Good-Turing estimates (the share of bigrams seen once) per power of two of the context's
+count; the root's unknown-word arc gets the share of words seen once. Every distribution
+sums to one over the known words, the end and one unknown.
 
 Counts cover all training documents. They never meet in one place: blocks exchange their
 distinct word and bigram keys by hash range (``blocks.exchange``), so each block gets just
-the arcs that its own texts can follow, builds that part of the automaton and walks it.
+the arcs that its own texts can follow.
 
 Null and empty texts are the end token alone. Repeated rows count as often as they occur.
 Documents whose id is null hash as the text of no id (crc32 of "") and are scored too.
