@@ -6,12 +6,16 @@ pieces). Forward filtering sums the weights of all paths to each node; backward
 draws a path from the end, each arc with its posterior share. Draws come from a hash of the
 row's key and the place in the text, so a segmentation is the same on every run, however
 rows are dealt. Pieces neither hold an inner space nor a line end, so the lattice falls
-into independent words; each distinct word is filtered once per worker, and sampling runs
-over all words of a block at once. No normalisation: decoding gives back the bytes.
+into independent words; each distinct word is filtered once per worker. A walk down the
+vocabulary's trie from all bytes of the new words at once finds the arcs, and filtering and
+sampling run over all words of a block. No normalisation: decoding gives back the bytes.
 
 Weights are ``-theta * log(rank + 2)``, the rank being that of the piece's merge. Null and
 empty texts have no pieces; a null id draws as the key 0. Equal ids with equal texts get
-equal pieces. The model file is a parameter and is never trained or copied.
+equal pieces; repeated rows are encoded each, and an empty table gives no rows. Only the id
+and text columns are read; others may have any name. With the exponent of 1, the ranks' Zipf
+law, samples are finer than the likeliest path, as wanted for regularisation; a larger
+``theta`` brings them nearer to it. The model file is a parameter and is never trained or copied.
 """
 
 from __future__ import annotations
@@ -24,19 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .blocks import U64, Block, ids_out, mix, prefix_hash, span_hash, streamed
+from .shared import named
 
 THETA = 1.0
 CACHE_ARCS = 4_000_000
-#: Words of more bytes are filtered one by one in logarithms; shorter ones with weights scaled per byte.
-LONG = 40
-SCALE = 8.0
+#: Words of more bytes are filtered and sampled one by one; the others all at once, byte by byte.
+LONG = 256
+#: Added to a draw's counter for each step. Fixed value.
+STEP = 0x9E3779B97F4A7C15
 
 
 class Lattices:
-    """The vocabulary, and sampled-from arcs of the words met so far."""
+    """The vocabulary as a trie, and the arcs of the words met so far with their posterior shares."""
 
     def __init__(self, model_path: str, theta: float = THETA):
         import sentencepiece
@@ -45,7 +50,7 @@ class Lattices:
         n = model.get_piece_size()
         self.bytes_of: list[bytes] = [b""] * n
         self.byte_id = np.full(256, -1, np.int64)
-        self.arc_of: dict[bytes, tuple[int, float]] = {}
+        own: dict[bytes, tuple[int, float]] = {}
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -53,143 +58,180 @@ class Lattices:
                 self.bytes_of[i], self.byte_id[value] = bytes([value]), i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.bytes_of[i] = piece.replace("▁", " ").encode()
-                self.arc_of.setdefault(self.bytes_of[i], (i, -theta * math.log(2 + max(0.0, -model.get_score(i)))))
+                own.setdefault(self.bytes_of[i], (i, -theta * math.log(2 + max(0.0, -model.get_score(i)))))
         if (self.byte_id < 0).any():
             raise ValueError("the model has no byte pieces, so decoding couldn't be lossless")
         self.byte_weight = -1.5 * theta * math.log(n + 2)
-        self.prefixes = {p[:k] for p in self.arc_of for k in range(1, len(p) + 1)}
-        self.in_words = not any(b" " in p.lstrip(b" ") or b"\n" in p for p in self.arc_of)
+        self.in_words = not any(b" " in p.lstrip(b" ") or b"\n" in p for p in own)
         self.lens = np.array([len(x) for x in self.bytes_of], np.int64)
         self.at = np.cumsum(self.lens) - self.lens
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        keys = span_hash(prefix_hash(self.flat), self.at, self.at + self.lens)
-        normal = np.array([self.arc_of.get(x, (-1,))[0] == i for i, x in enumerate(self.bytes_of)])
-        own = np.flatnonzero(normal)
-        own = own[np.argsort(keys[own])]
-        self.keys, self.key_id = keys[own], own
-        self.key_scaled = np.exp([self.arc_of[self.bytes_of[i]][1] for i in own])
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.keys >> U64(44)] = True
-        self.longest = int(self.lens[own].max())
+        self._plant(own)
         self.reset()
 
+    def _plant(self, own: dict[bytes, tuple[int, float]]) -> None:
+        """A trie over the pieces: sorted keys (state, byte), the state each leads to, and the piece of each state."""
+        child: dict[int, int] = {}
+        piece, weight = [-1], [0.0]
+        for text, (i, w) in own.items():
+            state = 0
+            for c in text:
+                key = state << 8 | c
+                state = child.setdefault(key, len(piece))
+                if state == len(piece):
+                    piece.append(-1)
+                    weight.append(0.0)
+            piece[state], weight[state] = i, w
+        self.edges = np.array(sorted(child), np.int64)
+        self.leads = np.array([child[k] for k in self.edges.tolist()], np.int64)
+        self.piece, self.weight = np.array(piece, np.int64), np.array(weight)
+
     def reset(self) -> None:
         self.words = np.zeros(0, U64)
         self.ends = np.zeros(0, np.int64)  # the last node of each word
-        self.nodes = 0
+        self.into = np.zeros(0, np.int64)  # the first arc into each node
         self.cum, self.ids, self.logp = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.float32)
 
-    def _filter(self, word: bytes, node: int, cum: list[float], ids: list[int], logp: list[float]) -> None:
-        """Forward filtering: the arcs into each node with their cumulated posterior shares."""
-        n = len(word)
-        into: list[list[tuple[float, int]]] = [[] for _ in range(n + 1)]
-        alpha = [0.0] * (n + 1)
-        arc_of, prefixes = self.arc_of, self.prefixes
-        for i in range(n + 1):
-            if i:
-                arcs = into[i]
-                if not arcs:
-                    alpha[i] = -math.inf
-                    continue
-                top = max(a for a, _ in arcs)
-                total = sum(math.exp(a - top) for a, _ in arcs)
-                alpha[i] = here = top + math.log(total)
-                run = 0.0
-                for a, k in arcs:
-                    share = math.exp(a - here)
-                    run += share
-                    cum.append(node + i + run)
-                    ids.append(k)
-                    logp.append(a - here)
-                cum[-1] = node + i + 1.0
-            if i == n:
-                break
-            base = alpha[i]
-            first = word[i]
-            width = 1 if first < 0xC0 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-            covered = word[i : i + width] in arc_of and 0x80 > first or (first >= 0xC0 and word[i : i + width] in arc_of)
-            j = i + 1
-            while j <= n and (part := word[i:j]) in prefixes:
-                if (hit := arc_of.get(part)) is not None:
-                    into[j].append((base + hit[1], hit[0]))
-                j += 1
-            if not covered:
-                into[i + 1].append((base + self.byte_weight, int(self.byte_id[first])))
-
-    def _filter_many(self, words: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward filtering of words of one length (rows of bytes) at once; arcs in order of node."""
-        n, width = words.shape
-        prefix = prefix_hash(words.ravel())
-        base = np.arange(n) * width
-
-        def arc(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-            h = span_hash(prefix, base + i, base + j)
-            some = np.flatnonzero(self.maybe[h >> U64(44)])
-            at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
-            hit = self.keys[at] == h[some]
-            some, at = some[hit], at[hit]
-            weight, piece = np.zeros(n), np.zeros(n, np.int64)
-            weight[some] = self.key_scaled[at] * math.exp(SCALE * (j - i))
-            piece[some] = self.key_id[at]
-            return weight, piece
-
-        covered = np.zeros((n, width), bool)
-        for i in range(width):
-            first = words[:, i]
-            for size, low, high in ((1, 0, 0x80), (2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
-                lead = (first >= low) & (first < high)
-                if i + size <= width and lead.any():
-                    covered[lead, i] = arc(i, i + size)[0][lead] > 0
-            if i:
-                inner = (first >= 0x80) & (first < 0xC0)
-                covered[inner, i] = covered[inner, i - 1]
-        alpha = np.zeros((n, width + 1))
-        alpha[:, 0] = 1.0
-        shares, ids, cums = [], [], []
-        byte_weight = math.exp(self.byte_weight + SCALE)
-        for j in range(1, width + 1):
-            at = []
-            for i in range(max(0, j - self.longest), j):
-                w, k = arc(i, j)
-                at.append((alpha[:, i] * w, k))
-            at.append((alpha[:, j - 1] * np.where(covered[:, j - 1], 0.0, byte_weight), self.byte_id[words[:, j - 1]]))
-            a = np.column_stack([x for x, _ in at])
-            alpha[:, j] = total = a.sum(1)
-            share = a / np.where(total > 0, total, 1.0)[:, None]
-            cum = np.cumsum(share, 1)
-            cum[cum > 1 - 1e-12] = 1.0
-            shares.append(share)
-            ids.append(np.column_stack([k for _, k in at]))
-            cums.append(cum + (nodes + j)[:, None])
-        share, idx, cum = np.hstack(shares), np.hstack(ids), np.hstack(cums)
-        keep = share > 0
-        return cum[keep], idx[keep], np.log(share[keep])
+    def _arcs(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length, piece and log-weight of all arcs; ``ends`` has the end of each position's word."""
+        at, state = np.arange(len(data)), np.zeros(len(data), np.int64)
+        covered = np.zeros(len(data), bool)
+        found = []
+        size = 0
+        while len(at):
+            key = state << 8 | data[at + size]
+            place = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            live = self.edges[place] == key
+            at, state = at[live], self.leads[place[live]]
+            size += 1
+            hit = self.piece[state] >= 0
+            begin, node = at[hit], state[hit]
+            found.append((begin, np.full(len(begin), size), self.piece[node], self.weight[node]))
+            if size <= 4:
+                first = data[begin]
+                width = 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0).astype(int)
+                for k in range(size):
+                    covered[begin[(width == size) & ~((first >= 0x80) & (first < 0xC0))] + k] = True
+            live = at + size < ends[at]
+            at, state = at[live], state[live]
+        bare = np.flatnonzero(~covered)
+        found.append((bare, np.ones(len(bare), np.int64), self.byte_id[data[bare]], np.full(len(bare), self.byte_weight)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Forward filtering of new words: a node for each byte and one more, arcs by node with cumulated shares."""
         size = np.array([len(w) for w in words])
-        by_size = np.argsort(size, kind="stable")
-        ends = np.empty(len(words), np.int64)
-        got: list[tuple] = []
-        edges = np.append(np.flatnonzero(np.diff(size[by_size], prepend=-1)), len(words))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            width = int(size[by_size[lo]])
-            for at in range(lo, hi, 2048):
-                some = by_size[at : min(at + 2048, hi)]
-                nodes = self.nodes + np.arange(len(some)) * (width + 1)
-                ends[some] = nodes + width
-                self.nodes += len(some) * (width + 1)
-                if width <= LONG:
-                    rows = np.frombuffer(b"".join([words[k] for k in some]), np.uint8).reshape(-1, width)
-                    got.append(self._filter_many(rows, nodes))
-                else:
-                    cum, ids, logp = [], [], []
-                    for k, node in zip(some.tolist(), nodes.tolist(), strict=True):
-                        self._filter(words[k], node, cum, ids, logp)
-                    got.append((np.array(cum), np.array(ids), np.array(logp)))
-        self.cum, self.ids, self.logp = (np.concatenate([a, *b]).astype(a.dtype) for a, b in zip((self.cum, self.ids, self.logp), zip(*got, strict=True), strict=True))
-        at = np.concatenate([self.words, hashes])
-        order = np.argsort(at)
-        self.words, self.ends = at[order], np.concatenate([self.ends, ends])[order]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        stop = np.cumsum(size)
+        word = np.repeat(np.arange(len(words)), size)
+        start, length, piece, weight = self._arcs(data, stop[word])
+        word = word[start]
+        source = start + word
+        depth = start - (stop - size)[word] + length
+        # Arcs in order of their end's place in the word, short words before long ones; ends of all words advance together.
+        long = size[word] > LONG
+        order = np.argsort(np.where(long, LONG + 1, depth) * (len(data) + len(words) + 1) + source + length, kind="stable")
+        source, length, piece, weight, depth, long = (x[order] for x in (source, length, piece, weight, depth, long))
+        target = source + length
+        new = np.ones(len(target), bool)
+        new[1:] = target[1:] != target[:-1]
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(target)))
+        alpha = np.zeros(len(data) + len(words))
+        step = np.searchsorted(np.where(long[first], LONG + 1, depth[first]), np.arange(1, LONG + 3))
+        for a, b in zip(step[:-1].tolist(), step[1:].tolist(), strict=True):
+            if a == b or long[first[a]]:
+                continue
+            lo, hi = first[a], first[b] if b < len(first) else len(target)
+            value = alpha[source[lo:hi]] + weight[lo:hi]
+            top = np.maximum.reduceat(value, first[a:b] - lo)
+            value = np.exp(value - np.repeat(top, many[a:b]))
+            alpha[target[first[a:b]]] = top + np.log(np.add.reduceat(value, first[a:b] - lo))
+        if long.any():
+            self._forward(alpha, source, target, weight, int(np.argmax(long)))
+        logp = alpha[source] + weight - alpha[target]
+        # The likeliest arc of each node comes first; the last one is taken by every draw that is left.
+        order = np.lexsort((-logp, target))
+        target, piece, logp = target[order], piece[order], logp[order]
+        into = np.searchsorted(target, np.arange(len(data) + len(words)))
+        cum = np.cumsum(np.exp(logp))
+        cum -= np.concatenate([[0.0], cum])[into[target]]
+        cum[np.append(np.flatnonzero(np.diff(target)), len(target) - 1)] = 2.0
+        at = np.searchsorted(self.words, hashes)
+        self.words = np.insert(self.words, at, hashes)
+        self.ends = np.insert(self.ends, at, len(self.into) + stop + np.arange(len(words)))
+        self.into = np.concatenate([self.into, len(self.cum) + into])
+        self.cum, self.ids, self.logp = np.concatenate([self.cum, cum]), np.concatenate([self.ids, piece.astype(np.int32)]), np.concatenate([self.logp, logp.astype(np.float32)])
+
+    @staticmethod
+    def _forward(alpha: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray, at: int) -> None:
+        """Arcs from ``at`` on, in order of their target, one after another."""
+        base = int(target[at:].min()) - 1
+        have = alpha[base:].tolist()
+        seen, values = -1, []
+
+        def close() -> None:
+            top = max(values)
+            have[seen - base] = top + math.log(sum(math.exp(v - top) for v in values))
+
+        for s, t, w in zip(source[at:].tolist(), target[at:].tolist(), weight[at:].tolist(), strict=True):
+            if t != seen:
+                if values:
+                    close()
+                seen, values = t, []
+            values.append(have[s - base] + w)
+        close()
+        alpha[base:] = have
+
+    def _sample_one(self, node: int, left: int, seed: np.uint64) -> list[int]:
+        """Arcs of a path through one long word, from its end."""
+        low = node - left
+        lo = int(self.into[low])
+        hi = int(self.into[node + 1]) if node + 1 < len(self.into) else len(self.cum)
+        into, cum, size = self.into[low : node + 1].tolist(), self.cum[lo:hi].tolist(), self.lens[self.ids[lo:hi]].tolist()
+        draws = _uniform(seed + np.arange(1, left + 1).astype(U64) * U64(STEP)).tolist()
+        out, at, k = [], left, 0
+        while at:
+            arc = into[at] - lo
+            while cum[arc] <= draws[k]:
+                arc += 1
+            out.append(arc + lo)
+            at -= size[arc]
+            k += 1
+        return out
+
+    def _sample(self, node: np.ndarray, left: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words and arcs of a path through each word, in reading order."""
+        who, arcs, turn = [], [], []
+        for w in np.flatnonzero(left > LONG).tolist():
+            path = np.array(self._sample_one(int(node[w]), int(left[w]), seed[w]), np.int64)
+            who.append(np.full(len(path), w))
+            arcs.append(path)
+            turn.append(np.arange(len(path)))
+        live = np.flatnonzero(left <= LONG)
+        node, left, seed = node[live], left[live], seed[live]
+        k = 0
+        while len(live):
+            seed = seed + U64(STEP)
+            u = _uniform(seed)
+            arc = self.into[node]
+            wait = np.flatnonzero(self.cum[arc] <= u)
+            while len(wait):
+                arc[wait] += 1
+                wait = wait[self.cum[arc[wait]] <= u[wait]]
+            who.append(live)
+            arcs.append(arc)
+            turn.append(np.full(len(live), k))
+            size = self.lens[self.ids[arc]]
+            left = left - size
+            keep = left > 0
+            live, node, left, seed = live[keep], (node - size)[keep], left[keep], seed[keep]
+            k += 1
+        who, arcs, turn = (np.concatenate(x) for x in (who, arcs, turn))
+        count = np.bincount(who, minlength=int(who.max()) + 1)
+        out = np.empty(len(arcs), np.int64)
+        out[np.cumsum(count)[who] - 1 - turn] = arcs
+        return count, out
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece ids of all texts, one after another; how many each has; their log-probabilities."""
@@ -214,32 +256,12 @@ class Lattices:
             raw = data.tobytes()
             self.learn(uniq[fresh], [raw[a:b] for a, b in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)])
             at = np.searchsorted(self.words, uniq)
-        node = self.ends[at][where]
-        left = end - start
         order = np.arange(len(start)) - np.searchsorted(doc, np.arange(n_docs))[doc]
         key = np.where(block.ids == np.iinfo(np.int64).max, 0, block.ids).astype(np.int64).view(U64)
-        seed = mix(mix(key)[doc] + order.astype(U64) * U64(0x9E3779B97F4A7C15))
-        live = np.arange(len(start))
-        steps, total = [], np.zeros(n_docs)
-        while len(live):
-            seed = mix(seed)
-            u = (seed >> U64(11)).astype(float) * 2.0**-53
-            arc = np.searchsorted(self.cum, node + u, "right")
-            piece = self.ids[arc]
-            steps.append((live, piece))
-            total += np.bincount(doc[live], self.logp[arc], n_docs)
-            size = self.lens[piece]
-            node, left = node - size, left - size
-            keep = left > 0
-            live, node, left, seed = live[keep], node[keep], left[keep], seed[keep]
-        count = np.zeros(len(start), np.int64)
-        for who, _ in steps:
-            count[who] += 1
-        begin = np.cumsum(count) - count
-        out = np.empty(count.sum(), np.int64)
-        for k, (who, piece) in enumerate(steps):
-            out[begin[who] + count[who] - 1 - k] = piece
-        return out, np.bincount(doc, count, n_docs).astype(np.int64), total
+        seed = mix(mix(key)[doc] + order.astype(U64) * U64(STEP))
+        count, arc = self._sample(self.ends[at][where], end - start, seed)
+        of = np.repeat(doc, count)
+        return self.ids[arc].astype(np.int64), np.bincount(of, minlength=n_docs).astype(np.int64), np.bincount(of, self.logp[arc], n_docs)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of pieces one after another."""
@@ -248,6 +270,11 @@ class Lattices:
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[ids] - (ends - size), size)]
 
 
+def _uniform(counter: np.ndarray) -> np.ndarray:
+    """Draws in [0, 1) from counters."""
+    return (mix(counter) >> U64(11)).astype(float) * 2.0**-53
+
+
 _kept: dict[tuple[str, float], Lattices] = {}
 
 
@@ -288,7 +315,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean, log_prob double" + ", ids array<int>" * with_ids
     return source.mapInArrow(apply, schema)
 

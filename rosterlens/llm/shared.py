@@ -7,7 +7,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, whatever characters that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -176,6 +176,7 @@ def test_lattice_samples_the_posterior_and_decodes():
     assert model.decode(ids).tobytes() == odd.data.tobytes()
     again, _, _ = model.encode(odd)
     assert (ids == again).all()
+    pieces = {model.bytes_of[k]: (k, float(w)) for k, w in zip(model.piece.tolist(), model.weight, strict=True) if k >= 0}
     word, n = " thation", 8000
     ids, count, _ = model.encode(block([word] * n))
     seen = Counter(tuple(x) for x in np.split(ids, np.cumsum(count)[:-1]))
@@ -185,18 +186,32 @@ def test_lattice_samples_the_posterior_and_decodes():
         if i == len(word):
             paths[tuple(path)] = weight
         for j in range(i + 1, len(word) + 1):
-            if hit := model.arc_of.get(word[i:j].encode()):
+            if hit := pieces.get(word[i:j].encode()):
                 walk(j, [*path, hit[0]], weight + hit[1])
 
     walk(0, [], 0.0)
     total = sum(map(math.exp, paths.values()))
     for path, w in paths.items():
         assert abs(seen[path] / n - math.exp(w) / total) < 0.03
-    # The one-by-one filter of long words agrees with the other.
-    cum, arcs, logp = [], [], []
-    model._filter(word.encode(), 0, cum, arcs, logp)
-    many = model._filter_many(np.frombuffer(word.encode(), np.uint8).reshape(1, -1), np.zeros(1, np.int64))
-    assert np.allclose(sorted(logp), sorted(many[2])) and sorted(arcs) == sorted(many[1].tolist())
+    # Long words, filtered and sampled one by one, agree with the others.
+    text = block(["thé nation 日本 x" * 9, "<" * 250])
+    short = model.encode(text)
+    before = P.LONG
+    try:
+        P.LONG = 3
+        other = P.Lattices(public.path("piece_bpe_32k.model"))
+        assert all(np.allclose(a, b) for a, b in zip(other.encode(text), short, strict=True))
+    finally:
+        P.LONG = before
+    # Draws next to one stay within their node, however many nodes there are.
+    many = P.Lattices(public.path("piece_bpe_32k.model"))
+    many.encode(block([" ".join(f"w{i:x}" for i in range(40000))]))
+    draw, P._uniform = P._uniform, lambda counter: np.full(np.shape(counter), 1 - 2.0**-53)
+    try:
+        assert len(many.into) > 200000
+        assert many.decode(many.encode(odd)[0]).tobytes() == odd.data.tobytes()
+    finally:
+        P._uniform = draw
 
 
 def test_kernel_counts_gapped_subsequences():
