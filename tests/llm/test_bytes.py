@@ -118,23 +118,44 @@ def test_media_fragments_and_sync():
 
 
 def test_index_is_minimal_and_perfect():
-    for n in (0, 1, 2, 3, 10, 700):
+    for n in (0, 1, 2, 3, 10, 700, 60_000):
         keys = np.unique(np.random.default_rng(n).integers(-(2**60), 2**60, n))
-        shard = K.Shard(K.shard_bytes(keys, np.ones(len(keys), np.int64), [np.arange(len(keys), dtype=np.uint32)]))
+        shard = K.WholeShard(K.shard_bytes(keys, np.ones(len(keys), np.int64), [np.arange(len(keys), dtype=np.uint32)]))
         first, times = shard.find(keys)
         assert first.tolist() == list(range(len(keys))) and (times == 1).all()
         assert shard.n_keys == len(keys) and shard.find(keys + 1)[1].sum() == 0
 
 
+def test_keyed_reads_are_bounded():
+    keys, sizes = np.repeat(np.arange(0, 40_000, 2), 1), np.random.default_rng(3).integers(1, 9, 20_000)
+    keys[101] = keys[100]
+    ids = [np.full(s, k, np.uint32) for k, s in zip(range(20_000), sizes.tolist(), strict=True)]
+    content, reads = K.shard_bytes(keys, sizes, ids), []
+
+    def read(at, size):
+        reads.append(size)
+        return content[at : at + size]
+
+    shard = K.Shard(read)
+    for place in (0, 100, 7000, 19_999):
+        reads.clear()
+        own = [place, 101] if place == 100 else [place]
+        assert [x.tolist() for x in shard.get(int(keys[place]))] == [ids[p].tolist() for p in own]
+        assert len(reads) <= 6 + len(own) and sum(reads) < 100 + 4 * int(sizes[own].sum())
+    assert shard.get(1) == [] and shard.get(10**12) == []
+
+
 def test_pieces_like_the_library():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     path = public.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     rng, letters = random.Random(5), "ab'sldvet reRE  \n\t'!?.,12é日ß \u3000🙂|%٣Ⅷ²\r"
+    odd = [chr(c) for c in (*range(0x80), *(rng.randrange(0x80, 0xD800) for _ in range(3000)), *(rng.randrange(0xE000, 0x110000) for _ in range(1500)), 0x1C89, 0x1C8A, 0x85, 0xA0, 0x1680, 0x200B)]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["".join(rng.choice((rng.choice(letters), rng.choice(odd), "<|endoftext|>")[min(2, int(rng.expovariate(1)))]) for _ in range(rng.randint(0, 30))) for _ in range(10_000)]
+    texts += [a + b + c for a, b, c in zip(*(rng.sample(odd, len(odd)) for _ in range(3)), strict=True)]
     texts += ["it's they'll we've'd I'm 's 'still ''s 've'", "<|endoftext|> a", "  x  ", "a  \n b \n", None, ""]
     ids, count = K.PieceEncoder(path).encode(block(texts))
     parts = [p.tolist() for p in np.split(ids, np.cumsum(count)[:-1])]
