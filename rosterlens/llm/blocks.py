@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, work_path
+from .shared import named, stored, work_path
 
 BLOCK_BYTES = 3 << 19
 BLOCK_DOCS = 1 << 16
@@ -223,8 +223,8 @@ class Blocks:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()):
         spark = self.spark = docs.sparkSession
         self.carry = list(carry)
-        others = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
-        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *others)
+        others = [named(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+        source = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"), *others)
         self.carry_kinds = [f.dataType.simpleString() for f in source.schema.fields[2:]]
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = int(min(max(width, input_bytes(source) // (64 << 20)), 100_000))
@@ -281,40 +281,54 @@ def unpack_keys(raw: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest needs, which the first byte tells."""
+    most = int(counts.max()) if len(counts) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(raw: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{memoryview(raw)[0]}", offset=1).astype(np.int64)
+
+
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
 
 
-_ASK = "r long, block long, keys binary, vals binary"
+_ASK = "r long, block long, keys binary, vals binary, own binary"
 _TOLD = "r long, block long, vals binary, stats array<long>"
 
 
 def exchange(
     blocks: Blocks,
     df: DataFrame,
-    ask: Callable[[Block], tuple[np.ndarray, np.ndarray]],
+    ask: Callable[[Block], tuple[np.ndarray, ...]],
     name: str,
     stats: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> tuple[DataFrame, list[int]]:
     """Totals over the corpus of what each block counts.
 
-    ``ask`` gives a block's sorted distinct 64-bit keys and a count for each. Returned:
-    ``(block, <name>)`` with the totals (32 bits, saturated) in pieces by range, to be
-    read by ``told``, and the sums of ``stats(keys, totals)`` over all ranges.
+    ``ask`` gives a block's sorted distinct 64-bit keys, a count for each, and possibly
+    statistics of what the block knows without asking. Returned: ``(block, <name>)`` with the
+    totals (63 bits) in pieces by range, to be read by ``told`` and ``elsewhere``, and the sums of
+    ``stats(keys, totals)`` over all ranges and of the blocks' own statistics.
     """
     ranges = blocks.ranges
 
     def emit(block: Block) -> Iterator[pa.RecordBatch]:
-        keys, vals = ask(block)
+        keys, vals, *own = ask(block)
+        own = own[0].astype("<i8").tobytes() if own and own[0].any() else None
         if not len(keys):
+            if own is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([block.key % ranges]), pa.array([block.key]), pa.array([b""], pa.binary()), pa.array([pack_counts(keys)], pa.binary()), pa.array([own], pa.binary())], ["r", "block", "keys", "vals", "own"])
             return
         r = range_of(keys, ranges)
         cut = np.flatnonzero(np.diff(r, prepend=-1))
         ends = np.append(cut[1:], len(keys))
-        vals = vals.astype("<u4")
         yield pa.RecordBatch.from_arrays(
-            [pa.array(r[cut]), pa.array(np.full(len(cut), block.key)), pa.array([pack_keys(keys[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([vals[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
-            ["r", "block", "keys", "vals"],
+            [pa.array(r[cut]), pa.array(np.full(len(cut), block.key)), pa.array([pack_keys(keys[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([pack_counts(vals[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([own] + [None] * (len(cut) - 1), pa.binary())],
+            ["r", "block", "keys", "vals", "own"],
         )
 
     def total(group: pa.Table) -> pa.Table:
@@ -322,16 +336,21 @@ def exchange(
         keys = [unpack_keys(x.as_buffer()) for x in group["keys"]]
         ends = np.cumsum([len(k) for k in keys])
         keys = np.concatenate(keys)
-        vals = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group["vals"]])
+        vals = np.concatenate([unpack_counts(x.as_buffer()) for x in group["vals"]])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        totals = np.add.reduceat(vals[order].astype(np.int64), cut)
-        back = np.empty(len(keys), "<u4")
-        back[order] = np.repeat(np.minimum(totals, 0xFFFFFFFF), np.diff(np.append(cut, len(keys))))
-        parts = [x.tobytes() for x in np.split(back, ends[:-1])]
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        totals = np.add.reduceat(vals[order], cut) if len(cut) else vals
+        back = np.empty(len(keys), np.int64)
+        # The last bit says whether more than one block has the key.
+        many = np.diff(np.append(cut, len(keys)))
+        back[order] = np.repeat(totals * 2 + (many > 1), many)
+        parts = [pack_counts(x) for x in np.split(back, ends[:-1])]
         n = len(parts)
         sums = stats(keys[cut], totals) if stats else np.zeros(0, np.int64)
+        for own in group["own"]:
+            if own.is_valid:
+                sums = sums + np.frombuffer(own.as_buffer(), "<i8")
         r = group["r"][0].as_py()
         return pa.table(
             [pa.array([r] * (n + 1), pa.int64()), pa.array([*group["block"].to_pylist(), -1], pa.int64()), pa.array([*parts, None], pa.binary()), pa.array([None] * n + [sums.tolist()], pa.list_(pa.int64()))],
@@ -349,10 +368,19 @@ def exchange(
 
 def told(value: pa.Scalar) -> np.ndarray:
     """The totals that ``exchange`` returned to a block, in the order of its keys."""
+    return _returned(value) >> 1
+
+
+def elsewhere(value: pa.Scalar) -> np.ndarray:
+    """Whether other blocks asked for a key too, in the order of a block's keys."""
+    return _returned(value) % 2 == 1
+
+
+def _returned(value: pa.Scalar) -> np.ndarray:
     if value is None or not value.is_valid:
         return np.zeros(0, np.int64)
     vals = value.values.field("vals")
-    return np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in vals] or [np.zeros(0, "<u4")]).astype(np.int64)
+    return np.concatenate([unpack_counts(x.as_buffer()) for x in vals] or [np.zeros(0, np.int64)])
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -363,8 +391,8 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
 
 
 
-def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Blocks of about BLOCK_BYTES straight from batches of (id, text, ...); ``extra`` has the slice."""
+def streamed(batches: Iterator[pa.RecordBatch], most: int = BLOCK_DOCS) -> Iterator[Block]:
+    """Blocks of about BLOCK_BYTES and up to ``most`` rows straight from batches of (id, text, ...); ``extra`` has the slice."""
     for b in batches:
         ids = int_ids(b.column(0))
         data, lens, valid = utf8_parts(b.column(1))
@@ -372,6 +400,6 @@ def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         at = 0
         while at < len(ids):
             base = int(ends[at - 1]) if at else 0
-            to = min(max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right"))), at + BLOCK_DOCS)
+            to = min(max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right"))), at + most)
             yield Block(0, ids[at:to], np.where(valid, lens, -1)[at:to], data[base : ends[to - 1]], {"rows": b.slice(at, to - at)})
             at = to
