@@ -26,7 +26,7 @@ URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
-    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "text_hash")
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "text_hash", "text_hash2")
 
 
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
