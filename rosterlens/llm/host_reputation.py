@@ -9,6 +9,9 @@ in a sort-merge join whose hot keys adaptive execution splits.
 
 A null url, or one without ``://``, has an empty host and path and is judged like any host.
 Null labels count for nothing; a page labelled more than once counts once for each row.
+Repeated pages are judged each; an empty table gives no rows, and without outcomes every
+host has the prior rate of one half and is allowed. Only the named columns are read; others
+may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import named, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which names are registered. Fixed values.
@@ -87,8 +90,8 @@ def judge(
     ``outcomes`` has ``page_id`` and ``bad`` (boolean). ``rules`` are pairs of action and
     ``host/path``; ``shared_suffixes`` are those of several labels under which names are registered. Columns: page_id, host, path, rule, verdict, n_labelled, bad_mean, bad_low.
     """
-    url = F.col(url_col)
-    pages = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    url = named(url_col)
+    pages = pages.select(named(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     marks = outcomes.filter("bad is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
     hosts = pages.select("page_id", "host").join(marks, "page_id").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"), shared_suffixes)).withColumn("suffix", suffix_of(F.col("domain")))

@@ -16,7 +16,9 @@ Documents with one shingle set form a class; links are between classes, found ex
    pairs of parts, in which only sets of different groups are compared.
 
 A text without words is linked with nothing. Null ids and texts, repeated rows and ids are
-allowed; a null id counts as larger than all others. Only id and text are read.
+allowed; a null id counts as larger than all others. Ties go to the smaller id, then to the
+earlier block. An empty table gives no rows. Only id and text are read; other columns may
+have any name.
 """
 
 from __future__ import annotations

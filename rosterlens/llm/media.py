@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import streamed
+from .shared import named
+
 FRAME = 192
 RATE = 8000
 #: Boxes that hold boxes, with the bytes before the first child. Fixed values of the format.
@@ -298,16 +301,19 @@ def media_columns(df: DataFrame, content_col: str = "content", out_col: str = "m
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and ``content``: each text as a container of 8-bit samples."""
+    """doc_id, n_bytes and ``content``: each text as a container of 8-bit samples.
+
+    A null text is stored as an empty one, a null id stays null, repeated rows are stored each,
+    and an empty table gives none. Only the two columns are read; others may have any name.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                raw = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([pack_pcm(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "content"])
+        for block in streamed(batches, 256):
+            part = block.extra["rows"]
+            raw = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([pack_pcm(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "content"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, "doc_id long, n_bytes long, content binary")
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")).mapInArrow(pack, "doc_id long, n_bytes long, content binary")
 
 
 def read_back(stored: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ log-densities, from Cholesky factors computed once, scaled on the training rows.
 Statistics are computed from the text alone. At most ``max_rows`` labelled rows, those of
 least hash of the id, are used for fitting. Null and empty texts have the statistics of no
 bytes and get a score like all others; without labelled rows of both classes each score
-is the share of class 1 (one half, if there is none).
+is the share of class 1 (one half, if there is none). Equal texts get equal scores, repeated
+rows and ids are scored each, and an empty table gives no rows. An id labelled more than
+once has the larger label; of an id with more than one text, the one of least hash is used
+for fitting. Other columns of either table aren't read and may have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SPACE, Block, ids_out, prefix_hash, span_hash, streamed, token_spans
+from .shared import named
 
 MAX_ROWS = 20_000
 SHRINK = 0.1
@@ -150,11 +154,13 @@ def fold(id_col: Column, modulus: int, remainder: int) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, modulus: int, remainder: int, most: int) -> DataFrame:
     """(id, text, label) of up to ``most`` labelled rows outside the held-out fold."""
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label is not null and id is not null")
+    marks = labels.select(named(id_col).alias("id"), named(label_col).cast("int").alias("label")).filter("label is not null and id is not null")
     marks = marks.filter(~fold(F.col("id"), modulus, remainder)).groupBy("id").agg(F.max("label").alias("label"))
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(marks), "id").select("id", "text", "label")
+    texts = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"))
+    # One row for each id, however often the table repeats it.
+    rows = texts.join(F.broadcast(marks), "id").groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return rows.select("id", "text", "label")
 
 
 def classify(
@@ -185,5 +191,5 @@ def classify(
             s = model.score(statistics(block))
             yield pa.RecordBatch.from_arrays([ids_out(block.ids), block.extra["rows"].column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), fold(F.col(id_col), modulus, remainder).alias("held_out"))
+    source = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"), fold(named(id_col), modulus, remainder).alias("held_out"))
     return source.mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")

@@ -16,7 +16,8 @@ one shard, without comparing shards pairwise. The steps:
    equal windows by binary search. One bit per window goes back to the block.
 
 Null and empty texts have no bytes. Rows that repeat an id don't count as smaller than each
-other; a null id is larger than every other. Ids and texts are the only columns read.
+other; a null id is larger than every other. An empty table gives no rows. Only the id and
+text columns are read; others may have any name.
 """
 
 from __future__ import annotations
@@ -255,12 +256,30 @@ def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False, keep_columns: Sequence[str] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
     """What is left of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     ``with_text`` adds ``text``, the kept bytes; there a character that a removed run cuts
-    through stays whole. A null text stays null. ``keep_columns`` adds columns of ``docs``.
+    through stays whole. A null text stays null.
     """
+    return _cut_docs(docs, id_col, text_col, span, with_text, ())
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, span: int = SPAN) -> DataFrame:
+    """``docs`` with what is left of its texts, without those of which nothing is left; all its columns, whatever their names.
+
+    ``length_col`` is the column that holds a text's characters, to be counted anew.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col, length_col)]
+    left = _cut_docs(docs, id_col, text_col, span, True, others).filter("n_bytes = 0 or n_removed < n_bytes")
+    back = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col(f"carry_{i}") for i, c in enumerate(others)}
+    if length_col is not None:
+        back[length_col] = F.length("text")
+    return left.select(*(back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def _cut_docs(docs: DataFrame, id_col: str, text_col: str, span: int, with_text: bool, keep_columns: Sequence[str]) -> DataFrame:
+    """``dedup`` with the columns of ``docs`` named in ``keep_columns`` as carry_0, carry_1 and so on."""
     if span < ANCHOR:
         raise ValueError(f"span must be at least {ANCHOR}")
     blocks = Blocks(docs, id_col, text_col, keep_columns)
@@ -383,5 +402,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
     schema += "".join(f", {n} {k}" for n, k in zip(others, blocks.carry_kinds, strict=True))
-    out = blocks.map(blocks.with_facts(copies, anchors, bits), keep, schema)
-    return out.select(*(c for c in out.columns if c not in others), *(F.col(n).alias(c) for n, c in zip(others, keep_columns, strict=True)))
+    return blocks.map(blocks.with_facts(copies, anchors, bits), keep, schema)

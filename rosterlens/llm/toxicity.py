@@ -14,7 +14,10 @@ squared hinge loss, trained on labelled texts, scores them through a logistic.
 
 Only texts are read for scores. At most ``max_rows`` labelled rows (of least hash of the id)
 are used for fitting; all words of all texts are scored. Null and empty texts have no
-likeness to anything. Without labels of both classes every score is the prior share.
+likeness to anything. Without labels of both classes every score is the prior share. Equal
+texts get equal scores, repeated rows and ids are scored each, and an empty table gives no
+rows. An id labelled more than once is toxic if any of its labels says so. Other columns of
+either table aren't read and may have any name.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .blocks import LOWER, SPACE, U64, Block, ids_out, prefix_hash, span_hash, streamed, token_spans
 from .quality import fold, training_rows
+from .shared import named, stored
 
 MAX_ROWS = 6000
 LANDMARKS = 40
@@ -365,10 +369,20 @@ def classify(
     remainder: int = 2,
     threshold: float = 0.3,
     max_rows: int = MAX_ROWS,
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Columns: doc_id, held_out, score, predicted, and those of ``docs`` named in ``keep``."""
-    machine = train(training_rows(docs, labels, label_col, id_col, text_col, modulus, remainder, max_rows))
+    """Columns: doc_id, held_out, score, predicted; a row for each of ``docs``, repeated ones too."""
+    return _judged(docs, labels, label_col, id_col, text_col, modulus, remainder, threshold, max_rows, ())
+
+
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows predicted as toxic; all its columns, whatever their names."""
+    judged = _judged(docs, labels, **({"label_col": "toxic", "modulus": 4, "remainder": 2, "threshold": 0.3, "max_rows": MAX_ROWS} | options), id_col=id_col, text_col=text_col, keep=tuple(docs.columns))
+    return judged.filter("predicted = 0").select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, modulus: int, remainder: int, threshold: float, max_rows: int, keep: tuple[str, ...]) -> DataFrame:
+    """``classify`` with the columns named in ``keep`` as kept_0, kept_1 and so on."""
+    machine = train(stored(training_rows(docs, labels, label_col, id_col, text_col, modulus, remainder, max_rows), "training"))
     names = [f"kept_{i}" for i in range(len(keep))]
     texts = [i for i, c in enumerate(keep) if c == text_col]
     others = [i for i, c in enumerate(keep) if c != text_col]
@@ -379,7 +393,6 @@ def classify(
             s = machine.score(machine.features(block))
             yield pa.RecordBatch.from_arrays([ids_out(block.ids), rows.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *(rows.column(1) for _ in texts), *(rows.column(3 + i) for i in range(len(others)))], ["doc_id", "held_out", "score", "predicted", *(names[i] for i in texts + others)])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), fold(F.col(id_col), modulus, remainder).alias("held_out"), *(F.col(keep[i]).alias(names[i]) for i in others))
+    source = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"), fold(named(id_col), modulus, remainder).alias("held_out"), *(named(keep[i]).alias(names[i]) for i in others))
     schema = "doc_id long, held_out boolean, score double, predicted int" + "".join(f", {names[i]} string" for i in texts) + "".join(f", {names[i]} {source.schema[names[i]].dataType.simpleString()}" for i in others)
-    out = source.mapInArrow(apply, schema)
-    return out.select("doc_id", "held_out", "score", "predicted", *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)))
+    return source.mapInArrow(apply, schema)
