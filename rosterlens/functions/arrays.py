@@ -35,6 +35,15 @@ def split_values(text: Column, pattern: str = ",") -> Column:
     return F.filter(F.transform(F.split(text, pattern), strip), lambda x: x != "")
 
 
+def as_list(value: Column, kind: str) -> Column:
+    """A list of stripped, non-empty strings from a column of type ``kind``: a list, or text with commas."""
+    from .text import strip
+
+    if kind.startswith("array"):
+        return F.filter(F.transform(F.coalesce(value.cast(STRINGS), strings(())), strip), lambda x: x != "")
+    return split_values(F.coalesce(value.cast("string"), F.lit("")))
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     """Whether any of the words is a substring."""
     words = list(words)

@@ -24,9 +24,9 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z0-9]+"), F.lit(0)), F.lower)
 
 
-def hash_vector(text: Column, size: int = SIZE) -> Column:
-    """Token counts by hash bucket; the same in every process."""
-    slots = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
+def hash_vector(text: Column, size: int = SIZE, slot: Callable[[Column], Column] = F.xxhash64) -> Column:
+    """Token counts by hash bucket; the same in every process. ``slot`` gives a token's hash."""
+    slots = F.transform(tokens(text), lambda t: F.pmod(slot(t), F.lit(size)).cast("int"))
 
     def count(ordered: Column) -> Column:
         n = F.size(ordered)

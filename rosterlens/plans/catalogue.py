@@ -20,6 +20,7 @@ from ..operators import score as S
 from ..operators import vectors as V
 from ..sources import sinks as K
 from . import service
+from .cases import CASES, profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -371,8 +372,7 @@ def conversation_merge(spark: SparkSession, d: str) -> DataFrame:
 @query
 def keyword_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles from the default lexicons."""
-    p = P.fallback_profile(table(spark, d, "documents").select("doc_id", "text"))
-    return p.select("doc_id", F.array_join("technologies", ",").alias("technologies"), F.array_join("products", ",").alias("products"), "industry", F.array_join("use_cases", ",").alias("use_cases"), "confidence")
+    return profile(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query
@@ -408,3 +408,6 @@ def rank_pipeline(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit("")
     pages = merged.select("website", "all", none.alias("products"), none.alias("services"), none.alias("specifications"), T.quality_flag(F.col("all")).alias("quality"))
     return ranking.rank_companies(roster, pages, lexicon=LEX, offline=True).select("ord", "company_name", "website", "score", "category", "industry", "confidence", "reason")
+
+
+QUERIES |= CASES

@@ -47,6 +47,12 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("score"), "ord")
 
 
+def _latest(rows: DataFrame, order: str | None) -> DataFrame:
+    """One row of each website: the last by ``order``, ties and no order by the values themselves."""
+    rows = rows.withColumn("__at", F.col(order) if order else F.lit(0))
+    return keep_last(rows, ["website"], "__at").drop("__at", *([order] if order else []))
+
+
 def outcomes(
     roster: DataFrame,
     pages: DataFrame,
@@ -54,15 +60,17 @@ def outcomes(
     lexicon: Mapping = S.LEXICON,
     offline: bool = False,
     target: str = L.TARGET,
+    order: str | None = None,
 ) -> DataFrame:
     """Every company of a roster: ranked attributes, or ``skip_reason``.
 
     ``roster``: ord, name, website. ``pages``: website, all, products, services,
-    specifications, quality (the last row of a website counts). ``extractor`` adds ``reply``
+    specifications, quality; of a website's rows the last by ``order`` counts (without an
+    order, the one of largest values). ``extractor`` adds ``reply``
     (a model's raw answer) to rows with ``text``; without one every profile comes from
     keywords. ``offline`` counts those as extracted, so that only weak confidence is penalised.
     """
-    pages = keep_last(pages.withColumn("__at", F.monotonically_increasing_id()), ["website"], "__at").drop("__at")
+    pages = _latest(pages, order)
     pages = pages.withColumnsRenamed({"products": "page_products", "services": "page_services"})
     joined = roster.join(pages, "website", "left")
     text = T.collapse(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in ("all", "page_products", "page_services", "specifications"))))
@@ -93,9 +101,12 @@ def rank_companies(roster: DataFrame, pages: DataFrame, **options) -> DataFrame:
     return in_order(outcomes(roster, pages, **options).filter("skip_reason is null")).withColumnRenamed("name", "company_name")
 
 
-def rank_profiles(roster: DataFrame, profiles: DataFrame, lexicon: Mapping = S.LEXICON) -> DataFrame:
-    """Rank a roster by profiles keyed by website; a company without one gets defaults. The last profile of a website counts."""
-    profiles = keep_last(profiles.withColumn("__at", F.monotonically_increasing_id()), ["website"], "__at").drop("__at")
+def rank_profiles(roster: DataFrame, profiles: DataFrame, lexicon: Mapping = S.LEXICON, order: str | None = None) -> DataFrame:
+    """Rank a roster by profiles keyed by website; a company without one gets defaults.
+
+    Of a website's profiles the last by ``order`` counts; without an order, the one of largest values.
+    """
+    profiles = _latest(profiles, order)
     have = set(profiles.columns)
     value = lambda v: strings(()) if v is strings else F.lit(v)
     profiles = profiles.withColumns({c: value(v) for c, v in DEFAULTS.items() if c not in have})

@@ -142,7 +142,7 @@ def oracles(test_rules, test_first, test_links) -> dict[str, str]:
         "left_join_defaults": "SELECT c_custkey, c_mktsegment, coalesce(n_orders, 0) AS n_orders, coalesce(spent, 0.0::DOUBLE) AS spent FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1) USING (c_custkey)",
         "semi_qualified": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
         "anti_unseen": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
-        "grounded_items": "SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(lower(coalesce(d.text, '')), lower(left(b.text, 40)))",
+        "grounded_items": "SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(lower(coalesce(d.text, '')), lower(b.text))",
         "last_write_wins": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "ttl_fresh": "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY 1",
         "call_metrics": "SELECT count(*) AS calls, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error') AS timeouts, count(*) FILTER (event_type = 'retry') AS retried, round(avg(value), 4) AS mean_seconds, round(100.0::DOUBLE * count(*) FILTER (event_type <> 'error') / count(*), 2) AS success_rate FROM events",
@@ -169,9 +169,9 @@ def oracles(test_rules, test_first, test_links) -> dict[str, str]:
 
 
 def _build() -> dict[str, str]:
-    from . import catalogue
+    from . import cases_sql, catalogue
 
-    return oracles(catalogue.TEST_RULES, catalogue.TEST_FIRST, catalogue.TEST_LINKS)
+    return oracles(catalogue.TEST_RULES, catalogue.TEST_FIRST, catalogue.TEST_LINKS) | cases_sql.oracles()
 
 
 ORACLES = _build()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.arrays import as_list
 from ..functions.text import blank_to_null, safe_text, strip
 from ..operators.roster import clean_roster, company_column
 
@@ -86,7 +87,8 @@ def results_from_json(table: DataFrame) -> DataFrame:
     have = set(table.columns)
     text = lambda c: blank_to_null(strip(F.col(c).cast("string"))) if c in have else F.lit(None).cast("string")
     number = lambda c, n: F.round(F.coalesce(F.col(c).cast("double") if c in have else F.lit(None).cast("double"), F.lit(0.0)), n)
-    items = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in have else F.array().cast("array<string>")
+    kinds = dict(table.dtypes)
+    items = lambda c: as_list(F.col(c), kinds[c]) if c in have else F.array().cast("array<string>")
     cols = [F.coalesce(text(c), F.lit(d)).alias("company_name" if c == "name" else c) for c, d in JSON_DEFAULTS.items()]
     cols += [F.coalesce(text(c), F.lit("")).alias(c) for c in ("website", "reason")] + [number("score", 2).alias("score"), number("confidence", 4).alias("confidence")]
     cols += [items(c).alias(c) for c in ("products", "services", "technologies", "use_cases", "recommended_products")]

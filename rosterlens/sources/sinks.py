@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,12 @@ from ..functions.arrays import split_values
 from ..functions.text import strip
 from .readers import CSV_COLUMNS
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rosterlens-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _PRODUCTS = "array<struct<name: string, specifications: string>>"
 JSON_COLUMNS = (
     "name", "website", "score", "category", "breakdown", "confidence", "industry", "products", "services", "technologies",
