@@ -6,14 +6,15 @@ Documents with one shingle set form a class; links are between classes, found ex
    occurs. In order of rarity, two sets of similarity t share one of the first
    ``n - ceil(t n) + 1`` shingles of each, so only those are indexed, and only where
    another class has them too. An index key also holds a band of set sizes.
-2. Each index group is a star around its least class; the stars' connected components
-   bring together whatever could be linked.
-3. In a component, sets hang in a signature tree whose nodes hold OR- (and AND-) combined
-   token bitmaps and size ranges. A first pass links sets to leaders; then the tree is
-   traversed against itself, dropping node pairs whose largest possible overlap is too
-   small or whose members are all connected already; what is left is compared in full.
-4. A component too large for one task is split: parts alone, then the parts' leaders, then
-   pairs of parts, in which only sets of different groups are compared.
+2. Each index group is a star around its least class, its hub. A connected component of
+   stars that is small enough is joined by one task; of a larger one, every hub's sets are,
+   so that components that chance words tie together cost no more than their stars.
+3. There, sets hang in a signature tree whose nodes hold OR- (and AND-) combined token
+   bitmaps and size ranges. The tree is traversed against itself, dropping node pairs whose
+   largest possible overlap is too small or whose members are all connected already; what is
+   left is compared in full.
+4. A hub with too many sets for one task is split: parts alone, then the parts' heads in
+   rounds, then the sets outside of the largest group against all others.
 
 A text without words is linked with nothing. Null ids and texts, repeated rows and ids are
 allowed; a null id counts as larger than all others. Ties go to the smaller id, then to the
@@ -28,15 +29,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LOWER, NULL_ID, SPACE, U64, Block, Blocks, carried, exchange, ids_out, mix, prefix_hash, span_hash, token_spans, told
 from .components import components
 from .shared import stored
 
+#: Sets and bytes of sets of a task that joins them.
 PART_BYTES = 12 << 20
-PART_SETS = 3000
+PART_SETS = 256
+#: Sets on each side of a task that compares groups.
+SIDE_SETS = 1000
 FANOUT = 8
 
 
@@ -127,26 +131,6 @@ class SignatureTree:
         both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
         return both * self.den >= self.num * (int(self.n[i]) + int(self.n[j]) - both)
 
-    def lead(self, links: Links) -> None:
-        """Link each set with the leader it may overlap most, or make it a leader."""
-        leaders = np.zeros(len(self.sets), np.int64)
-        k = 0
-        for i in range(len(self.sets)):
-            some = leaders[:k]
-            some = some[self.n[some] * self.den >= self.num * self.n[i]]
-            if len(some):
-                near = self.n[some] - np.bitwise_count(self.bits[some] & ~self.bits[i]).sum(1, dtype=np.int64)
-                near = np.minimum(near, self.n[i] - np.bitwise_count(self.bits[i] & ~self.bits[some]).sum(1, dtype=np.int64))
-                fit = near * (self.num + self.den) >= self.num * (self.n[some] + self.n[i])
-                order = np.flatnonzero(fit)
-                order = order[np.argsort(-near[order], kind="stable")][:4]
-                to = next((int(some[o]) for o in order if self.linked(i, int(some[o]))), None)
-                if to is not None:
-                    links.join(i, to)
-                    continue
-            leaders[k] = i
-            k += 1
-
     def join(self, links: Links) -> None:
         """Traverse the tree against itself until every link is within one root."""
         group = [links.roots()]
@@ -187,9 +171,7 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | No
     order = np.argsort([len(s) for s in sets], kind="stable")
     tree = SignatureTree([sets[i] for i in order], num, den)
     links = Links(len(sets))
-    if known is None:
-        tree.lead(links)
-    else:
+    if known is not None:
         first: dict[int, int] = {}
         for i, k in enumerate(known[order].tolist()):
             links.join(i, first.setdefault(k, i))
@@ -299,11 +281,17 @@ def resolved(blocks: Blocks, words: int, num: int, den: int) -> DataFrame:
 
     entries = stored(blocks.map(blocks.with_facts(chosen, df), index, "token long, band int, cid long"), "index")
     hubs = entries.groupBy("token", "band").agg(F.min("cid").alias("v"), F.max("cid").alias("most")).filter("v < most")
-    edges = entries.withColumnRenamed("cid", "u").join(hubs, ["token", "band"]).filter("u <> v").select("u", "v").distinct()
+    edges = stored(entries.withColumnRenamed("cid", "u").join(hubs, ["token", "band"]).filter("u <> v").select("u", "v").distinct(), "stars")
     near = stored(components(edges, "candidates").select(F.col("node").alias("cid"), F.col("root").alias("comp")), "near")
-    size = near.join(kind.select("cid", "n"), "cid").groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
-    parts = size.select("comp", F.greatest(F.ceil(F.col("k") / PART_SETS), F.ceil(F.col("total") * 8 / PART_BYTES)).cast("long").alias("parts"))
-    wanted = near.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    sizes = kind.select("cid", "n")
+    large = near.join(sizes, "cid").groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("total")).filter((F.col("k") > PART_SETS) | (F.col("total") * 8 > PART_BYTES)).select("comp")
+    spread = near.join(large, "comp", "left_semi").select("cid")
+    stars = edges.join(spread, edges["u"] == spread["cid"], "left_semi")
+    stars = stars.unionByName(stars.select(F.col("v").alias("u"), "v").distinct())
+    member = stored(near.join(large, "comp", "left_anti").select("cid", "comp").unionByName(stars.select(F.col("u").alias("cid"), F.col("v").alias("comp"))), "members")
+    size = member.join(sizes, "cid").groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+    parts = size.select("comp", _pieces(F.col("k"), F.col("total") * 8, PART_SETS).alias("parts"))
+    wanted = member.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
     wanted = wanted.groupBy(F.expr("shiftright(cid, 16)").alias("block")).agg(F.collect_list(F.struct(F.expr("cid & 65535").alias("place"), "cid", "comp", "part", "parts")).alias("wanted"))
 
     def send(block: Block) -> Iterator[pa.RecordBatch]:
@@ -322,10 +310,11 @@ def resolved(blocks: Blocks, words: int, num: int, den: int) -> DataFrame:
 
     def join_from(group: pa.Table, known: bool) -> pa.Table:
         group = group.combine_chunks()
-        cid = group["cid"].to_numpy()
-        items = [np.frombuffer(x.as_buffer(), "<u8") for x in group["items"]]
-        first = link_sets(items, num, den, group["root"].to_numpy() if known else None)
-        return pa.table([group["comp"], group["part"], group["parts"], group["cid"], pa.array(cid[first])], names=["comp", "part", "parts", "cid", "root"])
+        cid, once = np.unique(group["cid"].to_numpy(), return_index=True)
+        items = [np.frombuffer(group["items"][i].as_buffer(), "<u8") for i in once.tolist()]
+        first = link_sets(items, num, den, group["root"].to_numpy()[once] if known else None)
+        same = lambda c: pa.array([group[c][0].as_py()] * len(cid), pa.int64())
+        return pa.table([same("comp"), same("parts"), pa.array(cid), pa.array(cid[first])], names=["comp", "parts", "cid", "root"])
 
     def join(group: pa.Table) -> pa.Table:
         return join_from(group, False)
@@ -333,16 +322,12 @@ def resolved(blocks: Blocks, words: int, num: int, den: int) -> DataFrame:
     def join_more(group: pa.Table) -> pa.Table:
         return join_from(group, True)
 
-    shape = "comp long, part long, parts long, cid long, root long"
-    alone = stored(sets.groupBy("comp", "part", "parts").applyInArrow(join, shape), "links")
+    alone = stored(sets.groupBy("comp", "part", "parts").applyInArrow(join, _LINKED), "links")
     links = alone.select(F.col("cid").alias("u"), F.col("root").alias("v"))
     split = alone.filter("parts > 1")
     if not split.isEmpty():
-        links = links.unionByName(_across(sets.filter("parts > 1"), split, join, join_more, shape))
-        groups = stored(components(links, "joined").select(F.col("node").alias("cid"), "root"), "groups")
-    else:
-        groups = links.filter("u <> v").select(F.col("u").alias("cid"), F.col("v").alias("root"))
-        groups = groups.unionByName(groups.select(F.col("root").alias("cid"), "root").distinct())
+        links = links.unionByName(_across(sets.filter("parts > 1"), split, join, join_more))
+    groups = stored(components(links, "joined").select(F.col("node").alias("cid"), "root"), "groups")
     named = kind.join(groups, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = named.join(least, "root").select("n", "s1", "s2", "root", "class_id", "component_id")
@@ -350,17 +335,40 @@ def resolved(blocks: Blocks, words: int, num: int, den: int) -> DataFrame:
     return rows.join(named, ["n", "s1", "s2"], "left").select("id", "block", "place", "n", "root", *wordless)
 
 
-def _across(sets: DataFrame, alone: DataFrame, join: Callable, join_more: Callable, shape: str) -> DataFrame:
-    """Links between the parts of split components."""
-    lead = sets.join(alone.filter("cid = root").select("cid"), "cid", "left_semi")
-    lead = lead.withColumn("parts", F.greatest(F.col("parts") / 8, F.lit(1)).cast("long")).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")))
-    led = stored(lead.groupBy("comp", "part", "parts").applyInArrow(join, shape), "leaders")
-    root = stored(components(alone.select(F.col("cid").alias("u"), F.col("root").alias("v")).unionByName(led.select(F.col("cid").alias("u"), F.col("root").alias("v"))), "parts").select(F.col("node").alias("cid"), "root"), "roots")
-    rest = sets.join(root, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    open_ = rest.groupBy("comp").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("comp")
-    rest = stored(rest.join(open_, "comp", "left_semi"), "open")
-    # Every set meets the sets of each other part in a task for that pair of parts.
-    other = F.explode(F.expr("filter(sequence(0L, parts - 1), x -> x <> part)")).alias("other")
-    pairs = rest.select("*", other).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other")
-    met = pairs.groupBy("comp", "lo", "hi").applyInArrow(join_more, shape)
-    return led.unionByName(met).unionByName(root.selectExpr("0L AS comp", "0L AS part", "0L AS parts", "cid", "root")).select(F.col("cid").alias("u"), F.col("root").alias("v"))
+_LINKED = "comp long, parts long, cid long, root long"
+
+
+def _pieces(sets: Column, size: Column, most: int) -> Column:
+    return F.greatest(F.ceil(sets / most), F.ceil(size / PART_BYTES)).cast("long")
+
+
+def _across(sets: DataFrame, alone: DataFrame, join: Callable, join_more: Callable) -> DataFrame:
+    """Links between the parts of split hubs."""
+    rooted = alone.select("comp", "cid", "root")
+    heads = alone.filter("cid = root").select("comp", "cid")
+    turn, before = 0, None
+    while True:
+        turn += 1
+        dealt = sets.select("comp", "cid", "items").join(heads, ["comp", "cid"], "left_semi")
+        parts = dealt.groupBy("comp").agg(_pieces(F.count("*"), F.sum(F.octet_length("items")), PART_SETS).alias("parts"))
+        dealt = dealt.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("parts")))
+        led = stored(dealt.groupBy("comp", "part", "parts").applyInArrow(join, _LINKED), "heads")
+        rooted = stored(rooted.join(led.select("comp", F.col("cid").alias("root"), F.col("root").alias("head")), ["comp", "root"]).select("comp", "cid", F.col("head").alias("root")), "rooted")
+        heads = led.filter("cid = root").select("comp", "cid")
+        s = led.agg(F.count_if(F.col("cid") == F.col("root")).alias("n"), F.max("parts").alias("parts")).first()
+        # Heads meet anew until they all have met, or hardly any of them link.
+        if s["parts"] == 1 or (before is not None and s["n"] > 0.9 * before):
+            break
+        before = s["n"]
+    groups = rooted.groupBy("comp", "root").agg(F.count("*").alias("k"))
+    open_ = groups.groupBy("comp").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("groups"), (F.sum("k") - F.max("k")).alias("minor"), F.sum("k").alias("all")).filter("groups > 1")
+    rest = sets.select("comp", "cid", "items").join(rooted, ["comp", "cid"]).join(open_, "comp")
+    mean = F.avg(F.octet_length("items"))
+    wide = rest.groupBy("comp").agg(*(_pieces(F.max(c), F.max(c) * mean, SIDE_SETS).alias(f"{c}_parts") for c in ("minor", "all")))
+    rest = stored(rest.join(wide, "comp"), "open")
+    # Sets outside of the largest group meet all sets, in a task for each pair of parts.
+    few = rest.filter("root <> major").withColumn("a", F.pmod(F.xxhash64("cid"), F.col("minor_parts"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_parts") - 1)))
+    every = rest.withColumn("b", F.pmod(F.xxhash64("cid", F.lit(0)), F.col("all_parts"))).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_parts") - 1)))
+    pairs = few.unionByName(every).select("comp", "a", "b", "cid", "root", "items", F.lit(0).cast("long").alias("parts"))
+    met = pairs.groupBy("comp", "a", "b").applyInArrow(join_more, _LINKED)
+    return met.select(F.col("cid").alias("u"), F.col("root").alias("v")).unionByName(rooted.select(F.col("cid").alias("u"), F.col("root").alias("v")))
