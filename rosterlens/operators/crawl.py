@@ -37,7 +37,8 @@ def sandbox_pages(roster: DataFrame, website: str = "website") -> DataFrame:
 def crawl(roster: DataFrame, pages: DataFrame, max_pages: int = 8, website: str = "website", **link_options) -> DataFrame:
     """(website, at, url, html) of the pages that a breadth-first crawl would visit.
 
-    The queue starts at the website; only the first two pages found add links, so two joins
+    The queue starts at the website and takes at most twice ``max_pages`` addresses, of which
+    the first ``max_pages`` are visited. Only the first two addresses add links, so two joins
     bring the whole queue. A page that isn't in the table still takes a place.
     """
     table = pages.select(U.normalize(F.col("url")).alias("url"), "html").filter("url <> ''")
@@ -47,29 +48,30 @@ def crawl(roster: DataFrame, pages: DataFrame, max_pages: int = 8, website: str
 
     def grow(rows: DataFrame) -> DataFrame:
         more = F.transform(scored_links(F.col("html"), F.col("url"), **link_options), lambda x: x["url"])
-        queue = F.slice(F.array_distinct(F.concat("queue", F.coalesce(more, F.array().cast("array<string>")))), 1, max_pages)
+        queue = F.slice(F.array_distinct(F.concat("queue", F.coalesce(more, F.array().cast("array<string>")))), 1, 2 * max_pages)
         return rows.withColumn("queue", queue)
 
-    first = grow(found)
-    # The second page that exists among those queued.
-    waiting = first.select(website, F.posexplode("queue").alias("at", "url")).filter("at > 0").join(table, "url")
-    second = waiting.groupBy(website).agg(F.min_by(F.struct("url", "html"), "at").alias("p"))
-    both = first.select(website, "queue").join(second, website, "left").select(website, "queue", F.col("p.url").alias("url"), F.col("p.html").alias("html"))
-    queued = grow(both).select(website, F.posexplode("queue").alias("at", "url"))
+    first = grow(found).select(website, "queue", F.get("queue", F.lit(1)).alias("url"))
+    queued = grow(first.join(table, "url", "left")).select(website, F.posexplode("queue").alias("at", "url")).filter(F.col("at") < max_pages)
     return queued.join(table, "url").select(website, "at", "url", "html")
 
 
 def crawl_depth(roster: DataFrame, pages: DataFrame, max_depth: int = 2, max_pages: int = 8, website: str = "website", keywords=None) -> DataFrame:
-    """(website, depth, url, html): pages of one site within some links of its root, relevant ones only."""
+    """(website, depth, url, html): pages of one site within some links of its root, relevant ones only.
+
+    Pages come breadth first and in the order of the links to them; ``way`` has the places of
+    the links that lead there.
+    """
     from .roster import unseen
 
     table = pages.select(U.normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.min("html").alias("html"))
-    level = roster.select(website).distinct().select(website, U.normalize(F.col(website)).alias("url"), F.lit(0).alias("depth"))
+    level = roster.select(website).distinct().select(website, U.normalize(F.col(website)).alias("url"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("way"))
     out = level.join(table, "url", "left")
     front = out
     options = () if keywords is None else (keywords,)
     for depth in range(1, max_depth + 1):
-        links = front.select(website, F.explode(plain_links(F.col("html"), F.col("url"))).alias("url")).distinct()
+        links = front.select(website, "way", F.posexplode(plain_links(F.col("html"), F.col("url"))).alias("k", "url"))
+        links = links.groupBy(website, "url").agg(F.min(F.concat("way", F.array("k"))).alias("way"))
         links = links.filter((U.domain(F.col("url")) == U.domain(U.normalize(F.col(website)))) & U.relevant(F.col("url"), *options))
         keyed = links.withColumn("k", F.concat_ws("\x01", website, "url"))
         new = unseen(keyed, out.withColumn("k", F.concat_ws("\x01", website, "url")), "k").drop("k")
@@ -77,7 +79,7 @@ def crawl_depth(roster: DataFrame, pages: DataFrame, max_depth: int = 2, max_pag
         out = out.unionByName(front)
     from pyspark.sql.window import Window
 
-    rank = F.row_number().over(Window.partitionBy(website).orderBy("depth", "url"))
+    rank = F.row_number().over(Window.partitionBy(website).orderBy("depth", "way"))
     return out.filter("html is not null").withColumn("__r", rank).filter(F.col("__r") <= max_pages).select(website, "depth", "url", "html")
 
 
@@ -92,36 +94,54 @@ def page_map(visited: DataFrame, website: str = "website", most: int = 4000) ->
     return out.withColumn("quality", quality_flag(F.col("all")))
 
 
-def fetch(spark: SparkSession, urls: DataFrame, url_col: str = "url", timeout: float = 10.0, attempts: int = 3) -> DataFrame:
-    """(url, html, error): pages over the network. Each row carries its own error; nothing is raised."""
+#: What requests say of themselves: plainly at first, then as a browser does.
+PLAIN = {"User-Agent": "Mozilla/5.0"}
+AS_BROWSER = PLAIN | {"Accept": "text/html,application/xhtml+xml,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.9", "Upgrade-Insecure-Requests": "1"}
+#: Answers after which another try is of no use.
+FINAL = (401, 404, 410)
+
+
+def fetch(spark: SparkSession, urls: DataFrame, url_col: str = "url", timeout: float = 10.0, attempts: int = 3, headers: tuple[dict, ...] = (PLAIN, AS_BROWSER), verify: bool = True, least: int = 100) -> DataFrame:
+    """(url, html, error): pages over the network. Each row carries its own error; nothing is raised.
+
+    The first try goes with the first headers, later ones with the next (403 and 429 are tried
+    again after a pause); a page of ``least`` characters or fewer counts as empty. With one
+    attempt this is a plain, polite get.
+    """
     from collections.abc import Iterator
 
     import pandas as pd
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ssl
         import time
         import urllib.error
         import urllib.request
 
-        for b in batches:
-            rows = []
-            for url in b[url_col]:
-                html, error = None, None
-                for i in range(attempts):
-                    try:
-                        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=timeout) as r:
-                            text = r.read().decode("utf-8", "replace")
-                        html, error = (text, None) if len(text) > 100 else (None, "too short")
+        context = ssl.create_default_context()
+        if not verify:
+            context.check_hostname, context.verify_mode = False, ssl.CERT_NONE
+
+        def one(url: str) -> tuple[str | None, str | None]:
+            error = None
+            for i in range(attempts):
+                try:
+                    asked = urllib.request.Request(url, headers=headers[min(i, len(headers) - 1)])
+                    with urllib.request.urlopen(asked, timeout=timeout, context=context) as r:
+                        text = r.read().decode("utf-8", "replace")
+                    return (text, None) if len(text) > least else (None, "too short")
+                except urllib.error.HTTPError as e:
+                    error = f"status {e.code}"
+                    if e.code in FINAL:
                         break
-                    except urllib.error.HTTPError as e:
-                        error = f"status {e.code}"
-                        if e.code in (404, 410):
-                            break
-                    except Exception as e:  # noqa: BLE001 - a row's failure is its value
-                        error = str(e)[:200]
-                    if i < attempts - 1:
-                        time.sleep(2**i)
-                rows.append((url, html, error))
+                except Exception as e:  # noqa: BLE001 - a row's failure is its value
+                    error = str(e)[:200]
+                if i < attempts - 1:
+                    time.sleep(2**i)
+            return None, error
+
+        for b in batches:
+            rows = [(url, *one(url)) for url in b[url_col]]
             yield pd.DataFrame(rows, columns=["url", "html", "error"])
 
     return urls.select(url_col).distinct().mapInPandas(get, "url string, html string, error string")

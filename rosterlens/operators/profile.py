@@ -186,6 +186,9 @@ def _within_budget(parts: Column, text: Column, most: int) -> Column:
     return F.substring(F.when(F.length(joined) < 150, F.substring(text, 1, most)).otherwise(joined), 1, most)
 
 
+FIELDS = ("products", "services", "technologies", "industry", "use_cases", "confidence")
+
+
 def fallback_profile(df: DataFrame, text_col: str = "text", most_technologies: int = 8) -> DataFrame:
     """``df`` with products, services, technologies, industry, use_cases and confidence from keywords."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -194,6 +197,17 @@ def fallback_profile(df: DataFrame, text_col: str = "text", most_technologies: i
     return df.withColumn("technologies", F.slice("technologies", 1, most_technologies))
 
 
+def checked_profile(df: DataFrame, reply_col: str = "reply", text_col: str = "text") -> DataFrame:
+    """``df`` with the profile of a model's reply where that could be read, else from keywords; ``ok`` says which.
+
+    Both are columns of one pass, so that a reply is asked for once.
+    """
+    read = validated_profile(df, reply_col, text_col).withColumnsRenamed({c: f"__{c}" for c in FIELDS})
+    bare = read.withColumn("__bare", F.when(~F.col("ok"), F.col(text_col)))
+    both = fallback_profile(bare, "__bare")
+    return both.withColumns({c: F.when(F.col("ok"), F.col(f"__{c}")).otherwise(F.col(c)) for c in FIELDS}).drop("__bare", *(f"__{c}" for c in FIELDS))
+
+
 REPLY = "products array<string>, services array<string>, technologies array<string>, use_cases array<string>, industry string"
 
 

@@ -69,15 +69,20 @@ def fresh(cache: DataFrame, as_of: Column, at: str = "cached_at", hours: int = 2
 def merge_texts(pages: DataFrame, group: str, order: str, text: str, most: int = 2800, least: int = 40, tokens: int = 14) -> DataFrame:
     """(group, merged): distinct sentences of a group's pages in order, until ``most`` characters.
 
-    Sentences are exploded and numbered, so that no task holds a group's texts; only the
-    sentences within the budget are gathered.
+    Sentences are exploded and numbered. As each kept one takes at least ``least`` characters
+    of the budget, only so many of a group can matter: each task passes on that number of
+    first ones, so that no task holds a group's texts, however large the group.
     """
     from ..functions import text as T
 
+    few = most // (least + 1) + 1
+
     rows = pages.select(group, F.col(order).alias("__o"), F.posexplode(T.sentences(T.clean_text(F.col(text)))).alias("__p", "s"))
     rows = rows.filter(F.length("s") >= least).withColumn("__sig", T.signature(F.col("s"), tokens))
     rows = keep_first(rows.select(group, "__sig", F.struct("__o", "__p").alias("__at"), "s"), [group, "__sig"], "__at")
-    before = F.sum(F.length("s") + 1).over(Window.partitionBy(group).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    by = Window.partitionBy(group).orderBy("__at")
+    rows = rows.withColumn("__n", F.row_number().over(by)).filter(F.col("__n") <= few)
+    before = F.sum(F.length("s") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1))
     kept = rows.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < most + 1)
     joined = kept.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__at", "s"))).alias("l"))
     return joined.select(group, F.substring(F.array_join(F.transform("l", lambda x: x["s"]), " "), 1, most).alias("merged"))

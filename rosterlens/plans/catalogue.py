@@ -19,6 +19,7 @@ from ..operators import roster as O
 from ..operators import score as S
 from ..operators import vectors as V
 from ..sources import sinks as K
+from ..sources.readers import spread
 from . import service
 from .cases import CASES, profile
 
@@ -45,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts take long to read."""
+    return spread(table(spark, sf_dir, name))
+
+
 def low(column: str = "text") -> Column:
     return F.lower(F.coalesce(F.col(column), F.lit("")))
 
@@ -76,74 +82,74 @@ def length_gate_report(spark: SparkSession, d: str) -> DataFrame:
 @query
 def sentence_split_stats(spark: SparkSession, d: str) -> DataFrame:
     s = T.sentences(F.coalesce("text", F.lit("")))
-    return table(spark, d, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.coalesce(F.array_max(F.transform(s, F.length)), F.lit(0)).alias("longest"))
+    return texts(spark, d).select("doc_id", F.size(s).alias("n_sentences"), F.coalesce(F.array_max(F.transform(s, F.length)), F.lit(0)).alias("longest"))
 
 
 @query
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     c = T.clean_text(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(c).alias("n"), F.md5(c.cast("binary")).alias("digest"))
+    return texts(spark, d).select("doc_id", F.length(c).alias("n"), F.md5(c.cast("binary")).alias("digest"))
 
 
 @query
 def summary_first3(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))
+    return texts(spark, d).select("doc_id", T.summary(F.col("text")).alias("summary"))
 
 
 @query
 def short_summaries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.fast_summary(F.col("text")).alias("fast"), T.short_summary(F.col("text")).alias("short"), T.two_sentence_summary(F.col("text")).alias("two"))
+    return texts(spark, d).select("doc_id", T.fast_summary(F.col("text")).alias("fast"), T.short_summary(F.col("text")).alias("short"), T.two_sentence_summary(F.col("text")).alias("two"))
 
 
 @query
 def signature_dedupe_sentences(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("pos", "s")).filter("length(s) >= 40")
+    s = texts(spark, d).select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("pos", "s")).filter("length(s) >= 40")
     s = s.select(F.struct("doc_id", "pos").alias("at"), T.signature(F.col("s"), 10).alias("sig"), "s")
     return O.keep_first(s, ["sig"], "at").select("at.doc_id", "at.pos", F.md5(F.col("s").cast("binary")).alias("digest"))
 
 
 @query
 def merge_source_texts(spark: SparkSession, d: str) -> DataFrame:
-    return O.merge_texts(table(spark, d, "documents"), "source", "doc_id", "text").select("source", F.length("merged").alias("n"), F.md5(F.col("merged").cast("binary")).alias("digest"))
+    return O.merge_texts(texts(spark, d), "source", "doc_id", "text").select("source", F.length("merged").alias("n"), F.md5(F.col("merged").cast("binary")).alias("digest"))
 
 
 @query
 def email_phone_price(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.email(t).alias("email"), T.phone(t).alias("phone"), T.prices(t).alias("price"))
+    return texts(spark, d).select("doc_id", T.email(t).alias("email"), T.phone(t).alias("phone"), T.prices(t).alias("price"))
 
 
 @query
 def contact_hints(spark: SparkSession, d: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", T.price_bucket(t).alias("bucket"), T.address(t).alias("address"), T.spec_sentence(t).alias("spec"), T.description(t).alias("description"))
+    return texts(spark, d).select("doc_id", T.price_bucket(t).alias("bucket"), T.address(t).alias("address"), T.spec_sentence(t).alias("spec"), T.description(t).alias("description"))
 
 
 @query
 def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
-    return points(table(spark, d, "documents")).drop("text", "source")
+    return points(texts(spark, d)).drop("text", "source")
 
 
 @query
 def fit_score(spark: SparkSession, d: str) -> DataFrame:
-    return fit(table(spark, d, "documents")).select("doc_id", F.col("total").cast("double").alias("score"), S.category(F.col("total")).alias("category"))
+    return fit(texts(spark, d)).select("doc_id", F.col("total").cast("double").alias("score"), S.category(F.col("total")).alias("category"))
 
 
 @query
 def fit_rank_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.length("text") >= 800)
+    docs = texts(spark, d).filter(F.length("text") >= 800)
     df = fit(docs).select("doc_id", "source", F.col("total").cast("double").alias("score"), S.category(F.col("total")).alias("category"))
     return df.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query
 def weighted_label_argmax(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.best_label(low(), TEST_RULES).alias("label"))
+    return texts(spark, d).select("doc_id", X.best_label(low(), TEST_RULES).alias("label"))
 
 
 @query
 def topk_labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.top_labels(low(), TEST_RULES, 4, lone_words_twice=True), ",").alias("labels"))
+    return texts(spark, d).select("doc_id", F.array_join(X.top_labels(low(), TEST_RULES, 4, lone_words_twice=True), ",").alias("labels"))
 
 
 @query
@@ -161,12 +167,12 @@ def lexicon_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def category_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return fit(table(spark, d, "documents")).groupBy(S.category(F.col("total")).alias("category")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("total").cast("double")), 4).alias("mean_score"))
+    return fit(texts(spark, d)).groupBy(S.category(F.col("total")).alias("category")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("total").cast("double")), 4).alias("mean_score"))
 
 
 @query
 def recommend_reason(spark: SparkSession, d: str) -> DataFrame:
-    df = fit(table(spark, d, "documents"))
+    df = fit(texts(spark, d))
     parts = {k: F.col(f"b_{k}") for k in S.SHARES}
     why = S.reason(parts, F.col("source"), F.array().cast("array<string>"), F.col("total"))
     advice = F.array_join(S.recommendation(F.coalesce("text", F.lit("")), profiles=TEST_ADVICE), ",")
@@ -176,7 +182,7 @@ def recommend_reason(spark: SparkSession, d: str) -> DataFrame:
 @query
 def penalised_score(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    df = fit(table(spark, d, "documents")).join(labels, "doc_id", "left")
+    df = fit(texts(spark, d)).join(labels, "doc_id", "left")
     df = df.withColumns({"quality": T.quality_flag(F.col("text")), "extracted": F.coalesce(F.col("q") == 1, F.lit(False))})
     m, p = S.multiplier(F.col("quality"), F.col("extracted")), S.penalty(F.col("quality"), F.col("extracted"), F.lit(0.5))
     return df.select("doc_id", S.adjusted(F.col("total"), m, p).cast("double").alias("score"))
@@ -208,23 +214,23 @@ def pages_per_domain(spark: SparkSession, d: str) -> DataFrame:
 @query
 def visible_text(spark: SparkSession, d: str) -> DataFrame:
     v = H.visible_text(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.length(v).alias("n"), F.md5(v.cast("binary")).alias("digest"))
+    return texts(spark, d, "pages").select("page_id", F.length(v).alias("n"), F.md5(v.cast("binary")).alias("digest"))
 
 
 @query
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.explode(F.transform(H.links(F.col("html")), lambda x: x["href"])).alias("href")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_distinct("href").alias("n_distinct"))
+    return texts(spark, d, "pages").select("page_id", F.explode(F.transform(H.links(F.col("html")), lambda x: x["href"])).alias("href")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_distinct("href").alias("n_distinct"))
 
 
 @query
 def link_scores_top6(spark: SparkSession, d: str) -> DataFrame:
     best = H.scored_links(F.col("html"), F.col("url"), **TEST_LINKS)
-    return table(spark, d, "pages").select("page_id", F.posexplode(best).alias("rank", "x")).select("page_id", "rank", F.col("x.url").alias("url"), F.col("x.score").alias("score"))
+    return texts(spark, d, "pages").select("page_id", F.posexplode(best).alias("rank", "x")).select("page_id", "rank", F.col("x.url").alias("url"), F.col("x.score").alias("score"))
 
 
 @query
 def main_text(spark: SparkSession, d: str) -> DataFrame:
-    return H.page_parts(table(spark, d, "pages")).select("page_id", F.length("parts.main").alias("n_main"), F.length("parts.specifications").alias("n_spec"), F.length("parts.headings").alias("n_head"))
+    return H.page_parts(texts(spark, d, "pages")).select("page_id", F.length("parts.main").alias("n_main"), F.length("parts.specifications").alias("n_spec"), F.length("parts.headings").alias("n_head"))
 
 
 @query
@@ -310,7 +316,7 @@ def centroid_classify(spark: SparkSession, d: str) -> DataFrame:
 @query
 def hash_vector(spark: SparkSession, d: str) -> DataFrame:
     v = V.hash_vector(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("n_tokens"), F.size(F.filter(v, lambda x: x > 0)).alias("n_buckets"))
+    return texts(spark, d).select("doc_id", F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("n_tokens"), F.size(F.filter(v, lambda x: x > 0)).alias("n_buckets"))
 
 
 @query
@@ -359,7 +365,7 @@ def keyword_sections(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extraction_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.extraction_text(F.col("text")).alias("lines"))
+    return texts(spark, d).select("doc_id", T.extraction_text(F.col("text")).alias("lines"))
 
 
 @query
@@ -372,29 +378,29 @@ def conversation_merge(spark: SparkSession, d: str) -> DataFrame:
 @query
 def keyword_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles from the default lexicons."""
-    return profile(table(spark, d, "documents").select("doc_id", "text"))
+    return profile(texts(spark, d).select("doc_id", "text"))
 
 
 @query
 def relevant_budget(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.length(P.relevant_text(F.coalesce("text", F.lit("")), 900)).alias("n"))
+    return texts(spark, d).select("doc_id", F.length(P.relevant_text(F.coalesce("text", F.lit("")), 900)).alias("n"))
 
 
 @query
 def product_records(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("source").alias("company"), F.col("doc_id").cast("string").alias("website"), "text")
+    docs = texts(spark, d).select(F.col("source").alias("company"), F.col("doc_id").cast("string").alias("website"), "text")
     return R.company_record(docs)
 
 
 @query
 def mixed_profiles(spark: SparkSession, d: str) -> DataFrame:
-    p = R.mixed_profile(table(spark, d, "documents").select("doc_id", "text"))
+    p = R.mixed_profile(texts(spark, d).select("doc_id", "text"))
     return p.select("doc_id", F.array_join("products", ",").alias("products"), F.size("product_specifications").alias("n_specs"), F.col("confidence.summary").alias("summary_confidence"))
 
 
 @query
 def industry_classifier(spark: SparkSession, d: str) -> DataFrame:
-    return V.classify(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "industry", "confidence")
+    return V.classify(texts(spark, d).select("doc_id", "text")).select("doc_id", "industry", "confidence")
 
 
 @query
@@ -402,7 +408,7 @@ def rank_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The whole plan: sources as companies, their merged documents as pages."""
     from . import ranking
 
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     roster = docs.groupBy(F.col("source").alias("website")).agg(F.min("doc_id").alias("ord")).withColumn("name", F.col("website"))
     merged = O.merge_texts(docs, "source", "doc_id", "text").select(F.col("source").alias("website"), F.col("merged").alias("all"))
     none = F.lit("")

@@ -77,23 +77,26 @@ def outcomes(
     joined = joined.withColumn("text", text).withColumn("quality", F.coalesce("quality", F.lit("FAILED")))
     gate = F.when(F.col("all").isNull(), "crawl_error").when(F.length("all") < LEAST_CHARS, "too_short")
     joined = joined.withColumn("skip_reason", gate)
-    passed, skipped = joined.filter("skip_reason is null"), joined.filter("skip_reason is not null")
     if extractor is None:
-        df = P.fallback_profile(passed).withColumn("extracted", F.lit(offline))
+        # Skipped rows go along with an empty text, so that the join is made once.
+        whole = joined.withColumn("text", F.when(F.col("skip_reason").isNull(), F.col("text")))
+        df = P.fallback_profile(whole).withColumn("extracted", F.lit(offline))
     else:
-        asked = extractor(passed.withColumn("text_for_model", P.relevant_text(F.col("text"), 900)))
-        read = P.validated_profile(asked).drop("text_for_model", "reply")
-        good = read.filter("ok").withColumn("extracted", F.lit(True)).drop("ok")
-        bare = read.filter(~F.col("ok")).drop("ok", "products", "services", "technologies", "industry", "use_cases", "confidence")
-        df = good.unionByName(P.fallback_profile(bare).withColumn("extracted", F.lit(False)))
-    df = df.withColumn("skip_reason", F.when(P.hopeless(F.col("confidence"), F.col("technologies"), F.col("industry")), "no_signal").otherwise(F.col("skip_reason")))
+        asked = extractor(joined.filter("skip_reason is null").withColumn("text_for_model", P.relevant_text(F.col("text"), 900)))
+        df = P.checked_profile(asked).drop("text_for_model", "reply").withColumnRenamed("ok", "extracted")
+    nothing = F.col("skip_reason").isNull() & P.hopeless(F.col("confidence"), F.col("technologies"), F.col("industry"))
+    df = df.withColumn("skip_reason", F.when(nothing, "no_signal").otherwise(F.col("skip_reason")))
     df = df.withColumns({
         "summary": T.summary_or_opening(F.col("text")), "contact_email": T.email(F.col("text")), "phone": T.phone(F.col("text")), "price_range": T.prices(F.col("text")),
         "product_specifications": T.blank_to_null(F.col("specifications")), "multiplier": S.multiplier(F.col("quality"), F.col("extracted")),
         "penalty": S.penalty(F.col("quality"), F.col("extracted"), F.col("confidence")),
     })
     df = ranked(df, lexicon, target).drop("all", "page_products", "page_services", "specifications")
-    return df.unionByName(skipped.select("ord", "name", "website", "quality", "skip_reason"), allowMissingColumns=True)
+    own = ("ord", "name", "website", "quality", "skip_reason")
+    if extractor is None:
+        gated = F.col("skip_reason").isin("crawl_error", "too_short")
+        return df.select(*own, *(F.when(~gated | gated.isNull(), F.col(c)).alias(c) for c in df.columns if c not in own))
+    return df.unionByName(joined.filter("skip_reason is not null").select(*own), allowMissingColumns=True)
 
 
 def rank_companies(roster: DataFrame, pages: DataFrame, **options) -> DataFrame:

@@ -22,9 +22,24 @@ CSV_COLUMNS = (
     "product_specifications", "price_range", "contact_email", "phone", "address", "description", "summary", "breakdown",
     "confidence", "recommended_products", "reason",
 )
+#: Bytes of input for each core up to which a table is dealt anew.
+SMALL = 128 << 20
 REQUIRED = ("company_name", "website", "score")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files give fewer scan tasks than that; for costly expressions over texts.
+
+    A small file of one row group is one task. Tables beyond ``SMALL`` bytes a core have
+    enough tasks of their own and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > cores * SMALL or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, escape='"', multiLine=True)
 

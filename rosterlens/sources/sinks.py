@@ -97,6 +97,11 @@ def write_json_array(df: DataFrame, path: str, order: str = "ord", most: int = 1
         json.dump([json.loads(r) for r in rows], f, indent=2, ensure_ascii=False)
 
 
+def write_embeddings(rows: DataFrame, cache_path: str) -> None:
+    """Append new (key, embedding) rows, as ``cached_embeddings`` gives them, to a cache of vectors."""
+    rows.select("key", "embedding").filter(F.size("embedding") > 0).write.mode("append").parquet(cache_path)
+
+
 def upsert_cache(spark: SparkSession, cache_path: str, new: DataFrame, key: str = "website_key", at: str = "cached_at") -> DataFrame:
     """Append rows to a cache and return its latest row of each key."""
     from ..operators.roster import keep_last

@@ -56,7 +56,7 @@ def test_crawl(spark):
     deep = C.crawl_depth(roster, pages, keywords=("p",)).collect()
     assert {(r["depth"], r["url"].rsplit("/", 1)[1]) for r in deep} == {(0, "a.example"), (1, "p1"), (1, "p2"), (2, "p3"), (2, "p7"), (2, "never")}
     made = C.sandbox_pages(spark.createDataFrame([("https://acme-labs.example",)], "website string")).first()
-    assert made["products"].startswith("Acme Labs Platform") and made["quality"] == "GOOD"
+    assert made["products"].startswith("Acme Labs Navigator") and made["quality"] == "GOOD"
 
 
 def test_page_map(spark):
