@@ -117,6 +117,8 @@ def judge(
     table = table.select("host", F.coalesce("n", F.lit(0)).alias("n_labelled"), shrunk(prior, k_host).alias("bad_mean"), weight.alias("w"))
     low = F.col("bad_mean") - z * F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("w") + 1))
     table = table.select("host", "n_labelled", F.round("bad_mean", 6).alias("bad_mean"), F.round(F.greatest(low, F.lit(0.0)), 6).alias("bad_low"))
+    # Stored, so that the join's sides are plain shuffles and a host with many pages is split.
+    table = stored(table, "verdicts")
     rule = rule_for(F.col("host"), F.col("path"), rules)
     action = F.lit(None).cast("string")
     for what, name in rules:

@@ -11,9 +11,9 @@ one shard, without comparing shards pairwise. The steps:
 3. Around those, each block sends its distinct runs of bytes with the smallest id of its
    own documents, dealt by anchor. An anchor in more than ``HOT`` documents (a line in a
    third of all rows) is dealt by the hash of every single window instead.
-4. A shard builds suffix arrays by Larsson-Sadakane refinement over pieces of bounded
-   size, takes common prefixes in Kasai's text order, and merges the pieces' classes of
-   equal windows by binary search. One bit per window goes back to the block.
+4. There, shards of bounded size get suffix arrays by Larsson-Sadakane refinement and common
+   prefixes by Kasai's pass; their classes of equal windows are merged across shards by
+   binary search. One bit per window goes back to the block.
 
 Null and empty texts have no bytes. Rows that repeat an id don't count as smaller than each
 other; a null id is larger than every other. An empty table gives no rows. Only the id and
@@ -36,7 +36,9 @@ from .shared import stored
 SPAN = 50
 ANCHOR = 25
 HOT = 5000
-PIECE_BYTES = 1 << 20
+#: Bytes of a shard with a suffix array of its own, and of a stretch of Kasai's pass.
+PIECE_BYTES = 1 << 18
+KASAI_STEPS = 256
 STRETCH = 1 << 16
 #: Bytes of documents for each shard.
 SHARD_BYTES = 2 << 20
@@ -99,79 +101,106 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
     return order, rank
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix in ``order`` with the one before it, up to ``most``.
+def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, rank: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in the suffix array, up to ``most``.
 
-    As in Kasai's algorithm the suffixes are taken in text order, each beside its
-    predecessor in the array; here all at once, eight bytes a step, while they agree.
+    Kasai's pass: suffixes are taken in text order, and each starts from what the one before
+    it had, less one. Stretches of the text go side by side, so that a step is one array
+    operation; a stretch's first suffix starts from nothing. ``rank`` is that of an array
+    sorted to a depth of ``most`` bytes or more: suffixes of one rank agree so far, and as
+    their order is open, the next suffix starts from nothing too.
     """
-    out = np.zeros(len(order), np.int64)
-    if len(order) < 2:
+    n = len(order)
+    out = np.zeros(n, np.int64)
+    if n < 2:
         return out
-    n = len(data)
-    by_text = np.argsort(order[1:], kind="stable") + 1
-    a, b = order[by_text], order[by_text - 1]
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
     key = packed(data)
-    live = np.arange(len(a))
-    length = np.zeros(len(a), np.int64)
-    limit = np.minimum(most, n - np.maximum(a, b))
-    for at in range(0, most, 8):
-        live = live[limit[live] > at]
-        if not len(live):
-            break
-        x = key[a[live] + at] ^ key[b[live] + at]
-        same = np.full(len(live), 8, np.int64)
-        some = x != 0
-        hi = np.floor(np.log2((x[some] >> U64(8)).astype(float) * 256 + 1)).astype(np.int64)
-        same[some] = 7 - np.minimum(hi, 63) // 8
-        length[live] = at + same
-        live = live[same == 8]
-    out[by_text] = np.minimum(length, limit)
+    lanes = -(-n // KASAI_STEPS)
+    length = np.zeros(n, np.int64)
+    have = np.zeros(lanes, np.int64)
+    base = np.arange(lanes) * KASAI_STEPS
+    for t in range(min(KASAI_STEPS, n)):
+        at = base + t
+        if at[-1] >= n:
+            base, have, at = base[:-1], have[:-1], at[:-1]
+        other = before[at]
+        tied = (rank[at] == rank[other]) & (other >= 0) if rank is not None else np.zeros(len(at), bool)
+        room = np.where(other >= 0, np.minimum(n - np.maximum(at, other), most), 0)
+        have = np.minimum(np.maximum(have - 1, 0), room)
+        live = np.flatnonzero((have < room) & ~tied)
+        while len(live):
+            x = key[at[live] + have[live]] ^ key[other[live] + have[live]]
+            same = np.full(len(live), 8, np.int64)
+            some = x != 0
+            # The highest byte that differs, from the exponent of a float that can't round up to the next byte.
+            hi = np.floor(np.log2((x[some] >> U64(8)).astype(float) * 256 + 1)).astype(np.int64)
+            same[some] = 7 - np.minimum(hi, 63) // 8
+            have[live] = np.minimum(have[live] + same, room[live])
+            live = live[(same == 8) & (have[live] < room[live])]
+        length[at] = np.where(tied, most, have)
+        have[tied] = 0
+    out[:] = length[order]
     return out
 
 
+def _classes(piece: np.ndarray, own: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of equal ``span``-byte windows for each start in ``own``, and a start of each class in sorted order."""
+    order, rank = suffix_array(piece, 64 if span <= 64 else None)
+    kind = np.cumsum(common_prefixes(piece, order, span, rank) < span)
+    valid = np.full(len(piece), -1, np.int64)
+    valid[own] = np.arange(len(own))
+    where = valid[order]
+    kind, order, where = kind[where >= 0], order[where >= 0], where[where >= 0]
+    new = np.ones(len(kind), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    out = np.empty(len(own), np.int64)
+    out[where] = np.cumsum(new) - 1
+    return out, order[new]
+
+
 def window_minima(data: np.ndarray, starts: np.ndarray, values: np.ndarray, span: int) -> np.ndarray:
     """For each ``span``-byte window at ``starts``, the least value among equal windows.
 
-    Pieces of bounded size get a suffix array each; their classes are merged by binary
-    search for one representative of each class in the sorted representatives of the rest.
+    Shards of bounded size get a suffix array each. They are merged one by one: the sorted
+    representatives of a shard's classes are looked up by binary search among those of the
+    shards before it, and new ones are put in between; in the end each shard reads its classes'
+    least values back the same way.
     """
     out = values.copy()
     cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data) + PIECE_BYTES, PIECE_BYTES)))
-    parts = []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+    shards = []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         a, b = int(starts[lo]), int(starts[hi - 1]) + span
-        piece, own = data[a:b], starts[lo:hi] - a
-        order, _ = suffix_array(piece, 64 if span <= 64 else None)
-        valid = np.full(len(piece), -1, np.int64)
-        valid[own] = np.arange(hi - lo)
-        where = valid[order]
-        order, where = order[where >= 0], where[where >= 0]
-        first = np.flatnonzero(common_prefixes(piece, order, span) < span)
-        least = np.minimum.reduceat(values[lo:hi][where], first)
-        kind = np.empty(hi - lo, np.int64)
-        kind[where] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        parts.append((lo, hi, kind, least, order[first] + a))
-    if len(parts) > 1:
-        def rows(at: np.ndarray) -> np.ndarray:
-            text = np.ones((len(at), span + 1), np.uint8)  # a last byte that isn't zero
-            text[:, :span] = data[at[:, None] + np.arange(span)]
-            return text.view(f"S{span + 1}").ravel()
-
-        reps = [rows(p[4]) for p in parts]
-        merged = [p[3].copy() for p in parts]
-        for i, a in enumerate(reps):
-            for j, b in enumerate(reps):
-                if i != j:
-                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    hit = b[at] == a
-                    merged[i][hit] = np.minimum(merged[i][hit], parts[j][3][at[hit]])
-        parts = [(*p[:3], m, p[4]) for p, m in zip(parts, merged, strict=True)]
-    for lo, hi, kind, least, _ in parts:
+        kind, first = _classes(data[a:b], starts[lo:hi] - a, span)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, kind, values[lo:hi])
+        shards.append((lo, hi, kind, least, first + a))
+    if len(shards) == 1:
+        lo, hi, kind, least, _ = shards[0]
         out[lo:hi] = least[kind]
+        return out
+    known, lowest = np.zeros(0, f"S{span + 1}"), np.zeros(0, np.int64)
+    for *_, least, first in shards:
+        rows = _rows(data, first, span)
+        at = np.searchsorted(known, rows)
+        hit = at < len(known)
+        hit[hit] = known[at[hit]] == rows[hit]
+        lowest[at[hit]] = np.minimum(lowest[at[hit]], least[hit])
+        known, lowest = np.insert(known, at[~hit], rows[~hit]), np.insert(lowest, at[~hit], least[~hit])
+    for lo, hi, kind, _, first in shards:
+        out[lo:hi] = lowest[np.searchsorted(known, _rows(data, first, span))][kind]
     return out
 
 
+def _rows(data: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """The windows at ``at`` as comparable strings."""
+    text = np.ones((len(at), span + 1), np.uint8)  # a last byte that isn't zero
+    text[:, :span] = data[at[:, None] + np.arange(span)]
+    return text.view(f"S{span + 1}").ravel()
+
+
 # --------------------------------------------------------------------- runs of windows
 
 
@@ -294,7 +323,8 @@ def _cut_docs(docs: DataFrame, id_col: str, text_col: str, span: int, with_text:
         )
 
     rows = stored(blocks.map(blocks.df, digests, "block long, place long, id long, digest binary").filter("digest is not null"), "digests")
-    least = rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("most > least").select("digest", "least")
+    # Stored, so that the join's sides are plain shuffles and a text in many rows is split.
+    least = stored(rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("most > least").select("digest", "least"), "least")
     copies = stored(rows.join(least, "digest").filter("id > least").groupBy("block").agg(F.collect_list("place").alias("copies")), "copies")
 
     def ask(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -319,6 +349,7 @@ def _cut_docs(docs: DataFrame, id_col: str, text_col: str, span: int, with_text:
             )
 
     def settle(group: pa.Table) -> pa.Table:
+        """For each block, which of the windows it sent also start in a document with a smaller id."""
         group = group.combine_chunks()
         join = lambda n, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group[n]])
         count, ids, data = join("counts", "<i4").astype(np.int64), join("ids", "<i8"), join("data", np.uint8)

@@ -1,16 +1,22 @@
 """Toxicity: a support vector machine on a gapped subsequence kernel with Nyström landmarks.
 
-Landmarks are the word beginnings and words whose presence in a labelled text says most
-about its label; one that a longer one explains as well gives way to it. A word's
-likeness to a landmark is the string kernel of common subsequences of three characters,
-each weighed by ``DECAY`` for every character it spans in the landmark and by ``GAP`` for
-every one in the word, relative to the landmark's own. Each three characters of the landmark
+Marks are the word beginnings and words whose presence in a labelled text says most about
+its label; one that a longer one explains as well gives way to it. A word's likeness to a
+mark is the string kernel of common subsequences of three characters,
+each weighed by ``DECAY`` for every character it spans in the mark and by ``GAP`` for
+every one in the word, relative to the mark's own. Each three characters of the mark
 count once, where the word has them closest together, so that repeats in a long word don't
 add up. An insult with a character put in after each of its own keeps 0.65 to 0.8; up to
 ``LEAST`` counts as nothing. Punctuation inside a word is passed over, and runs of single
-characters are read as one word. A text's features are its words' summed
-likenesses, whitened by the landmarks' kernel matrix (Nyström), and their totals; a linear machine with
-squared hinge loss, trained on labelled texts, scores them through a logistic.
+characters are read as one word.
+
+A text's string features are its words' summed likenesses and their density, both whitened
+by the marks' kernel matrix. Landmarks are labelled texts, as many of either class; the
+kernel of a text and a landmark is the Gaussian of the distance between their string
+features, and the Nyström map takes a text's kernels with all landmarks through the inverse
+root of the landmarks' own kernel matrix. A linear machine with squared hinge loss on these
+coordinates, trained on labelled texts, scores them through a logistic. The Gaussian's width
+is the one of least errors in a cross-validation over the training texts.
 
 Only texts are read for scores. At most ``max_rows`` labelled rows (of least hash of the id)
 are used for fitting; all words of all texts are scored. Null and empty texts have no
@@ -25,7 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +44,7 @@ from .quality import fold, training_rows
 from .shared import named, stored
 
 MAX_ROWS = 6000
-LANDMARKS = 40
+MARKS = 40
 DECAY = 0.6
 #: Decay of a character spanned in a text's word: insertions cost less than gaps in the landmark.
 GAP = 0.9
@@ -46,8 +52,10 @@ WIDTH = 24
 LEAST = 0.45
 #: Letters, digits and bytes of wide characters; other bytes are punctuation.
 KEPT = np.array([chr(c).isalnum() or c > 127 for c in range(256)])
-#: A landmark whose toxic share has a lower bound above this counts as pure.
-PURE = 0.8
+#: Labelled texts that serve as landmarks, at most; widths of the Gaussian that are tried; weight of the machine's norm.
+SENTENCES = 200
+GAMMAS = (0.03, 0.1, 0.3)
+PENALTY = 0.1
 STARTS = (4, 5, 6, 7, 8)
 
 
@@ -172,31 +180,45 @@ def words_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    landmarks: list[bytes]
+    """Marks with their own kernel values and whitening; landmarks with the inverse root of their kernel matrix; the linear machine."""
+
+    marks: list[bytes]
     reach: np.ndarray
     white: np.ndarray
-    weights: np.ndarray
-    bias: float
-    slope: float
-    offset: float
-    pure: np.ndarray | None = None
-
-    def mapped(self, features: np.ndarray) -> np.ndarray:
-        """Nyström coordinates of the summed likenesses, and how many words resemble landmarks of either kind."""
-        sums, words = features[:, :-1], features[:, -1]
-        parts = [np.log1p(sums) @ self.white]
-        for kind in (self.pure, ~self.pure):
-            t = sums[:, kind].sum(1)
-            parts += [np.log1p(t)[:, None], *(np.minimum(t, k)[:, None] for k in (1, 2, 3)), np.sqrt(100 * t / (words + 20))[:, None]]
-        return np.hstack(parts)
+    gamma: float = 0.0
+    landmarks: np.ndarray | None = None
+    root: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    bias: float = 0.0
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def string_features(self, features: np.ndarray) -> np.ndarray:
+        """Density and logarithm of the summed likenesses, whitened."""
+        sums, words = features[:, :-1], features[:, -1:]
+        return np.hstack([np.sqrt(100 * sums / (words + 20)) @ self.white, np.log1p(sums) @ self.white])
+
+    def mapped(self, strings: np.ndarray) -> np.ndarray:
+        """Nyström coordinates of texts with these string features."""
+        return gaussian(strings, self.landmarks, self.gamma) @ self.root
+
+    def with_landmarks(self, strings: np.ndarray, gamma: float) -> Machine:
+        value, vector = np.linalg.eigh(gaussian(strings, strings, gamma))
+        return replace(self, gamma=gamma, landmarks=strings, root=vector / np.sqrt(np.maximum(value, 1e-6)))
+
+    def fitted(self, strings: np.ndarray, y: np.ndarray) -> Machine:
+        x = self.mapped(strings)
+        weights, bias = _svm(x, y, PENALTY)
+        slope, offset = _platt(x @ weights + bias, y)
+        return replace(self, weights=weights, bias=bias, slope=slope, offset=offset)
 
     def likeness(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each landmark the pieces that resemble it, and how much (0 to 1)."""
+        """For each mark the pieces that resemble it, and how much (0 to 1)."""
         # A word with punctuation put in counts as the better of itself and its letters alone.
         n, (spoilt, bare) = len(rows), _bare(rows)
         rows = np.concatenate([rows, bare])
         have = _letters(rows)
-        for k, mark in enumerate(self.landmarks):
+        for k, mark in enumerate(self.marks):
             need = _letters(_matrix([mark], WIDTH))[0]
             missing = np.bitwise_count(need & ~have)
             at = np.flatnonzero(missing <= int(need).bit_count() // 4)
@@ -220,8 +242,8 @@ class Machine:
             yield k, at, best[at]
 
     def features(self, block: Block) -> np.ndarray:
-        """Summed likeness of each document's words to each landmark, and the number of words."""
-        out = np.zeros((len(block.ids), len(self.landmarks) + 1))
+        """Summed likeness of each document's words to each mark, and the number of words."""
+        out = np.zeros((len(block.ids), len(self.marks) + 1))
         rows, where, doc = words_of(block)
         if not len(where):
             return out
@@ -235,10 +257,38 @@ class Machine:
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        margin = self.mapped(features) @ self.weights + self.bias if len(self.landmarks) else np.full(len(features), self.bias)
+        return self.judged(self.string_features(features)) if self.marks else self.judged(np.zeros((len(features), 0)))
+
+    def judged(self, strings: np.ndarray) -> np.ndarray:
+        margin = self.mapped(strings) @ self.weights + self.bias if self.marks else np.full(len(strings), self.bias)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
+def gaussian(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    far = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+    return np.exp(-gamma * np.maximum(far, 0))
+
+
+def choose_landmarks(strings: np.ndarray, y: np.ndarray, most: int = SENTENCES) -> np.ndarray:
+    """Distinct training texts that resemble some mark, evenly from both classes, and the text that resembles none."""
+    some = strings.any(1)
+    kinds = [np.unique(strings[some & (y == k)], axis=0) for k in (0, 1)]
+    share = [min(len(k), most // 2) for k in kinds]
+    share = [min(len(k), most - other) for k, other in zip(kinds, share[::-1], strict=True)]
+    picked = [k[np.linspace(0, len(k) - 1, n).round().astype(int)] for k, n in zip(kinds, share, strict=True) if n]
+    return np.concatenate([np.zeros((1, strings.shape[1])), *picked])
+
+
+def _errors(machine: Machine, strings: np.ndarray, y: np.ndarray, folds: int = 3) -> int:
+    """Wrong verdicts on texts that were left out in turn."""
+    out, fold_of = 0, np.arange(len(y)) % folds
+    for k in range(folds):
+        own, left = fold_of != k, fold_of == k
+        if 0 < y[own].sum() < own.sum():
+            out += int(((machine.fitted(strings[own], y[own]).judged(strings[left]) >= 0.3) != (y[left] == 1)).sum())
+    return out
+
+
 def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
     """Squared hinge loss with classes weighed alike, by Newton steps."""
     sign = 2 * y - 1
@@ -306,7 +356,7 @@ def wilson(toxic, seen, z: float = 2.0):
 
 
 def choose(marks: list[tuple[bytes, int]], most: int) -> list[bytes]:
-    """Landmarks from (string, toxic texts), best first: none that an earlier one covers."""
+    """Marks from (string, toxic texts), best first: none that an earlier one covers."""
     out: list[bytes] = []
     for mark, toxic in sorted(marks, key=lambda x: (-x[1], -len(x[0]), x[0])):
         if len(out) == most:
@@ -318,12 +368,12 @@ def choose(marks: list[tuple[bytes, int]], most: int) -> list[bytes]:
     return out
 
 
-def train(rows: DataFrame, most: int = LANDMARKS) -> Machine:
+def train(rows: DataFrame, most: int = MARKS) -> Machine:
     """A machine from (id, text, label) rows."""
     base = rows.groupBy("label").agg(F.count("*").alias("n")).collect()
     n = {r["label"]: r["n"] for r in base}
     share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1.0)
-    empty = Machine([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0, 1.0, math.log(share / (1 - share)))
+    empty = Machine([], np.zeros(0), np.zeros((0, 0)), offset=math.log(share / (1 - share)))
     if not n.get(0) or not n.get(1):
         return empty
     columns = ("seen", "toxic", "seen2", "toxic2")
@@ -331,10 +381,9 @@ def train(rows: DataFrame, most: int = LANDMARKS) -> Machine:
     # Wilson's lower bound of the toxic share, among texts that have the string or have it twice, must be well above the base rate.
     once = F.coalesce(wilson(F.col("toxic"), F.nullif("seen", F.lit(0))), F.lit(0.0))
     twice = F.coalesce(wilson(F.col("toxic2"), F.nullif("seen2", F.lit(0))), F.lit(0.0))
-    good = table.filter(F.greatest(once, twice) > min(0.5, 4 * share)).withColumn("once", once)
+    good = table.filter(F.greatest(once, twice) > min(0.5, 4 * share))
     good = good.orderBy(F.desc("toxic"), F.desc(F.length("mark")), "mark").limit(40 * most).collect()
     marks = choose([(bytes(r["mark"]), r["toxic"]) for r in good], most)
-    bounds = {bytes(r["mark"]): r["once"] for r in good}
     if not marks:
         return empty
     width = max(map(len, marks))
@@ -342,9 +391,8 @@ def train(rows: DataFrame, most: int = LANDMARKS) -> Machine:
     gram = np.array([kernel(_matrix(marks, width), m) for m in marks]) / np.sqrt(own[:, None] * own[None, :])
     value, vector = np.linalg.eigh((gram + gram.T) / 2 + 0.1 * np.eye(len(marks)))
     white = vector / np.sqrt(np.maximum(value, 0.05)) @ vector.T
-    pure = np.array([bounds[m] > PURE for m in marks])
     reach = np.array([covered(_matrix([m], len(m)), m)[0] for m in marks])
-    machine = Machine(marks, reach, white, np.zeros(0), 0.0, 1.0, 0.0, pure)
+    machine = Machine(marks, reach, white)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in streamed(batches):
@@ -353,10 +401,10 @@ def train(rows: DataFrame, most: int = LANDMARKS) -> Machine:
     got = rows.mapInArrow(vectors, "x array<double>, label int").toPandas()
     x, y = np.array(got["x"].tolist()), got["label"].to_numpy().astype(float)
     order = np.lexsort([*x.T, y])
-    x, y = machine.mapped(x[order]), y[order]
-    weights, bias = _svm(x, y)
-    slope, offset = _platt(x @ weights + bias, y)
-    return Machine(marks, reach, white, weights, bias, slope, offset, pure)
+    strings, y = machine.string_features(x[order]), y[order]
+    landmarks = choose_landmarks(strings, y)
+    tried = [machine.with_landmarks(landmarks, g) for g in GAMMAS]
+    return min(tried, key=lambda m: _errors(m, strings, y)).fitted(strings, y)
 
 
 def classify(

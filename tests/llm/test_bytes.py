@@ -40,6 +40,9 @@ def test_suffix_array(n):
     raw = data.tobytes()
     assert order.tolist() == sorted(range(n), key=lambda i: raw[i:])
     common = S.common_prefixes(data, order, n)
+    near, rank64 = S.suffix_array(data, 64)
+    deep = S.common_prefixes(data, near, 50, rank64)
+    assert all(deep[i] == min(50, next((k for k in range(50) if data[near[i] + k : near[i] + k + 1].tobytes() != data[near[i - 1] + k : near[i - 1] + k + 1].tobytes() or near[i] + k >= n), 50)) for i in range(1, n))
     for j in range(1, n):
         x, y = raw[order[j] :], raw[order[j - 1] :]
         k = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
@@ -261,7 +264,7 @@ def test_gapped_words_keep_their_likeness(mark):
     from rosterlens.llm import toxicity as T
 
     m = mark.decode()
-    machine = T.Machine([mark], T.covered(T._matrix([mark], len(mark)), mark), np.zeros((1, 1)), np.zeros(0), 0.0, 1.0, 0.0, np.ones(1, bool))
+    machine = T.Machine([mark], T.covered(T._matrix([mark], len(mark)), mark), np.zeros((1, 1)))
     texts = [f"{m[:2]}{c}{m[2:]} {m[0]}{c}{m[1:-1]}{c}{m[-1]} {c.join(m)}" for c in ".x"] + [c.join(m) for c in ".x"] + ["table of the house"]
     got = machine.features(block(texts))[:, 0]
     assert got[0] > 2.9 and got[1] > 1.8 and got[2] > 0.9 and got[3] > 0.3 and got[4] == 0
