@@ -10,6 +10,7 @@ from .arrays import contains_any, distinct_ignoring_case, split_values
 
 SENTENCE = r"(?U)(?<=[.!?])\s+|\n+"
 SENTENCE_ON_LINE = r"(?U)(?<=[.!?])\s+"
+#: Patterns of contacts and prices. Results hang on them.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?U)\+?[0-9][0-9\s().-]{7,}[0-9]"
 PRICE = r"[$₹]\s?[0-9][0-9,]*(?:\.[0-9]{1,2})?"

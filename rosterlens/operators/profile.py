@@ -17,6 +17,7 @@ from ..functions.text import SENTENCE, clean_string, sentences, strip, strip_cha
 from .lexicon import best_label, top_labels
 from .score import extraction_confidence, fallback_confidence
 
+#: Patterns of product sentences, brands and names. Results hang on them.
 CONTEXT = r"(?i)\b(?:product|platform|software|system|solution|tool|suite|robot|drone|vehicle|device|sensor|engine|sdk|api)\b"
 BRAND = r"\b[A-Z][a-z]+(?:[A-Z][a-z]*)+\b|\b[A-Z]{2,5}(?:[0-9]+)?\b|\b[A-Z][a-z]+ [A-Z][a-z]+"
 NAME_LIKE = r"\b[A-Z][a-z]+(?:[A-Z][a-z]*)+\b|\b[A-Z]{2,}[0-9]+\b|\b[A-Z][a-z]+ [A-Z][a-z]+\b"

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.arrays import contains_any, distinct_ignoring_case, let, split_values, strings
 from .lexicon import first_match, words_present
 
+#: Patterns of names and of what follows or introduces a product. Results hang on them.
 NAME = r"\b([A-Z][A-Za-z0-9&+\-]*(?:\s+[A-Z][A-Za-z0-9&+\-]*)*)\b"
 ITEMS = "array<struct<name: string, specifications: string>>"
 _PHRASE = r"[A-Z][A-Za-z0-9][A-Za-z0-9\-]*(?:\s+[A-Z][A-Za-z0-9][A-Za-z0-9\-]*){0,4}"

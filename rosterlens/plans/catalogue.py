@@ -55,9 +55,18 @@ def low(column: str = "text") -> Column:
     return F.lower(F.coalesce(F.col(column), F.lit("")))
 
 
-def points(docs: DataFrame) -> DataFrame:
+def points(docs: DataFrame, products: Column | None = None) -> DataFrame:
     """doc_id, text, source and the four factors' points under the test lexicon."""
-    return docs.select("doc_id", "text", "source", *(c.alias(k) for k, c in S.factors(F.coalesce(F.col("text"), F.lit("")), lexicon=LEX).items()))
+    return docs.select("doc_id", "text", "source", *(c.alias(k) for k, c in S.factors(F.coalesce(F.col("text"), F.lit("")), products=products, lexicon=LEX).items()))
+
+
+def capitalised(most: int) -> Column:
+    return F.slice(F.filter(T.words(F.coalesce("text", F.lit(""))), lambda w: w.rlike(r"^[A-Z][a-z]+\z")), 1, most)
+
+
+def made_up_confidence() -> Column:
+    """Some confidence between 0 and 1 that hangs on a text's length."""
+    return F.pmod(F.length(F.coalesce("text", F.lit(""))), F.lit(100)) / 100
 
 
 def fit(docs: DataFrame) -> DataFrame:
@@ -127,7 +136,7 @@ def contact_hints(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
-    return points(texts(spark, d)).drop("text", "source")
+    return points(texts(spark, d), capitalised(3)).drop("text", "source")
 
 
 @query
@@ -184,7 +193,7 @@ def penalised_score(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
     df = fit(texts(spark, d)).join(labels, "doc_id", "left")
     df = df.withColumns({"quality": T.quality_flag(F.col("text")), "extracted": F.coalesce(F.col("q") == 1, F.lit(False))})
-    m, p = S.multiplier(F.col("quality"), F.col("extracted")), S.penalty(F.col("quality"), F.col("extracted"), F.lit(0.5))
+    m, p = S.multiplier(F.col("quality"), F.col("extracted")), S.penalty(F.col("quality"), F.col("extracted"), made_up_confidence())
     return df.select("doc_id", S.adjusted(F.col("total"), m, p).cast("double").alias("score"))
 
 
@@ -342,8 +351,8 @@ def dashboard_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def csv_json_projection(spark: SparkSession, d: str) -> DataFrame:
-    df = fit(table(spark, d, "documents")).withColumn("products", F.slice(F.filter(T.words(F.coalesce("text", F.lit(""))), lambda w: w.rlike("^[A-Z][a-z]+$")), 1, 2))
-    df = df.select(F.col("doc_id").cast("string").alias("website"), F.col("source").alias("company_name"), F.col("total").cast("double").alias("score"), F.lit(0.5).alias("confidence"), K.products_json(F.col("products")).alias("products"))
+    df = fit(table(spark, d, "documents")).withColumn("products", capitalised(2))
+    df = df.select(F.col("doc_id").cast("string").alias("website"), F.col("source").alias("company_name"), F.col("total").cast("double").alias("score"), made_up_confidence().alias("confidence"), K.products_json(F.col("products")).alias("products"))
     return K.csv_rows(K.validated(df)).select("website", "company_name", "score", "confidence", "products", "category")
 
 

@@ -116,7 +116,7 @@ def oracles(test_rules, test_first, test_links) -> dict[str, str]:
           left(list_filter(lines, lambda x: {_any(L.ADDRESS_HINTS, 'lower(x)')} AND regexp_matches(x, '[0-9]'))[1], 200) AS address, left(list_filter(s, lambda x: {_any(L.SPEC_SENTENCE_WORDS, 'lower(x)')})[1], 240) AS spec,
           nullif(left(array_to_string(list_filter(s, lambda x: len(string_split_regex(x, '\\s+')) >= 6)[1:2], ' '), 500), '') AS description
           FROM (SELECT doc_id, lower({_T}) AS low, {same_line} AS s, list_filter(list_transform(string_split_regex({_T}, '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents)""",
-        "lexicon_hits": f"WITH {_POINTS} SELECT doc_id, domain, product, ai, use_case FROM pts",
+        "lexicon_hits": f"WITH {_POINTS} SELECT doc_id, domain, least(product + least(8 * len(list_filter(list_filter(string_split_regex({_T}, '\\s+'), lambda x: regexp_full_match(x, '[A-Z][a-z]+'))[1:3], lambda x: length(x) > 3)), 24), 100) AS product, ai, use_case FROM pts",
         "fit_score": f"WITH {_FIT} SELECT doc_id, CAST(total AS DOUBLE) AS score, {_CATEGORY} AS category FROM fit",
         "fit_rank_topk": f"WITH {_FIT} SELECT doc_id, source, CAST(total AS DOUBLE) AS score, {_CATEGORY} AS category FROM fit WHERE length(text) >= 800 ORDER BY total DESC, doc_id LIMIT 20",
         "weighted_label_argmax": f"WITH {_labels(test_rules, False)} SELECT d.doc_id, coalesce(l.label, '') AS label FROM documents d LEFT JOIN (SELECT doc_id, label FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) = 1) l USING (doc_id)",
@@ -127,8 +127,8 @@ def oracles(test_rules, test_first, test_links) -> dict[str, str]:
         "recommend_reason": f"""WITH {_FIT}, r AS (SELECT *, list_filter([CASE WHEN b_domain >= 12 THEN 'domain match (' || source || ')' END, CASE WHEN b_ai >= 8 THEN 'AI/vision capabilities' END, CASE WHEN b_use >= 8 THEN 'use case: aligned application' END, CASE WHEN b_use >= 10 THEN 'strong use-case alignment' END], lambda x: x IS NOT NULL) AS sig FROM fit)
           SELECT doc_id, CASE WHEN len(sig) = 0 THEN {q(L.WEAK_REASON.format(target=L.TARGET))} ELSE {q(L.FIT_REASON.format(target=L.TARGET))} || array_to_string(sig, '; ') || ' (score ' || regexp_replace(printf('%.2f', CAST(total AS DOUBLE)), '(\\.[0-9])0$', '\\1') || ').' END AS reason,
           CASE WHEN contains(low, 'thth') OR contains(low, 'license') THEN 'A1,A2' WHEN contains(low, 'eau') OR contains(low, 'sch') THEN 'B1' ELSE 'C1' END AS advice FROM r""",
-        "penalised_score": f"""WITH {_FIT}, l AS (SELECT doc_id, max(quality) AS ql FROM labels GROUP BY 1), z AS (SELECT fit.doc_id, total, {_FLAG} AS f, coalesce(ql = 1, false) AS ok FROM fit LEFT JOIN l USING (doc_id)),
-          m AS (SELECT *, CAST((CASE f WHEN 'GOOD' THEN 1.00 WHEN 'LOW' THEN 0.70 ELSE 0.50 END) * (CASE WHEN ok THEN 1.00 ELSE 0.60 END) AS DECIMAL(4,2)) AS mult, CASE WHEN NOT ok THEN 10 WHEN f = 'LOW' THEN 5 ELSE 0 END AS pen FROM z)
+        "penalised_score": f"""WITH {_FIT}, l AS (SELECT doc_id, max(quality) AS ql FROM labels GROUP BY 1), z AS (SELECT fit.doc_id, total, length({_T}) AS n, {_FLAG} AS f, coalesce(ql = 1, false) AS ok FROM fit LEFT JOIN l USING (doc_id)),
+          m AS (SELECT *, CAST((CASE f WHEN 'GOOD' THEN 1.00 WHEN 'LOW' THEN 0.70 ELSE 0.50 END) * (CASE WHEN ok THEN 1.00 ELSE 0.60 END) AS DECIMAL(4,2)) AS mult, CASE WHEN NOT ok THEN 10 WHEN f = 'LOW' THEN 5 WHEN n % 100 < 45 THEN 5 ELSE 0 END AS pen FROM z)
           SELECT doc_id, CAST(greatest(least(CAST(total * mult - pen AS DECIMAL(10,2)), 100.00), 0.00) AS DOUBLE) AS score FROM m""",
         "need_score": f"SELECT doc_id, CAST(least(9 * ({hits(('ation', 'thth', 'eau', 'sch', 'ción', 'license'), f'lower({_T})')}), 100) AS DOUBLE) AS need FROM documents",
         "roster_dedupe": f"SELECT page_id, {_DOMAIN.format('url')} AS name, trim(url) AS website FROM pages WHERE url IS NOT NULL AND trim(url) <> '' AND {_DOMAIN.format('url')} <> '' QUALIFY row_number() OVER (PARTITION BY lower({_DOMAIN.format('url')}), {_SITE} ORDER BY page_id) = 1",
@@ -156,7 +156,7 @@ def oracles(test_rules, test_first, test_links) -> dict[str, str]:
         "name_search": "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00012')",
         "dashboard_summary": "SELECT count(*) AS n, arg_max(s_name, s_acctbal) AS top_name, max(s_acctbal) AS top_score, round(coalesce(avg(s_acctbal), 0), 4) AS mean_score FROM supplier",
         "csv_json_projection": f"""WITH {_FIT}, p AS (SELECT *, list_filter(string_split_regex({_T}, '\\s+'), lambda x: regexp_full_match(x, '[A-Z][a-z]+'))[1:2] AS names FROM fit)
-          SELECT CAST(doc_id AS VARCHAR) AS website, source AS company_name, CAST(total AS DOUBLE) AS score, 0.5::DOUBLE AS confidence, CASE WHEN len(names) = 0 THEN '' ELSE '[' || array_to_string(list_transform(names, lambda x: '{{"name":"' || x || '","specifications":""}}'), ',') || ']' END AS products, '' AS category FROM p""",
+          SELECT CAST(doc_id AS VARCHAR) AS website, source AS company_name, CAST(total AS DOUBLE) AS score, (length({_T}) % 100) / 100.0::DOUBLE AS confidence, CASE WHEN len(names) = 0 THEN '' ELSE '[' || array_to_string(list_transform(names, lambda x: '{{"name":"' || x || '","specifications":""}}'), ',') || ']' END AS products, '' AS category FROM p""",
         "title_tokens": "SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name, '[A-Za-z0-9&+\\-]+'), lambda x: CASE WHEN x = upper(x) AND x <> lower(x) THEN x ELSE upper(x[1]) || lower(x[2:]) END), ' ') AS title FROM part",
         "source_coverage": f"SELECT source, round(count(*) FILTER (regexp_matches({_T}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') OR regexp_matches({_T}, '\\+?[0-9][0-9\\s().-]{{7,}}[0-9]'))::DOUBLE / count(*), 4) AS coverage FROM documents GROUP BY 1",
         "keyword_sections": f"""WITH s AS (SELECT doc_id, list_filter({_S}, lambda x: {_any(('license', 'thth', 'eau'), 'lower(x)')}) AS s FROM documents), k AS (SELECT doc_id, list_filter(s, lambda x, i: list_position(list_transform(s, lambda y: lower(y)), lower(x)) = i) AS k FROM s)
