@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import named, stored, work_path
+from .shared import made_table, named, stored, work_path
 
 BLOCK_BYTES = 3 << 19
 BLOCK_DOCS = 1 << 16
@@ -228,7 +228,7 @@ class Blocks:
         self.carry_kinds = [f.dataType.simpleString() for f in source.schema.fields[2:]]
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = int(min(max(width, input_bytes(source) // (64 << 20)), 100_000))
-        name = f"rosterlens_{uuid.uuid4().hex}"
+        name = made_table(f"rosterlens_{uuid.uuid4().hex}")
         (
             source.mapInArrow(_pack, _BLOCK_SCHEMA)
             .write.option("path", work_path(spark, "blocks")).option("compression", "zstd")

@@ -71,4 +71,37 @@ FROM r JOIN v USING (host)
 """
 )
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_host_reputation": HOST_REPUTATION}
+#: Sets that share a shingle, compared in full; classes and components by reachability.
+JACCARD = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+k AS (SELECT list_sort(s) AS s, min(doc_id) AS class_id, len(any_value(s)) AS n FROM g WHERE len(s) > 0 GROUP BY list_sort(s)),
+c AS (SELECT row_number() OVER (ORDER BY class_id) AS c, * FROM k),
+x AS (SELECT c, n, unnest(s) AS t FROM c),
+pair AS (
+  SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.t = b.t AND a.c < b.c AND b.n * 100 >= a.n * 90 AND a.n * 100 >= b.n * 90
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach(c, x) AS (SELECT c, c FROM c UNION SELECT reach.c, e.b FROM reach JOIN e ON e.a = reach.x),
+m AS (SELECT reach.c, min(c.class_id) AS component_id FROM reach JOIN c ON c.c = reach.x GROUP BY 1)
+SELECT doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(c.class_id, doc_id) AS class_id, coalesce(component_id, doc_id) AS component_id
+FROM g LEFT JOIN c ON list_sort(g.s) = c.s LEFT JOIN m USING (c)
+"""
+
+#: All 50-byte strings by place; runs of removed bytes, and what lies between them.
+SUFFIX = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, b[p:p + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS p FROM d)),
+h AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER o + 50 THEN 0 ELSE 1 END AS new FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 49 AS z FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM i) GROUP BY doc_id, g),
+k AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a + 1) AS n, count(*) AS spans FROM r GROUP BY 1)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN n IS NULL THEN b ELSE list_reduce(list_transform(range(1, len(a) + 2), lambda j: b[CASE WHEN j = 1 THEN 1 ELSE z[j - 1] + 1 END : CASE WHEN j > len(a) THEN octet_length(b) ELSE a[j] - 1 END]), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_host_reputation": HOST_REPUTATION, "op6_suffix_dedup": SUFFIX, "op7_jaccard_join": JACCARD}

@@ -6,7 +6,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op5_host_reputation"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op5_host_reputation", "op6_suffix_dedup", "op7_jaccard_join"])
 def test_sql(spark, name):
     import duckdb
 
