@@ -306,13 +306,58 @@ def _budget() -> str:
       SELECT d.doc_id, CAST(length(left(CASE WHEN length(coalesce(j, '')) < 150 THEN left({_T}, 900) ELSE j END, 900)) AS INT) AS n FROM documents d LEFT JOIN j USING (doc_id)"""
 
 
-def oracles() -> dict[str, str]:
-    parsed = "CASE WHEN starts_with(trim(cell), '[') AND json_valid(cell) THEN 1 ELSE 0 END"
+def _summaries(source: str) -> str:
+    """(doc_id, t, summary): the first sentences of some length, or the opening."""
     clean = f"list_transform(list_filter({_S}, lambda x: length(x) >= 40)[1:3], lambda x: x)"
     opening = "regexp_extract(left(t, 300), '(?s)^(.*\\.)', 1)"
+    return f"""SELECT doc_id, t, CASE WHEN length(main) >= 50 THEN main WHEN length(opening) > 40 THEN opening ELSE '' END AS summary FROM (
+      SELECT doc_id, t, CASE WHEN c <> '' THEN regexp_replace(left(c, 350), '[ ,;:]+$', '') ELSE {strip("regexp_replace(left(t, 350), ' [^ ]*$', '')")} END AS main, {strip(f"CASE WHEN {opening} <> '' THEN {opening} ELSE left(t, 300) END")} AS opening
+      FROM (SELECT doc_id, {_T} AS t, array_to_string({clean}, ' ') AS c FROM {source}))"""
+
+
+def _rank_pipeline() -> str:
+    """Sources as companies, ranked by the keyword profiles of their merged texts under the test lexicon."""
+    from .sql import _CLEAN, _SIG
+
+    lex = L.TEST_LEXICON
+    merged = f"""WITH c AS (SELECT doc_id, source, {_CLEAN.format(_T)} AS text FROM documents), s AS (SELECT source, doc_id, unnest({_S}) AS s, generate_subscripts({_S}, 1) AS p FROM c),
+      k AS (SELECT *, {_SIG.format('s', 14)} AS sig FROM s WHERE length(s) >= 40), u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY source, sig ORDER BY doc_id, p) = 1),
+      b AS (SELECT *, coalesce(sum(length(s) + 1) OVER (PARTITION BY source ORDER BY doc_id, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
+      SELECT source AS doc_id, trim(left(string_agg(s, ' ' ORDER BY doc_id, p), 2800)) AS text FROM b WHERE before < 2801 GROUP BY 1 HAVING length(left(string_agg(s, ' ' ORDER BY doc_id, p), 2800)) >= 800"""
+    points = lambda a, b, strong, medium, low: f"{a} * ({hits(lex[strong], low)}) + {b} * ({hits(lex[medium], low)})"
+    weights = ", ".join(f"CASE WHEN contains(used, {q(w)}) THEN {n} ELSE 0 END" for w, n in lex["use_cases"].items())
+    bonus = "least(8 * len(list_filter(string_split(products, ','), lambda x: length(x) > 3)), 24)"
+    share = lambda x, w, name: f"CAST(least({x}, 100) * {w} AS DECIMAL(8,2)) AS {name}"
+    return f"""WITH merged AS ({merged}), o AS (SELECT source AS doc_id, min(doc_id) AS ord FROM documents GROUP BY 1),
+      p AS ({keyword_profiles('merged')}), z AS ({_summaries('merged')}),
+      a AS (SELECT o.ord, p.*, replace(use_cases, ',', ' ') AS uses, lower(summary || ' ' || t) AS body, CASE WHEN length(t) >= 1000 THEN 'GOOD' ELSE 'LOW' END AS flag FROM p JOIN z USING (doc_id) JOIN o USING (doc_id)),
+      w AS (SELECT *, body || ' ' || lower(industry) || ' ' || lower(uses) AS wide, body || ' ' || lower(replace(products, ',', ' ')) || ' ' AS made, body || ' ' || lower(replace(technologies, ',', ' ')) AS tech, body || ' ' || lower(uses) AS used FROM a),
+      f AS (SELECT *, {share(points(28, 10, 'domain_strong', 'domain_medium', 'wide'), 0.35, 'dom')}, {share(points(25, 10, 'product_strong', 'product_medium', 'made') + ' + ' + bonus, 0.25, 'pro')},
+        {share(points(22, 8, 'ai_strong', 'ai_medium', 'tech'), '0.20', 'ai')}, CAST(greatest(0, {weights}) * 0.20 AS DECIMAL(8,2)) AS use FROM w),
+      g AS (SELECT *, greatest(least(CAST(least(dom + pro + ai + use, 100) * CASE WHEN flag = 'LOW' THEN 0.70 ELSE 1.00 END - CASE WHEN flag = 'LOW' OR confidence < 0.45 THEN 5 ELSE 0 END AS DECIMAL(10,2)), 100), 0) AS total FROM f),
+      h AS (SELECT *, list_filter([CASE WHEN dom >= 12 THEN 'domain match (' || coalesce(nullif(industry, ''), 'target sector') || ')' END, CASE WHEN ai >= 8 THEN 'AI/vision capabilities' END,
+        CASE WHEN use >= 8 THEN 'use case: ' || coalesce(nullif(string_split(use_cases, ',')[1], ''), 'aligned application') END, CASE WHEN use >= 10 THEN 'strong use-case alignment' END], lambda x: x IS NOT NULL) AS sig FROM g)
+      SELECT ord, doc_id AS company_name, doc_id AS website, CAST(total AS DOUBLE) AS score, CASE WHEN total >= 75 THEN 'High Potential' WHEN total >= 55 THEN 'Good Potential' WHEN total >= 35 THEN 'Moderate' ELSE 'Low Potential' END AS category,
+        industry, confidence, CASE WHEN len(sig) = 0 THEN {q(L.WEAK_REASON.format(target=L.TARGET))} ELSE {q(L.FIT_REASON.format(target=L.TARGET))} || array_to_string(sig, '; ') || ' (score ' || regexp_replace(printf('%.2f', CAST(total AS DOUBLE)), '(\\.[0-9])0$', '\\1') || ').' END AS reason FROM h"""
+
+
+def _headings() -> str:
+    """Pages there have plain headings, and lists of links without further elements."""
+    plain = "regexp_replace(y, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        plain = f"replace({plain}, {q(entity)}, {q(char)})"
+    inner = lambda tag: f"list_transform(regexp_extract_all(coalesce(html, ''), '(?s)<{tag}>(.*?)</{tag}>', 1), lambda y: {strip(plain)})"
+    heads = f"list_filter({inner('h1')}, lambda t: length(t) > 15 AND length(t) < 120 AND NOT {_any(L.HEADING_BLACKLIST, 'lower(t)')})"
+    items = f"list_filter({inner('li')}, lambda t: length(t) > 15 AND length(t) < 500)"
+    return f"SELECT page_id, coalesce(array_to_string({heads}[1:10], ' '), '') AS headings, coalesce(array_to_string({items}[1:10], ' '), '') AS listed FROM pages"
+
+
+def oracles() -> dict[str, str]:
+    parsed = "CASE WHEN starts_with(trim(cell), '[') AND json_valid(cell) THEN 1 ELSE 0 END"
     return {
         "keyword_profiles": keyword_profiles("documents"),
         "relevant_budget": _budget(),
+        "page_headings": _headings(),
         "case_keyword_profiles": keyword_profiles(_TEXTS),
         "case_technologies": f"SELECT doc_id, {csv(technologies("(' ' || lower(coalesce(text, '')) || ' ')", 'existing'))} AS technologies FROM {_TEXTS} JOIN {rows(C.EXISTING.items(), 'doc_id, existing')} USING (doc_id)",
         "case_clean_names": _clean_names(),
@@ -335,10 +380,9 @@ def oracles() -> dict[str, str]:
           SELECT website, md5(replace(replace({q(SANDBOX)}, '{{name}}', name), '{{domain}}', dom)) AS digest, name || ' Navigator system, ' || name || ' Inspector device.' AS products, 'GOOD' AS quality FROM k""",
         "case_outcomes": _outcomes(),
         "ranked_profiles": _ranked_profiles(),
-        "summary_fallbacks": f"""WITH c AS (SELECT doc_id, {_T} AS t, array_to_string({clean}, ' ') AS c FROM documents), m AS (SELECT doc_id, t, CASE WHEN c <> '' THEN regexp_replace(left(c, 350), '[ ,;:]+$', '') ELSE {strip("regexp_replace(left(t, 350), ' [^ ]*$', '')")} END AS main,
-            {strip(f"CASE WHEN {opening} <> '' THEN {opening} ELSE left(t, 300) END")} AS opening FROM c), s AS (SELECT doc_id, t, CASE WHEN length(main) >= 50 THEN main WHEN length(opening) > 40 THEN opening ELSE '' END AS summary FROM m)
-          SELECT doc_id, summary, CASE WHEN length({strip('summary')}) >= 140 THEN 'high' WHEN length({strip('summary')}) >= 45 THEN 'medium' ELSE 'low' END AS confidence,
+        "summary_fallbacks": f"""WITH s AS ({_summaries('documents')}) SELECT doc_id, summary, CASE WHEN length({strip('summary')}) >= 140 THEN 'high' WHEN length({strip('summary')}) >= 45 THEN 'medium' ELSE 'low' END AS confidence,
             {strip_of(f'left({strip_of(f"array_to_string({words(chr(116))}[1:20], {q(chr(32))})", " ,.;:-")}, 140)', " ,.;:-")} AS spec FROM s""",
+        "rank_pipeline": _rank_pipeline(),
         "cached_vectors": f"""WITH k AS (SELECT doc_id, left({strip(_T)}, 1200) AS cut FROM documents), h AS (SELECT doc_id, sha1(cut) AS key, length(cut)::DOUBLE AS n FROM k), c AS (SELECT DISTINCT key FROM h WHERE doc_id IN (SELECT doc_id FROM labels))
           SELECT doc_id, h.key, CASE WHEN c.key IS NULL THEN n ELSE -1.0 END AS value FROM h LEFT JOIN c ON h.key = c.key""",
         "letter_classifier": _classifier(),
