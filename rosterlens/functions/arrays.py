@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 STRINGS = "array<string>"
 
 
+#: Word lists beyond this are one array literal instead of a chain of tests; plans stay small.
+LONG = 10
+MARK = "\x1f"
+
+
+def word_list(words: Iterable[str]) -> Column:
+    """An array literal of words, folded from one string."""
+    return F.split(F.lit(MARK.join(words)), MARK)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is evaluated once, also where lambdas refer to it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -49,6 +59,8 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     words = list(words)
     if not words:
         return F.lit(False)
+    if len(words) > LONG:
+        return F.exists(word_list(words), lambda w: text.contains(w))
     out = text.contains(words[0])
     for w in words[1:]:
         out = out | text.contains(w)
@@ -57,6 +69,9 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 def count_present(text: Column, words: Iterable[str]) -> Column:
     """How many of the words are substrings."""
+    words = list(words)
+    if len(words) > LONG:
+        return F.size(let(text, lambda t: F.filter(word_list(words), lambda w: t.contains(w))))
     out = F.lit(0)
     for w in words:
         out = out + text.contains(w).cast("int")

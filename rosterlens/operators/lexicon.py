@@ -5,6 +5,7 @@ Words match as plain substrings of lowered text.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
@@ -40,30 +41,26 @@ def label_scores(low: Column, rules: Sequence[Rule], most: int = 3, lone_words_t
     the label whose rule matched first. ``lone_words_twice``: a word without a space needs
     two occurrences.
     """
-    labels: dict[str, list[tuple[int, str, int]]] = {}
-    for i, (word, label, weight) in enumerate(rules):
-        labels.setdefault(label, []).append((i, word, weight))
-    table = F.array(*(F.lit(w) for w, _, _ in rules))
-
-    def count(low: Column) -> Column:
-        found = lambda w: ((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int")
-        return F.transform(table, lambda w: F.when(low.contains(w), found(w)).otherwise(0))
-
-    def score(counts: Column) -> Column:
-        entries = []
-        for label, own in labels.items():
-            minus, first = F.lit(0), []
-            for i, word, weight in own:
-                n = F.get(counts, F.lit(i))
-                if lone_words_twice and " " not in word:
-                    n = F.when(n >= 2, n).otherwise(0)
-                minus = minus - F.least(n, F.lit(most)) * weight
-                first.append(F.when(n > 0, F.lit(i)))
-            entries.append(F.struct(minus.alias("minus"), (F.least(*first) if len(first) > 1 else first[0]).alias("first"), F.lit(label).alias("label")))
-        return F.array_sort(F.filter(F.array(*entries), lambda e: e["minus"] < 0))
+    # The rules are one literal array; what follows looks at rules that hit alone.
+    rows = [{"o": i, "word": word, "label": label, "weight": weight, "least": 2 if lone_words_twice and " " not in word else 1} for i, (word, label, weight) in enumerate(rules)]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<o: int, word: string, label: string, weight: int, least: int>>")
+
+    def found(low: Column) -> Column:
+        held = F.filter(table, lambda r: low.contains(r["word"]))
+        count = lambda w: ((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int")
+        return F.filter(F.transform(held, lambda r: F.struct(r["o"].alias("o"), r["label"].alias("label"), r["weight"].alias("weight"), r["least"].alias("least"), count(r["word"]).alias("n"))), lambda h: h["n"] >= h["least"])
+
+    def score(hits: Column) -> Column:
+        def one(label: Column) -> Column:
+            own = F.filter(hits, lambda h: h["label"] == label)
+            minus = F.aggregate(own, F.lit(0), lambda acc, h: acc - F.least(h["n"], F.lit(most)) * h["weight"])
+            return F.struct(minus.alias("minus"), F.get(own, F.lit(0))["o"].alias("first"), label.alias("label"))
+
+        labels = F.array_distinct(F.transform(hits, lambda h: h["label"]))
+        return F.array_sort(F.filter(F.transform(labels, one), lambda e: e["minus"] < 0))
 
     # The text is lowered once and each word counted once, whatever refers to them.
-    return let(low, lambda text: let(count(text), score))
+    return let(low, lambda text: let(found(text), score))
 
 
 def top_labels(low: Column, rules: Sequence[Rule], n: int, **options) -> Column:

@@ -6,6 +6,7 @@ a column; parsing and validation of them stay in Column expressions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,13 +47,13 @@ def infer_technologies(text: Column, existing: Column | None = None, rules: Sequ
     """Existing names, then canonical names of keywords present, unless one holds another."""
     low = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
     existing = strings(()) if existing is None else existing
-    table = F.array(*(F.struct(F.lit(k).alias("word"), F.lit(c).alias("name"), F.lit(c.lower()).alias("low")) for k, c in rules))
+    table = F.from_json(F.lit(json.dumps([{"word": k, "name": c, "low": c.lower()} for k, c in rules])), "array<struct<word: string, name: string, low: string>>")
 
-    def fold(low: Column, acc: Column, r: Column) -> Column:
+    def fold(acc: Column, r: Column) -> Column:
         near = lambda names: F.exists(names, lambda n: F.lower(n).contains(r["low"]) | r["low"].contains(F.lower(n)))
-        return F.when(low.contains(r["word"]) & ~near(existing) & ~near(acc), F.concat(acc, F.array(r["name"]))).otherwise(acc)
+        return F.when(~near(existing) & ~near(acc), F.concat(acc, F.array(r["name"]))).otherwise(acc)
 
-    return F.array_distinct(F.concat(existing, let(low, lambda x: F.aggregate(table, strings(()), lambda acc, r: fold(x, acc, r)))))
+    return F.array_distinct(F.concat(existing, let(low, lambda x: F.aggregate(F.filter(table, lambda r: x.contains(r["word"])), strings(()), lambda acc, r: fold(acc, r)))))
 
 
 def infer_industry(text: Column, rules=L.INDUSTRY_SIGNALS) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.arrays import contains_any, count_present, strings
+from ..functions.arrays import contains_any, count_present, let, strings, word_list
 from .lexicon import best_weight, factor
 
 LEXICON = {
@@ -134,17 +134,10 @@ def _ratio(n: Column, of: int, weight: str) -> Column:
     return F.least(n.cast("decimal(10,6)") / of, decimal("1", "decimal(10,6)")) * decimal(weight, "decimal(4,2)")
 
 
-def _holds(term: str):
-    return lambda t: t.contains(term)
-
-
 def specific_count(technologies: Column, specific: Sequence[str] = L.SPECIFIC_TECHNOLOGIES) -> Column:
     """How many specific terms some technology holds."""
-    low = F.transform(technologies, F.lower)
-    out = F.lit(0)
-    for term in specific:
-        out = out + F.exists(low, _holds(term)).cast("int")
-    return out
+    held = lambda low: F.filter(word_list(specific), lambda term: F.exists(low, lambda t: t.contains(term)))
+    return F.size(let(F.transform(technologies, F.lower), held))
 
 
 def extraction_confidence(named: Column, products: Column, technologies: Column, industry: Column, use_cases: Column, text: Column) -> Column:
