@@ -228,7 +228,8 @@ def _outcomes() -> str:
       SELECT r.doc_id AS ord, CASE WHEN raw IS NULL THEN 'crawl_error' WHEN length(raw) < 800 THEN 'too_short' ELSE '' END AS skip_reason FROM r LEFT JOIN pages USING (doc_id)"""
 
 
-def _product_records() -> str:
+def _record_parts() -> dict[str, str]:
+    """SQL of the parts of product records, over (id, text, low) rows."""
     norm = lambda x: strip_of(f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))", " ,.;:-")
     tokens = "regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9-]+')"
     term = lambda x: among(f"lower({x})", L.PRODUCT_TERMS)
@@ -259,18 +260,59 @@ def _product_records() -> str:
     plausible = f"(name NOT IN ('It', 'Its', 'This', 'That', 'These', 'Those', 'The') AND length(name) BETWEEN 3 AND 60 AND len({name_tokens}) BETWEEN 2 AND 6 AND {some(name_tokens, '''regexp_matches(w, '^[A-Z]')''')} AND NOT {every(name_tokens, among('lower(w)', L.GENERIC_PRODUCT_TOKENS))})"
     near = lambda x: f"CASE WHEN {_any(L.SPEC_HINTS, f'lower({x})')} OR regexp_matches(lower({x}), '^(?:it |it\\.|this |these )') THEN {spec_text(x)} ELSE '' END"
     rest = strip_of("CASE WHEN contains(s, name) THEN left(s, instr(s, name) - 1) || substr(s, instr(s, name) + length(name)) ELSE s END", " ,.;:-")
-    return f"""WITH src AS (SELECT id, text, lower(coalesce(text, '')) AS low, {tokens} AS k, {sentence} AS ss FROM {rows(C.PRODUCT_TEXTS, 'id, text')}),
-      n AS (SELECT id, i, ss[i] AS s, CASE WHEN i > 1 THEN ss[i - 1] ELSE '' END AS before, coalesce(ss[i + 1], '') AS after FROM (SELECT id, ss, unnest(range(1, len(ss) + 1)) AS i FROM src)),
+    hinted = lambda words_: f"list_filter(l, lambda s: {_any(words_, 'lower(s)')})"
+    named_ctes = f"""n AS (SELECT id, i, ss[i] AS s, CASE WHEN i > 1 THEN ss[i - 1] ELSE '' END AS before, coalesce(ss[i + 1], '') AS after FROM (SELECT id, ss, unnest(range(1, len(ss) + 1)) AS i FROM src)),
       m AS (SELECT *, {norm('raw')} AS name FROM (SELECT *, unnest(regexp_extract_all(s, {q(name)}, 1)) AS raw, generate_subscripts(regexp_extract_all(s, {q(name)}, 1), 1) AS j FROM n WHERE {_any(L.PRODUCT_SENTENCE_WORDS, 'lower(s)')})),
       o AS (SELECT id, i, j, name, {rest} AS rest, {near(norm('after'))} AS a, {near(norm('before'))} AS b FROM m WHERE {plausible}),
       e AS (SELECT id, i, j, name, CASE WHEN {_any(L.SPEC_HINTS, 'lower(rest)')} THEN {spec_text('rest')} ELSE '' END AS own, CASE WHEN a <> '' THEN a ELSE b END AS near FROM o),
       g AS (SELECT id, i, j, name, {spec_text("CASE WHEN own <> '' AND near <> '' AND lower(own) <> lower(near) THEN own || ', ' || near WHEN own <> '' THEN own ELSE near END", 26, 180)} AS spec FROM e),
-      h AS (SELECT * FROM (SELECT * FROM g WHERE spec <> '' QUALIFY row_number() OVER (PARTITION BY id, lower(name), lower(spec) ORDER BY i, j) = 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i, j) <= 6),
-      z AS (SELECT id, string_agg(name || ':' || spec, '|' ORDER BY i, j) AS named FROM h GROUP BY 1),
-      b AS (SELECT id, text, low, {fold(f'list_filter({pairs}, lambda x: {good})')}[1:5] AS bg, {lines} AS l, {hit_list} AS hit FROM src)
-      SELECT b.id, coalesce(named, '') AS named, {csv('bg')} AS bigrams, {csv(f"list_filter(list_transform(bg, lambda x: {title}), lambda t: len(string_split(t, ' ')) BETWEEN 2 AND 6)[1:6]")} AS titled, coalesce(array_to_string({tech}, ', '), '') AS technologies,
-        {csv(distinct(f"(CASE WHEN len(list_filter(l, lambda s: {_any(L.HYBRID_SPEC_HINTS, 'lower(s)')})) > 0 THEN list_filter(l, lambda s: {_any(L.HYBRID_SPEC_HINTS, 'lower(s)')}) ELSE list_filter(l, lambda s: {_any(L.HYBRID_SPEC_VERBS, 'lower(s)')}) END)") + '[1:5]')} AS lines,
-        {csv(distinct(f'(CASE WHEN len(hit) > 0 THEN hit ELSE {heads} END)') + '[1:5]')} AS patterns FROM b LEFT JOIN z USING (id)"""
+      h AS (SELECT * FROM (SELECT * FROM g WHERE spec <> '' QUALIFY row_number() OVER (PARTITION BY id, lower(name), lower(spec) ORDER BY i, j) = 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i, j) <= 6)"""
+    return {
+        "tokens": tokens, "sentences": sentence, "lines": lines, "hits": hit_list, "named": named_ctes,
+        "bigrams": f"{fold(f'list_filter({pairs}, lambda x: {good})')}[1:5]", "titled": f"list_filter(list_transform(bg, lambda x: {title}), lambda t: len(string_split(t, ' ')) BETWEEN 2 AND 6)[1:6]",
+        "technologies": f"array_to_string({tech}, ', ')", "specs": distinct(f"(CASE WHEN len({hinted(L.HYBRID_SPEC_HINTS)}) > 0 THEN {hinted(L.HYBRID_SPEC_HINTS)} ELSE {hinted(L.HYBRID_SPEC_VERBS)} END)") + "[1:5]",
+        "patterns": distinct(f"(CASE WHEN len(hit) > 0 THEN hit ELSE {heads} END)") + "[1:5]",
+    }
+
+
+def _product_records() -> str:
+    p = _record_parts()
+    return f"""WITH src AS (SELECT id, text, lower(coalesce(text, '')) AS low, {p['tokens']} AS k, {p['sentences']} AS ss FROM {rows(C.PRODUCT_TEXTS, 'id, text')}), {p['named']},
+      z AS (SELECT id, string_agg(name || ':' || spec, '|' ORDER BY i, j) AS named FROM h GROUP BY 1), b AS (SELECT id, text, low, {p['bigrams']} AS bg, {p['lines']} AS l, {p['hits']} AS hit FROM src)
+      SELECT b.id, coalesce(named, '') AS named, {csv('bg')} AS bigrams, {csv(p['titled'])} AS titled, coalesce({p['technologies']}, '') AS technologies, {csv(p['specs'])} AS lines, {csv(p['patterns'])} AS patterns FROM b LEFT JOIN z USING (id)"""
+
+
+def _mixed_profiles() -> str:
+    p = _record_parts()
+    kept = f"trim(regexp_replace(array_to_string(list_filter({_S}, lambda x: length(x) >= 40)[1:3], ' '), '\\s+', ' ', 'g'))"
+    fast = f"CASE WHEN {kept} = '' THEN '' ELSE regexp_replace(left({kept}, 320), '[ ,;:]+$', '') || '.' END"
+    longer = f"CASE WHEN array_to_string(list_filter({_S}, lambda x: length(x) >= 40)[1:3], ' ') <> '' THEN regexp_replace(left(array_to_string(list_filter({_S}, lambda x: length(x) >= 40)[1:3], ' '), 320), '[ ,;:]+$', '') ELSE {strip("regexp_replace(left(text, 320), ' [^ ]*$', '')")} END"
+    return f"""WITH src AS (SELECT doc_id, {strip(_T)} AS text FROM documents), b AS (SELECT doc_id, text, {p['lines']} AS l, {p['hits']} AS hit, {fast} AS fast, {longer} AS longer FROM src),
+      c AS (SELECT doc_id, {p['patterns']} AS products, {p['specs']} AS specs, longer, CASE WHEN length({strip('fast')}) >= 140 THEN 'high' WHEN length({strip('fast')}) >= 45 THEN 'medium' ELSE 'low' END AS first FROM b)
+      SELECT doc_id, coalesce(array_to_string(products, ','), '') AS products, CAST(len(specs) AS INT) AS n_specs, CASE WHEN (first = 'low' OR (len(products) = 0 AND len(specs) = 0)) AND longer <> '' THEN 'medium' ELSE first END AS summary_confidence FROM c"""
+
+
+def _frontier(test_links) -> str:
+    """Two rounds of links: those of the root, then those of the second address."""
+    from .sql import _HREF, _score_case
+
+    score = _score_case(test_links["hints"], "contains(lower(full_url), {0})", 10) + " + " + _score_case(test_links["keywords"], "(contains(lower(full_url), {0}) OR contains(lower(anchor), {0}))", 5)
+    normal = "regexp_replace(regexp_replace({0}, '(?s)[?#].*$', ''), '/+$', '')"
+
+    def linked(source: str) -> str:
+        return f"""SELECT site, full_url, row_number() OVER (PARTITION BY site ORDER BY score DESC, k) AS rank FROM (
+          SELECT site, full_url, max({score}) AS score, min(k) AS k FROM (SELECT site, k, {normal.format("regexp_extract(url, '^[a-z]+://[^/?#]*') || trim(href)")} AS full_url, anchor FROM (
+            SELECT site, url, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS href, unnest(regexp_extract_all(html, '{_HREF}', 2)) AS anchor, unnest(range(len(regexp_extract_all(html, '{_HREF}', 1)))) AS k FROM {source}) WHERE starts_with(trim(href), '/'))
+          WHERE NOT contains(lower(full_url), 'privacy') AND ({score}) > 0 GROUP BY 1, 2) QUALIFY rank <= 6"""
+
+    root = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
+    return f"""WITH t AS (SELECT u AS url, min(html) AS html FROM (SELECT {normal.format('url')} AS u, html FROM pages UNION ALL SELECT {root}, html FROM pages) WHERE u <> '' GROUP BY 1),
+      s AS (SELECT DISTINCT {root} AS site FROM pages WHERE {root} <> ''), one AS (SELECT site, t.url, html FROM s JOIN t ON t.url = site),
+      q1 AS (SELECT site, site AS url, 0 AS pos FROM s UNION ALL SELECT site, full_url, rank FROM ({linked('one')}) WHERE full_url <> site),
+      q2 AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY pos) - 1 AS pos FROM q1), two AS (SELECT q2.site, q2.url, html FROM q2 JOIN t USING (url) WHERE pos = 1),
+      q3 AS (SELECT site, url, pos FROM q2 UNION ALL SELECT site, full_url, 100 + rank FROM ({linked('two')}) l WHERE NOT EXISTS (SELECT 1 FROM q2 WHERE q2.site = l.site AND q2.url = l.full_url)),
+      q4 AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY pos) - 1 AS pos FROM q3)
+      SELECT site AS website, CAST(pos AS INT) AS "at", q4.url FROM q4 JOIN t USING (url) WHERE pos < 8"""
 
 
 def _letters(text: str) -> str:
@@ -352,12 +394,14 @@ def _headings() -> str:
     return f"SELECT page_id, coalesce(array_to_string({heads}[1:10], ' '), '') AS headings, coalesce(array_to_string({items}[1:10], ' '), '') AS listed FROM pages"
 
 
-def oracles() -> dict[str, str]:
+def oracles(test_links) -> dict[str, str]:
     parsed = "CASE WHEN starts_with(trim(cell), '[') AND json_valid(cell) THEN 1 ELSE 0 END"
     return {
         "keyword_profiles": keyword_profiles("documents"),
         "relevant_budget": _budget(),
         "page_headings": _headings(),
+        "mixed_profiles": _mixed_profiles(),
+        "crawl_frontier": _frontier(test_links),
         "case_keyword_profiles": keyword_profiles(_TEXTS),
         "case_technologies": f"SELECT doc_id, {csv(technologies("(' ' || lower(coalesce(text, '')) || ' ')", 'existing'))} AS technologies FROM {_TEXTS} JOIN {rows(C.EXISTING.items(), 'doc_id, existing')} USING (doc_id)",
         "case_clean_names": _clean_names(),

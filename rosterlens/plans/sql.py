@@ -171,7 +171,7 @@ def oracles(test_rules, test_first, test_links) -> dict[str, str]:
 def _build() -> dict[str, str]:
     from . import cases_sql, catalogue
 
-    return oracles(catalogue.TEST_RULES, catalogue.TEST_FIRST, catalogue.TEST_LINKS) | cases_sql.oracles()
+    return oracles(catalogue.TEST_RULES, catalogue.TEST_FIRST, catalogue.TEST_LINKS) | cases_sql.oracles(catalogue.TEST_LINKS)
 
 
 ORACLES = _build()
