@@ -268,7 +268,7 @@ def _record_parts() -> dict[str, str]:
       g AS (SELECT id, i, j, name, {spec_text("CASE WHEN own <> '' AND near <> '' AND lower(own) <> lower(near) THEN own || ', ' || near WHEN own <> '' THEN own ELSE near END", 26, 180)} AS spec FROM e),
       h AS (SELECT * FROM (SELECT * FROM g WHERE spec <> '' QUALIFY row_number() OVER (PARTITION BY id, lower(name), lower(spec) ORDER BY i, j) = 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i, j) <= 6)"""
     return {
-        "tokens": tokens, "sentences": sentence, "lines": lines, "hits": hit_list, "named": named_ctes,
+        "tokens": tokens, "sentences": sentence, "lines": lines, "hits": hit_list, "plausible": plausible, "named": named_ctes,
         "bigrams": f"{fold(f'list_filter({pairs}, lambda x: {good})')}[1:5]", "titled": f"list_filter(list_transform(bg, lambda x: {title}), lambda t: len(string_split(t, ' ')) BETWEEN 2 AND 6)[1:6]",
         "technologies": f"array_to_string({tech}, ', ')", "specs": distinct(f"(CASE WHEN len({hinted(L.HYBRID_SPEC_HINTS)}) > 0 THEN {hinted(L.HYBRID_SPEC_HINTS)} ELSE {hinted(L.HYBRID_SPEC_VERBS)} END)") + "[1:5]",
         "patterns": distinct(f"(CASE WHEN len(hit) > 0 THEN hit ELSE {heads} END)") + "[1:5]",
@@ -282,6 +282,38 @@ def _product_records() -> str:
       SELECT b.id, coalesce(named, '') AS named, {csv('bg')} AS bigrams, {csv(p['titled'])} AS titled, coalesce({p['technologies']}, '') AS technologies, {csv(p['specs'])} AS lines, {csv(p['patterns'])} AS patterns FROM b LEFT JOIN z USING (id)"""
 
 
+def _company_records() -> str:
+    """Company records of documents; the source is the company."""
+    from .sql import _SIG
+
+    p = _record_parts()
+    tidy = f"list_filter(list_transform({_S}, lambda x: regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '^[ ,.;:-]+|[ ,.;:-]+$', '', 'g')), lambda x: x <> '' AND len(string_split(x, ' ')) <= 22)"
+    first_words = f"array_to_string({words('spec')}[1:20], ' ')"
+    spec = strip_of(f"left({strip_of(first_words, ' ,.;:-')}, 140)", " ,.;:-")
+    parts = split(spec, "[,;]\\s*")
+    collapsed = "array_to_string(list_filter(c, lambda x, i: list_position(list_transform(c, lambda y: lower(y)), lower(x)) = i), ', ')"
+    same_line = f"list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '')"
+    lines = f"list_filter(list_transform(string_split_regex(body, '\\r\\n|[\\n\\r]'), lambda x: {strip('x')}), lambda x: x <> '')"
+    industry = "CASE " + " ".join(f"WHEN contains(low, {q(w)}) THEN {q(g)}" for w, g in L.FIRST_MATCH_INDUSTRIES) + " END"
+    bucket = f"CASE WHEN {_any(('enterprise', 'premium', 'high-end'), 'low')} THEN 'High-end' WHEN {_any(('affordable', 'low cost', 'budget'), 'low')} THEN 'Budget' WHEN {_any(('$', 'pricing', 'quote'), 'low')} THEN 'Quoted' END"
+    return f"""WITH d AS (SELECT doc_id AS id, source, {_T} AS body, list_filter({_S}, lambda x: {_any(L.SECTION_WORDS, 'lower(x)')})[1:80] AS sec FROM documents),
+      x AS (SELECT id, CASE WHEN len(sec) > 0 THEN array_to_string(sec, ' ') ELSE body END AS text FROM d), y AS (SELECT id, {tidy} AS l FROM x),
+      v AS (SELECT id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: {_SIG.format('y', 10)}), {_SIG.format('x', 10)}) = i)[1:4], chr(10)), '') AS text FROM y),
+      src AS (SELECT id, text, {p['sentences']} AS ss FROM v), {p['named']}, z AS (SELECT id, list({{'name': name, 'spec': spec}} ORDER BY i, j) AS items FROM h GROUP BY 1),
+      kk AS (SELECT id, {p['tokens']} AS k FROM (SELECT id, body AS text FROM d)), bb AS (SELECT id, {p['bigrams']} AS bg FROM kk), tt AS (SELECT id, list_transform({p['titled']}, lambda t: {{'name': t, 'spec': ''}}) AS items FROM bb),
+      u AS (SELECT id, unnest(coalesce(z.items, tt.items)) AS it, generate_subscripts(coalesce(z.items, tt.items), 1) AS pos FROM tt LEFT JOIN z USING (id)),
+      f AS (SELECT id, pos, {strip_of("trim(regexp_replace(it.name, '\\s+', ' ', 'g'))", ' ,.;:-')} AS name, it.spec AS spec FROM u),
+      g2 AS (SELECT id, pos, name, {collapsed} AS spec FROM (SELECT *, {parts} AS c FROM f) WHERE {p['plausible']}),
+      g3 AS (SELECT * FROM (SELECT * FROM g2 QUALIFY row_number() OVER (PARTITION BY id, lower(name) ORDER BY pos) = 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) <= 6),
+      g4 AS (SELECT id, '[' || string_agg('{{"name":' || to_json(name) || ',"specifications":' || to_json(coalesce(spec, '')) || '}}', ',' ORDER BY pos) || ']' AS products, list(spec ORDER BY pos) FILTER (coalesce(spec, '') <> '') AS specs FROM g3 GROUP BY 1),
+      r AS (SELECT d.*, lower(body) AS low, {same_line} AS s, {lines} AS lines, products, specs[1:5] AS c FROM d LEFT JOIN g4 USING (id))
+      SELECT nullif(source, '') AS company_name, CAST(id AS VARCHAR) AS website, {industry} AS industry, products, nullif({p['technologies']}, '') AS technologies,
+        coalesce(nullif({collapsed}, ''), left(list_filter(s, lambda x: {_any(L.SPEC_SENTENCE_WORDS, 'lower(x)')})[1], 240)) AS product_specifications, {bucket} AS price_range,
+        nullif(regexp_extract(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'), '') AS contact_email, nullif(trim(regexp_extract(body, '\\+?[0-9][0-9\\s().-]{{7,}}[0-9]')), '') AS phone,
+        left(list_filter(lines, lambda x: {_any(L.ADDRESS_HINTS, 'lower(x)')} AND regexp_matches(x, '[0-9]'))[1], 200) AS address,
+        nullif(left(array_to_string(list_filter(s, lambda x: len({words('x')}) >= 6)[1:2], ' '), 500), '') AS description FROM r"""
+
+
 def _mixed_profiles() -> str:
     p = _record_parts()
     kept = f"trim(regexp_replace(array_to_string(list_filter({_S}, lambda x: length(x) >= 40)[1:3], ' '), '\\s+', ' ', 'g'))"
@@ -401,6 +433,7 @@ def oracles(test_links) -> dict[str, str]:
         "relevant_budget": _budget(),
         "page_headings": _headings(),
         "mixed_profiles": _mixed_profiles(),
+        "product_records": _company_records(),
         "crawl_frontier": _frontier(test_links),
         "case_keyword_profiles": keyword_profiles(_TEXTS),
         "case_technologies": f"SELECT doc_id, {csv(technologies("(' ' || lower(coalesce(text, '')) || ' ')", 'existing'))} AS technologies FROM {_TEXTS} JOIN {rows(C.EXISTING.items(), 'doc_id, existing')} USING (doc_id)",
