@@ -290,7 +290,8 @@ def resolved(blocks: Blocks, words: int, num: int, den: int) -> DataFrame:
     stars = stars.unionByName(stars.select(F.col("v").alias("u"), "v").distinct())
     member = stored(near.join(large, "comp", "left_anti").select("cid", "comp").unionByName(stars.select(F.col("u").alias("cid"), F.col("v").alias("comp"))), "members")
     size = member.join(sizes, "cid").groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
-    parts = size.select("comp", _pieces(F.col("k"), F.col("total") * 8, PART_SETS).alias("parts"))
+    # Stored, so that a small table is broadcast without dealing the members by group, and a large one is a plain shuffle.
+    parts = stored(size.select("comp", _pieces(F.col("k"), F.col("total") * 8, PART_SETS).alias("parts")), "parts")
     wanted = member.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
     wanted = wanted.groupBy(F.expr("shiftright(cid, 16)").alias("block")).agg(F.collect_list(F.struct(F.expr("cid & 65535").alias("place"), "cid", "comp", "part", "parts")).alias("wanted"))
 

@@ -35,3 +35,14 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     rows = out.collect()
     assert 0 < len(rows) < 200 and all(r["lossless"] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_clear(spark):
+    from rosterlens.llm import jaccard_join, shared
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.classes(docs).collect()} == {1}
+    assert any(t.name.startswith("rosterlens_") for t in spark.catalog.listTables())
+    shared.clear(spark)
+    assert not any(t.name.startswith("rosterlens_") for t in spark.catalog.listTables())
+    assert {r["component_id"] for r in jaccard_join.classes(docs).collect()} == {1}
