@@ -174,10 +174,11 @@ def spec_lines(text: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.when(F.size(hinted) > 0, hinted).otherwise(other)), 1, most)
 
 
-def mixed_profile(df: DataFrame, text: str = "text") -> DataFrame:
+def mixed_profile(df: DataFrame, text: str = "text", model_summary: Column | None = None) -> DataFrame:
     """``df`` with products, specifications, technologies, contacts, a summary and confidence labels.
 
-    Where the summary is weak or nothing was found, the longer extractive summary takes its place.
+    Where the summary is weak or nothing was found, a model's summary takes its place, or,
+    without one, the longer extractive summary.
     """
     body = T.strip(F.coalesce(F.col(text), F.lit("")))
     df = df.withColumns({
@@ -188,6 +189,8 @@ def mixed_profile(df: DataFrame, text: str = "text") -> DataFrame:
     given = lambda c: F.when(F.col(c).isNotNull(), "high").otherwise("low")
     first = T.confidence_label(F.col("summary"), 45, 140)
     other = T.summary(body, 320)
+    if model_summary is not None:
+        other = F.coalesce(T.blank_to_null(T.strip(model_summary)), other)
     weak = ((first == "low") | ((F.size("products") == 0) & (F.size("product_specifications") == 0))) & (other != "")
     df = df.withColumn("confidence", F.struct(
         F.when(weak, "medium").otherwise(first).alias("summary"), T.confidence_label(joined("products"), 5, 20).alias("products"),

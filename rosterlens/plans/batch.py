@@ -59,7 +59,8 @@ def model_extractor(load: Callable[[], Callable[[str], str | None]], lengths: tu
 
     The model gets the relevant part of a text, the longest first; an error, an empty answer or
     one without a JSON object is followed by a try with the next length. A row carries its
-    answer, whether it came, whether it took another try, and the seconds.
+    answer, whether it came, whether it took another try, and the seconds. A limit on time is
+    the model's own; one that raises is a failed try.
     """
 
     def ask(df: DataFrame) -> DataFrame:

@@ -32,8 +32,13 @@ def summary(results: DataFrame, score: str = "score", name: str = "company_name"
     return results.agg(F.count("*").alias("n"), F.max_by(name, key).alias("top_name"), F.max(score).alias("top_score"), F.round(F.coalesce(F.avg(score), F.lit(0.0)), 4).alias("mean_score"))
 
 
+def by_score(results: DataFrame) -> DataFrame:
+    """Best first; ties keep their order."""
+    return results.orderBy(F.desc("score"), "ord")
+
+
 def top(results: DataFrame, n: int = 5) -> DataFrame:
-    return results.orderBy(F.desc("score"), "ord").limit(n)
+    return by_score(results).limit(n)
 
 
 def website_label(url: Column) -> Column:
