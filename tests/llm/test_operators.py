@@ -104,7 +104,9 @@ def test_ids_may_be_null_or_repeated(spark):
     assert ngram_lm.score(rows).count() == 5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("large", [0, 10**6])
+def test_components(spark, monkeypatch, large):
+    monkeypatch.setattr("rosterlens.llm.components.LARGE", large)
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 7), (50, 60), (60, 51)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == 0 and got[50] == got[60] == got[51] == 50
