@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import urls as U
 from ..operators import crawl as C
@@ -51,7 +53,7 @@ def _cached(spark: SparkSession, cache: str | None) -> DataFrame | None:
     return O.keep_last(spark.read.parquet(cache), ["website_key"], "cached_at")
 
 
-CALLED = "reply string, call_ok boolean, call_retried boolean, call_seconds double"
+CALLED = StructType().add("reply", "string").add("call_ok", "boolean").add("call_retried", "boolean").add("call_seconds", "double")
 
 
 def model_extractor(load: Callable[[], Callable[[str], str | None]], lengths: tuple[int, ...] = (900, 600), text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
@@ -65,17 +67,14 @@ def model_extractor(load: Callable[[], Callable[[str], str | None]], lengths: tu
 
     def ask(df: DataFrame) -> DataFrame:
         tries = F.array(*(P.relevant_text(F.col(text_col), n) for n in lengths))
-        df = df.withColumn("__tries", tries)
 
-        import pandas as pd
-
-        def call(batches):
+        def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import time
 
             model = load()
             for b in batches:
                 rows = []
-                for texts in b:
+                for texts in b.column(b.num_columns - 1).to_pylist():
                     begun, reply, k = time.perf_counter(), None, 0
                     for k, text in enumerate(texts):  # noqa: B007 - the last place counts
                         try:
@@ -86,10 +85,11 @@ def model_extractor(load: Callable[[], Callable[[str], str | None]], lengths: tu
                             break
                         reply = None
                     rows.append((reply, reply is not None, k > 0, time.perf_counter() - begun))
-                yield pd.DataFrame(rows, columns=["reply", "call_ok", "call_retried", "call_seconds"])
+                own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.bool_(), pa.bool_(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], [*b.schema.names[:-1], *CALLED.fieldNames()])
 
-        answered = F.pandas_udf(call, f"struct<{CALLED}>".replace(" ", ": ").replace(",: ", ", "), F.PandasUDFType.SCALAR_ITER)
-        return df.withColumn("__a", answered(F.col("__tries"))).select(*(c for c in df.columns if c != "__tries"), "__a.*")
+        # A step of its own over whole rows, so that no later expression takes the call into itself.
+        return df.withColumn("__tries", tries).mapInArrow(call, StructType([*df.schema.fields, *CALLED.fields]))
 
     return ask
 
