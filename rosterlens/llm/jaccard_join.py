@@ -285,6 +285,8 @@ def resolved(blocks: Blocks, words: int, num: int, den: int) -> DataFrame:
     near = stored(components(edges, "candidates").select(F.col("node").alias("cid"), F.col("root").alias("comp")), "near")
     sizes = kind.select("cid", "n")
     large = near.join(sizes, "cid").groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("total")).filter((F.col("k") > PART_SETS) | (F.col("total") * 8 > PART_BYTES)).select("comp")
+    # Stored, as the sizes below: a small table is broadcast without dealing the classes by component.
+    large = stored(large, "large")
     spread = near.join(large, "comp", "left_semi").select("cid")
     stars = edges.join(spread, edges["u"] == spread["cid"], "left_semi")
     stars = stars.unionByName(stars.select(F.col("v").alias("u"), "v").distinct())
