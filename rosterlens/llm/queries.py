@@ -87,6 +87,12 @@ def op8_piece_lattice(spark: SparkSession, sf_dir: str, model: str | None = None
     return piece_lattice.encode(_table(spark, sf_dir, "documents"), model or vocabulary("piece_bpe_32k.model"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vector_codes
+
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

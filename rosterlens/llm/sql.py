@@ -104,4 +104,26 @@ SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) A
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_host_reputation": HOST_REPUTATION, "op6_suffix_dedup": SUFFIX, "op7_jaccard_join": JACCARD}
+_NEAREST = """
+d{i} AS MATERIALIZED (SELECT p.r, p.part, b.e, list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM p JOIN b{i} b USING (part)),
+a{i} AS MATERIALIZED (SELECT r, part, min_by(e, d * 256 + e) AS e, min(d) AS d FROM d{i} GROUP BY r, part)"""
+_REFINE = """
+s{i} AS (SELECT part, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS c FROM (
+  SELECT part, e, pos, sum(x[pos])::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT a.part, a.e, p.x, unnest(range(1, len(p.x) + 1)) AS pos FROM a{i} a JOIN p USING (r, part)) GROUP BY ALL) GROUP BY part, e),
+b{j} AS MATERIALIZED (SELECT part, e, coalesce(s.c, b.c) AS c FROM b{i} b LEFT JOIN s{i} s USING (part, e))"""
+VECTOR_CODES = (
+    """
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS x FROM k, range(4) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS e, x AS c FROM p WHERE r <= 256),"""
+    + ",".join(_NEAREST.format(i=i) + ("," + _REFINE.format(i=i, j=i + 1) if i < 4 else "") for i in range(5))
+    + """,
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS h FROM b4),
+o AS (SELECT r, string_agg(format('{:02x}', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN o USING (r), h
+"""
+)
+
+ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_host_reputation": HOST_REPUTATION, "op6_suffix_dedup": SUFFIX, "op7_jaccard_join": JACCARD, "op12_vector_codes": VECTOR_CODES}
