@@ -37,6 +37,8 @@ LIMB = 48
 BATCH = 2048
 #: Blocks of each level's bound, from coarse to fine.
 LEVELS = (4, 8)
+#: Entries measured at each level before the rest is filtered.
+PROBES = 4
 #: Relative room for rounding in bounds of float64.
 SLACK = 1e-9
 
@@ -67,16 +69,24 @@ class Book:
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each row's nearest entry (the lower one at ties) and the squared distance."""
-        exact = lambda i, j: ((x[i] - self.entries[j]) ** 2).sum(1)
+
+        def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            gap = x[i] - self.entries[j]
+            return (gap * gap).sum(1) if gap.dtype == object else np.einsum("ij,ij->i", gap, gap)
+
         every = np.arange(len(x))
         best, alive = None, None
         for cut, sums, rest in self.levels:
             bound = _bounds(*self.measure(x, cut), sums, rest)
             if alive is not None:
                 bound[~alive] = np.inf
-            # The entry of least bound is measured, for a closer limit.
-            near = exact(every, bound.argmin(1))
-            best = near if best is None else np.minimum(best, near)
+            # The entries of least bound are measured, for a closer limit.
+            order = bound.copy()
+            for _ in range(PROBES):
+                probe = order.argmin(1)
+                near = exact(every, probe)
+                best = near if best is None else np.minimum(best, near)
+                order[every, probe] = np.inf
             alive = bound <= _float(best)[:, None] * (1 + SLACK)
         row, entry = np.nonzero(alive)
         far = exact(row, entry)
