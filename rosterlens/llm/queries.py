@@ -87,6 +87,12 @@ def op8_piece_lattice(spark: SparkSession, sf_dir: str, model: str | None = None
     return piece_lattice.encode(_table(spark, sf_dir, "documents"), model or vocabulary("piece_bpe_32k.model"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import vector_codes
 

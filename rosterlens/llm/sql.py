@@ -126,4 +126,23 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 """
 )
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_host_reputation": HOST_REPUTATION, "op6_suffix_dedup": SUFFIX, "op7_jaccard_join": JACCARD, "op12_vector_codes": VECTOR_CODES}
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_A_Z}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS p FROM w, range(1, 4) t(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k, p, f AS a FROM f WHERE k > 1),
+cut AS (
+  SELECT c.lang, c.p, a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : j] JOIN f y ON y.lang = c.lang AND y.p = c.p[j + 1 : c.k]),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+covered AS (SELECT DISTINCT s.lang, s.p FROM c s JOIN c t ON t.lang = s.lang AND t.k = 3 AND s.k = 2 AND (t.p[1 : 2] = s.p OR t.p[2 : 3] = s.p) WHERE 100 * t.a >= 50 * s.a),
+top AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(p, ' '))) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, score
+  FROM low ANTI JOIN covered USING (lang, p))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM top JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_host_reputation": HOST_REPUTATION, "op6_suffix_dedup": SUFFIX, "op7_jaccard_join": JACCARD, "op11_collocations": COLLOCATIONS, "op12_vector_codes": VECTOR_CODES}

@@ -6,7 +6,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op5_host_reputation", "op6_suffix_dedup", "op7_jaccard_join", "op12_vector_codes"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op5_host_reputation", "op6_suffix_dedup", "op7_jaccard_join", "op11_collocations", "op12_vector_codes"])
 def test_sql(spark, name):
     import duckdb
 
@@ -26,7 +26,7 @@ def test_sql(spark, name):
 def test_names():
     from rosterlens.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == [*range(1, 11), 12]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == [*range(1, 13)]
 
 
 def test_pipeline(spark):
