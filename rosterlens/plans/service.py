@@ -13,11 +13,20 @@ from ..functions import urls as U
 
 
 def dashboard_rows(results: DataFrame) -> DataFrame:
-    """Companies as a dashboard shows them: blanks filled, sites with a scheme, a made-up id."""
+    """Companies as a dashboard shows them: blanks filled, sites with a scheme, an id of name, site and place.
+
+    The place is that of ``position``, from 0; rows without one get it by score, then ``ord`` or name and site.
+    """
+    from ..operators.rank import positions
+
+    if "position" not in results.columns:
+        ties = ["ord"] if "ord" in results.columns else ["company_name", "website"]
+        results = positions(results.withColumn("__s", T.safe_score(F.col("score"))), [F.desc("__s"), *ties]).drop("__s")
     name, site = T.safe_text(F.col("company_name"), "Unknown"), T.safe_text(F.col("website"), "")
     full = F.when((site != "") & ~site.startswith("http"), F.concat(F.lit("https://"), site)).otherwise(site)
-    df = results.withColumn("__i", F.monotonically_increasing_id())
-    return df.withColumns({"company_name": name, "website": full, "score": T.safe_score(F.col("score"))}).withColumn("id", F.concat_ws("-", "company_name", "website", "__i")).drop("__i")
+    label = F.concat_ws("-", T.safe_text(F.col("company_name"), "company"), T.safe_text(F.col("website"), "site"), F.col("position") - 1)
+    df = results.withColumn("id", label)
+    return df.withColumns({"company_name": name, "website": full, "score": T.safe_score(F.col("score"))})
 
 
 def named_like(results: DataFrame, query: str | None, column: str = "company_name") -> DataFrame:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.arrays import as_list
+from ..functions.arrays import as_list, split_values
 from ..functions.text import blank_to_null, safe_text, strip
+from ..operators.rank import file_order, positions
 from ..operators.roster import clean_roster, company_column
 
 CSV_COLUMNS = (
@@ -41,7 +44,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, escape='"', multiLine=True)
+    """CSV with a header in the first file by name; lines like it at the head of other files are no rows."""
+    raw = spark.read.csv(path, header=False, escape='"', multiLine=True)
+    names: list[str] = []
+    for file in sorted(raw.inputFiles()):
+        names = spark.read.csv(file, header=True, escape='"', multiLine=True).columns
+        if names:
+            break
+    if not names:
+        raise ValueError(f"{path} has no header")
+    title = spark.read.csv(file, header=False, escape='"', multiLine=True).first()
+    same = F.lit(True)
+    for c, v in zip(raw.columns, title, strict=False):
+        same = same & F.col(c).eqNullSafe(F.lit(v))
+    return raw.filter(~same).withColumnsRenamed(dict(zip(raw.columns, names, strict=False)))
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -53,10 +69,12 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_companies(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, name, website) of a roster file."""
+    """(ord, name, website) of a roster file; ord is the row's place in the file, from 0."""
     sheet = read_sheet(spark, path)
     company_column(sheet.columns)
-    return clean_roster(sheet)
+    # An Excel file is read by one task, whose ids are places.
+    at = F.monotonically_increasing_id() if path.endswith((".xlsx", ".xlsm")) else file_order()
+    return clean_roster(positions(sheet.withColumn("__file", at), ["__file"], "__ord", 0), "__ord")
 
 
 def health(spark: SparkSession, path: str, online: bool | None = None) -> DataFrame:
@@ -74,14 +92,14 @@ def health(spark: SparkSession, path: str, online: bool | None = None) -> DataFr
     return spark.createDataFrame([(exists, readable, rows, bool(online))], "file_exists boolean, file_readable boolean, row_count long, internet boolean")
 
 
-def results_from_csv(table: DataFrame) -> DataFrame:
-    """Ranked results as the service gives them: known columns, blanks filled, scores as numbers."""
+def results_from_csv(table: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Ranked results as the service gives them: known columns, blanks filled, scores as numbers. Others go, but for ``keep``."""
     names = [re.sub(r"\s+", "_", c.strip().lower()) for c in table.columns]
     table = table.toDF(*names)
     missing = sorted(set(REQUIRED) - set(names))
     if missing:
         raise ValueError(f"columns are missing: {missing}")
-    cols = []
+    cols = [F.col(c) for c in keep]
     for c in CSV_COLUMNS:
         if c not in names:
             continue
@@ -95,6 +113,8 @@ def results_from_csv(table: DataFrame) -> DataFrame:
 
 
 JSON_DEFAULTS = {"name": "Unknown", "category": "Low Potential", "industry": "Other", "summary": "No summary available."}
+_LISTS = ("products", "services", "technologies", "use_cases", "recommended_products")
+_TEXTS = ("product_specifications", "price_range", "contact_email", "phone")
 
 
 def results_from_json(table: DataFrame) -> DataFrame:
@@ -106,28 +126,69 @@ def results_from_json(table: DataFrame) -> DataFrame:
     items = lambda c: as_list(F.col(c), kinds[c]) if c in have else F.array().cast("array<string>")
     cols = [F.coalesce(text(c), F.lit(d)).alias("company_name" if c == "name" else c) for c, d in JSON_DEFAULTS.items()]
     cols += [F.coalesce(text(c), F.lit("")).alias(c) for c in ("website", "reason")] + [number("score", 2).alias("score"), number("confidence", 4).alias("confidence")]
-    cols += [items(c).alias(c) for c in ("products", "services", "technologies", "use_cases", "recommended_products")]
-    cols += [text(c).alias(c) for c in ("product_specifications", "price_range", "contact_email", "phone")]
+    cols += [items(c).alias(c) for c in _LISTS]
+    cols += [text(c).alias(c) for c in _TEXTS]
     if "breakdown" in have:
         cols.append(F.col("breakdown"))
     return table.select(*cols)
 
 
+#: How an indented array's elements begin; nested objects stand further in, and texts hold no bare line ends.
+_ELEMENT = "\n  {"
+
+
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """(at, record): the objects of JSON lines or of a JSON array as variants, null where one can't be parsed, in file order.
+
+    An array that is indented as ``write_json_parts`` does is read in parts like lines are; in another layout
+    each file is one task's work.
+    """
+    begin = [r["value"] for r in spark.read.text(path).filter("trim(value) <> ''").limit(2).collect()]
+    if begin and begin[0].strip() == "[" and begin[1:] and begin[1].startswith("  {"):
+        parts = spark.read.text(path, lineSep=_ELEMENT).select(file_order().alias("at"), F.trim("value").alias("value"))
+        parts = parts.filter(~F.trim(F.regexp_replace("value", r"[\[\]\s]", "")).isin("", ","))
+        body = F.regexp_replace(F.concat(F.lit("{"), "value"), r"\}\s*[,\]]?\s*\]?\s*$", "}")
+        return parts.select("at", F.try_parse_json(body).alias("record"))
+    if begin and begin[0].lstrip().startswith("["):
+        whole = spark.read.text(path, wholetext=True).select(file_order().alias("at"), F.try_parse_json("value").alias("array"))
+        whole.createOrReplaceTempView(view := f"arrays_{uuid.uuid4().hex}")
+        return spark.sql(f"SELECT struct(at.path, at.start, e.pos AS row) AS at, e.value AS record FROM {view}, LATERAL variant_explode(array) AS e")
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    return lines.select(file_order().alias("at"), F.try_parse_json("value").alias("record"))
+
+
+def results_from_records(records: DataFrame) -> DataFrame:
+    """``results_from_json`` over variants: a list may come as one text, a number as text."""
+    get = lambda c, kind: F.try_variant_get("record", f"$.{c}", kind)
+    text = lambda c: blank_to_null(strip(get(c, "string")))
+    lists = lambda c: F.when(get(c, "array<variant>").isNotNull(), as_list(get(c, "array<string>"), "array")).otherwise(split_values(F.coalesce(get(c, "string"), F.lit(""))))
+    number = lambda c, n: F.round(F.coalesce(get(c, "double"), F.lit(0.0)), n)
+    cols = [F.coalesce(text(c), *([text("company_name")] if c == "name" else []), F.lit(d)).alias("company_name" if c == "name" else c) for c, d in JSON_DEFAULTS.items()]
+    cols += [F.coalesce(text(c), F.lit("")).alias(c) for c in ("website", "reason")] + [number("score", 2).alias("score"), number("confidence", 4).alias("confidence")]
+    cols += [lists(c).alias(c) for c in _LISTS] + [text(c).alias(c) for c in _TEXTS] + [get("breakdown", "map<string, double>").alias("breakdown")]
+    return records.select("at", *cols)
+
+
 def load_results(spark: SparkSession, json_path: str | None, csv_path: str | None) -> DataFrame:
-    """The JSON results, or the CSV ones where those can't be read; by score, in file order at ties."""
+    """The JSON results, or the CSV ones where those can't be read, with ``position`` from 1: by score, in file order at ties.
+
+    JSON with a record that can't be parsed, or without any object, counts as unreadable as a whole.
+    """
     table = None
     if json_path:
         try:
-            raw = spark.read.json(json_path, multiLine=True)
-            if "name" in raw.columns or "score" in raw.columns:
-                table = results_from_json(raw)
-        except Exception:  # noqa: BLE001 - the other form is tried
+            records = json_records(spark, json_path)
+            state = records.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))).alias("objects")).first()
+            if state["n"] and state["n"] == state["objects"]:
+                table = results_from_records(records)
+        except AnalysisException:  # no such path
             table = None
     if table is None:
         if not csv_path:
             raise FileNotFoundError("no results")
-        table = results_from_csv(read_csv(spark, csv_path))
-    return table.withColumn("ord", F.monotonically_increasing_id()).orderBy(F.desc("score"), "ord").drop("ord")
+        raw = read_csv(spark, csv_path)
+        table = results_from_csv(raw.withColumn("at", file_order()), keep=("at",))
+    return positions(table, [F.desc("score"), "at"]).drop("at").orderBy("position")
 
 
 def stale(modified: Column, as_of: Column, seconds: int = 3600) -> Column:

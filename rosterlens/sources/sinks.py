@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import split_values
 from ..functions.text import strip
+from .folders import work_folder
 from .readers import CSV_COLUMNS
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rosterlens-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _PRODUCTS = "array<struct<name: string, specifications: string>>"
 JSON_COLUMNS = (
     "name", "website", "score", "category", "breakdown", "confidence", "industry", "products", "services", "technologies",
@@ -47,7 +39,7 @@ def validated(df: DataFrame) -> DataFrame:
     return df.withColumns({"score": F.round("score", 4), "confidence": F.round("confidence", 4), "products": products})
 
 
-def csv_rows(df: DataFrame) -> DataFrame:
+def csv_columns(df: DataFrame) -> list[Column]:
     """Twenty columns of text and numbers: nulls as "", lists between commas, objects as JSON."""
     kinds = dict(df.dtypes)
     cols = []
@@ -62,39 +54,84 @@ def csv_rows(df: DataFrame) -> DataFrame:
             cols.append(value.cast("double").alias(c))
             continue
         cols.append(F.coalesce(value.cast("string"), F.lit("")).alias(c))
-    return df.select(*cols)
+    return cols
 
 
-def json_rows(df: DataFrame) -> DataFrame:
+def csv_rows(df: DataFrame) -> DataFrame:
+    return df.select(*csv_columns(df))
+
+
+def json_columns(df: DataFrame) -> list[Column]:
     """Eighteen columns; products by name, nulls kept."""
     kinds = dict(df.dtypes)
     names = F.transform("products", lambda p: p["name"]) if kinds["products"].startswith("array<struct") else F.col("products")
     columns = {"name": F.col("company_name"), "products": names}
-    return df.select(*((columns[c] if c in columns else F.col(c) if c in kinds else F.lit(None).cast("string")).alias(c) for c in JSON_COLUMNS))
+    return [(columns[c] if c in columns else F.col(c) if c in kinds else F.lit(None).cast("string")).alias(c) for c in JSON_COLUMNS]
 
 
-def write_csv(df: DataFrame, path: str, order: str = "ord") -> None:
-    """One CSV file in order of rank; the ranked list is what people open, so it is one part."""
-    ranked = df.orderBy(F.desc("score"), order) if order in df.columns else df.orderBy(F.desc("score"))
-    csv_rows(validated(ranked)).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+def json_rows(df: DataFrame) -> DataFrame:
+    return df.select(*json_columns(df))
 
 
-def write_json(df: DataFrame, path: str, order: str = "ord") -> None:
-    """JSON lines in order of rank."""
-    ranked = df.orderBy(F.desc("score"), order) if order in df.columns else df.orderBy(F.desc("score"))
-    json_rows(validated(ranked)).write.mode("overwrite").json(path, ignoreNullFields=False)
+def _order(df: DataFrame, order: str) -> list[Column]:
+    return [F.desc("score"), *([F.asc(order)] if order in df.columns else [])]
+
 
+def write_csv(df: DataFrame, path: str, order: str = "ord") -> None:
+    """CSV files in order of rank: their concatenation by name is the list, with the header as its first line.
+
+    Each task writes the part of the order that it holds. ``readers.read_csv`` reads them back; Spark's own
+    reader, told of a header, would take the first line of every file for one.
+    """
+    checked = validated(df)
+    line = F.to_csv(F.struct(*csv_columns(checked)), {"escape": '"', "emptyValue": "", "nullValue": ""}).alias("line")
+    keys = [F.col("score").alias("__score"), (F.col(order) if order in df.columns else F.lit(0)).alias("__order")]
+    body = checked.select(F.lit(True).alias("__body"), *keys, line)
+    head = df.sparkSession.range(1).select(F.lit(False), *(F.lit(None).cast(f.dataType) for f in body.schema.fields[1:3]), F.lit(",".join(CSV_COLUMNS)))
+    head.toDF(*body.columns).union(body).orderBy("__body", F.desc("__score"), "__order").select("line").write.mode("overwrite").text(path)
 
-def write_json_array(df: DataFrame, path: str, order: str = "ord", most: int = 100_000) -> None:
-    """One indented JSON array, for a list small enough to be read by people (``most`` rows; more raise an error)."""
-    import json
 
-    ranked = df.orderBy(F.desc("score"), order) if order in df.columns else df.orderBy(F.desc("score"))
-    rows = [r[0] for r in json_rows(validated(ranked)).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows: write JSON lines instead")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([json.loads(r) for r in rows], f, indent=2, ensure_ascii=False)
+def write_json(df: DataFrame, path: str, order: str = "ord") -> None:
+    """JSON lines in order of rank."""
+    json_rows(validated(df.orderBy(*_order(df, order)))).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def write_json_parts(df: DataFrame, path: str, order: str = "ord") -> None:
+    """Text files whose concatenation by name is one indented JSON array in order of rank."""
+    from ..operators.rank import positions
+
+    checked = validated(positions(df, _order(df, order), "__position"))
+    text = F.to_json(F.struct(*json_columns(checked)), {"ignoreNullFields": "false", "pretty": "true"})
+    n = checked.agg(F.max("__position").alias("n")).first()["n"] or 0
+    comma = F.when(F.col("__position") < n, ",").otherwise("")
+    rows = checked.select(F.col("__position").alias("at"), F.concat(F.lit("  "), F.replace(text, F.lit("\n"), F.lit("\n  ")), comma).alias("line"))
+    ends = df.sparkSession.createDataFrame([(0, "["), (n + 1, "]")], "at long, line string")
+    ends.union(rows).orderBy("at").select("line").write.mode("overwrite").text(path)
+
+
+def write_json_array(df: DataFrame, path: str, order: str = "ord") -> None:
+    """One file with an indented JSON array: parts written by tasks, then joined byte by byte."""
+    folder = work_folder(df.sparkSession, "array")
+    write_json_parts(df, folder, order)
+    join_files(df.sparkSession, folder, path)
+
+
+def join_files(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of a folder, one behind the other by name, in one file. They are streamed, not held."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
+    store = source.getFileSystem(conf)
+    parts = sorted(f.getPath().toString() for f in store.listStatus(source) if f.getPath().getName().startswith("part-"))
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for part in parts:
+            stream = store.open(hadoop.fs.Path(part))
+            try:
+                hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
 
 
 def write_embeddings(rows: DataFrame, cache_path: str) -> None:
