@@ -167,11 +167,8 @@ class Words:
         return pair[cut] // n_words, pair[cut] % n_words, n, Bitmaps(np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(pair)))), element, bits)
 
 
-def mine(shard: Shard, frequent: np.ndarray, longest: int, keep=None) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
-    """Words (by place among the shard's) and popcounts of phrases of 2 to ``longest`` frequent words, depth-first by lots.
-
-    ``keep(words)`` tells which phrases are worth extending and returning; all, if it isn't given.
-    """
+def mine(shard: Shard, frequent: np.ndarray, longest: int) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+    """Words (by place among the shard's) and popcounts of phrases of 2 to ``longest`` frequent words, depth-first by lots."""
     token = np.flatnonzero(frequent[shard.word]) if len(shard.word) else np.zeros(0, np.int64)
     if not len(token):
         return
@@ -182,12 +179,6 @@ def mine(shard: Shard, frequent: np.ndarray, longest: int, keep=None) -> Iterato
     def deeper(phrases: Bitmaps, prefix: tuple[np.ndarray, ...]) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
         row, word, count, longer = words.extend(phrases, n)
         got = (*(p[row] for p in prefix), word)
-        if keep is not None:
-            good = keep(got)
-            place = np.cumsum(good) - 1
-            some = good[longer.row]
-            longer = Bitmaps(place[longer.row[some]], longer.element[some], longer.bits[some])
-            got, count = tuple(g[good] for g in got), count[good]
         yield got, count
         if len(got) < longest and len(count):
             yield from deeper(longer, got)
@@ -241,14 +232,16 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         yield pa.RecordBatch.from_arrays([shard.langs.dictionary.take(pa.array(langs)).cast(pa.string()), pa.array(np.zeros(len(langs)), pa.int64()), pa.array([""] * len(langs), pa.string()), pa.array(n[langs], pa.int64())], ["lang", "words", "phrase", "f"])
         common = np.flatnonzero(frequent)
         yield rows((common,), shard.count[common])
-        # The keys that this block asked for, in their order, are those of its phrases.
-        asked = ask_phrases(block)[0]
-
-        def keep(got: tuple[np.ndarray, ...]) -> np.ndarray:
-            return totals[np.searchsorted(asked, _key(*(shard.keys[w] for w in got)))] >= least
-
-        for got, n in mine(shard, frequent, longest, keep):
-            yield rows(got, n)
+        found = list(mine(shard, frequent, longest))
+        if not found:
+            return
+        # In the order of its sorted keys, as they were asked for.
+        _, where = np.unique(np.concatenate([_key(*(shard.keys[w] for w in got)) for got, _ in found]), return_inverse=True)
+        at = 0
+        for got, n in found:
+            good = totals[where[at : at + len(n)]] >= least
+            at += len(n)
+            yield rows(tuple(g[good] for g in got), n[good])
 
     sent = blocks.map(blocks.with_facts(words, phrases), tell, "lang string, words long, phrase string, f long")
     return sent.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= F.when(F.col("words") == 0, 1).otherwise(least))
