@@ -89,33 +89,25 @@ def whole_word(word: str) -> str:
     return rf"(?U)\b{re.escape(word)}\b"
 
 
-#: Rule tables of up to so many words are compiled; larger ones are joined by parts of their words.
-COMPILED = 2000
+#: Rule tables of up to so many words are compiled; the words of larger ones go through an automaton.
+COMPILED = 64
 
 
 def match_rules(docs: DataFrame, rules: DataFrame, text_col: str = "text", word_col: str = "word", id_col: str = "doc_id") -> DataFrame:
-    """(id, columns of the rules) for each rule of a table whose word the text holds, without case.
+    """(id, columns of the rules) for each rule of a table whose word the lowered text holds.
 
-    A table of any size: its distinct words are counted, and up to ``COMPILED`` of them become
-    an array literal that each text is held against. More are dealt by their first three
-    characters and met by the texts' distinct three-character parts; only ids travel there,
-    and texts come back for the comparison. Words of one or two characters are always compiled.
+    A table of any size: up to ``COMPILED`` distinct words become an array literal that each text is held
+    against; more are found by ``automaton.occurrences``, in one pass over the texts that sends no text anywhere.
     """
-    rules = rules.filter(F.length(word_col) > 0)
-    words = rules.select(F.col(word_col).alias("w")).distinct()
-    few = [r["w"] for r in words.limit(COMPILED + 1).collect()]
-    texts = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__low"))
-    large = len(few) > COMPILED
-    if large:
-        few = [r["w"] for r in words.filter(F.length("w") < 3).collect()]
-    hits = texts.select(id_col, F.explode(let(F.col("__low"), lambda low: words_present(low, few))).alias("__w")) if few else None
-    if large:
-        low = F.col("__low")
-        parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
-        keyed = texts.select(id_col, F.explode(parts).alias("__g"))
-        near = keyed.join(words.filter(F.length("w") >= 3).withColumn("__g", F.substring("w", 1, 3)), "__g").select(id_col, F.col("w").alias("__w")).distinct()
-        long = near.join(texts, id_col).filter(low.contains(F.col("__w"))).select(id_col, "__w")
-        hits = long if hits is None else hits.unionByName(long)
-    if hits is None:
-        hits = texts.select(id_col, F.lit("").alias("__w")).limit(0)
+    from .automaton import occurrences
+
+    # A text is lowered, so a word with capitals is in none.
+    rules = rules.filter((F.length(word_col) > 0) & (F.lower(word_col) == F.col(word_col)))
+    words = rules.select(F.col(word_col).alias("__w")).distinct()
+    few = [r["__w"] for r in words.limit(COMPILED + 1).collect()]
+    if len(few) > COMPILED:
+        hits = occurrences(docs, words, text_col, "__w", id_col).select(id_col, F.col("word").alias("__w"))
+    else:
+        low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        hits = docs.select(id_col, F.explode(let(low, lambda x: words_present(x, few))).alias("__w")) if few else docs.select(id_col, F.lit("").alias("__w")).limit(0)
     return hits.join(rules, F.col("__w") == F.col(word_col)).drop("__w")

@@ -322,4 +322,4 @@ def stale_pages(spark: SparkSession, d: str) -> DataFrame:
 def dashboard_table(spark: SparkSession, d: str) -> DataFrame:
     """Companies as a dashboard shows them, by score."""
     rows = service.dashboard_rows(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("company_name"), F.concat(F.lit(" site"), "s_suppkey").alias("website"), F.col("s_acctbal").cast("string").alias("score"), F.col("s_suppkey").alias("ord")))
-    return service.by_score(rows).limit(25).select("company_name", "website", "score", service.website_label(F.col("website")).alias("label"))
+    return service.by_score(rows).select("company_name", "website", "score", service.website_label(F.col("website")).alias("label"))

@@ -472,5 +472,5 @@ def oracles(test_links) -> dict[str, str]:
           s_name AS products, round(s_nationkey::DOUBLE / 7, 4) AS confidence, 'No summary available.' AS summary, 'say "so", then' AS reason FROM supplier""",
         "cache_upserts": "SELECT CAST(user_id AS VARCHAR) AS website_key, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "stale_pages": "SELECT ts IS NULL OR (SELECT max(ts) FROM events) > ts + INTERVAL 86400 SECOND AS stale, count(*) AS n FROM events GROUP BY 1",
-        "dashboard_table": "SELECT s_name AS company_name, 'https://site' || s_suppkey AS website, s_acctbal::DOUBLE AS score, 'site' || s_suppkey AS label FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 25",
+        "dashboard_table": "SELECT s_name AS company_name, 'https://site' || s_suppkey AS website, s_acctbal::DOUBLE AS score, 'site' || s_suppkey AS label FROM supplier",
     }

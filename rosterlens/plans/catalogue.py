@@ -22,6 +22,7 @@ from ..sources import sinks as K
 from ..sources.readers import spread
 from . import service
 from .cases import CASES, profile
+from .tables import TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,4 +432,4 @@ def rank_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return ranking.rank_companies(roster, pages, lexicon=LEX, offline=True).select("ord", "company_name", "website", "score", "category", "industry", "confidence", "reason")
 
 
-QUERIES |= CASES
+QUERIES |= CASES | TABLES

@@ -169,9 +169,9 @@ def oracles(test_rules, test_first, test_links) -> dict[str, str]:
 
 
 def _build() -> dict[str, str]:
-    from . import cases_sql, catalogue
+    from . import cases_sql, catalogue, tables_sql
 
-    return oracles(catalogue.TEST_RULES, catalogue.TEST_FIRST, catalogue.TEST_LINKS) | cases_sql.oracles(catalogue.TEST_LINKS)
+    return oracles(catalogue.TEST_RULES, catalogue.TEST_FIRST, catalogue.TEST_LINKS) | cases_sql.oracles(catalogue.TEST_LINKS) | tables_sql.oracles()
 
 
 ORACLES = _build()

@@ -169,6 +169,11 @@ def results_from_records(records: DataFrame) -> DataFrame:
     return records.select("at", *cols)
 
 
+def json_list(text: Column, field: str) -> Column:
+    """One field of the objects in a JSON list; null where the text isn't one."""
+    return F.transform(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), lambda v: F.try_variant_get(v, f"$.{field}", "string"))
+
+
 def load_results(spark: SparkSession, json_path: str | None, csv_path: str | None) -> DataFrame:
     """The JSON results, or the CSV ones where those can't be read, with ``position`` from 1: by score, in file order at ties.
 
