@@ -1,14 +1,10 @@
 """Text, sections and links of raw pages.
 
-What patterns can express is native; what needs the tree of a page runs in Arrow batches
-over the standard library's parser.
+What patterns can express is native; what needs a page's elements works on the intervals of ``tags``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +16,6 @@ from ..functions.arrays import distinct_ignoring_case, let
 HIDDEN = ("script", "style", "noscript", "nav", "footer", "header", "svg")
 #: Entities that native text extraction resolves, the ampersand last. Fixed values.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 
 
@@ -64,150 +59,20 @@ def scored_links(html: Column, base: Column, most: int = 6, avoid: tuple[str, ..
     return let(scored, lambda s: let(F.struct(s.alias("s"), F.transform(s, lambda x: x["url"]).alias("u")), best))
 
 
-# --------------------------------------------------------------------------- the tree
-
-
-class Node:
-    __slots__ = ("attrs", "children", "tag")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-    def walk(self) -> Iterator[Node]:
-        """Elements below, in document order, without recursion."""
-        stack = [iter(self.children)]
-        while stack:
-            for child in stack[-1]:
-                if isinstance(child, Node):
-                    yield child
-                    stack.append(iter(child.children))
-                    break
-            else:
-                stack.pop()
-
-    def text(self) -> str:
-        out, stack = [], [iter(self.children)]
-        while stack:
-            for child in stack[-1]:
-                if isinstance(child, Node):
-                    stack.append(iter(child.children))
-                    break
-                out.append(child)
-            else:
-                stack.pop()
-        return "".join(out)
-
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
-
-
-class _Builder(HTMLParser):
-    """Elements end at their own end tag; an end tag closes what is still open inside."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self.open = [self.root]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
-
-
-def tree(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
-def prune(node: Node, tags: set[str]) -> None:
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        n.children = [c for c in n.children if not (isinstance(c, Node) and c.tag in tags)]
-        todo.extend(n.elements())
-
-
-def main_text(html: str, most: int = 4000) -> str:
-    """Meta descriptions, headings and small blocks of the main part; a nested block repeats its text."""
-    import re
-
-    root = tree(html)
-    prune(root, {"script", "style", "noscript", "nav", "footer", "svg", "iframe"})
-    out = []
-    for key, value in (("name", "description"), ("property", "og:description")):
-        meta = next((n for n in root.walk() if n.tag == "meta" and n.attrs.get(key) == value), None)
-        if meta is not None and meta.attrs.get("content", "").strip():
-            out.append(meta.attrs["content"].strip())
-    body = next((n for n in root.walk() if n.tag == "body"), root)
-    part = next((n for n in root.walk() if n.tag in ("article", "main", "section")), body)
-    out += [t for n in part.walk() if n.tag in ("h1", "h2", "h3") and 10 < len(t := n.text().strip()) < 200]
-    out += [t for n in part.walk() if n.tag in ("p", "li", "span", "div") and len(n.elements()) <= 5 and 20 < len(t := n.text().strip()) < 800]
-    joined = re.sub(r"\s+", " ", " ".join(out))
-    return re.sub(r"\s+", " ", re.sub(r"[^\w\s.,;:!?()'\"/-]", " ", joined)).strip()[:most]
-
-
-def section_text(root: Node, words: tuple[str, ...], most: int = 5) -> str:
-    """Texts of elements whose class or id holds a word, word by word, class before id."""
-    out = []
-    for word in words:
-        for attr in ("class", "id"):
-            out += [t for n in root.walk() if word in n.attrs.get(attr, "") and 15 < len(t := n.text().strip()) < 1000]
-    return " ".join(out[:most])
-
-
-def spec_table_text(root: Node, most: int = 10) -> str:
-    """Rows of tables, then items of lists, ten of each."""
-    out = []
-    for table in (n for n in root.walk() if n.tag == "table"):
-        for row in [n for n in table.walk() if n.tag == "tr"][:10]:
-            text = " | ".join(n.text().strip() for n in row.walk() if n.tag in ("td", "th"))
-            if 15 < len(text) < 500:
-                out.append(text)
-    for block in (n for n in root.walk() if n.tag in ("ul", "ol")):
-        out += [t for n in [n for n in block.walk() if n.tag == "li"][:10] if 15 < len(t := n.text().strip()) < 500]
-    return " ".join(out[:most])
-
-
-def heading_text(html: str) -> str:
-    """The meta description and up to ten distinct headings."""
-    root = tree(html)
-    meta = next((n.attrs.get("content", "").strip() for n in root.walk() if n.tag == "meta" and n.attrs.get("name") == "description"), "")
-    heads = [t for n in root.walk() if n.tag in ("h1", "h2", "h3") and 15 < len(t := n.text().strip()) < 120 and not any(b in t.lower() for b in L.HEADING_BLACKLIST)]
-    return (meta + " " + " ".join(list(dict.fromkeys(heads))[:10])).strip()
-
-
 PARTS = ("main", "products", "services", "specifications", "headings")
 
 
 def page_parts(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with a struct ``parts`` of texts that need the page's tree. A null page has empty parts."""
-    import pandas as pd
-
-    def cut(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for html in column:
-            root = tree(html or "")
-            rows.append((main_text(html or ""), section_text(root, ("product", "solution")), section_text(root, ("service", "offering")), spec_table_text(root), heading_text(html or "")))
-        return pd.DataFrame(rows, columns=list(PARTS))
-
-    kind = "struct<" + ", ".join(f"{p}: string" for p in PARTS) + ">"
-    return pages.withColumn("parts", F.pandas_udf(cut, kind, F.PandasUDFType.SCALAR)(F.col(html_col)))
+    """``pages`` with a struct ``parts`` of texts that need the page's elements. A null page has empty parts."""
+    from . import tags as G
+
+    t = F.col("__tags")
+    parts = {
+        "main": G.main_text(t), "products": G.section_text(t, ("product", "solution")), "services": G.section_text(t, ("service", "offering")),
+        "specifications": G.listed_text(t), "headings": G.heading_text(t),
+    }
+    # The scan is a step of its own, so that the five texts share it.
+    return G.with_tags(pages, html_col, "__tags").withColumn("parts", F.struct(*(parts[p].alias(p) for p in PARTS))).drop("__tags")
 
 
 def urls_joined(base: Column, href: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import automaton as A
+from ..operators import tags as G
 from ..operators.rank import file_order, positions
 from ..sources import readers, sinks
 from ..sources.folders import work_folder
@@ -50,6 +51,34 @@ def rule_totals(spark: SparkSession, d: str) -> DataFrame:
     return A.label_totals(readers.spread(table(spark, d, "documents")), rules)
 
 
+# ---------------------------------------------------------------------------- pages
+
+
+@query
+def page_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main part's text of each page."""
+    pages = G.with_tags(readers.spread(table(spark, d, "pages").select("page_id", "html")))
+    return pages.select("page_id", G.main_text(F.col("tags")).alias("main"))
+
+
+@query
+def section_text(spark: SparkSession, d: str) -> DataFrame:
+    """Sections, rows of tables and headings of pages whose lists are marked as services and made tables."""
+    marked = F.replace(F.replace(F.col("html"), F.lit('<div class="ad">'), F.lit('<div id="products" class="ad">')), F.lit("<li>"), F.lit('<li class="service-item">'))
+    tabled = F.replace(F.replace(F.replace(marked, F.lit("<ul>"), F.lit("<table><tr>")), F.lit('<li class="service-item"><a'), F.lit('<td class="service-item"><a')), F.lit("</a></li>"), F.lit("</a></td>"))
+    pages = table(spark, d, "pages").select("page_id", marked.alias("marked"), F.replace(tabled, F.lit("</ul>"), F.lit("</tr></table>")).alias("tabled"))
+    pages = G.with_tags(G.with_tags(readers.spread(pages), "marked", "m"), "tabled", "t")
+    return pages.select("page_id", G.section_text(F.col("m"), ("product", "service")).alias("sections"), G.listed_text(F.col("t")).alias("rows"), G.heading_text(F.col("m")).alias("headings"))
+
+
+@query
+def tag_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Elements by name: how many, how many inside of the page's article."""
+    rows = G.tag_rows(readers.spread(table(spark, d, "pages")))
+    main = rows.filter("tag = 'article'").select("page_id", F.col("pre").alias("a"), F.col("last").alias("b"))
+    return rows.join(main, "page_id", "left").groupBy("tag").agg(F.count("*").alias("n"), F.count_if((F.col("pre") > F.col("a")) & (F.col("pre") <= F.col("b"))).alias("inside"))
+
+
 # ---------------------------------------------------------------------------- ranks
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions import lexicons as L
+from .sql import _any
+
 _WORDS = "(SELECT DISTINCT unnest(list_filter(string_split_regex(lower(t), '\\s+'), lambda w: w <> '')) AS word FROM (SELECT p_name AS t FROM part UNION ALL SELECT text FROM benchmark) WHERE t IS NOT NULL)"
 #: The words hold no white space, so they are met with the runs of characters of distinct tokens.
 _MET = f"""
@@ -16,10 +19,45 @@ _SUPPLIERS = """s AS (SELECT s_suppkey AS ord, CASE WHEN s_nationkey <> 3 THEN s
 p AS (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS position FROM s)"""
 
 
+def _plain(x: str) -> str:
+    """Text of markup without scripts."""
+    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return out
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _parts() -> str:
+    """Pages there have one article: a heading, and paragraphs of which some, beginning with <b>, stay open to its end."""
+    block = f"CASE WHEN starts_with(parts[i], '<b>') THEN {_strip(_plain("array_to_string(parts[i:], '')"))} ELSE {_strip(_plain("regexp_replace(parts[i], '(?s)</p>.*$', '')"))} END"
+    return f"""
+a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS art FROM pages),
+b AS (SELECT page_id, {_strip(_plain("regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1)"))} AS h, string_split(art, '<p>')[2:] AS parts FROM a),
+c AS (SELECT page_id, list_filter([h], lambda t: length(t) > 10 AND length(t) < 200) || list_filter(list_transform(range(1, len(parts) + 1), lambda i: {block}), lambda t: length(t) > 20 AND length(t) < 800) AS l FROM b),
+j AS (SELECT page_id, regexp_replace(array_to_string(l, ' '), '\\s+', ' ', 'g') AS t FROM c)
+SELECT page_id, left(trim(regexp_replace(regexp_replace(t, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s.,;:!?()''"/-]', ' ', 'g'), '\\s+', ' ', 'g')), 4000) AS main FROM j"""
+
+
+def _sections() -> str:
+    texts = lambda pattern: f"list_transform(regexp_extract_all(html, '{pattern}', 1), lambda x: {_strip(_plain('x'))})"
+    return f"""WITH t AS (SELECT page_id, {texts('(?s)<div class="ad">(.*?)</div>')} AS ad, {texts('(?s)<li>(.*?)</li>')} AS li, {texts('(?s)<ul>(.*?)</ul>')} AS ul, {texts('(?s)<h1>(.*?)</h1>')} AS h FROM pages)
+SELECT page_id, coalesce(array_to_string(list_filter(ad || li, lambda x: length(x) > 15 AND length(x) < 1000)[1:5], ' '), '') AS sections,
+  coalesce(array_to_string(list_filter([array_to_string(li, ' | ')], lambda x: length(x) > 15 AND length(x) < 500), ' '), '') AS rows,
+  coalesce(array_to_string(list_filter(list_filter(h, lambda x: length(x) > 15 AND length(x) < 120), lambda x: NOT {{blacklist}})[1:10], ' '), '') AS headings FROM t"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "word_occurrences": f"WITH {_MET} SELECT word, count(*) AS n_docs, sum(n)::BIGINT AS n, sum(n_apart)::BIGINT AS n_apart FROM a GROUP BY word",
         "rule_totals": f"WITH {_MET} SELECT doc_id, word[1] AS label, sum(least(n_apart, 3) * length(word))::BIGINT AS total, count(*) AS words FROM a WHERE length(word) > 3 GROUP BY ALL",
+        "page_main_text": f"WITH {_parts()}",
+        "section_text": _sections().format(blacklist=_any(L.HEADING_BLACKLIST, "lower(x)")),
+        "tag_intervals": """WITH t AS (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages), i AS (SELECT unnest(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '<([a-z0-9]+)', 1)) AS tag FROM pages)
+          SELECT tag, n, coalesce(inside, 0) AS inside FROM (SELECT tag, count(*) AS n FROM t GROUP BY 1) LEFT JOIN (SELECT tag, count(*) AS inside FROM i GROUP BY 1) USING (tag)""",
         "ranked_positions": "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, r) AS position FROM (SELECT c_custkey, c_acctbal, row_number() OVER () AS r FROM customer)",
         "results_read_back": f"""WITH {_SUPPLIERS} SELECT form, position, coalesce(name, CASE WHEN form = 'csv' THEN 'Unknown Company' ELSE 'Unknown' END) AS company_name, website, score, s_name AS product, round(confidence, 4) AS confidence,
           'two' || chr(10) || 'lines' AS reason FROM p, (VALUES ('lines'), ('array'), ('csv')) f(form)""",

@@ -88,21 +88,6 @@ def test_links(value):
     assert value(lambda h, b: H.plain_links(h, b), h='<a href="/A">x</a><a href="/a">y</a>', b="https://acme.com") == ["https://acme.com/A"]
 
 
-def test_page_tree():
-    html = (
-        '<html><head><meta name="description" content="About us"></head><body><nav>menu menu menu menu menu</nav>'
-        "<main><h1>A heading of some size</h1><div><p>A paragraph with enough text in it.</p></div></main>"
-        "<table><tr><td>Weight and size</td><td>12 kg</td></tr></table><div class='product-list'>Products are listed here</div></body></html>"
-    )
-    text = H.main_text(html)
-    assert text.startswith("About us A heading of some size") and text.count("A paragraph with enough text in it.") == 2
-    root = H.tree(html)
-    assert H.section_text(root, ("product",)) == "Products are listed here"
-    assert H.spec_table_text(root) == "Weight and size 12 kg" or "Weight and size | 12 kg" in H.spec_table_text(root)
-    assert H.heading_text(html) == "About us A heading of some size"
-    assert H.main_text("") == "" and H.main_text("<p>" * 3000)[:1] in ("", " ")
-
-
 def test_visible_text(value):
     assert value(H.visible_text, h="<nav>x</nav><p>A &amp; B<br>c</p><script>var t='</p>'</script>") == "A & B c"
     assert value(H.visible_text, h=None) == ""
