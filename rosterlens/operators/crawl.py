@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import urls as U
+from ..sources.folders import work_folder
 from .html import page_parts, plain_links, scored_links
 
 #: Text of a made-up site, for runs without a network; long enough to pass the gate on length.
@@ -56,31 +60,53 @@ def crawl(roster: DataFrame, pages: DataFrame, max_pages: int = 8, website: str
     return queued.join(table, "url").select(website, "at", "url", "html")
 
 
-def crawl_depth(roster: DataFrame, pages: DataFrame, max_depth: int = 2, max_pages: int = 8, website: str = "website", keywords=None) -> DataFrame:
+def site_links(pages: DataFrame, keywords: tuple[str, ...] | None = None) -> DataFrame:
+    """(url, k, to): relevant links of each page to its own site, by their place on the page; the pages' own addresses as they are."""
+    options = () if keywords is None else (keywords,)
+    links = pages.select("url", F.posexplode(plain_links(F.col("html"), F.col("url"))).alias("k", "to"))
+    return links.filter((U.domain(F.col("to")) == U.domain(F.col("url"))) & U.relevant(F.col("to"), *options))
+
+
+def crawl_depth(roster: DataFrame, pages: DataFrame, max_depth: int = 2, max_pages: int = 8, website: str = "website", keywords: tuple[str, ...] | None = None) -> DataFrame:
     """(website, depth, url, html): pages of one site within some links of its root, relevant ones only.
 
-    Pages come breadth first and in the order of the links to them; ``way`` has the places of
-    the links that lead there.
+    Pages come breadth first and in the order of the links to them, up to ``max_pages`` of a site. The links are cut out of the
+    pages once and written; a recursive query follows them, never into a page of its own way, and no page is read again.
+    Of the ways to a page the shortest counts, of equally long ones that whose links come first.
     """
-    from .roster import unseen
-
-    table = pages.select(U.normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.min("html").alias("html"))
-    level = roster.select(website).distinct().select(website, U.normalize(F.col(website)).alias("url"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("way"))
-    out = level.join(table, "url", "left")
-    front = out
-    options = () if keywords is None else (keywords,)
-    for depth in range(1, max_depth + 1):
-        links = front.select(website, "way", F.posexplode(plain_links(F.col("html"), F.col("url"))).alias("k", "url"))
-        links = links.groupBy(website, "url").agg(F.min(F.concat("way", F.array("k"))).alias("way"))
-        links = links.filter((U.domain(F.col("url")) == U.domain(U.normalize(F.col(website)))) & U.relevant(F.col("url"), *options))
-        keyed = links.withColumn("k", F.concat_ws("\x01", website, "url"))
-        new = unseen(keyed, out.withColumn("k", F.concat_ws("\x01", website, "url")), "k").drop("k")
-        front = new.join(table, "url").withColumn("depth", F.lit(depth)).select(*out.columns)
-        out = out.unionByName(front)
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.partitionBy(website).orderBy("depth", "way"))
-    return out.filter("html is not null").withColumn("__r", rank).filter(F.col("__r") <= max_pages).select(website, "depth", "url", "html")
+    spark = roster.sparkSession
+    table = pages.select(U.normalize(F.col("url")).alias("url"), "html").filter("url <> ''").groupBy("url").agg(F.min("html").alias("html"))
+    path = work_folder(spark, "links")
+    site_links(table, keywords).write.parquet(path)
+    starts = roster.select(website).distinct().select(F.col(website).alias("site"), U.normalize(F.col(website)).alias("url")).filter("url <> ''")
+    name = uuid.uuid4().hex
+    spark.read.parquet(path).createOrReplaceTempView(f"links_{name}")
+    starts.createOrReplaceTempView(f"starts_{name}")
+    # The way lists places of links; a page is left by the links that lead to pages the way hasn't been to.
+    limits = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": str(max_depth + 2)}
+    old = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        ways = spark.sql(f"""
+            WITH RECURSIVE walk(site, url, depth, way, seen) AS (
+              SELECT site, url, 0, CAST(array() AS array<int>), array(url) FROM starts_{name}
+              UNION ALL
+              SELECT w.site, l.to, w.depth + 1, concat(w.way, array(l.k)), concat(w.seen, array(l.to))
+              FROM walk w JOIN links_{name} l ON l.url = w.url
+              WHERE w.depth < {int(max_depth)} AND NOT array_contains(w.seen, l.to))
+            SELECT site, url, min(struct(depth, way)) AS at FROM walk GROUP BY site, url""")
+        found = work_folder(spark, "ways")
+        ways.write.parquet(found)  # while the limits hold
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.catalog.dropTempView(f"links_{name}")
+        spark.catalog.dropTempView(f"starts_{name}")
+    # Of a site with many pages each task passes on its first ones alone.
+    visited = spark.read.parquet(found).join(table.select("url"), "url", "left_semi")
+    first = visited.withColumn("__r", F.row_number().over(Window.partitionBy("site").orderBy("at"))).filter(F.col("__r") <= max_pages)
+    return first.join(table, "url").select(F.col("site").alias(website), F.col("at.depth").alias("depth"), "url", "html")
 
 
 def page_map(visited: DataFrame, website: str = "website", most: int = 4000) -> DataFrame:

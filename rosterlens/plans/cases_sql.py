@@ -324,7 +324,7 @@ def _mixed_profiles() -> str:
       SELECT doc_id, coalesce(array_to_string(products, ','), '') AS products, CAST(len(specs) AS INT) AS n_specs, CASE WHEN (first = 'low' OR (len(products) = 0 AND len(specs) = 0)) AND longer <> '' THEN 'medium' ELSE first END AS summary_confidence FROM c"""
 
 
-def _frontier(test_links) -> str:
+def frontier(test_links, pages: str = "pages") -> str:
     """Two rounds of links: those of the root, then those of the second address."""
     from .sql import _HREF, _score_case
 
@@ -338,8 +338,8 @@ def _frontier(test_links) -> str:
           WHERE NOT contains(lower(full_url), 'privacy') AND ({score}) > 0 GROUP BY 1, 2) QUALIFY rank <= 6"""
 
     root = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
-    return f"""WITH t AS (SELECT u AS url, min(html) AS html FROM (SELECT {normal.format('url')} AS u, html FROM pages UNION ALL SELECT {root}, html FROM pages) WHERE u <> '' GROUP BY 1),
-      s AS (SELECT DISTINCT {root} AS site FROM pages WHERE {root} <> ''), one AS (SELECT site, t.url, html FROM s JOIN t ON t.url = site),
+    return f"""WITH t AS (SELECT u AS url, min(html) AS html FROM (SELECT {normal.format('url')} AS u, html FROM {pages} UNION ALL SELECT {root}, html FROM {pages}) WHERE u <> '' GROUP BY 1),
+      s AS (SELECT DISTINCT {root} AS site FROM {pages} WHERE {root} <> ''), one AS (SELECT site, t.url, html FROM s JOIN t ON t.url = site),
       q1 AS (SELECT site, site AS url, 0 AS pos FROM s UNION ALL SELECT site, full_url, rank FROM ({linked('one')}) WHERE full_url <> site),
       q2 AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY pos) - 1 AS pos FROM q1), two AS (SELECT q2.site, q2.url, html FROM q2 JOIN t USING (url) WHERE pos = 1),
       q3 AS (SELECT site, url, pos FROM q2 UNION ALL SELECT site, full_url, 100 + rank FROM ({linked('two')}) l WHERE NOT EXISTS (SELECT 1 FROM q2 WHERE q2.site = l.site AND q2.url = l.full_url)),
@@ -434,7 +434,7 @@ def oracles(test_links) -> dict[str, str]:
         "page_headings": _headings(),
         "mixed_profiles": _mixed_profiles(),
         "product_records": _company_records(),
-        "crawl_frontier": _frontier(test_links),
+        "crawl_frontier": frontier(test_links),
         "case_keyword_profiles": keyword_profiles(_TEXTS),
         "case_technologies": f"SELECT doc_id, {csv(technologies("(' ' || lower(coalesce(text, '')) || ' ')", 'existing'))} AS technologies FROM {_TEXTS} JOIN {rows(C.EXISTING.items(), 'doc_id, existing')} USING (doc_id)",
         "case_clean_names": _clean_names(),

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import automaton as A
+from ..operators import crawl as C
+from ..operators import html as H
+from ..operators import neighbours as N
 from ..operators import tags as G
 from ..operators.rank import file_order, positions
 from ..sources import readers, sinks
@@ -19,6 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 TABLES: dict[str, Query] = {}
 
 
+SITE_LINKS = {"avoid": ("privacy",), "hints": ("/en/p1", "/en/p2"), "keywords": ("on", "er", "le", "p3")}
+
+
 def query(f: Query) -> Query:
     TABLES[f.__name__] = f
     return f
@@ -79,6 +85,57 @@ def tag_intervals(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(main, "page_id", "left").groupBy("tag").agg(F.count("*").alias("n"), F.count_if((F.col("pre") > F.col("a")) & (F.col("pre") <= F.col("b"))).alias("inside"))
 
 
+# --------------------------------------------------------------------------- crawls
+
+
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    """Pages dealt to sites of 25, each linking to five pages of its site: the (3m + i)-th, m being its own place."""
+    p = table(spark, d, "pages").withColumns({"site": F.floor(F.col("page_id") / 25), "m": F.col("page_id") % 25})
+    root = F.concat(F.lit("https://s"), "site", F.lit(".example"))
+    anchors = F.slice(F.transform(H.links(F.col("html")), lambda x: x["anchor"]), 1, 5)
+    links = F.transform(anchors, lambda a, i: F.concat(F.lit('<a href="/en/p'), (F.col("m") * 3 + i) % 25, F.lit('">'), F.replace(a, F.lit("<"), F.lit("")), F.lit("</a>")))
+    return p.select("page_id", root.alias("root"), F.concat(root, F.lit("/en/p"), "m").alias("url"), F.array_join(links, " ").alias("html"))
+
+
+def _rooted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Roots, and pages with the least of each site's as the root's."""
+    return pages.select(F.col("root").alias("website")).distinct(), pages.select("url", "html").unionByName(pages.select(F.col("root").alias("url"), "html"))
+
+
+@query
+def crawl_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Which pages a crawl of eight visits, in which order."""
+    roots, pages = _rooted(_sites(spark, d))
+    return C.crawl(roots, pages, **SITE_LINKS).select("website", "at", "url")
+
+
+@query
+def crawl_depth_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages within two links of the roots whose address holds p1 or p2."""
+    roots, pages = _rooted(_sites(spark, d))
+    return C.crawl_depth(roots, pages, keywords=("p1", "p2"), max_pages=12).select("website", "depth", "url", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+# -------------------------------------------------------------------------- vectors
+
+#: Cells that a query probes; the recall over ten neighbours is tested to be 0.9 at least.
+PROBES = 24
+
+
+@query
+def vector_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most alike rows of every vector, by probes."""
+    e = table(spark, d, "embeddings")
+    return N.search(N.build(e), e, probes=PROBES).select("vec_id", "rank", "neighbour", F.round("likeness", 6).alias("likeness"))
+
+
+@query
+def vector_neighbours_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most alike rows, none missed, of the vectors whose id 50 divides."""
+    e = table(spark, d, "embeddings")
+    return N.search(N.build(e), e.filter("vec_id % 50 = 0"), probes=PROBES, exact=True).select("vec_id", "rank", "neighbour", F.round("likeness", 6).alias("likeness"))
+
+
 # ---------------------------------------------------------------------------- ranks
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..functions import lexicons as L
+from .cases_sql import frontier
 from .sql import _any
+from .tables import SITE_LINKS
 
 _WORDS = "(SELECT DISTINCT unnest(list_filter(string_split_regex(lower(t), '\\s+'), lambda w: w <> '')) AS word FROM (SELECT p_name AS t FROM part UNION ALL SELECT text FROM benchmark) WHERE t IS NOT NULL)"
 #: The words hold no white space, so they are met with the runs of characters of distinct tokens.
@@ -50,6 +52,27 @@ SELECT page_id, coalesce(array_to_string(list_filter(ad || li, lambda x: length(
   coalesce(array_to_string(list_filter(list_filter(h, lambda x: length(x) > 15 AND length(x) < 120), lambda x: NOT {{blacklist}})[1:10], ' '), '') AS headings FROM t"""
 
 
+def _sites() -> str:
+    from .sql import _HREF
+
+    anchor = _strip("regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')")
+    links = f"list_transform(list_transform(regexp_extract_all(coalesce(html, ''), '{_HREF}', 2), lambda x: {anchor})[1:5], lambda a, i: '<a href=\"/en/p' || ((page_id % 25) * 3 + i - 1) % 25 || '\">' || replace(a, '<', '') || '</a>')"
+    return f"(SELECT page_id, 'https://s' || page_id // 25 || '.example' AS root, 'https://s' || page_id // 25 || '.example/en/p' || page_id % 25 AS url, coalesce(array_to_string({links}, ' '), '') AS html FROM pages)"
+
+
+def _depth() -> str:
+    return f"""WITH RECURSIVE p AS MATERIALIZED {_sites()},
+t AS MATERIALIZED (SELECT url, min(html) AS html FROM (SELECT url, html FROM p UNION ALL SELECT root, html FROM p) GROUP BY 1),
+h AS (SELECT url, regexp_extract(url, '^(https://[^/]+)', 1) AS root, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM t),
+o AS (SELECT url, root || e AS to_url, i - 1 AS k FROM (SELECT url, root, unnest(hs) AS e, unnest(range(1, len(hs) + 1)) AS i FROM h)),
+l AS MATERIALIZED (SELECT url, to_url, dense_rank() OVER (PARTITION BY url ORDER BY min(k)) AS k FROM o GROUP BY url, to_url HAVING contains(to_url, 'p1') OR contains(to_url, 'p2')),
+w AS (SELECT DISTINCT root AS site, root AS url, 0 AS depth, []::BIGINT[] AS way, [root] AS seen FROM p
+  UNION ALL SELECT w.site, l.to_url, depth + 1, list_append(way, k), list_append(seen, l.to_url) FROM w JOIN l ON l.url = w.url WHERE depth < 2 AND NOT list_contains(seen, l.to_url)),
+b AS (SELECT site, url, min(depth) AS depth, arg_min(way, (depth, way)) AS way FROM w GROUP BY 1, 2),
+r AS (SELECT site, b.url, depth, html, row_number() OVER (PARTITION BY site ORDER BY depth, way) AS n FROM b JOIN t ON t.url = b.url)
+SELECT site AS website, depth, url, md5(html) AS digest FROM r WHERE n <= 12"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "word_occurrences": f"WITH {_MET} SELECT word, count(*) AS n_docs, sum(n)::BIGINT AS n, sum(n_apart)::BIGINT AS n_apart FROM a GROUP BY word",
@@ -58,6 +81,10 @@ def oracles() -> dict[str, str]:
         "section_text": _sections().format(blacklist=_any(L.HEADING_BLACKLIST, "lower(x)")),
         "tag_intervals": """WITH t AS (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages), i AS (SELECT unnest(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '<([a-z0-9]+)', 1)) AS tag FROM pages)
           SELECT tag, n, coalesce(inside, 0) AS inside FROM (SELECT tag, count(*) AS n FROM t GROUP BY 1) LEFT JOIN (SELECT tag, count(*) AS inside FROM i GROUP BY 1) USING (tag)""",
+        "crawl_queue": frontier(SITE_LINKS, _sites()),
+        "crawl_depth_pages": _depth(),
+        "vector_neighbours_exact": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id, e.vec_id AS neighbour, list_cosine_similarity(q.v, e.v) AS likeness FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+          SELECT vec_id, rank, neighbour, round(likeness, 6) AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(likeness, 9) DESC, neighbour) AS rank FROM p) WHERE rank <= 10""",
         "ranked_positions": "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, r) AS position FROM (SELECT c_custkey, c_acctbal, row_number() OVER () AS r FROM customer)",
         "results_read_back": f"""WITH {_SUPPLIERS} SELECT form, position, coalesce(name, CASE WHEN form = 'csv' THEN 'Unknown Company' ELSE 'Unknown' END) AS company_name, website, score, s_name AS product, round(confidence, 4) AS confidence,
           'two' || chr(10) || 'lines' AS reason FROM p, (VALUES ('lines'), ('array'), ('csv')) f(form)""",
