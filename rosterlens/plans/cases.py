@@ -1,10 +1,12 @@
-"""Queries over small inline tables: rules about names, replies, links and lists, one row a case.
+"""Queries about names, replies, links and lists over whole given tables.
 
-The driver's prose holds none of the words that these rules are about.
+The tables' invented prose holds none of the words that these rules are about, so it is put into their words first: each of
+``NEEDLES``, runs of letters that some texts have, stands for a sentence. Replies, labels and cells are dealt to rows by their keys.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..functions.arrays import append_missing, distinct_ignoring_case, split_values, without
 from ..operators import crawl as C
+from ..operators import html as H
 from ..operators import profile as P
 from ..operators import records as R
 from ..operators import roster as O
@@ -71,13 +74,6 @@ PROFILES = (
     (1, 0, 0, (), "", 0, 10), (2, 1, 2, ("LiDAR", "SLAM", "Paint"), "Ports", 1, 500), (3, 3, 5, ("PyTorch", "CUDA", "OpenCV", "YOLO", "AMR fleets", "IMU"), "Robots", 3, 2000),
     (4, 7, 9, ("a", "b", "c", "d", "e", "f", "g"), "X", 6, 1000), (5, 2, 1, ("deep learning", "machine learning"), "", 2, 1999),
 )
-LINKS = (
-    ("https://a.example/x/y", "z"), ("https://a.example/x/y", "/z"), ("https://a.example/x/y/", "../z"), ("https://a.example/x/y/", "./z/../w"), ("https://a.example", "z"), ("https://a.example/x?q=1#f", "?r=2"),
-    ("https://a.example/x?q=1#f", "#g"), ("https://a.example/x", "//b.example/c"), ("https://a.example/x", "mailto:me@a.example"), ("https://a.example/x", "http://c.example/../d"), ("http://a.example/a/b/c", "../../../../e"), ("http://a.example/a/b/c", ".."),
-)
-ROSTER = (
-    (1, "Harbor Nine", "https://www.harbor-nine.example/home"), (2, " harbor nine ", "harbor-nine.example"), (3, "", "x.example"), (4, "Fern", None), (5, "Fern", "fern.example"), (6, "Fern", "http://fern.example/about"), (7, "Moss", " moss.example "), (8, None, "y.example"),
-)
 #: Cells of a product column.
 CELLS = (
     (1, '[{"name": "Kit ", "specifications": " 4 rotors"}, {"name": "", "specifications": "x"}]'), (2, "Kit, Loom , ,Till"), (3, None), (4, ""), (5, '[{"name": "Solo"}]'), (6, "[broken"),
@@ -94,12 +90,34 @@ PRODUCT_TEXTS = (
 )
 
 
+#: Runs of letters in the prose, each in a few hundredths of the texts.
+NEEDLES = (
+    "htitio", "lichtz", "mentei", "thenha", "thstsh", "thheen", "bekeit", "mentvi", "hwhing", "thshth", "theaan", "eringn", "onatti", "queier", "onbleo", "atshsh", "htiing", "thones", "ungber", "ntment",
+    "nattio", "onoron", "heitzu", "reblee", "rtionh", "aukeit", "thener", "elleel", "erorin", "onthin", "thanwh", "thhees", "tionoi", "ellech", "lichun", "ntionb", "thonbl", "schkei", "eingwh", "iertio", "erthti", "iereau",
+    "ngheit", "thanes", "thhaed",
+)
+#: What they stand for: the sentences of the firms' texts, and the texts about products.
+PIECES = tuple(s for _, t in TEXTS if t for s in re.split(r"(?<=[.!?])\s", t)) + tuple(t for _, t in PRODUCT_TEXTS if t)
+
+
+def worded(text: Column) -> Column:
+    for needle, piece in zip(NEEDLES, PIECES, strict=False):
+        text = F.replace(text, F.lit(needle), F.lit(f" {piece} "))
+    return text
+
+
+def _dealt(spark: SparkSession, df: DataFrame, rows: Sequence[tuple], schema: str, key: str = "doc_id") -> DataFrame:
+    """``df`` beside the row of a small table, without its first column, that the remainder of the key tells."""
+    table = _table(spark, [(i, *r[1:]) for i, r in enumerate(rows)], f"k int, {schema}")
+    return df.join(F.broadcast(table), F.col("k") == F.col(key) % len(rows)).drop("k")
+
+
 def _table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 
 
-def _texts(spark: SparkSession) -> DataFrame:
-    return _table(spark, TEXTS, "doc_id int, text string")
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return readers.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).withColumn("text", worded(F.col("text")))
 
 
 def _csv(items: Column) -> Column:
@@ -113,20 +131,19 @@ def profile(docs: DataFrame) -> DataFrame:
 
 @case
 def case_keyword_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return profile(_texts(spark))
+    return profile(_texts(spark, d))
 
 
 @case
 def case_technologies(spark: SparkSession, d: str) -> DataFrame:
     """Names that a profile already has come first and keep out others that hold them."""
-    have = _table(spark, [(k, list(v)) for k, v in EXISTING.items()], "doc_id int, existing array<string>")
-    df = _texts(spark).join(have, "doc_id")
+    df = _dealt(spark, _texts(spark, d), [(k, list(v)) for k, v in EXISTING.items()], "existing array<string>")
     return df.select("doc_id", _csv(P.infer_technologies(F.col("text"), F.col("existing"))).alias("technologies"))
 
 
 @case
 def case_clean_names(spark: SparkSession, d: str) -> DataFrame:
-    items = _table(spark, [(i, *map(list, x)) for i, *x in ITEMS], "doc_id int, p array<string>, t array<string>, s array<string>, u array<string>").join(_texts(spark), "doc_id")
+    items = _dealt(spark, _texts(spark, d), [(i, *map(list, x)) for i, *x in ITEMS], "p array<string>, t array<string>, s array<string>, u array<string>")
     rescued, rest = P.rescue_from_services(F.col("s"))
     return items.select(
         "doc_id", _csv(P.clean_products(F.col("p"), F.col("text"))).alias("products"), _csv(P.clean_technologies(F.col("t"))).alias("technologies"), _csv(P.clean_services(F.col("s"), F.col("text"))).alias("services"),
@@ -134,54 +151,76 @@ def case_clean_names(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
+
+
+def _strings(spark: SparkSession, d: str) -> DataFrame:
+    """Strings as they are for every third part, and before its name for the others."""
+    df = _dealt(spark, _parts(spark, d), STRINGS, "s string", "p_partkey")
+    return df.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.col("s")).otherwise(F.concat("s", F.lit(", "), "p_name", F.lit(" and One thing"))).alias("s"))
+
+
 @case
 def case_brand_tokens(spark: SparkSession, d: str) -> DataFrame:
-    words = _texts(spark).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    words = _texts(spark, d).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
     return words.select("word", P.brand_token(F.col("word")).alias("brand"))
 
 
 @case
 def case_industries(spark: SparkSession, d: str) -> DataFrame:
-    labels = _table(spark, [(i, label, list(t)) for i, label, t in LABELS], "doc_id int, label string, t array<string>").join(_texts(spark), "doc_id")
+    labels = _dealt(spark, _texts(spark, d), [(i, label, list(t)) for i, label, t in LABELS], "label string, t array<string>")
     return labels.select("doc_id", "label", P.validate_industry(F.col("label"), F.col("t"), F.col("text")).alias("industry"))
 
 
 @case
 def case_replies(spark: SparkSession, d: str) -> DataFrame:
     r = P.parse_reply(F.col("reply"))
-    df = _table(spark, REPLIES, "doc_id int, reply string").withColumn("r", r)
-    return df.select("doc_id", F.col("r").isNotNull().alias("ok"), *(_csv(F.col(f"r.{c}")).alias(c) for c in ("products", "technologies", "use_cases")), F.col("r.industry").alias("industry"))
+    parts = _dealt(spark, _parts(spark, d), REPLIES, "reply string", "p_partkey")
+    df = parts.withColumn("reply", F.replace(F.replace("reply", F.lit('"A"'), F.concat(F.lit('"'), "p_name", F.lit('"'))), F.lit("Mining"), F.col("p_name"))).withColumn("r", r)
+    return df.select(F.col("p_partkey").alias("doc_id"), F.col("r").isNotNull().alias("ok"), *(_csv(F.col(f"r.{c}")).alias(c) for c in ("products", "technologies", "use_cases")), F.col("r.industry").alias("industry"))
 
 
 @case
 def case_confidence(spark: SparkSession, d: str) -> DataFrame:
-    df = _table(spark, [(i, a, ["x"] * b, list(t), ind, ["u"] * u, "x" * n) for i, a, b, t, ind, u, n in PROFILES], "doc_id int, named int, p array<string>, t array<string>, industry string, u array<string>, text string")
+    df = _dealt(spark, spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), [(i, list(t), ind) for i, _, _, t, ind, _, _ in PROFILES], "t array<string>, industry string")
+    many = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
+    df = df.withColumns({"named": (F.col("doc_id") % 8).cast("int"), "p": many(F.col("doc_id") * 7 % 10), "u": many(F.col("doc_id") % 7)})
     return df.select("doc_id", S.extraction_confidence(*(F.col(c) for c in ("named", "p", "t", "industry", "u", "text"))).alias("extracted"), S.fallback_confidence(F.col("t"), F.col("industry"), F.col("u")).alias("fallback"))
 
 
 @case
 def case_gates(spark: SparkSession, d: str) -> DataFrame:
     """Texts too short for a model, and profiles in which nothing was found."""
-    df = P.fallback_profile(_texts(spark))
+    df = P.fallback_profile(_texts(spark, d))
     none = P.hopeless(F.when(F.size("technologies") == 0, 0.0).otherwise(F.col("confidence")), F.col("technologies"), F.col("industry"))
     return df.select("doc_id", P.too_short(F.col("text")).alias("short"), none.alias("hopeless"))
 
 
 @case
 def case_links(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, LINKS, "base string, href string").select("base", "href", U.resolve(F.col("base"), F.col("href")).alias("url"))
+    """The pages' links in the forms that hrefs take."""
+    found = spark.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("base"), F.posexplode(F.transform(H.links(F.col("html")), lambda x: x["href"])).alias("k", "link"))
+    rest = F.expr("substring(link, 2)")
+    forms = [F.col("link"), rest, F.concat(F.lit("../"), rest), F.concat(F.lit("./a/../"), rest), F.concat(F.lit("?r="), rest), F.concat(F.lit("#"), rest), F.concat(F.lit("//b.example"), "link"), F.concat(F.lit("mailto:"), rest)]
+    href = F.element_at(F.array(*forms), ((F.col("k") + F.length("base")) % len(forms) + 1).cast("int"))
+    return found.select("base", href.alias("href")).select("base", "href", U.resolve(F.col("base"), F.col("href")).alias("url"))
 
 
 @case
 def case_roster(spark: SparkSession, d: str) -> DataFrame:
     """A roster whose name column has the other spelling."""
-    sheet = spark.createDataFrame(list(ROSTER), "n int, `Company Name` string, Website string")
+    k = F.col("s_suppkey")
+    firm, site = F.concat(F.lit("Firm "), k % 40), F.concat(F.lit("f"), k % 20, F.lit(".example"))
+    name = F.when(k % 7 == 0, F.concat(F.lit(" "), F.lower(firm), F.lit(" "))).when(k % 7 == 3, "").otherwise(firm)
+    website = F.when(k % 5 == 0, None).when(k % 5 == 1, F.concat(F.lit("https://www."), site, F.lit("/home"))).when(k % 5 == 2, F.concat(F.lit("http://"), site)).otherwise(site)
+    sheet = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("n"), name.alias("Company Name"), website.alias("Website"))
     return O.clean_roster(sheet, "n").select(F.col("ord").alias("n"), "name", "website")
 
 
 @case
 def case_product_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = _table(spark, CELLS, "id int, cell string").withColumn("p", sinks.parse_products(F.col("cell")))
+    cells = _dealt(spark, _parts(spark, d), CELLS, "cell string", "p_partkey").select(F.col("p_partkey").alias("id"), F.replace("cell", F.lit("Kit"), F.col("p_name")).alias("cell")).withColumn("p", sinks.parse_products(F.col("cell")))
     back = sinks.products_json(F.transform("p", lambda x: x["name"]))
     return cells.select("id", _csv(F.transform("p", lambda x: F.concat(x["name"], F.lit(":"), F.coalesce(x["specifications"], F.lit(""))))).alias("products"), F.coalesce(back, F.lit("")).alias("json"))
 
@@ -190,7 +229,7 @@ def case_product_cells(spark: SparkSession, d: str) -> DataFrame:
 def case_strings(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("s")
     parts = T.product_parts(F.coalesce(t, F.lit("")))
-    return _table(spark, STRINGS, "id int, s string").select(
+    return _strings(spark, d).select(
         "id", F.coalesce(parts["name"], F.lit("")).alias("name"), F.coalesce(_csv(parts["features"]), F.lit("")).alias("features"), _csv(T.specification_parts(t)).alias("specs"), _csv(T.technology_parts(t)).alias("technologies"),
         T.safe_text(t, "none").alias("safe"), T.format_score(t).alias("percent"), T.clean_string(t).alias("clean"), T.with_full_stop(t).alias("stopped"), _csv(split_values(F.coalesce(t, F.lit("")))).alias("split"),
     )
@@ -200,7 +239,7 @@ def case_strings(spark: SparkSession, d: str) -> DataFrame:
 def case_lists(spark: SparkSession, d: str) -> DataFrame:
     """Union, difference and first-come lists over the words of the strings."""
     w = T.words(F.coalesce("s", F.lit("")))
-    return _table(spark, STRINGS, "id int, s string").select(
+    return _strings(spark, d).select(
         "id", _csv(append_missing(F.slice(w, 1, 2), w, 4)).alias("appended"), _csv(without(w, ["And", "the", "one"])).alias("without"), _csv(distinct_ignoring_case(w)).alias("distinct"),
         R.collapse_repeats(F.concat(F.coalesce("s", F.lit("")), F.lit(", "), F.coalesce("s", F.lit("")))).alias("collapsed"),
     )
@@ -210,7 +249,7 @@ def case_lists(spark: SparkSession, d: str) -> DataFrame:
 def case_product_records(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     named = F.transform(R.structured_products(t), lambda x: F.concat(x["name"], F.lit(":"), x["specifications"]))
-    return _table(spark, PRODUCT_TEXTS, "id int, text string").select(
+    return _texts(spark, d).withColumnRenamed("doc_id", "id").select(
         "id", _csv(named).alias("named"), _csv(R.product_bigrams(t)).alias("bigrams"), _csv(F.transform(R.titled_products(R.product_bigrams(t)), lambda x: x["name"])).alias("titled"),
         F.coalesce(R.record_technologies(t), F.lit("")).alias("technologies"), _csv(R.spec_lines(t)).alias("lines"), _csv(R.pattern_products(t)).alias("patterns"),
     )
@@ -226,9 +265,10 @@ def case_sandbox(spark: SparkSession, d: str) -> DataFrame:
 @case
 def case_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Which companies are ranked, and why the others aren't: no page, too short a text, no sign of anything."""
-    roster = _texts(spark).select(F.col("doc_id").alias("ord"), F.concat(F.lit("Firm "), "doc_id").alias("name"), F.concat(F.lit("site"), "doc_id").alias("website"))
-    long = F.repeat(F.concat("text", F.lit(" ")), F.when(F.col("doc_id") == 7, 1).otherwise(12))
-    pages = _texts(spark).filter("text is not null").select(F.concat(F.lit("site"), "doc_id").alias("website"), long.alias("all"), *(F.lit("").alias(c) for c in ("products", "services", "specifications")), F.lit("GOOD").alias("quality"), F.col("doc_id").alias("fetched"))
+    texts = _texts(spark, d)
+    roster = texts.select(F.col("doc_id").alias("ord"), F.concat(F.lit("Firm "), "doc_id").alias("name"), F.concat(F.lit("site"), "doc_id").alias("website"))
+    long = F.repeat(F.concat("text", F.lit(" ")), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(3))
+    pages = texts.filter("text is not null and doc_id % 11 <> 4").select(F.concat(F.lit("site"), "doc_id").alias("website"), long.alias("all"), *(F.lit("").alias(c) for c in ("products", "services", "specifications")), F.lit("GOOD").alias("quality"), F.lit(1).alias("fetched"))
     return ranking.outcomes(roster, pages, order="fetched").select("ord", F.coalesce("skip_reason", F.lit("")).alias("skip_reason"))
 
 

@@ -131,7 +131,25 @@ def keyword_profiles(source: str) -> str:
         {fallback_confidence('t', "coalesce(i.label, '')", 'coalesce(n, 0)')} AS confidence FROM t LEFT JOIN {best('ind')} i USING (doc_id) LEFT JOIN u USING (doc_id)"""
 
 
-_TEXTS = rows(C.TEXTS, "doc_id, text")
+def worded(x: str) -> str:
+    for needle, piece in zip(C.NEEDLES, C.PIECES, strict=False):
+        x = f"replace({x}, {q(needle)}, {q(f' {piece} ')})"
+    return x
+
+
+def dealt(table: Iterable[Sequence[Value]], names: str, select: str, source: str = "documents", key: str = "doc_id") -> str:
+    """Rows of a given table beside those of an inline one by the remainder of the key."""
+    table = [(i, *r[1:]) for i, r in enumerate(table)]
+    return f"(SELECT {select} FROM {source} JOIN {rows(table, 'k, ' + names)} v ON v.k = {key} % {len(table)})"
+
+
+_TEXTS = f"(SELECT doc_id, {worded('text')} AS text FROM documents)"
+_STRINGS = dealt(C.STRINGS, "s", "p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN s ELSE s || ', ' || p_name || ' and One thing' END AS s", "part", "p_partkey")
+
+
+_CELLS = dealt(C.CELLS, "cell", "p_partkey AS id, replace(cell, 'Kit', p_name) AS cell", "part", "p_partkey")
+_ROSTER = """(SELECT s_suppkey AS n, CASE s_suppkey % 7 WHEN 0 THEN ' ' || lower('Firm ' || s_suppkey % 40) || ' ' WHEN 3 THEN '' ELSE 'Firm ' || s_suppkey % 40 END AS name,
+  CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'https://www.f' || s_suppkey % 20 || '.example/home' WHEN 2 THEN 'http://f' || s_suppkey % 20 || '.example' ELSE 'f' || s_suppkey % 20 || '.example' END AS site FROM supplier)"""
 
 
 def _clean_items(raw: str) -> str:
@@ -158,7 +176,7 @@ def _clean_names() -> str:
     near = f"(len({long}) = 0 OR len(list_filter({long}, lambda w: contains(low, w))) >= greatest(1, len({long}) // 2))"
     use = f"(len({w}) BETWEEN 2 AND 6 AND NOT {_any(L.VAGUE_USE_CASES, 'x')} AND NOT {some(w, among(bare('w'), L.VERBS))})"
     like_product = f"(len({w}) > 0 AND regexp_matches({w}[1], '^[A-Z]') AND {among(f'lower({w}[-1])', L.PRODUCT_INDICATORS)})"
-    return f"""WITH i AS (SELECT v.*, coalesce(t.text, '') AS text, lower(coalesce(t.text, '')) AS low FROM {rows(C.ITEMS, 'doc_id, p, t, s, u')} v JOIN {_TEXTS} t USING (doc_id)),
+    return f"""WITH i AS (SELECT v.*, coalesce(t.text, '') AS text, lower(coalesce(t.text, '')) AS low FROM {dealt(C.ITEMS, 'p, t, s, u', 'doc_id, p, t, s, u')} v JOIN {_TEXTS} t USING (doc_id)),
       f AS (SELECT *, list_filter({_clean_items('p')}, lambda x: NOT {bad} AND {grounded}) AS pp, list_filter({_clean_items('t')}, lambda x: {among('lower(x)', known)} OR NOT {bad_tech}) AS tt,
         list_filter({_clean_items('s')}, lambda x: NOT {bad_service} AND {near}) AS ss, list_filter(list_transform({_clean_items('u')}, lambda x: lower(x)), lambda x: {use}) AS uu FROM i)
       SELECT doc_id, {csv(good_products)} AS products, {csv(distinct('tt'))} AS technologies, {csv(distinct('ss'))} AS services, {csv(distinct('uu'))} AS use_cases,
@@ -171,31 +189,38 @@ def _industries() -> str:
     key = f"list_transform(list_filter({words('label')}, lambda w: length(w) > 4), lambda w: lower(w))"
     doubtful = f"(label <> '' AND (len({words('label')}) > 4 OR (len({key}) > 0 AND NOT {some(key, 'contains(low, w)')})))"
     return f"""WITH src AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM {_TEXTS}), {label_table('ind', 'src', L.INDUSTRY_SIGNALS, False)},
-      l AS (SELECT v.doc_id, v.label, low, {probe} AS probe, coalesce(b.label, '') AS inferred FROM {rows(C.LABELS, 'doc_id, label, t')} v JOIN src USING (doc_id) LEFT JOIN {best('ind')} b ON b.doc_id = v.doc_id)
+      l AS (SELECT v.doc_id, v.label, low, {probe} AS probe, coalesce(b.label, '') AS inferred FROM {dealt(C.LABELS, 'label, t', 'doc_id, label, t')} v JOIN src USING (doc_id) LEFT JOIN {best('ind')} b ON b.doc_id = v.doc_id)
       SELECT doc_id, label, CASE {cases_} WHEN {doubtful} AND inferred <> '' THEN inferred WHEN label <> '' THEN label ELSE inferred END AS industry FROM l"""
 
 
 def _replies() -> str:
     items = ", ".join(f"CASE WHEN j IS NOT NULL THEN {csv(f"CAST(json_extract(j, '$.{c}') AS VARCHAR[])")} END AS {c}" for c in ("products", "technologies", "use_cases"))
+    source_reply = """p_partkey AS doc_id, replace(replace(reply, '"A"', '"' || p_name || '"'), 'Mining', p_name) AS reply"""
     body = "regexp_extract(regexp_replace(reply, '```(?:json)?', '', 'g'), '(?s)(\\{.*\\})', 1)"
-    return f"""WITH r AS (SELECT doc_id, {body} AS b FROM {rows(C.REPLIES, 'doc_id, reply')}), o AS (SELECT doc_id, CASE WHEN coalesce(b, '') <> '' AND json_valid(b) THEN b::JSON END AS j FROM r)
+    return f"""WITH r AS (SELECT doc_id, {body} AS b FROM {dealt(C.REPLIES, 'reply', source_reply, 'part', 'p_partkey')}), o AS (SELECT doc_id, CASE WHEN coalesce(b, '') <> '' AND json_valid(b) THEN b::JSON END AS j FROM r)
       SELECT doc_id, j IS NOT NULL AS ok, {items},
         CASE WHEN j IS NOT NULL THEN coalesce(CASE WHEN json_type(j, '$.industry') = 'ARRAY' THEN json_extract_string(j, '$.industry[0]') ELSE json_extract_string(j, '$.industry') END, '') END AS industry FROM o"""
 
 
 def _confidence() -> str:
+    source_numbers = "doc_id, doc_id % 8 AS named, doc_id * 7 % 10 AS p, t, industry, doc_id % 7 AS u, length(coalesce(text, '')) AS n"
     raw = f"{ratio('named', 3, '0.28')} + {ratio('p', 5, '0.07')} + {ratio(specific('t'), 4, '0.22')} + {ratio('len(t)', 6, '0.10')} + CASE WHEN industry <> '' THEN 0.12 ELSE 0 END + {ratio('u', 3, '0.11')} + CASE WHEN n >= 2000 THEN 0.10 WHEN n >= 1000 THEN 0.06 WHEN n >= 500 THEN 0.03 ELSE 0 END"
-    return f"SELECT doc_id, CAST(round(least({raw}, 1), 2) AS DOUBLE) AS extracted, {fallback_confidence('t', 'industry', 'u')} AS fallback FROM {rows(C.PROFILES, 'doc_id, named, p, t, industry, u, n')}"
+    return f"SELECT doc_id, CAST(round(least({raw}, 1), 2) AS DOUBLE) AS extracted, {fallback_confidence('t', 'industry', 'u')} AS fallback FROM {dealt([(i, t, ind) for i, _, _, t, ind, _, _ in C.PROFILES], 't, industry', source_numbers)}"
 
 
 def _links() -> str:
+    from .sql import _HREF
+
+    rest = "substr(link, 2)"
+    hrefs = f"""(SELECT base, [link, {rest}, '../' || {rest}, './a/../' || {rest}, '?r=' || {rest}, '#' || {rest}, '//b.example' || link, 'mailto:' || {rest}][(k + length(base)) % 8 + 1] AS href FROM (
+      SELECT url AS base, trim(unnest(hs)) AS link, unnest(range(len(hs))) AS k FROM (SELECT url, regexp_extract_all(coalesce(html, ''), '{_HREF}', 1) AS hs FROM pages)))"""
     root = "regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
     page = "regexp_replace(base, '(?s)[?#].*$', '')"
     folder = f"({root} || CASE WHEN {page} = {root} THEN '/' ELSE regexp_replace(substr({page}, length({root}) + 1), '[^/]*$', '') END)"
     parts = "string_split(regexp_replace(regexp_replace(w, '(?s)[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '/')"
     kept = f"list_reduce(list_transform({parts}, lambda p: [p]), lambda acc, p: CASE WHEN p[1] = '.' THEN acc WHEN p[1] = '..' THEN CASE WHEN len(acc) > 1 THEN acc[1:-2] ELSE acc END ELSE acc || p END, []::VARCHAR[])"
     return f"""WITH l AS (SELECT base, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href
-        WHEN starts_with(href, '/') THEN {root} || href WHEN starts_with(href, '?') THEN {page} || href WHEN starts_with(href, '#') THEN regexp_replace(base, '(?s)#.*$', '') || href ELSE {folder} || href END AS w FROM {rows(C.LINKS, 'base, href')})
+        WHEN starts_with(href, '/') THEN {root} || href WHEN starts_with(href, '?') THEN {page} || href WHEN starts_with(href, '#') THEN regexp_replace(base, '(?s)#.*$', '') || href ELSE {folder} || href END AS w FROM {hrefs})
       SELECT base, href, CASE WHEN contains(w, '/.') AND contains(w, '://') THEN regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || array_to_string({kept}, '/') || CASE WHEN {parts}[-1] IN ('.', '..') THEN '/' ELSE '' END || regexp_extract(w, '(?s)[?#].*$') ELSE w END AS url FROM l"""
 
 
@@ -208,7 +233,7 @@ def _strings() -> str:
     bad = f"({value} = '' OR len({words(value)}) > 5 OR {among(f'lower({words(value)}[1])', L.SENTENCE_STARTERS)})"
     return f"""SELECT id, coalesce({parts}[1], '') AS name, {csv(f'{parts}[2:]')} AS features, {csv(split(s, '[,;]\\s*|\\.\\s+') + '[1:8]')} AS specs, CASE WHEN s IS NULL THEN '' ELSE {csv(parts + '[1:12]')} END AS technologies,
       coalesce(nullif({value}, ''), 'none') AS safe, printf('%.1f%%', {number}) AS percent, CASE WHEN {bad} THEN '' ELSE {value} END AS clean, CASE WHEN {value} = '' OR regexp_matches({value}, '[.!?]$') THEN {value} ELSE {value} || '.' END AS stopped,
-      {csv(split(s, ','))} AS split FROM {rows(C.STRINGS, 'id, s')}"""
+      {csv(split(s, ','))} AS split FROM {_STRINGS}"""
 
 
 def _lists() -> str:
@@ -217,13 +242,13 @@ def _lists() -> str:
     parts = split("(coalesce(s, '') || ', ' || coalesce(s, ''))", "[,;]\\s*")
     joined = "list_filter(c, lambda x, i: list_position(list_transform(c, lambda y: lower(y)), lower(x)) = i)"
     return f"""SELECT id, {csv(distinct('(w[1:2] || w)') + '[1:4]')} AS appended, {csv("list_filter(w, lambda x: lower(x) NOT IN ('and', 'the', 'one'))")} AS without, {csv(fold)} AS distinct, coalesce(array_to_string({joined}, ', '), '') AS collapsed
-      FROM (SELECT id, {w} AS w, {parts} AS c FROM {rows(C.STRINGS, 'id, s')})"""
+      FROM (SELECT id, {w} AS w, {parts} AS c FROM {_STRINGS})"""
 
 
 def _outcomes() -> str:
     profile = keyword_profiles("pages").replace("WITH src", "src", 1)
     with_, select = profile.split("SELECT doc_id, coalesce(array_to_string(t[1:8]", 1)
-    return f"""WITH r AS (SELECT doc_id, text FROM {_TEXTS}), pages AS (SELECT doc_id, trim(regexp_replace(repeat(text || ' ', CASE WHEN doc_id = 7 THEN 1 ELSE 12 END), '\\s+', ' ', 'g')) AS text, repeat(text || ' ', CASE WHEN doc_id = 7 THEN 1 ELSE 12 END) AS raw FROM r WHERE text IS NOT NULL),
+    return f"""WITH r AS (SELECT doc_id, text FROM {_TEXTS}), pages AS (SELECT doc_id, trim(regexp_replace(repeat(text || ' ', CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 3 END), '\\s+', ' ', 'g')) AS text, repeat(text || ' ', CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 3 END) AS raw FROM r WHERE text IS NOT NULL AND doc_id % 11 <> 4),
       {with_}
       SELECT r.doc_id AS ord, CASE WHEN raw IS NULL THEN 'crawl_error' WHEN length(raw) < 800 THEN 'too_short' ELSE '' END AS skip_reason FROM r LEFT JOIN pages USING (doc_id)"""
 
@@ -277,12 +302,12 @@ def _record_parts() -> dict[str, str]:
 
 def _product_records() -> str:
     p = _record_parts()
-    return f"""WITH src AS (SELECT id, text, lower(coalesce(text, '')) AS low, {p['tokens']} AS k, {p['sentences']} AS ss FROM {rows(C.PRODUCT_TEXTS, 'id, text')}), {p['named']},
+    return f"""WITH src AS (SELECT id, text, lower(coalesce(text, '')) AS low, {p['tokens']} AS k, {p['sentences']} AS ss FROM (SELECT doc_id AS id, text FROM {_TEXTS})), {p['named']},
       z AS (SELECT id, string_agg(name || ':' || spec, '|' ORDER BY i, j) AS named FROM h GROUP BY 1), b AS (SELECT id, text, low, {p['bigrams']} AS bg, {p['lines']} AS l, {p['hits']} AS hit FROM src)
       SELECT b.id, coalesce(named, '') AS named, {csv('bg')} AS bigrams, {csv(p['titled'])} AS titled, coalesce({p['technologies']}, '') AS technologies, {csv(p['specs'])} AS lines, {csv(p['patterns'])} AS patterns FROM b LEFT JOIN z USING (id)"""
 
 
-def _company_records() -> str:
+def company_records() -> str:
     """Company records of documents; the source is the company."""
     from .sql import _SIG
 
@@ -314,7 +339,7 @@ def _company_records() -> str:
         nullif(left(array_to_string(list_filter(s, lambda x: len({words('x')}) >= 6)[1:2], ' '), 500), '') AS description FROM r"""
 
 
-def _mixed_profiles() -> str:
+def mixed_profiles() -> str:
     p = _record_parts()
     kept = f"trim(regexp_replace(array_to_string(list_filter({_S}, lambda x: length(x) >= 40)[1:3], ' '), '\\s+', ' ', 'g'))"
     fast = f"CASE WHEN {kept} = '' THEN '' ELSE regexp_replace(left({kept}, 320), '[ ,;:]+$', '') || '.' END"
@@ -432,11 +457,11 @@ def oracles(test_links) -> dict[str, str]:
         "keyword_profiles": keyword_profiles("documents"),
         "relevant_budget": _budget(),
         "page_headings": _headings(),
-        "mixed_profiles": _mixed_profiles(),
-        "product_records": _company_records(),
+        "mixed_profiles": mixed_profiles(),
+        "product_records": company_records(),
         "crawl_frontier": frontier(test_links),
         "case_keyword_profiles": keyword_profiles(_TEXTS),
-        "case_technologies": f"SELECT doc_id, {csv(technologies("(' ' || lower(coalesce(text, '')) || ' ')", 'existing'))} AS technologies FROM {_TEXTS} JOIN {rows(C.EXISTING.items(), 'doc_id, existing')} USING (doc_id)",
+        "case_technologies": f"SELECT doc_id, {csv(technologies("(' ' || lower(coalesce(text, '')) || ' ')", 'existing'))} AS technologies FROM {_TEXTS} JOIN {dealt(C.EXISTING.items(), 'existing', 'doc_id, existing')} USING (doc_id)",
         "case_clean_names": _clean_names(),
         "case_brand_tokens": f"SELECT DISTINCT word, {brand_token('word')} AS brand FROM (SELECT unnest({words(_T)}) AS word FROM {_TEXTS})",
         "case_industries": _industries(),
@@ -444,9 +469,9 @@ def oracles(test_links) -> dict[str, str]:
         "case_confidence": _confidence(),
         "case_gates": f"SELECT p.doc_id, length({strip(_T)}) < 100 AS short, technologies = '' AND industry = '' AS hopeless FROM ({keyword_profiles(_TEXTS)}) p JOIN {_TEXTS} USING (doc_id)",
         "case_links": _links(),
-        "case_roster": f"""SELECT n, trim(name) AS name, trim(site) AS website FROM {rows(C.ROSTER, 'n, name, site')} WHERE trim(coalesce(name, '')) <> '' AND trim(coalesce(site, '')) <> ''
+        "case_roster": f"""SELECT n, trim(name) AS name, trim(site) AS website FROM {_ROSTER} WHERE trim(coalesce(name, '')) <> '' AND trim(coalesce(site, '')) <> ''
           QUALIFY row_number() OVER (PARTITION BY lower(trim(name)), string_split(regexp_replace(regexp_replace(lower(trim(site)), '^https?://', ''), '^www\\.', ''), '/')[1] ORDER BY n) = 1""",
-        "case_product_cells": f"""WITH c AS (SELECT id, cell, {parsed} AS ok FROM {rows(C.CELLS, 'id, cell')}), l AS (SELECT id, CASE WHEN ok = 1 THEN list_filter(list_transform(CAST(cell AS JSON[]), lambda x: [{strip("coalesce(json_extract_string(x, '$.name'), '')")}, {strip("coalesce(json_extract_string(x, '$.specifications'), '')")}]), lambda y: y[1] <> '')
+        "case_product_cells": f"""WITH c AS (SELECT id, cell, {parsed} AS ok FROM {_CELLS}), l AS (SELECT id, CASE WHEN ok = 1 THEN list_filter(list_transform(CAST(cell AS JSON[]), lambda x: [{strip("coalesce(json_extract_string(x, '$.name'), '')")}, {strip("coalesce(json_extract_string(x, '$.specifications'), '')")}]), lambda y: y[1] <> '')
             ELSE list_transform({split("coalesce(cell, '')", ',')}, lambda y: [y, '']) END AS p FROM c)
           SELECT id, {csv("list_transform(p, lambda y: y[1] || ':' || y[2])")} AS products, CASE WHEN len(p) = 0 THEN '' ELSE '[' || array_to_string(list_transform(p, lambda y: '{{"name":' || to_json(y[1]) || ',"specifications":""}}'), ',') || ']' END AS json FROM l""",
         "case_strings": _strings(),

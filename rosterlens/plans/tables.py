@@ -13,10 +13,12 @@ from ..operators import crawl as C
 from ..operators import html as H
 from ..operators import neighbours as N
 from ..operators import tags as G
+from ..operators import records as R
 from ..operators.rank import file_order, positions
 from ..sources import readers, sinks
 from ..sources.folders import work_folder
 from . import service
+from .cases import worded
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES: dict[str, Query] = {}
@@ -57,6 +59,27 @@ def rule_totals(spark: SparkSession, d: str) -> DataFrame:
     return A.label_totals(readers.spread(table(spark, d, "documents")), rules)
 
 
+# -------------------------------------------------------------------------- profiles
+
+
+def _worded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents put into the words of the default lexicons."""
+    return readers.spread(table(spark, d, "documents").select("doc_id", "source", "text")).withColumn("text", worded(F.col("text")))
+
+
+@query
+def worded_records(spark: SparkSession, d: str) -> DataFrame:
+    """Product records of texts that hold products, specifications and technologies."""
+    return R.company_record(_worded(spark, d).select(F.col("source").alias("company"), F.col("doc_id").cast("string").alias("website"), "text"))
+
+
+@query
+def worded_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles by patterns and keywords of such texts."""
+    p = R.mixed_profile(_worded(spark, d).select("doc_id", "text"))
+    return p.select("doc_id", F.array_join("products", ",").alias("products"), F.size("product_specifications").alias("n_specs"), F.col("confidence.summary").alias("summary_confidence"))
+
+
 # ---------------------------------------------------------------------------- pages
 
 

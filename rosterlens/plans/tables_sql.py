@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import lexicons as L
+from . import cases_sql
 from .cases_sql import frontier
 from .sql import _any
 from .tables import SITE_LINKS
@@ -74,9 +75,13 @@ SELECT site AS website, depth, url, md5(html) AS digest FROM r WHERE n <= 12"""
 
 
 def oracles() -> dict[str, str]:
+    documents = f"FROM (SELECT doc_id, source, {cases_sql.worded('text')} AS text FROM documents)"
+    of_worded = lambda sql: sql.replace("FROM documents", documents)
     return {
         "word_occurrences": f"WITH {_MET} SELECT word, count(*) AS n_docs, sum(n)::BIGINT AS n, sum(n_apart)::BIGINT AS n_apart FROM a GROUP BY word",
         "rule_totals": f"WITH {_MET} SELECT doc_id, word[1] AS label, sum(least(n_apart, 3) * length(word))::BIGINT AS total, count(*) AS words FROM a WHERE length(word) > 3 GROUP BY ALL",
+        "worded_records": of_worded(cases_sql.company_records()),
+        "worded_profiles": of_worded(cases_sql.mixed_profiles()),
         "page_main_text": f"WITH {_parts()}",
         "section_text": _sections().format(blacklist=_any(L.HEADING_BLACKLIST, "lower(x)")),
         "tag_intervals": """WITH t AS (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages), i AS (SELECT unnest(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '<([a-z0-9]+)', 1)) AS tag FROM pages)
