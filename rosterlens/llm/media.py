@@ -5,8 +5,9 @@ nested boxes of any such file, decodes the sample tables (also of fragments) and
 codec, duration and the byte ranges of keyframes without touching payload bytes;
 ``samples`` cuts the payload out by those tables.
 
-Null and empty content give a null probe with ``error`` set; malformed boxes end the walk
-with an error and never raise. Rows are independent, ids play no part.
+In ``media_columns`` null and empty content give a null probe with ``error`` set; malformed boxes end the walk
+with an error, so no file ends a job (``probe`` itself raises ValueError and nothing else). Rows are independent, ids
+play no part, and the other columns stay as they are but for one of the new column's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .shared import named
 
 FRAME = 192
 RATE = 8000
+#: Samples of a chunk, which begins with a keyframe, of stored texts.
+CHUNK = 16
 #: Boxes that hold boxes, with the bytes before the first child. Fixed values of the format.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"udta": 0}
 MAX_DEPTH = 16
@@ -48,8 +51,11 @@ def padded(payload: bytes, frame: int = FRAME) -> bytes:
     return payload.ljust(max(1, -(-len(payload) // frame)) * frame, b" ")
 
 
-def pack_pcm(payload: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
-    """A container with one track of 8-bit mono samples; ``payload`` is a multiple of ``frame``."""
+def pack_pcm(payload: bytes, frame: int = FRAME, rate: int = RATE, chunk: int | None = None) -> bytes:
+    """A container with one track of 8-bit mono samples; ``payload`` is a multiple of ``frame``.
+
+    With ``chunk``, samples are grouped in chunks of so many, of which the first is a keyframe; else all are one chunk of keyframes.
+    """
     n, rest = divmod(len(payload), frame)
     if rest or not n:
         raise ValueError("payload must be a positive multiple of the frame")
@@ -57,14 +63,20 @@ def pack_pcm(payload: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
     entry = _box(b"raw ", bytes(6), struct.pack(">HHHIHHHHI", 1, 0, 0, 0, 1, 8, 0, 0, rate << 16))
     duration = len(payload)
 
+    per = min(chunk or n, n)
+    chunks = -(-n // per)
+    runs = [(1, per, 1)] if n % per == 0 else [(1, per, 1), (chunks, n % per, 1)] if chunks > 1 else [(1, n, 1)]
+
     def moov(offset: int) -> bytes:
+        sync = [] if chunk is None else [_full(b"stss", struct.pack(f">I{chunks}I", chunks, *range(1, n + 1, per)))]
         stbl = _box(
             b"stbl",
             _full(b"stsd", struct.pack(">I", 1), entry),
             _full(b"stts", struct.pack(">III", 1, n, frame)),
-            _full(b"stsc", struct.pack(">IIII", 1, 1, n, 1)),
+            _full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", *r) for r in runs)),
             _full(b"stsz", struct.pack(">II", frame, n)),
-            _full(b"co64", struct.pack(">IQ", 1, offset)),
+            _full(b"co64", struct.pack(f">I{chunks}Q", chunks, *range(offset, offset + n * frame, per * frame))),
+            *sync,
         )
         dinf = _box(b"dinf", _full(b"dref", struct.pack(">I", 1), _full(b"url ", flags=1)))
         minf = _box(b"minf", _full(b"smhd", bytes(4)), dinf, stbl)
@@ -161,7 +173,7 @@ def probe(content: bytes) -> list[Track]:
         walk(0, len(data), 0, None, 0)
         for t in tracks:
             _tables(data, t)
-    except struct.error as e:
+    except (struct.error, IndexError) as e:
         raise ValueError(f"a box is cut off: {e}") from e
     if not tracks:
         raise ValueError("no track")
@@ -200,6 +212,8 @@ def _fragment(data: memoryview, a: int, b: int, track: Track, base: int, default
 
 
 def _leaf(data: memoryview, kind: bytes, a: int, b: int, track: Track) -> None:
+    if a >= b:
+        raise ValueError(f"box {kind!r} is empty")
     if kind == b"tkhd":
         track.track_id = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
     elif kind == b"mdhd":
@@ -311,13 +325,13 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for block in streamed(batches, 256):
             part = block.extra["rows"]
             raw = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([pack_pcm(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "content"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([pack_pcm(padded(x), chunk=CHUNK) for x in raw], pa.binary())], ["doc_id", "n_bytes", "content"])
 
     return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")).mapInArrow(pack, "doc_id long, n_bytes long, content binary")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Payload digests and features of each container, from its own tables."""
+    """Payload digests, codec, duration, keyframe byte ranges and their summary of each container, from its own tables."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,9 +342,10 @@ def read_back(stored: DataFrame) -> DataFrame:
                 payload = samples(raw, track)
                 keys = track.keyframes()
                 feature = f"{track.handler}/{track.codec}/{track.timescale}Hz/{track.seconds:.6f}s/{len(track.sizes)} samples/keyframes " + ",".join(f"{o}+{s}" for o, s in keys)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                ranges = [{"offset": o, "size": s} for o, s in keys]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, track.codec, track.seconds, len(track.sizes), ranges))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "n_samples", "keyframes"])
 
-    return stored.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, keyframes array<struct<offset: long, size: long>>")

@@ -59,8 +59,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
+    from .shared import stored
 
-    return media.read_back(media.stored_texts(_table(spark, sf_dir, "documents")))
+    # The containers are files' contents: written to the shared folder and read from there.
+    return media.read_back(stored(media.stored_texts(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rosterlens.llm import blocks as B
 from rosterlens.llm import jaccard_join as J
@@ -107,6 +108,39 @@ def test_media_round_trip_and_damage():
         M.pack_pcm(b"x")
 
 
+def test_media_chunks_and_keyframes():
+    for n, chunk in ((1, 16), (16, 16), (17, 16), (100, 16), (5, 1), (33, 2)):
+        p = bytes(range(192)) * n
+        content = M.pack_pcm(p, chunk=chunk)
+        track = M.probe(content)[0]
+        first = len(content) - len(p)
+        assert M.samples(content, track) == p and len(track.sizes) == n
+        keys = [(first + 192 * k, 192) for k in range(0, n, chunk)]
+        assert track.sync == set(range(1, n + 1, chunk)) and (track.keyframes() == keys or chunk == 1 and track.keyframes() == [(first, len(p))])
+
+
+def test_probe_raises_value_errors_alone():
+    """Every prefix, every byte flipped and every byte set to the extremes of a container."""
+    content = M.pack_pcm(b"abc" * 64 * 40, chunk=3)
+    head = len(content) - 64 * 3 * 40
+    seen = 0
+    for i in range(head + 8):
+        for broken in (content[:i], content[:i] + bytes([content[i] ^ 255]) + content[i + 1 :], content[:i] + b"\0" + content[i + 1 :], content[:i] + b"\x01" + content[i + 1 :], content[:i] + b"\0\0\0\x08" + content[i + 4 :], content[:i] + content[i + 1 :]):
+            try:
+                for t in M.probe(broken):
+                    t.keyframes()
+            except ValueError:
+                seen += 1
+    assert seen > head
+
+
+def test_media_columns_survive_damage(spark):
+    content = M.pack_pcm(b"x" * 192)
+    rows = [(content[:i],) for i in range(0, len(content), 7)] + [(M._box(b"moov", M._box(b"trak", M._box(b"tkhd"))),), (M._box(b"moov", M._box(b"trak", M._box(b"mdhd"))),), (None,), (b"",), (content,)]
+    got = M.media_columns(spark.createDataFrame(rows, "content binary").withColumn("media", F.lit(1))).collect()
+    assert len(got) == len(rows) and [r["media"]["error"] is None for r in got][-1]
+
+
 def test_media_fragments_and_sync():
     import struct
 
