@@ -14,6 +14,7 @@ from ..operators import html as H
 from ..operators import neighbours as N
 from ..operators import tags as G
 from ..operators import records as R
+from ..operators.postings import Postings
 from ..operators.rank import file_order, positions
 from ..sources import readers, sinks
 from ..sources.folders import work_folder
@@ -159,6 +160,19 @@ def vector_neighbours_exact(spark: SparkSession, d: str) -> DataFrame:
     return N.search(N.build(e), e.filter("vec_id % 50 = 0"), probes=PROBES, exact=True).select("vec_id", "rank", "neighbour", F.round("likeness", 6).alias("likeness"))
 
 
+# ---------------------------------------------------------------------------- names
+
+
+@query
+def name_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and parts by queries: ends of customers' names, words and pieces of parts' names."""
+    c, p = table(spark, d, "customer"), table(spark, d, "part")
+    customers = c.filter("c_custkey % 50 = 0").select(F.expr("right(c_name, 4)").alias("query")).union(c.filter("c_custkey % 70 = 0").select(F.upper(F.substring("c_name", 6, 9))))
+    parts = p.select(F.explode(T.words(F.col("p_name"))).alias("query")).union(p.select(F.substring("p_name", 3, 2))).union(p.select(F.substring("p_name", 2, 7)))
+    found = Postings.build(c, "c_custkey", "c_name").search(customers).select(F.lit("customer").alias("kind"), "query", "id")
+    return found.union(Postings.build(p, "p_partkey", "p_name").search(parts).select(F.lit("part"), "query", "id"))
+
+
 # ---------------------------------------------------------------------------- ranks
 
 

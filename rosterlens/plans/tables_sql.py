@@ -90,6 +90,9 @@ def oracles() -> dict[str, str]:
         "crawl_depth_pages": _depth(),
         "vector_neighbours_exact": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id, e.vec_id AS neighbour, list_cosine_similarity(q.v, e.v) AS likeness FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
           SELECT vec_id, rank, neighbour, round(likeness, 6) AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(likeness, 9) DESC, neighbour) AS rank FROM p) WHERE rank <= 10""",
+        "name_postings": """WITH cq AS (SELECT right(c_name, 4) AS query FROM customer WHERE c_custkey % 50 = 0 UNION SELECT upper(substr(c_name, 6, 9)) FROM customer WHERE c_custkey % 70 = 0),
+          pq AS (SELECT unnest(list_filter(string_split_regex(p_name, '\\s+'), lambda w: w <> '')) AS query FROM part UNION SELECT substr(p_name, 3, 2) FROM part UNION SELECT substr(p_name, 2, 7) FROM part)
+          SELECT 'customer' AS kind, query, c_custkey AS id FROM cq JOIN customer ON contains(lower(c_name), lower(query)) WHERE query <> '' UNION ALL SELECT 'part', query, p_partkey FROM pq JOIN part ON contains(lower(p_name), lower(query)) WHERE query <> ''""",
         "ranked_positions": "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, r) AS position FROM (SELECT c_custkey, c_acctbal, row_number() OVER () AS r FROM customer)",
         "results_read_back": f"""WITH {_SUPPLIERS} SELECT form, position, coalesce(name, CASE WHEN form = 'csv' THEN 'Unknown Company' ELSE 'Unknown' END) AS company_name, website, score, s_name AS product, round(confidence, 4) AS confidence,
           'two' || chr(10) || 'lines' AS reason FROM p, (VALUES ('lines'), ('array'), ('csv')) f(form)""",
