@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.arrays import append_missing, contains_any, count_present, let, strings, without
+from ..functions import variants
+from ..functions.arrays import STRINGS, append_missing, contains_any, count_present, let, strings, without
 from ..functions.text import SENTENCE, clean_string, sentences, strip, strip_chars, words
 from .lexicon import best_label, top_labels
 from .score import extraction_confidence, fallback_confidence
@@ -210,23 +211,16 @@ def checked_profile(df: DataFrame, reply_col: str = "reply", text_col: str = "te
     return both.withColumns({c: F.when(F.col("ok"), F.col(f"__{c}")).otherwise(F.col(c)) for c in FIELDS}).drop("__bare", *(f"__{c}" for c in FIELDS))
 
 
-REPLY = "products array<string>, services array<string>, technologies array<string>, use_cases array<string>, industry string"
-
-
-def reply_json(raw: Column) -> Column:
-    """The outermost object in a model's reply, code fences removed; null if there is none."""
-    bare = F.regexp_replace(raw, "```(?:json)?", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
+def parse_reply(raw: Column) -> Column:
+    """The reply's fields; null where it isn't valid JSON. An industry may be text or a list; lists that are none are empty."""
 
+    def fields(v: Column) -> Column:
+        lists = [F.coalesce(F.try_variant_get(v, f"$.{c}", STRINGS), strings(())).alias(c) for c in ("products", "services", "technologies", "use_cases")]
+        listed = F.try_variant_get(v, "$.industry", "array<variant>")
+        industry = F.coalesce(F.when(listed.isNotNull(), F.try_variant_get(v, "$.industry[0]", "string")).otherwise(F.try_variant_get(v, "$.industry", "string")), F.lit(""))
+        return F.when(v.isNotNull(), F.struct(*lists, industry.alias("industry")))
 
-def parse_reply(raw: Column) -> Column:
-    """The reply's fields; null where it isn't valid JSON. An industry may be text or a list."""
-    text = reply_json(raw)
-    listed = F.from_json(text, "industry array<string>")["industry"]
-    fields = F.from_json(text, REPLY)
-    industry = F.coalesce(F.get(listed, F.lit(0)), F.when(~fields["industry"].startswith("["), fields["industry"]), F.lit(""))
-    valid = F.from_json(text, "struct<_: string>", {"mode": "PERMISSIVE"}).isNotNull() & F.get_json_object(text, "$").isNotNull()
-    return F.when(valid, F.struct(*(F.coalesce(fields[c], strings(())).alias(c) for c in ("products", "services", "technologies", "use_cases")), industry.alias("industry")))
+    return let(variants.parse(raw), fields)
 
 
 def validated_profile(df: DataFrame, reply_col: str = "reply", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import variants as W
 from ..operators import automaton as A
 from ..operators import crawl as C
 from ..operators import html as H
@@ -160,6 +161,32 @@ def vector_neighbours_exact(spark: SparkSession, d: str) -> DataFrame:
     return N.search(N.build(e), e.filter("vec_id % 50 = 0"), probes=PROBES, exact=True).select("vec_id", "rank", "neighbour", F.round("likeness", 6).alias("likeness"))
 
 
+# ------------------------------------------------------------------------- variants
+
+
+@query
+def props_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Properties of events as they are, as lists, as objects, cut off, null, and inside of other text."""
+    e = table(spark, d, "events")
+    k = F.expr("substring(props, 7, length(props) - 7)")
+    forms = [
+        F.col("props"), F.concat(F.lit('{"k": ['), k, F.lit(', null, "'), "event_type", F.lit('"]}')), F.concat(F.lit('{"k": {"name": "'), "event_type", F.lit('", "n": '), k, F.lit("}}")),
+        F.expr("substring(props, 1, length(props) - 1)"), F.lit('{"k": null}'), F.concat(F.lit("So:\n```json\n"), "props", F.lit("\n``` as asked")),
+    ]
+    v = e.select("event_id", W.parse(F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))).alias("v"))
+    return v.select("event_id", F.col("v").isNotNull().alias("ok"), W.kind(F.col("v"), "$.k").alias("kind"), W.text(F.col("v"), "$.k").alias("text"), F.array_join(W.items(F.col("v"), "$.k"), "|").alias("items"))
+
+
+@query
+def reply_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Replies made of turns: first words as products, the role as an industry that is text, list or object; every fourth is cut off."""
+    c = table(spark, d, "conversations").withColumn("w", F.slice(F.filter(T.words(F.coalesce("text", F.lit(""))), lambda w: w.rlike(r"^[A-Za-z]+\z")), 1, 3))
+    body = lambda industry: F.to_json(F.struct(F.col("w").alias("products"), industry.alias("industry")))
+    forms = [body(F.col("role")), F.concat(F.lit("Sure! "), body(F.array("role", F.lit("x")))), body(F.struct(F.col("role").alias("name"))), F.expr("substring(to_json(struct(w AS products)), 3)")]
+    v = c.select("conv_id", "turn", W.parse(F.element_at(F.array(*forms), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))).alias("v"))
+    return v.select("conv_id", "turn", F.col("v").isNotNull().alias("ok"), F.array_join(W.items(F.col("v"), "$.products"), "|").alias("products"), W.text(F.col("v"), "$.industry").alias("industry"))
+
+
 # ---------------------------------------------------------------------------- names
 
 

@@ -90,6 +90,11 @@ def oracles() -> dict[str, str]:
         "crawl_depth_pages": _depth(),
         "vector_neighbours_exact": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id, e.vec_id AS neighbour, list_cosine_similarity(q.v, e.v) AS likeness FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
           SELECT vec_id, rank, neighbour, round(likeness, 6) AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(likeness, 9) DESC, neighbour) AS rank FROM p) WHERE rank <= 10""",
+        "props_fields": """WITH e AS (SELECT event_id, event_type, props, substr(props, 7, length(props) - 7) AS k FROM events), v AS (SELECT event_id, event_type, k, event_id % 6 AS f FROM e)
+          SELECT event_id, f <> 3 AS ok, CASE f WHEN 0 THEN 'scalar' WHEN 1 THEN 'list' WHEN 2 THEN 'object' WHEN 5 THEN 'scalar' END AS kind, CASE f WHEN 2 THEN event_type WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE k END AS text,
+            CASE f WHEN 1 THEN k || '|' || event_type WHEN 2 THEN event_type WHEN 3 THEN '' WHEN 4 THEN '' ELSE k END AS items FROM v""",
+        "reply_fields": """WITH c AS (SELECT conv_id, turn, role, (conv_id + turn) % 4 AS f, coalesce(array_to_string(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: regexp_matches(w, '^[A-Za-z]+$'))[1:3], '|'), '') AS w FROM conversations)
+          SELECT conv_id, turn, f <> 3 AS ok, CASE WHEN f = 3 THEN '' ELSE w END AS products, CASE WHEN f <> 3 THEN role END AS industry FROM c""",
         "name_postings": """WITH cq AS (SELECT right(c_name, 4) AS query FROM customer WHERE c_custkey % 50 = 0 UNION SELECT upper(substr(c_name, 6, 9)) FROM customer WHERE c_custkey % 70 = 0),
           pq AS (SELECT unnest(list_filter(string_split_regex(p_name, '\\s+'), lambda w: w <> '')) AS query FROM part UNION SELECT substr(p_name, 3, 2) FROM part UNION SELECT substr(p_name, 2, 7) FROM part)
           SELECT 'customer' AS kind, query, c_custkey AS id FROM cq JOIN customer ON contains(lower(c_name), lower(query)) WHERE query <> '' UNION ALL SELECT 'part', query, p_partkey FROM pq JOIN part ON contains(lower(p_name), lower(query)) WHERE query <> ''""",
