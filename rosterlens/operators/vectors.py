@@ -66,14 +66,16 @@ def semantic_scores(docs: DataFrame, query: str, text_col: str = "text", embed:
 def cached_embeddings(docs: DataFrame, cache: DataFrame, text_col: str = "text", embed: Callable[[Column], Column] = hash_vector, most: int = 1200) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``embedding``, from the cache ``(key, embedding)`` where it has one; and the new cache rows.
 
-    Keys are sha1 of the stripped, cut text. A vector of no length in the cache is a miss.
+    Keys are sha1 of the stripped, cut text. A vector of no length in the cache is a miss. Texts meet the cache in one join; a
+    cache that is a table bucketed by key isn't shuffled for it, and keys that texts lack are sifted out by Spark's runtime filters.
     """
     cut = F.substring(strip(F.coalesce(F.col(text_col), F.lit(""))), 1, most)
     keyed = docs.withColumn("key", F.sha1(cut.cast("binary")))
-    good = cache.filter(F.size("embedding") > 0).select("key", "embedding").dropDuplicates(["key"])
-    missing = keyed.join(good, "key", "left_anti").select("key", cut.alias("cut")).dropDuplicates(["key"])
-    fresh = missing.select("key", embed(F.col("cut")).alias("embedding"))
-    return keyed.join(good.unionByName(fresh), "key", "left"), fresh
+    good = cache.filter(F.size("embedding") > 0).select("key", "embedding").dropDuplicates(["key"]).withColumnRenamed("embedding", "__kept")
+    met = keyed.join(good, "key", "left")
+    fresh = met.filter("__kept is null").select("key", cut.alias("cut")).dropDuplicates(["key"]).select("key", embed(F.col("cut")).alias("embedding"))
+    whole = met.withColumn("embedding", F.when(F.col("__kept").isNotNull(), F.col("__kept").cast("array<double>")).otherwise(embed(cut).cast("array<double>"))).drop("__kept")
+    return whole, fresh
 
 
 def classify(docs: DataFrame, text_col: str = "text", categories=L.CLASSIFIER, embed: Callable[[Column], Column] = hash_vector, hint: float = 0.03) -> DataFrame:

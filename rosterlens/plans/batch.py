@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -56,13 +57,36 @@ def _cached(spark: SparkSession, cache: str | None) -> DataFrame | None:
 CALLED = StructType().add("reply", "string").add("call_ok", "boolean").add("call_retried", "boolean").add("call_seconds", "double")
 
 
-def model_extractor(load: Callable[[], Callable[[str], str | None]], lengths: tuple[int, ...] = (900, 600), text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
+def within(seconds: float | None, call: Callable[[], str | None]) -> str | None:
+    """What ``call`` returns; TimeoutError after so many seconds, when its thread is left behind."""
+    if seconds is None:
+        return call()
+    got: list = []
+
+    def work() -> None:
+        try:
+            got.append((call(), None))
+        except Exception as e:  # noqa: BLE001 - raised where it is waited for
+            got.append((None, e))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not got:
+        raise TimeoutError(f"no answer within {seconds} s")
+    value, error = got[0]
+    if error is not None:
+        raise error
+    return value
+
+
+def model_extractor(load: Callable[[], Callable[[str], str | None]], lengths: tuple[int, ...] = (900, 600), text_col: str = "text", seconds: float | None = 25.0) -> Callable[[DataFrame], DataFrame]:
     """An extractor for ``ranking.outcomes`` from a model that ``load`` brings up once per worker.
 
     The model gets the relevant part of a text, the longest first; an error, an empty answer or
     one without a JSON object is followed by a try with the next length. A row carries its
-    answer, whether it came, whether it took another try, and the seconds. A limit on time is
-    the model's own; one that raises is a failed try.
+    answer, whether it came, whether it took another try, and the seconds. A call that raises or
+    takes longer than ``seconds`` is a failed try, so a model that hangs doesn't hold a task.
     """
 
     def ask(df: DataFrame) -> DataFrame:
@@ -78,7 +102,7 @@ def model_extractor(load: Callable[[], Callable[[str], str | None]], lengths: tu
                     begun, reply, k = time.perf_counter(), None, 0
                     for k, text in enumerate(texts):  # noqa: B007 - the last place counts
                         try:
-                            reply = model(text)
+                            reply = within(seconds, lambda text=text: model(text))
                         except Exception:  # noqa: BLE001 - a failed call is a row without a reply
                             reply = None
                         if reply and "{" in reply and "}" in reply:
@@ -105,23 +129,29 @@ def run(
     hours: int = 24,
     **options,
 ) -> dict[str, DataFrame]:
-    """Rank a roster file; writes ``ranked_csv``, ``ranked_json`` and ``outcomes`` below ``out``.
+    """Rank a roster file; writes ``ranked_csv``, ``ranked_json``, ``ranked.json`` and ``outcomes`` below ``out``.
 
-    Returns the ranked rows, the report of what was skipped, and, with a model, its metrics.
-    Nothing is written as ranked where no company qualifies. ``options`` go to ``ranking.outcomes``.
+    Returns the input's health and, where that can be read, the ranked rows, the report of what was skipped and degraded, and, with
+    a model, its metrics; of an input that can't be read there is its health alone. The list is written as CSV, as JSON lines and as one
+    indented array. Nothing is written as ranked where no company qualifies. ``options`` go to ``ranking.outcomes``.
     """
     as_of = as_of or datetime.now()
+    health = readers.health(spark, roster_path)
+    state = health.first()
+    if not (state["file_readable"] and state["row_count"]):
+        return {"health": health}
     roster = readers.load_companies(spark, roster_path)
     texts = page_texts(roster, pages, cache, as_of, hours)
     path = f"{out.rstrip('/')}/outcomes"
-    ranking.outcomes(roster, texts, extractor, **options).write.mode("overwrite").parquet(path)
+    report = sinks.write_observed(ranking.outcomes(roster, texts, extractor, **options), path)
     done = spark.read.parquet(path)
     ranked = ranking.in_order(done.filter("skip_reason is null")).withColumnRenamed("name", "company_name")
-    result = {"ranked": ranked, "report": sinks.pipeline_report(done)}
+    result = {"health": health, "ranked": ranked, "report": report}
     if "call_ok" in done.columns:
         calls = done.filter("call_ok is not null")
         result["calls"] = sinks.call_metrics(calls, F.col("call_ok"), F.col("call_retried"), "call_seconds")
     if not ranked.isEmpty():
         sinks.write_csv(ranked, f"{out.rstrip('/')}/ranked_csv")
         sinks.write_json(ranked, f"{out.rstrip('/')}/ranked_json")
+        sinks.write_json_array(ranked, f"{out.rstrip('/')}/ranked.json")
     return result

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..operators import crawl as C
 from ..operators import html as H
 from ..operators import neighbours as N
 from ..operators import tags as G
+from ..operators import vectors as V
 from ..operators import records as R
 from ..operators.postings import Postings
 from ..operators.rank import file_order, positions
@@ -200,6 +202,44 @@ def name_postings(spark: SparkSession, d: str) -> DataFrame:
     return found.union(Postings.build(p, "p_partkey", "p_name").search(parts).select(F.lit("part"), "query", "id"))
 
 
+# -------------------------------------------------------------------- caches, reports
+
+
+@query
+def degraded_report(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of documents, gathered while they are written: labelled good ones count as read by a model, their lengths tell confidences."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    size = F.length(F.coalesce("text", F.lit("")))
+    reason = F.when(F.col("doc_id") % 17 == 0, "crawl_error").when(size < 800, "too_short").when((F.col("doc_id") % 13 == 0) & F.col("q").isNull(), "no_signal")
+    df = table(spark, d, "documents").join(labels, "doc_id", "left").select("doc_id", reason.alias("skip_reason"), (F.col("q") == 1).alias("extracted"), ((size % 100) / 100).alias("confidence"))
+    return sinks.write_observed(df, work_folder(spark, "outcomes"))
+
+
+@query
+def cache_upserts_by_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Events put into a cache in three turns; what is fresh of some users' rows, a day before the last event."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("website_key"), F.col("ts").alias("cached_at"), "event_id", "value")
+    path = work_folder(spark, "cache")
+    for turn in range(3):
+        sinks.upsert_cache(spark, path, e.filter(F.col("event_id") % 3 == turn), buckets=16)
+    last = e.agg(F.max("cached_at").alias("t")).first()["t"]
+    rows = sinks.fresh_rows(spark, path, e.schema, e.filter("website_key % 2 = 0").select("website_key"), F.lit(last))
+    return rows.select("website_key", "event_id", "value")
+
+
+@query
+def bucketed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of labelled texts come from a table bucketed by key, the others are made anew."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    name = f"vectors_{uuid.uuid4().hex}"
+    labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    none = spark.createDataFrame([], "key string, embedding array<double>")
+    first = V.cached_embeddings(labelled, none, embed=lambda t: F.array(-F.length(t).cast("double")))[1]
+    sinks.write_embeddings_table(first, name, work_folder(spark, "vectors"), buckets=8)
+    out, _ = V.cached_embeddings(docs, spark.table(name), embed=lambda t: F.array(F.length(t).cast("double")))
+    return out.select("doc_id", "key", F.get("embedding", F.lit(0)).alias("value"))
+
+
 # ---------------------------------------------------------------------------- ranks
 
 

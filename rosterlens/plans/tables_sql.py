@@ -95,6 +95,15 @@ def oracles() -> dict[str, str]:
             CASE f WHEN 1 THEN k || '|' || event_type WHEN 2 THEN event_type WHEN 3 THEN '' WHEN 4 THEN '' ELSE k END AS items FROM v""",
         "reply_fields": """WITH c AS (SELECT conv_id, turn, role, (conv_id + turn) % 4 AS f, coalesce(array_to_string(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: regexp_matches(w, '^[A-Za-z]+$'))[1:3], '|'), '') AS w FROM conversations)
           SELECT conv_id, turn, f <> 3 AS ok, CASE WHEN f = 3 THEN '' ELSE w END AS products, CASE WHEN f <> 3 THEN role END AS industry FROM c""",
+        "degraded_report": """WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1), o AS (SELECT doc_id, q = 1 AS ok, (length(coalesce(text, '')) % 100) / 100 AS c,
+            CASE WHEN doc_id % 17 = 0 THEN 'crawl_error' WHEN length(coalesce(text, '')) < 800 THEN 'too_short' WHEN doc_id % 13 = 0 AND q IS NULL THEN 'no_signal' END AS why FROM documents LEFT JOIN l USING (doc_id)),
+          r AS (SELECT count(*) AS total, count(*) FILTER (why IS NULL) AS ranked, count(*) FILTER (why = 'crawl_error') AS crawl_errors, count(*) FILTER (why = 'too_short') AS too_short, count(*) FILTER (why = 'no_signal') AS no_signal,
+            count(*) FILTER (why IS NULL AND coalesce(ok, false) AND c >= 0.45) AS full_, count(*) FILTER (NOT coalesce(ok, false) AND (why IS NULL OR why = 'no_signal')) AS llm_fallback, count(*) FILTER (why IS NULL AND coalesce(ok, false) AND c < 0.45) AS low_confidence FROM o)
+          SELECT total, ranked, crawl_errors, too_short, no_signal, full_ AS "full", llm_fallback, low_confidence, round(100.0::DOUBLE * ranked / total, 1) AS percent FROM r""",
+        "cache_upserts_by_folder": """WITH k AS (SELECT user_id, event_id, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+          SELECT CAST(user_id AS VARCHAR) AS website_key, event_id, value FROM k WHERE user_id % 2 = 0 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""",
+        "bucketed_vectors": f"""WITH h AS (SELECT doc_id, sha1(cut) AS key, length(cut)::DOUBLE AS n FROM (SELECT doc_id, left({_strip("coalesce(text, '')")}, 1200) AS cut FROM documents)), c AS (SELECT DISTINCT key FROM h WHERE doc_id IN (SELECT doc_id FROM labels))
+          SELECT doc_id, h.key, CASE WHEN c.key IS NULL THEN n ELSE -n END AS value FROM h LEFT JOIN c ON h.key = c.key""",
         "name_postings": """WITH cq AS (SELECT right(c_name, 4) AS query FROM customer WHERE c_custkey % 50 = 0 UNION SELECT upper(substr(c_name, 6, 9)) FROM customer WHERE c_custkey % 70 = 0),
           pq AS (SELECT unnest(list_filter(string_split_regex(p_name, '\\s+'), lambda w: w <> '')) AS query FROM part UNION SELECT substr(p_name, 3, 2) FROM part UNION SELECT substr(p_name, 2, 7) FROM part)
           SELECT 'customer' AS kind, query, c_custkey AS id FROM cq JOIN customer ON contains(lower(c_name), lower(query)) WHERE query <> '' UNION ALL SELECT 'part', query, p_partkey FROM pq JOIN part ON contains(lower(p_name), lower(query)) WHERE query <> ''""",

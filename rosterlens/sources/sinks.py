@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.arrays import split_values
 from ..functions.text import strip
@@ -139,19 +140,59 @@ def write_embeddings(rows: DataFrame, cache_path: str) -> None:
     rows.select("key", "embedding").filter(F.size("embedding") > 0).write.mode("append").parquet(cache_path)
 
 
-def upsert_cache(spark: SparkSession, cache_path: str, new: DataFrame, key: str = "website_key", at: str = "cached_at") -> DataFrame:
-    """Append rows to a cache and return its latest row of each key."""
-    from ..operators.roster import keep_last
+def write_embeddings_table(rows: DataFrame, table: str, path: str | None = None, buckets: int = 64) -> None:
+    """Append new (key, embedding) rows to a table bucketed by key, with which texts meet without a shuffle of the cache."""
+    good = rows.select("key", "embedding").filter(F.size("embedding") > 0).repartition(buckets, "key")
+    writer = good.write.mode("append").bucketBy(buckets, "key").sortBy("key")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+#: Columns of a cache's folders: into how many parts keys are dealt, and which one.
+CACHE_PARTS = ("buckets", "bucket")
 
-    new.write.mode("append").parquet(cache_path)
-    return keep_last(spark.read.schema(new.schema).parquet(cache_path), [key], at)
 
+def upsert_cache(spark: SparkSession, cache_path: str, new: DataFrame, key: str = "website_key", at: str = "cached_at", buckets: int = 64) -> DataFrame:
+    """Put rows into a cache of one row a key, the latest, and return it.
 
-def compact_cache(spark: SparkSession, cache_path: str, to: str, key: str = "website_key", at: str = "cached_at") -> None:
-    """The latest row of each key in a new folder."""
+    The cache is dealt to folders by a hash of the key. Only folders that new rows fall into are read, and replaced once their
+    latest rows are written; files of the others stay. A cache keeps the number of folders that it was begun with.
+    """
     from ..operators.roster import keep_last
 
-    keep_last(spark.read.parquet(cache_path), [key], at).write.mode("overwrite").parquet(to)
+    old = read_cache(spark, cache_path, new.schema)
+    if old is not None:
+        buckets = old.select("buckets").first()["buckets"]
+    dealt = new.withColumns({"buckets": F.lit(buckets), "bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")})
+    touched = [r["bucket"] for r in dealt.select("bucket").distinct().collect()]  # as many as there are folders at most
+    if touched:
+        rows = dealt if old is None else old.filter(F.col("bucket").isin(touched)).unionByName(dealt)
+        latest = keep_last(rows, [key, *CACHE_PARTS], at).repartition("bucket")
+        latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CACHE_PARTS).parquet(cache_path)
+    out = read_cache(spark, cache_path, new.schema)
+    return new.limit(0) if out is None else out.drop(*CACHE_PARTS)
+
+
+def read_cache(spark: SparkSession, cache_path: str, schema: StructType) -> DataFrame | None:
+    """The rows of a cache that ``upsert_cache`` has written, with their folders; None where there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema(StructType([*schema.fields, *(StructField(c, IntegerType()) for c in CACHE_PARTS)])).parquet(cache_path)
+
+
+def fresh_rows(spark: SparkSession, cache_path: str, schema: StructType, keys: DataFrame, as_of: Column, key: str = "website_key", at: str = "cached_at", hours: int = 24) -> DataFrame | None:
+    """A cache's rows of the wanted keys that aren't older than the limit; only folders of those keys are read."""
+    from ..operators.roster import fresh
+
+    cache = read_cache(spark, cache_path, schema)
+    if cache is None:
+        return None
+    first = cache.select("buckets").first()
+    if first is None:
+        return cache.drop(*CACHE_PARTS)
+    wanted = keys.select(key).distinct().withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(first["buckets"])).cast("int"))
+    touched = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]
+    return fresh(cache.filter(F.col("bucket").isin(touched)).join(wanted.select(key), key, "left_semi").drop(*CACHE_PARTS), as_of, at, hours)
 
 
 # ----------------------------------------------------------------------------- reports
@@ -166,6 +207,28 @@ def pipeline_report(outcomes: DataFrame, reason: str = "skip_reason") -> DataFra
     )
 
 
+#: Below this a model's profile counts as weak. Fixed value.
+LEAST_CONFIDENCE = 0.45
+
+
+def write_observed(outcomes: DataFrame, path: str, reason: str = "skip_reason", extracted: str = "extracted", confidence: str = "confidence") -> DataFrame:
+    """Write outcomes and return their report, gathered by the same pass: one row.
+
+    Besides what is skipped it counts the degraded rows that are ranked with a penalty: those whose profile comes from keywords for want
+    of a model's (``llm_fallback``, also of rows then found to hold nothing), and a model's weak ones (``low_confidence``).
+    """
+    why, ok = F.col(reason), F.coalesce(F.col(extracted), F.lit(False))
+    ranked, weak = why.isNull(), F.coalesce(F.col(confidence), F.lit(0.0)) < LEAST_CONFIDENCE
+    seen = Observation()
+    outcomes.observe(
+        seen, F.count(F.lit(1)).alias("total"), F.count_if(ranked).alias("ranked"), *(F.count_if(F.coalesce(why == c, F.lit(False))).alias(f"{c}s" if c == "crawl_error" else c) for c in ("crawl_error", "too_short", "no_signal")),
+        F.count_if(ranked & ok & ~weak).alias("full"), F.count_if(~ok & (ranked | F.coalesce(why == "no_signal", F.lit(False)))).alias("llm_fallback"), F.count_if(ranked & ok & weak).alias("low_confidence"),
+    ).write.mode("overwrite").parquet(path)
+    row = seen.get
+    total = row["total"]
+    return outcomes.sparkSession.createDataFrame([(*row.values(), round(100.0 * row["ranked"] / max(total, 1), 1))], ", ".join(f"{c} long" for c in row) + ", percent double")
+
+
 def call_metrics(calls: DataFrame, ok: Column, retried: Column, seconds: str) -> DataFrame:
     """One row over a log of model calls. Timeouts count every failure, as the failures do."""
     n = F.count("*")
