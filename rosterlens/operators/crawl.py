@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import http.client
+import math
+import ssl
+import time
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote, urljoin, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,47 +134,106 @@ AS_BROWSER = PLAIN | {"Accept": "text/html,application/xhtml+xml,*/*;q=0.8", "Ac
 FINAL = (401, 404, 410)
 
 
-def fetch(spark: SparkSession, urls: DataFrame, url_col: str = "url", timeout: float = 10.0, attempts: int = 3, headers: tuple[dict, ...] = (PLAIN, AS_BROWSER), verify: bool = True, least: int = 100) -> DataFrame:
-    """(url, html, error): pages over the network. Each row carries its own error; nothing is raised.
+class Session:
+    """Open connections, cookies and the time of the last request of each host; for one task."""
 
-    The first try goes with the first headers, later ones with the next (403 and 429 are tried
-    again after a pause); a page of ``least`` characters or fewer counts as empty. With one
-    attempt this is a plain, polite get.
-    """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ssl
-        import time
-        import urllib.error
-        import urllib.request
-
-        context = ssl.create_default_context()
+    def __init__(self, timeout: float, verify: bool = True, pace: float = 0.0, redirects: int = 5):
+        self.timeout, self.pace, self.redirects = timeout, pace, redirects
+        self.open: dict[tuple[str, str], http.client.HTTPConnection] = {}
+        self.cookies: dict[str, dict[str, str]] = {}
+        self.last: dict[str, float] = {}
+        self.context = ssl.create_default_context()
         if not verify:
-            context.check_hostname, context.verify_mode = False, ssl.CERT_NONE
-
-        def one(url: str) -> tuple[str | None, str | None]:
-            error = None
-            for i in range(attempts):
-                try:
-                    asked = urllib.request.Request(url, headers=headers[min(i, len(headers) - 1)])
-                    with urllib.request.urlopen(asked, timeout=timeout, context=context) as r:
-                        text = r.read().decode("utf-8", "replace")
+            self.context.check_hostname, self.context.verify_mode = False, ssl.CERT_NONE
+
+    def get(self, url: str, headers: dict[str, str]) -> tuple[int, str]:
+        """Status and text of the answer, redirects followed. Raises where there is no answer."""
+        for _ in range(self.redirects + 1):
+            status, place, body = self._ask(url, headers)
+            if status not in (301, 302, 303, 307, 308) or not place:
+                return status, body.decode("utf-8", "replace")
+            url = urljoin(url, place)
+        raise ValueError("too many redirects")
+
+    def _ask(self, url: str, headers: dict[str, str]) -> tuple[int, str | None, bytes]:
+        parts = urlsplit(url)
+        if parts.scheme not in ("http", "https") or not parts.hostname:
+            raise ValueError("not an address of a page")
+        host = parts.netloc.rpartition("@")[2]
+        wait = self.last.get(host, -math.inf) + self.pace - time.monotonic()
+        if wait > 0:
+            time.sleep(wait)
+        key = (parts.scheme, host)
+        kept = key in self.open
+        if not kept:
+            self.open[key] = http.client.HTTPSConnection(host, timeout=self.timeout, context=self.context) if parts.scheme == "https" else http.client.HTTPConnection(host, timeout=self.timeout)
+        cookies = self.cookies.setdefault(host, {})
+        sent = headers | {"Connection": "keep-alive"} | ({"Cookie": "; ".join(f"{k}={v}" for k, v in cookies.items())} if cookies else {})
+        target = quote(parts.path or "/", safe="/%:@!$&'()*+,;=~-._") + (f"?{quote(parts.query, safe='/?%:@!$&()*+,;=~-._')}" if parts.query else "")
+        try:
+            self.last[host] = time.monotonic()
+            self.open[key].request("GET", target, headers=sent)
+            r = self.open[key].getresponse()
+            body = r.read()
+        except (http.client.HTTPException, OSError) as e:
+            self.open.pop(key).close()
+            if kept and not isinstance(e, TimeoutError):
+                return self._ask(url, headers)  # a connection that the host has closed since
+            raise
+        for line in r.headers.get_all("Set-Cookie") or ():
+            name, _, value = line.split(";")[0].partition("=")
+            cookies[name.strip()] = value.strip()
+        if r.will_close:
+            self.open.pop(key).close()
+        return r.status, r.headers.get("Location"), body
+
+    def page(self, url: str, attempts: int, headers: tuple[dict, ...], least: int, backoff: float) -> tuple[str | None, str | None]:
+        """Text, or the reason why there is none."""
+        error = None
+        for i in range(attempts):
+            try:
+                status, text = self.get(url, headers[min(i, len(headers) - 1)])
+                if status == 200:
                     return (text, None) if len(text) > least else (None, "too short")
-                except urllib.error.HTTPError as e:
-                    error = f"status {e.code}"
-                    if e.code in FINAL:
-                        break
-                except Exception as e:  # noqa: BLE001 - a row's failure is its value
-                    error = str(e)[:200]
-                if i < attempts - 1:
-                    time.sleep(2**i)
-            return None, error
-
-        for b in batches:
-            rows = [(url, *one(url)) for url in b[url_col]]
-            yield pd.DataFrame(rows, columns=["url", "html", "error"])
-
-    return urls.select(url_col).distinct().mapInPandas(get, "url string, html string, error string")
+                error = f"status {status}"
+                if status in FINAL:
+                    break
+            except Exception as e:  # noqa: BLE001 - a row's failure is its value
+                error = (str(e) or type(e).__name__)[:200]
+            if i < attempts - 1:
+                time.sleep(backoff * 2**i)
+        return None, error
+
+    def close(self) -> None:
+        for c in self.open.values():
+            c.close()
+
+
+def fetch(
+    urls: DataFrame, url_col: str = "url", timeout: float = 10.0, attempts: int = 3, headers: tuple[dict, ...] = (PLAIN, AS_BROWSER), verify: bool = True, least: int = 100,
+    pace: float = 0.5, backoff: float = 1.0, lanes: int = 1,
+) -> DataFrame:
+    """(url, html, error): distinct pages over the network. Each row carries its own error; nothing is raised.
+
+    Addresses are dealt by host, so that one task asks a host, over one connection with its cookies and with ``pace`` seconds between
+    two requests. ``lanes`` deals each host to so many tasks, for hosts that allow it; a host of a third of all pages takes its time
+    otherwise, by intent. The first try goes with the first headers, later ones with the next, after a pause that doubles;
+    some statuses are final, and a page of ``least`` characters or fewer counts as empty. With one attempt this is a plain, polite get.
+    """
+    spark = urls.sparkSession
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+    lane = F.pmod(F.xxhash64(url_col), F.lit(lanes))
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = Session(timeout, verify, pace)
+        try:
+            for b in batches:
+                for url in b.column(0).to_pylist():
+                    html, error = (None, "no address") if not url else session.page(url, attempts, headers, least, backoff)
+                    yield pa.RecordBatch.from_arrays([pa.array([url], pa.string()), pa.array([html], pa.string()), pa.array([error], pa.string())], ["url", "html", "error"])
+        finally:
+            session.close()
+
+    dealt = urls.select(F.col(url_col).cast("string").alias("url")).distinct().withColumns({"host": host, "lane": lane})
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "lane").sortWithinPartitions("host", "url")
+    return dealt.select("url").mapInArrow(get, "url string, html string, error string")
