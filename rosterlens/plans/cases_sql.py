@@ -440,7 +440,7 @@ def _rank_pipeline() -> str:
         industry, confidence, CASE WHEN len(sig) = 0 THEN {q(L.WEAK_REASON.format(target=L.TARGET))} ELSE {q(L.FIT_REASON.format(target=L.TARGET))} || array_to_string(sig, '; ') || ' (score ' || regexp_replace(printf('%.2f', CAST(total AS DOUBLE)), '(\\.[0-9])0$', '\\1') || ').' END AS reason FROM h"""
 
 
-def _headings() -> str:
+def headings() -> str:
     """Pages there have plain headings, and lists of links without further elements."""
     plain = "regexp_replace(y, '<[^>]*>', '', 'g')"
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
@@ -456,7 +456,7 @@ def oracles(test_links) -> dict[str, str]:
     return {
         "keyword_profiles": keyword_profiles("documents"),
         "relevant_budget": _budget(),
-        "page_headings": _headings(),
+        "page_headings": headings(),
         "mixed_profiles": mixed_profiles(),
         "product_records": company_records(),
         "crawl_frontier": frontier(test_links),

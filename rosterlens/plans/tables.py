@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,6 +206,44 @@ def name_postings(spark: SparkSession, d: str) -> DataFrame:
 # -------------------------------------------------------------------- caches, reports
 
 
+@query
+def input_health(spark: SparkSession, d: str) -> DataFrame:
+    """Whether inputs exist and can be read, and their rows; one of them is missing."""
+    out = None
+    for name in ("supplier", "customer", "nation", "missing"):
+        one = readers.health(spark, f"{d}/{name}.parquet").select(F.lit(name).alias("input"), "file_exists", "file_readable", "row_count")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def service_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What a result service answers before its first run, while it runs, with fresh and with old results, and on an error."""
+    rows = readers.results_from_csv(_suppliers(spark, d).select("company_name", "website", "score"))
+    now, started, broken = datetime(2026, 1, 1, 12), [], []
+
+    def load() -> DataFrame:
+        if broken:
+            raise ValueError("broken")
+        return rows
+
+    s = service.Service(load=load, start=lambda: started.append(1))
+    steps = []
+
+    def ask(step: str, modified: datetime | None) -> None:
+        status, got = s.companies(modified, now)
+        steps.append((step, status, -1 if got is None else got.count(), s.status()["running"], len(started)))
+
+    ask("none yet", None)
+    ask("still none", None)
+    s.finished()
+    ask("fresh", now - timedelta(seconds=3600))
+    ask("old", now - timedelta(seconds=3601))
+    broken.append(1)
+    ask("error", now)
+    return spark.createDataFrame(steps, "step string, status int, n_rows long, running boolean, n_started int")
+
+
 @query
 def degraded_report(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes of documents, gathered while they are written: labelled good ones count as read by a model, their lengths tell confidences."""

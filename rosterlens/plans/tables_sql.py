@@ -104,6 +104,10 @@ def oracles() -> dict[str, str]:
           SELECT CAST(user_id AS VARCHAR) AS website_key, event_id, value FROM k WHERE user_id % 2 = 0 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""",
         "bucketed_vectors": f"""WITH h AS (SELECT doc_id, sha1(cut) AS key, length(cut)::DOUBLE AS n FROM (SELECT doc_id, left({_strip("coalesce(text, '')")}, 1200) AS cut FROM documents)), c AS (SELECT DISTINCT key FROM h WHERE doc_id IN (SELECT doc_id FROM labels))
           SELECT doc_id, h.key, CASE WHEN c.key IS NULL THEN n ELSE -n END AS value FROM h LEFT JOIN c ON h.key = c.key""",
+        "input_health": "SELECT 'supplier' AS input, true AS file_exists, true AS file_readable, count(*) AS row_count FROM supplier UNION ALL SELECT 'customer', true, true, count(*) FROM customer UNION ALL SELECT 'nation', true, true, count(*) FROM nation UNION ALL SELECT 'missing', false, false, 0",
+        "service_answers": """WITH n AS (SELECT count(*) AS n FROM supplier) SELECT step, status, coalesce(k, n) AS n_rows, running, n_started
+          FROM n, (VALUES ('none yet', 202, -1, true, 1), ('still none', 202, -1, true, 1), ('fresh', 200, NULL, false, 1), ('old', 200, NULL, true, 2), ('error', 500, -1, true, 2)) v(step, status, k, running, n_started)""",
+        "main_text": f"SELECT page_id, length(main) AS n_main, length(listed) AS n_spec, length(headings) AS n_head FROM (WITH {_parts()}) JOIN ({cases_sql.headings()}) USING (page_id)",
         "name_postings": """WITH cq AS (SELECT right(c_name, 4) AS query FROM customer WHERE c_custkey % 50 = 0 UNION SELECT upper(substr(c_name, 6, 9)) FROM customer WHERE c_custkey % 70 = 0),
           pq AS (SELECT unnest(list_filter(string_split_regex(p_name, '\\s+'), lambda w: w <> '')) AS query FROM part UNION SELECT substr(p_name, 3, 2) FROM part UNION SELECT substr(p_name, 2, 7) FROM part)
           SELECT 'customer' AS kind, query, c_custkey AS id FROM cq JOIN customer ON contains(lower(c_name), lower(query)) WHERE query <> '' UNION ALL SELECT 'part', query, p_partkey FROM pq JOIN part ON contains(lower(p_name), lower(query)) WHERE query <> ''""",

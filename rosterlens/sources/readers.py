@@ -96,7 +96,7 @@ def results_from_csv(table: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Ranked results as the service gives them: known columns, blanks filled, scores as numbers. Others go, but for ``keep``."""
     names = [re.sub(r"\s+", "_", c.strip().lower()) for c in table.columns]
     table = table.toDF(*names)
-    missing = sorted(set(REQUIRED) - set(names))
+    missing = required(names, REQUIRED)
     if missing:
         raise ValueError(f"columns are missing: {missing}")
     cols = [F.col(c) for c in keep]
@@ -281,4 +281,5 @@ class XlsxSource(DataSource):
 
 
 def required(columns: Sequence[str], needed: Sequence[str]) -> list[str]:
+    """The needed columns that aren't there, in alphabetical order."""
     return sorted(set(needed) - set(columns))
