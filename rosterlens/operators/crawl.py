@@ -75,7 +75,7 @@ def site_links(pages: DataFrame, keywords: tuple[str, ...] | None = None) -> Dat
 
 
 def crawl_depth(roster: DataFrame, pages: DataFrame, max_depth: int = 2, max_pages: int = 8, website: str = "website", keywords: tuple[str, ...] | None = None) -> DataFrame:
-    """(website, depth, url, html): pages of one site within some links of its root, relevant ones only.
+    """(website, at, depth, url, html): pages of one site within some links of its root, relevant ones only; ``at`` counts from 1.
 
     Pages come breadth first and in the order of the links to them, up to ``max_pages`` of a site. The links are cut out of the
     pages once and written; a recursive query follows them, never into a page of its own way, and no page is read again.
@@ -113,7 +113,7 @@ def crawl_depth(roster: DataFrame, pages: DataFrame, max_depth: int = 2, max_pag
     # Of a site with many pages each task passes on its first ones alone.
     visited = spark.read.parquet(found).join(table.select("url"), "url", "left_semi")
     first = visited.withColumn("__r", F.row_number().over(Window.partitionBy("site").orderBy("at"))).filter(F.col("__r") <= max_pages)
-    return first.join(table, "url").select(F.col("site").alias(website), F.col("at.depth").alias("depth"), "url", "html")
+    return first.join(table, "url").select(F.col("site").alias(website), F.col("__r").alias("at"), F.col("at.depth").alias("depth"), "url", "html")
 
 
 def page_map(visited: DataFrame, website: str = "website", most: int = 4000) -> DataFrame:

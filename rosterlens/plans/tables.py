@@ -24,11 +24,14 @@ from ..sources import readers, sinks
 from ..sources.folders import work_folder
 from . import service
 from .cases import worded
+from .extraction import company_data
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES: dict[str, Query] = {}
 
 
+#: Syllables of the prose and phrases about products that stand for them.
+SYLLABLES = (("ationth", "our LiDAR services"), ("eauen", "a PyTorch solution"), ("ungsch", "the warehouse robot product"), ("ción", "NavMate Service"), ("ththt", "the GridBot product"), ("onthe", "crop monitoring technology"))
 SITE_LINKS = {"avoid": ("privacy",), "hints": ("/en/p1", "/en/p2"), "keywords": ("on", "er", "le", "p3")}
 
 
@@ -144,6 +147,21 @@ def crawl_depth_pages(spark: SparkSession, d: str) -> DataFrame:
     return C.crawl_depth(roots, pages, keywords=("p1", "p2"), max_pages=12).select("website", "depth", "url", F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
+@query
+def company_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Data of sites whose pages also hold a document in the words of the lexicons."""
+    sites = _sites(spark, d)
+    bare = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit(" ")), F.lit("<"), F.lit(" "))
+    for syllable, phrase in SYLLABLES:
+        bare = F.replace(bare, F.lit(syllable), F.lit(f" {phrase} "))
+    docs = _worded(spark, d).select(F.col("doc_id").alias("page_id"), bare.alias("body"))
+    sites = sites.join(docs, "page_id", "left").withColumn("html", F.concat("html", F.lit("<p>"), F.coalesce("body", F.lit("")), F.lit("</p>")))
+    roots, pages = _rooted(sites)
+    roots = roots.union(spark.range(1).select(F.lit("https://nowhere.example")))
+    data = company_data(roots, pages, keywords=("p1", "p2"))
+    return data.select("website", "company_url", F.array_join("products", "|").alias("products"), F.array_join("technologies", "|").alias("technologies"), "industry", "confidence")
+
+
 # -------------------------------------------------------------------------- vectors
 
 #: Cells that a query probes; the recall over ten neighbours is tested to be 0.9 at least.

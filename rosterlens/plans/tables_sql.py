@@ -5,8 +5,8 @@ from __future__ import annotations
 from ..functions import lexicons as L
 from . import cases_sql
 from .cases_sql import frontier
-from .sql import _any
-from .tables import SITE_LINKS
+from .sql import _S, _VISIBLE, _any
+from .tables import SITE_LINKS, SYLLABLES
 
 _WORDS = "(SELECT DISTINCT unnest(list_filter(string_split_regex(lower(t), '\\s+'), lambda w: w <> '')) AS word FROM (SELECT p_name AS t FROM part UNION ALL SELECT text FROM benchmark) WHERE t IS NOT NULL)"
 #: The words hold no white space, so they are met with the runs of characters of distinct tokens.
@@ -61,8 +61,8 @@ def _sites() -> str:
     return f"(SELECT page_id, 'https://s' || page_id // 25 || '.example' AS root, 'https://s' || page_id // 25 || '.example/en/p' || page_id % 25 AS url, coalesce(array_to_string({links}, ' '), '') AS html FROM pages)"
 
 
-def _depth() -> str:
-    return f"""WITH RECURSIVE p AS MATERIALIZED {_sites()},
+def _depth(sites: str | None = None) -> str:
+    return f"""WITH RECURSIVE p AS MATERIALIZED {sites or _sites()},
 t AS MATERIALIZED (SELECT url, min(html) AS html FROM (SELECT url, html FROM p UNION ALL SELECT root, html FROM p) GROUP BY 1),
 h AS (SELECT url, regexp_extract(url, '^(https://[^/]+)', 1) AS root, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM t),
 o AS (SELECT url, root || e AS to_url, i - 1 AS k FROM (SELECT url, root, unnest(hs) AS e, unnest(range(1, len(hs) + 1)) AS i FROM h)),
@@ -70,8 +70,24 @@ l AS MATERIALIZED (SELECT url, to_url, dense_rank() OVER (PARTITION BY url ORDER
 w AS (SELECT DISTINCT root AS site, root AS url, 0 AS depth, []::BIGINT[] AS way, [root] AS seen FROM p
   UNION ALL SELECT w.site, l.to_url, depth + 1, list_append(way, k), list_append(seen, l.to_url) FROM w JOIN l ON l.url = w.url WHERE depth < 2 AND NOT list_contains(seen, l.to_url)),
 b AS (SELECT site, url, min(depth) AS depth, arg_min(way, (depth, way)) AS way FROM w GROUP BY 1, 2),
-r AS (SELECT site, b.url, depth, html, row_number() OVER (PARTITION BY site ORDER BY depth, way) AS n FROM b JOIN t ON t.url = b.url)
-SELECT site AS website, depth, url, md5(html) AS digest FROM r WHERE n <= 12"""
+r AS (SELECT site, b.url, depth, html, row_number() OVER (PARTITION BY site ORDER BY depth, way) AS n FROM b JOIN t ON t.url = b.url)"""
+
+
+def _extraction() -> str:
+    body = f"replace(replace({cases_sql.worded('text')}, '&', ' '), '<', ' ')"
+    for syllable, phrase in SYLLABLES:
+        body = f"replace({body}, '{syllable}', ' {phrase} ')"
+    sites = f"(SELECT s.page_id, root, url, html || '<p>' || coalesce(body, '') || '</p>' AS html FROM {_sites()} s LEFT JOIN (SELECT doc_id, {body} AS body FROM documents) d ON d.doc_id = s.page_id)"
+    folded = lambda x: f"list_filter({x}, lambda y, i: list_position(list_transform({x}, lambda z: lower(z)), lower(y)) = i)"
+    items = lambda c: f"list_filter(flatten(list(string_split({c}, ',') ORDER BY n)), lambda y: y <> '')"
+    return f"""{_depth(sites)},
+v AS (SELECT site || '#' || n AS doc_id, site, n, text FROM (SELECT site, n, {_VISIBLE} AS text FROM r WHERE n <= 8)),
+g AS (SELECT doc_id, site, n, list_filter({_S}, lambda x: {_any(L.SECTION_WORDS, 'lower(x)')}) AS l FROM v),
+x AS MATERIALIZED (SELECT doc_id, site, n, coalesce(array_to_string({folded('l')}, chr(10)), '') AS text FROM g),
+k AS MATERIALIZED ({cases_sql.keyword_profiles('x')}),
+m AS (SELECT site, {items('products')} AS ps, {items('technologies')} AS ts, arg_min(industry, n) FILTER (industry <> '') AS industry, round(count(*) FILTER (products <> '' OR technologies <> '' OR industry <> '') / count(*), 4) AS confidence FROM x JOIN k USING (doc_id) GROUP BY site)
+SELECT site AS website, site AS company_url, coalesce(array_to_string({folded('ps')}, '|'), '') AS products, coalesce(array_to_string({folded('ts')}, '|'), '') AS technologies, coalesce(industry, '') AS industry, confidence FROM m
+UNION ALL SELECT 'https://nowhere.example', 'https://nowhere.example', '', '', '', 0.0"""
 
 
 def oracles() -> dict[str, str]:
@@ -87,7 +103,8 @@ def oracles() -> dict[str, str]:
         "tag_intervals": """WITH t AS (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages), i AS (SELECT unnest(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '<([a-z0-9]+)', 1)) AS tag FROM pages)
           SELECT tag, n, coalesce(inside, 0) AS inside FROM (SELECT tag, count(*) AS n FROM t GROUP BY 1) LEFT JOIN (SELECT tag, count(*) AS inside FROM i GROUP BY 1) USING (tag)""",
         "crawl_queue": frontier(SITE_LINKS, _sites()),
-        "crawl_depth_pages": _depth(),
+        "crawl_depth_pages": f"{_depth()} SELECT site AS website, depth, url, md5(html) AS digest FROM r WHERE n <= 12",
+        "company_extraction": _extraction(),
         "vector_neighbours_exact": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id, e.vec_id AS neighbour, list_cosine_similarity(q.v, e.v) AS likeness FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
           SELECT vec_id, rank, neighbour, round(likeness, 6) AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(likeness, 9) DESC, neighbour) AS rank FROM p) WHERE rank <= 10""",
         "props_fields": """WITH e AS (SELECT event_id, event_type, props, substr(props, 7, length(props) - 7) AS k FROM events), v AS (SELECT event_id, event_type, k, event_id % 6 AS f FROM e)
