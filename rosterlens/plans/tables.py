@@ -165,7 +165,7 @@ def company_extraction(spark: SparkSession, d: str) -> DataFrame:
 # -------------------------------------------------------------------------- vectors
 
 #: Cells that a query probes; the recall over ten neighbours is tested to be 0.9 at least.
-PROBES = 24
+PROBES = 32
 
 
 @query
