@@ -36,27 +36,53 @@ _LEVEL = """
 {name}_k AS (SELECT rate, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE (1 - rho) / rho END AS k FROM (
   SELECT *, CASE WHEN room > 0 THEN least(greatest((q - 2 * rate * bad + rate * rate * n - rate * (1 - rate) * (g - 1)) / (rate * (1 - rate) * room), 0.01::DOUBLE), 0.99::DOUBLE) ELSE 0.01::DOUBLE END AS rho FROM {name}_r))"""
 
-_DOMAIN = r"coalesce(nullif(regexp_extract(host, '([^.]+\.(?:ac\.uk|co\.jp|co\.uk|com\.au|com\.br|gov\.uk|org\.uk|[^.]+))$', 1), ''), host)"
+_SITE = r"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')"
+_ADDRESS = r"^(?:[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*)$"
+#: Bisection on the regularised incomplete beta function, whose continued fraction is folded over a list; the state is [c, d, h].
+_HALVE = """
+  SELECT site, n_labelled, mean, w, a, b, lb, CASE WHEN f < 0.05 THEN mid ELSE lo END, CASE WHEN f < 0.05 THEN hi ELSE mid END, i + 1 FROM (
+    SELECT *, CASE WHEN far THEN 1 - g ELSE g END AS f FROM (
+      SELECT *, exp(p * ln(x) + q * ln(1 - x) - lb) / p * list_reduce(list_transform(range(1, 201), lambda m: [m::DOUBLE, 0, 0]), lambda s, m: {odd}, [1.0::DOUBLE, 1 / (1 - (p + q) * x / (p + 1)), 1 / (1 - (p + q) * x / (p + 1))])[3] AS g FROM (
+        SELECT *, mid > (a + 1) / (a + b + 2) AS far, CASE WHEN mid > (a + 1) / (a + b + 2) THEN 1 - mid ELSE mid END AS x, CASE WHEN mid > (a + 1) / (a + b + 2) THEN b ELSE a END AS p, CASE WHEN mid > (a + 1) / (a + b + 2) THEN a ELSE b END AS q FROM (
+          SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE i < 30))))"""
+
+
+def _lentz(state: str, term: str) -> str:
+    """One step of the fraction: c, d, and h times both."""
+    c, d = f"(1 + {term} / {state}[1])", f"(1 / (1 + {term} * {state}[2]))"
+    return f"[{c}, {d}, {state}[3] * {c} * {d}]"
+
+
+_EVEN = "(m[1] * (q - m[1]) * x / ((p - 1 + 2 * m[1]) * (p + 2 * m[1])))"
+_ODD = "(-(p + m[1]) * (p + q + m[1]) * x / ((p + 2 * m[1]) * (p + 1 + 2 * m[1])))"
+_BISECT = _HALVE.format(odd=_lentz(_lentz("s", _EVEN), _ODD))
+
+_DOMAIN = rf"CASE WHEN regexp_matches(site, '{_ADDRESS}') THEN site ELSE " + r"coalesce(nullif(regexp_extract(site, '([^.]+\.(?:ac\.uk|co\.jp|co\.uk|com\.au|com\.br|gov\.uk|org\.uk|[^.]+))$', 1), ''), site) END"
 
 HOST_REPUTATION = (
     rf"""
-WITH p0 AS (
+WITH RECURSIVE p00 AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {_A_Z}) AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+p0 AS (SELECT *, {_SITE} AS site FROM p00),
 p AS (SELECT *, {_DOMAIN} AS domain FROM p0),
-q AS (SELECT *, regexp_extract(domain, '^[^.]*\.(.*)$', 1) AS suffix FROM p),
+q AS (SELECT *, CASE WHEN regexp_matches(domain, '{_ADDRESS}') THEN '' ELSE regexp_extract(domain, '^[^.]*\.(.*)$', 1) END AS suffix FROM p),
 m AS (SELECT doc_id AS page_id, count(*) AS n, count(*) FILTER (coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad FROM labels GROUP BY 1),
-h AS (SELECT host, domain, suffix, sum(n) AS n, sum(bad) AS bad FROM q JOIN m USING (page_id) GROUP BY ALL),
+h AS (SELECT site, domain, suffix, sum(n) AS n, sum(bad) AS bad FROM q JOIN m USING (page_id) GROUP BY ALL),
 dm AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 sf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dm GROUP BY ALL),"""
     + _LEVEL.format(name="ks", table="sf") + "," + _LEVEL.format(name="kd", table="dm") + "," + _LEVEL.format(name="kh", table="h")
     + """,
 sm AS (SELECT suffix, (bad + k * rate) / (n + k) AS suffix_mean FROM sf, ks_k),
 dd AS (SELECT domain, (bad + k * suffix_mean) / (n + k) AS domain_mean FROM dm JOIN sm USING (suffix), kd_k),
-e AS (SELECT DISTINCT host, domain, suffix FROM q),
+e AS (SELECT DISTINCT site, domain, suffix FROM q),
 t AS (
-  SELECT host, coalesce(n, 0) AS n_labelled, (coalesce(bad, 0) + kh_k.k * coalesce(domain_mean, suffix_mean, ks_k.rate)) / (coalesce(n, 0) + kh_k.k) AS mean, coalesce(n, 0) + kh_k.k AS w
-  FROM e LEFT JOIN (SELECT host, n, bad FROM h) USING (host) LEFT JOIN dd USING (domain) LEFT JOIN sm USING (suffix), kh_k, ks_k),
-v AS (SELECT host, n_labelled, round(mean, 6) AS bad_mean, round(greatest(mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (w + 1)), 0.0::DOUBLE), 6) AS bad_low FROM t),
+  SELECT site, coalesce(n, 0) AS n_labelled, (coalesce(bad, 0) + kh_k.k * coalesce(domain_mean, suffix_mean, ks_k.rate)) / (coalesce(n, 0) + kh_k.k) AS mean, coalesce(n, 0) + kh_k.k AS w
+  FROM e LEFT JOIN (SELECT site, n, bad FROM h) USING (site) LEFT JOIN dd USING (domain) LEFT JOIN sm USING (suffix), kh_k, ks_k),
+t2 AS (SELECT *, mean * w AS a, (1 - mean) * w AS b, lgamma(mean * w) + lgamma((1 - mean) * w) - lgamma(w) AS lb FROM t),
+bis AS (SELECT site, n_labelled, mean, w, a, b, lb, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM t2 UNION ALL """
+    + _BISECT
+    + r"""),
+v AS (SELECT site, n_labelled, round(mean, 6) AS bad_mean, round(greatest(CASE WHEN w > 10000 THEN mean - 1.6448536269514722::DOUBLE * sqrt(mean * (1 - mean) / (w + 1)) ELSE (lo + hi) / 2 END, 0.0::DOUBLE), 6) AS bad_low FROM bis WHERE i = 30),
 r AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
@@ -67,7 +93,7 @@ r AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad_low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
   CAST(n_labelled AS BIGINT) AS n_labelled, bad_mean, bad_low
-FROM r JOIN v USING (host)
+FROM r JOIN v USING (site)
 """
 )
 
