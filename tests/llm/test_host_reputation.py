@@ -45,7 +45,7 @@ def test_quantile_nears_the_normal_form(spark):
 
 
 def test_sites(value):
-    site = {"a.example.com:8080": "a.example.com", "user:pw@a.example.com": "a.example.com", "example.com.": "example.com", "example.com..:80": "example.com..", "1.2.3.4:80": "1.2.3.4", "[::1]:80": "[::1]", "": ""}
+    site = {"a.example.com:8080": "a.example.com", "user:pw@a.example.com": "a.example.com", "example.com.": "example.com", "example.com..:80": "example.com", "1.2.3.4:80": "1.2.3.4", "[::1]:80": "[::1]", "": ""}
     for host, want in site.items():
         assert value(H.site_of, h=host) == want
     for name, domain, suffix in (("a.b.example.com", "example.com", "com"), ("1.2.3.4", "1.2.3.4", ""), ("[::1]", "[::1]", ""), ("a.co.uk", "a.co.uk", "co.uk"), ("localhost", "localhost", ""), ("", "", "")):
