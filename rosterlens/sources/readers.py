@@ -137,13 +137,18 @@ def results_from_json(table: DataFrame) -> DataFrame:
 _ELEMENT = "\n  {"
 
 
+def _begin(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first lines with anything in them."""
+    return [r["value"] for r in spark.read.text(path).filter("trim(value) <> ''").limit(n).collect()]
+
+
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """(at, record): the objects of JSON lines or of a JSON array as variants, null where one can't be parsed, in file order.
 
     An array that is indented as ``write_json_parts`` does is read in parts like lines are; in another layout
     each file is one task's work.
     """
-    begin = [r["value"] for r in spark.read.text(path).filter("trim(value) <> ''").limit(2).collect()]
+    begin = _begin(spark, path, 2)
     if begin and begin[0].strip() == "[" and begin[1:] and begin[1].startswith("  {"):
         parts = spark.read.text(path, lineSep=_ELEMENT).select(file_order().alias("at"), F.trim("value").alias("value"))
         parts = parts.filter(~F.trim(F.regexp_replace("value", r"[\[\]\s]", "")).isin("", ","))
@@ -177,14 +182,14 @@ def json_list(text: Column, field: str) -> Column:
 def load_results(spark: SparkSession, json_path: str | None, csv_path: str | None) -> DataFrame:
     """The JSON results, or the CSV ones where those can't be read, with ``position`` from 1: by score, in file order at ties.
 
-    JSON with a record that can't be parsed, or without any object, counts as unreadable as a whole.
+    JSON with a record that can't be parsed, or without any object, counts as unreadable as a whole; an empty list is one without rows.
     """
     table = None
     if json_path:
         try:
             records = json_records(spark, json_path)
             state = records.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))).alias("objects")).first()
-            if state["n"] and state["n"] == state["objects"]:
+            if state["n"] == state["objects"] and (state["n"] or "".join(_begin(spark, json_path, 2)).replace(" ", "") == "[]"):
                 table = results_from_records(records)
         except AnalysisException:  # no such path
             table = None

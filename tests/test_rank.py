@@ -86,6 +86,9 @@ def test_parts_are_the_file(spark, tmp_path):
     assert [r["website"] for r in json.loads(whole)] == ORDER and whole.startswith("[\n  {")
     sinks.write_json_array(results(spark).filter("false"), str(tmp_path / "none"))
     assert json.loads((tmp_path / "none").read_text()) == []
+    (tmp_path / "short").write_text(" []\n")
+    for name in ("none", "short"):
+        assert readers.load_results(spark, str(tmp_path / name), None).count() == 0
 
 
 def test_broken_json_falls_back(spark, tmp_path):
