@@ -33,7 +33,7 @@ from .blocks import U64, Block, ids_out, mix, prefix_hash, span_hash, streamed
 from .shared import named
 
 THETA = 1.0
-CACHE_ARCS = 4_000_000
+CACHE_ARCS = 1_000_000
 #: Words of more bytes are filtered and sampled one by one; the others all at once, byte by byte.
 LONG = 256
 #: Added to a draw's counter for each step. Fixed value.
