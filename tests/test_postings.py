@@ -1,6 +1,7 @@
 """Names by posting lists against plain containment."""
 
 import random
+import time
 
 import pytest
 
@@ -42,3 +43,13 @@ def test_lists_are_not_shuffled(spark):
             break
     assert sum("FileScan" in x for x in lines) == 1 and "Bucketed: true" in lines[scan]
     assert above and not any("Exchange" in x for x in above), above
+
+
+def test_long_lists_meet_in_proportion(spark):
+    """Every name holds the query's runs at many places: lists of 200,000 places, which pairwise comparison takes minutes for."""
+    n = 20_000
+    names = spark.range(n).selectExpr("id", "concat('Customer#', lpad(id, 3, '0'), '000000000000') AS name")
+    index = P.Postings.build(names, "id", "name")
+    t = time.perf_counter()
+    got = index.search(spark.createDataFrame([("MER#0",), ("00000000",)], "query string")).groupBy("query").count().collect()
+    assert {r["query"]: r["count"] for r in got} == {"MER#0": 100, "00000000": n} and time.perf_counter() - t < 40
