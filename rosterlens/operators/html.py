@@ -62,7 +62,7 @@ def scored_links(html: Column, base: Column, most: int = 6, avoid: tuple[str, ..
 PARTS = ("main", "products", "services", "specifications", "headings")
 
 
-def page_parts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def page_parts(pages: DataFrame, html_col: str = "html", cut_entities: bool = True) -> DataFrame:
     """``pages`` with a struct ``parts`` of texts that need the page's elements. A null page has empty parts."""
     from . import tags as G
 
@@ -72,7 +72,7 @@ def page_parts(pages: DataFrame, html_col: str = "html") -> DataFrame:
         "specifications": G.listed_text(t), "headings": G.heading_text(t),
     }
     # The scan is a step of its own, so that the five texts share it.
-    return G.with_tags(pages, html_col, "__tags").withColumn("parts", F.struct(*(parts[p].alias(p) for p in PARTS))).drop("__tags")
+    return G.with_tags(pages, html_col, "__tags", cut_entities).withColumn("parts", F.struct(*(parts[p].alias(p) for p in PARTS))).drop("__tags")
 
 
 def urls_joined(base: Column, href: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,17 +28,25 @@ ATTRIBUTES = ("class", "id", "name", "property", "content", "href")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 _NODE = "tag: string, pre: int, last: int, depth: int, children: int, shown_children: int, hidden: boolean, start: int, end: int, shown_start: int, shown_end: int, " + ", ".join(f"{a}: string" for a in ATTRIBUTES)
 TAGS = f"struct<text: string, shown: string, nodes: array<struct<{_NODE}>>>"
 _NAMES = [f.split(":")[0] for f in _NODE.split(", ")]
 
 
-def scan(page: str) -> tuple[str, str, list[tuple]]:
+def _closed(text: str) -> str:
+    """``text`` with the entities resolved that end with a semicolon; one that is cut off, as in ``AT&amp``, stays as it is."""
+    return _CLOSED.sub(lambda m: entities.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], text)
+
+
+def scan(page: str, cut_entities: bool = True) -> tuple[str, str, list[tuple]]:
     """A page's whole text, its text outside of pruned elements, and its elements in document order.
 
     An element ends at its own end tag, which closes what is still open inside, or with the page; an end tag without a
-    beginning is passed over. Comments and declarations are no text.
+    beginning is passed over. Comments and declarations are no text. Old entities are also resolved without their semicolon,
+    as browsers do, unless ``cut_entities`` is false.
     """
+    resolved = entities.unescape if cut_entities else _closed
     text: list[str] = []
     shown: list[str] = []
     nodes: list[list] = []
@@ -63,7 +72,7 @@ def scan(page: str) -> tuple[str, str, list[tuple]]:
         token = _TOKEN.search(page, at)
         begin = token.start() if token else len(page)
         if begin > at:
-            add(entities.unescape(page[at:begin]))
+            add(resolved(page[at:begin]))
         if not token:
             break
         at = token.end()
@@ -79,7 +88,7 @@ def scan(page: str) -> tuple[str, str, list[tuple]]:
             for name, *value in _ATTRIBUTE.findall(inside):
                 name = name.lower()
                 if name in ATTRIBUTES:
-                    values[name] = entities.unescape(next((v for v in value if v), ""))
+                    values[name] = resolved(next((v for v in value if v), ""))
             hidden = pruned > 0 or tag in PRUNED
             if open_:
                 nodes[open_[-1]][4] += 1
@@ -100,14 +109,14 @@ def scan(page: str) -> tuple[str, str, list[tuple]]:
     return "".join(text), "".join(shown), nodes
 
 
-def with_tags(pages: DataFrame, html_col: str = "html", name: str = "tags") -> DataFrame:
+def with_tags(pages: DataFrame, html_col: str = "html", name: str = "tags", cut_entities: bool = True) -> DataFrame:
     """``pages`` with a struct of both texts and the elements; a null page has empty ones."""
 
     @F.arrow_udf(TAGS)
     def cut(column: pa.Array) -> pa.Array:
         rows = []
         for page in column.to_pylist():
-            text, shown, nodes = scan(page or "")
+            text, shown, nodes = scan(page or "", cut_entities)
             rows.append({"text": text, "shown": shown, "nodes": [dict(zip(_NAMES, n, strict=True)) for n in nodes]})
         kind = pa.struct([("text", pa.string()), ("shown", pa.string()), ("nodes", pa.list_(pa.struct([(n, pa.string() if n in ("tag", *ATTRIBUTES) else pa.bool_() if n == "hidden" else pa.int32()) for n in _NAMES])))])
         return pa.array(rows, kind)
