@@ -19,10 +19,12 @@ from ..functions.text import SENTENCE, clean_string, sentences, strip, strip_cha
 from .lexicon import best_label, top_labels
 from .score import extraction_confidence, fallback_confidence
 
+#: Bounds of words in ASCII, spelled out: what ``\b`` makes of other letters changed between versions of Java.
+_B, _E = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 #: Patterns of product sentences, brands and names. Results hang on them.
-CONTEXT = r"(?i)\b(?:product|platform|software|system|solution|tool|suite|robot|drone|vehicle|device|sensor|engine|sdk|api)\b"
-BRAND = r"\b[A-Z][a-z]+(?:[A-Z][a-z]*)+\b|\b[A-Z]{2,5}(?:[0-9]+)?\b|\b[A-Z][a-z]+ [A-Z][a-z]+"
-NAME_LIKE = r"\b[A-Z][a-z]+(?:[A-Z][a-z]*)+\b|\b[A-Z]{2,}[0-9]+\b|\b[A-Z][a-z]+ [A-Z][a-z]+\b"
+CONTEXT = rf"(?i){_B}(?:product|platform|software|system|solution|tool|suite|robot|drone|vehicle|device|sensor|engine|sdk|api){_E}"
+BRAND = rf"{_B}[A-Z][a-z]+(?:[A-Z][a-z]*)+{_E}|{_B}[A-Z]{{2,5}}(?:[0-9]+)?{_E}|{_B}[A-Z][a-z]+ [A-Z][a-z]+"
+NAME_LIKE = rf"{_B}[A-Z][a-z]+(?:[A-Z][a-z]*)+{_E}|{_B}[A-Z]{{2,}}[0-9]+{_E}|{_B}[A-Z][a-z]+ [A-Z][a-z]+{_E}"
 PUNCTUATION = ".,;:!?"
 
 
