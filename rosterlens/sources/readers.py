@@ -138,8 +138,13 @@ _ELEMENT = "\n  {"
 
 
 def _begin(spark: SparkSession, path: str, n: int) -> list[str]:
-    """The first lines with anything in them."""
-    return [r["value"] for r in spark.read.text(path).filter("trim(value) <> ''").limit(n).collect()]
+    """The first lines with anything in them, by the files' names: Spark itself reads large files first."""
+    lines: list[str] = []
+    for file in sorted(spark.read.text(path).inputFiles()):
+        lines += [r["value"] for r in spark.read.text(file).filter("trim(value) <> ''").limit(n - len(lines)).collect()]
+        if len(lines) == n:
+            break
+    return lines
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +157,9 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
     if begin and begin[0].strip() == "[" and begin[1:] and begin[1].startswith("  {"):
         parts = spark.read.text(path, lineSep=_ELEMENT).select(file_order().alias("at"), F.trim("value").alias("value"))
         parts = parts.filter(~F.trim(F.regexp_replace("value", r"[\[\]\s]", "")).isin("", ","))
-        body = F.regexp_replace(F.concat(F.lit("{"), "value"), r"\}\s*[,\]]?\s*\]?\s*$", "}")
+        # At the head of a file no line end stands before the brace; an object's inside never begins with one.
+        inside = F.regexp_replace("value", r"^\{", "")
+        body = F.regexp_replace(F.concat(F.lit("{"), inside), r"\}\s*[,\]]?\s*\]?\s*$", "}")
         return parts.select("at", F.try_parse_json(body).alias("record"))
     if begin and begin[0].lstrip().startswith("["):
         whole = spark.read.text(path, wholetext=True).select(file_order().alias("at"), F.try_parse_json("value").alias("array"))
