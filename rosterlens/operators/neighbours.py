@@ -25,6 +25,9 @@ from ..sources.folders import work_folder
 SAMPLE = 20_000
 ROWS = 2048
 MOST_CELLS = 2048
+#: Rows that a task holds of unfinished blocks, and rows of a query block that are scored at once.
+HELD = 1 << 16
+SLICE = 256
 #: Room for rounding in bounds.
 SLACK = 1e-9
 
@@ -64,33 +67,42 @@ def _pack(rows: dict[int, list], cell: int) -> tuple[int, bytes, bytes]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], cells_of) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows by cell; ``cells_of(batch, matrix)`` gives row places and cells."""
+    """Blocks of rows by cell; ``cells_of(batch, matrix)`` gives row places and cells.
+
+    Rows are taken a few at a time, as one may go to every cell. Once a task holds ``HELD`` rows of unfinished blocks it passes on the
+    fullest of them, half of what it holds, so memory doesn't grow with cells or rows; ``_merged`` joins such pieces.
+    """
     held: dict[int, list] = {}
     count: dict[int, int] = {}
+    total = 0
 
     def out(blocks: list) -> pa.RecordBatch:
         cells, ids, rows = zip(*blocks, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(ids, pa.binary()), pa.array(rows, pa.binary())], ["cell", "ids", "rows"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, ids = _matrix(b.column(1)), b.column(0).to_numpy()
-        place, cell = cells_of(b, x)
-        order = np.argsort(cell, kind="stable")
-        place, cell = place[order], cell[order]
-        full = []
-        for part in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1):
-            for a in range(0, len(part), ROWS):
-                some = part[a : a + ROWS]
-                c = int(cell[some[0]])
-                held.setdefault(c, []).append((ids[place[some]], x[place[some]]))
-                count[c] = count.get(c, 0) + len(some)
-                if count[c] >= ROWS:
-                    full.append(_pack(held, c))
-                    count[c] = 0
-        if full:
-            yield out(full)
+    for whole in batches:
+        for start in range(0, whole.num_rows, SLICE):
+            b = whole.slice(start, SLICE)
+            x, ids = _matrix(b.column(1)), b.column(0).to_numpy()
+            place, cell = cells_of(b, x)
+            order = np.argsort(cell, kind="stable")
+            place, cell = place[order], cell[order]
+            for part in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1) if len(cell) else ():
+                for a in range(0, len(part), ROWS):
+                    some = part[a : a + ROWS]
+                    c = int(cell[some[0]])
+                    held.setdefault(c, []).append((ids[place[some]], x[place[some]]))
+                    count[c] = count.get(c, 0) + len(some)
+                    total += len(some)
+                    if count[c] >= ROWS:
+                        total -= count.pop(c)
+                        yield out([_pack(held, c)])
+                    elif total >= HELD:
+                        for f in sorted(count, key=lambda f: (-count[f], f)):
+                            total -= count.pop(f)
+                            yield out([_pack(held, f)])
+                            if total <= HELD // 2:
+                                break
     for c in sorted(held):
         yield out([_pack(held, c)])
 
@@ -98,6 +110,32 @@ def _packed(batches: Iterator[pa.RecordBatch], cells_of) -> Iterator[pa.RecordBa
 _BLOCK = "cell long, ids binary, rows binary"
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of cells, which come one cell after another, as blocks of ``ROWS`` at most."""
+    names, cell, ids, rows, n = ["cell", "ids", "rows"], None, [], [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([b"".join(ids)], pa.binary()), pa.array([b"".join(rows)], pa.binary())], names)
+
+    for b in batches:
+        for c, i, r in zip(*b.columns, strict=True):
+            c, i = c.as_py(), i.as_py()
+            if ids and (c != cell or n + len(i) // 8 > ROWS):
+                yield out()
+                ids, rows, n = [], [], 0
+            cell, n = c, n + len(i) // 8
+            ids.append(i)
+            rows.append(r.as_py())
+    if ids:
+        yield out()
+
+
+def _blocks(rows: DataFrame, cells_of, name: str) -> DataFrame:
+    """Stored blocks of rows by cell."""
+    pieces = rows.mapInArrow(lambda batches: _packed(batches, cells_of), _BLOCK)
+    return _stored(pieces.repartition("cell").sortWithinPartitions("cell").mapInArrow(_merged, _BLOCK), name)
+
+
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, rounds: int = 8) -> Index:
     """An index over all rows with a vector. Null, empty and non-finite vectors, and those of another length than most, are left out."""
     rows = _kept(vectors, id_col, vector_col)
@@ -112,7 +150,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     def own(b: pa.RecordBatch, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.arange(len(x)), (x @ centres.T).argmax(1)
 
-    blocks = _stored(rows.mapInArrow(lambda batches: _packed(batches, own), _BLOCK), "cells")
+    blocks = _blocks(rows, own, "cells")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,20 +218,22 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def _met(index: Index, rows: DataFrame, cells_of, k: int, width: int) -> DataFrame:
     """Each query's best ``k`` rows of each pair of blocks that share a cell."""
-    asked = _stored(rows.mapInArrow(lambda batches: _packed(batches, cells_of), _BLOCK), "asked")
+    asked = _blocks(rows, cells_of, "asked")
     pairs = asked.select("cell", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")).join(index.blocks, "cell").select("q_ids", "q_rows", "ids", "rows")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q_ids, q_rows, ids, other in zip(*b.columns, strict=True):
-                q, x = np.frombuffer(q_ids.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), np.int64)
-                like = np.frombuffer(q_rows.as_buffer()).reshape(-1, width) @ np.frombuffer(other.as_buffer()).reshape(-1, width).T
-                like[q[:, None] == x[None]] = -np.inf
+                all_q, x = np.frombuffer(q_ids.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), np.int64)
+                mine, theirs = np.frombuffer(q_rows.as_buffer()).reshape(-1, width), np.frombuffer(other.as_buffer()).reshape(-1, width).T
                 n = min(k, len(x))
-                # Ties at the last place go by id, as in the whole order.
-                order = np.lexsort((np.broadcast_to(x, like.shape), -np.round(like, 9)), axis=1)[:, :n] if len(x) > n else np.broadcast_to(np.arange(n), (len(q), n))
-                value = np.take_along_axis(like, order, 1)
-                some = value > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)[some.ravel()]), pa.array(x[order][some]), pa.array(value[some])], ["id", "neighbour", "likeness"])
+                for a in range(0, len(all_q), SLICE):
+                    q, like = all_q[a : a + SLICE], mine[a : a + SLICE] @ theirs
+                    like[q[:, None] == x[None]] = -np.inf
+                    # Ties at the last place go by id, as in the whole order.
+                    order = np.lexsort((np.broadcast_to(x, like.shape), -np.round(like, 9)), axis=1)[:, :n] if len(x) > n else np.broadcast_to(np.arange(n), (len(q), n))
+                    value = np.take_along_axis(like, order, 1)
+                    some = value > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)[some.ravel()]), pa.array(x[order][some]), pa.array(value[some])], ["id", "neighbour", "likeness"])
 
     return pairs.mapInArrow(score, "id long, neighbour long, likeness double")

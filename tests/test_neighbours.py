@@ -67,3 +67,26 @@ def test_recall(spark):
     recall = np.mean([len({n for n, _ in near[i]} & {n for n, _ in want[i]}) / 10 for i in want])
     assert recall >= 0.9, recall
     assert {i: [n for n, _ in v] for i, v in whole.items()} == {i: [n for n, _ in v] for i, v in want.items()}
+
+
+def test_packing_holds_few_rows(monkeypatch):
+    """Blocks of many cells are passed on before the task's input ends."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "HELD", 1000)
+    monkeypatch.setattr(N, "SLICE", 4)
+    vectors = pa.array([[1.0, float(i)] for i in range(200)], pa.list_(pa.float64()))
+    taken, given, cells = 0, 0, 64
+
+    def batches():
+        nonlocal taken
+        for a in range(0, 200, 20):
+            taken += 20 * cells
+            yield pa.RecordBatch.from_arrays([pa.array(range(a, a + 20), pa.int64()), vectors.slice(a, 20)], ["id", "vec"])
+
+    ids = []
+    for out in N._packed(batches(), lambda b, x: (np.repeat(np.arange(len(x)), cells), np.tile(np.arange(cells), len(x)))):
+        given += sum(len(i.as_py()) // 8 for i in out.column(1))
+        assert taken - given <= 1000 + 20 * cells
+        ids += [(c.as_py(), int(i)) for c, b in zip(out.column(0), out.column(1), strict=True) for i in np.frombuffer(b.as_py(), np.int64)]
+    assert sorted(ids) == [(c, i) for c in range(cells) for i in range(200)]
