@@ -26,6 +26,9 @@ RAW = frozenset(("script", "style"))
 PRUNED = frozenset("script style noscript nav footer svg iframe".split())
 ATTRIBUTES = ("class", "id", "name", "property", "content", "href")
 
+#: Pages that are Python objects at once.
+PAGES = 16
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
@@ -109,18 +112,28 @@ def scan(page: str, cut_entities: bool = True) -> tuple[str, str, list[tuple]]:
     return "".join(text), "".join(shown), nodes
 
 
-def with_tags(pages: DataFrame, html_col: str = "html", name: str = "tags", cut_entities: bool = True) -> DataFrame:
-    """``pages`` with a struct of both texts and the elements; a null page has empty ones."""
+def tag_array(pages: pa.Array, cut_entities: bool = True) -> pa.Array:
+    """Structs of ``TAGS``; elements are Python objects for ``PAGES`` pages at a time only, as a batch has many megabytes of markup."""
+    kind = pa.struct([("text", pa.string()), ("shown", pa.string()), ("nodes", pa.list_(pa.struct([(n, pa.string() if n in ("tag", *ATTRIBUTES) else pa.bool_() if n == "hidden" else pa.int32()) for n in _NAMES])))])
 
-    @F.arrow_udf(TAGS)
-    def cut(column: pa.Array) -> pa.Array:
+    def some(column: pa.Array) -> pa.Array:
         rows = []
         for page in column.to_pylist():
             text, shown, nodes = scan(page or "", cut_entities)
             rows.append({"text": text, "shown": shown, "nodes": [dict(zip(_NAMES, n, strict=True)) for n in nodes]})
-        kind = pa.struct([("text", pa.string()), ("shown", pa.string()), ("nodes", pa.list_(pa.struct([(n, pa.string() if n in ("tag", *ATTRIBUTES) else pa.bool_() if n == "hidden" else pa.int32()) for n in _NAMES])))])
         return pa.array(rows, kind)
 
+    parts = [some(pages.slice(a, PAGES)) for a in range(0, len(pages), PAGES)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def with_tags(pages: DataFrame, html_col: str = "html", name: str = "tags", cut_entities: bool = True) -> DataFrame:
+    """``pages`` with a struct of both texts and the elements; a null page has empty ones."""
+
+    @F.arrow_udf(TAGS)
+    def cut(column: pa.Array) -> pa.Array:
+        return tag_array(column, cut_entities)
+
     return pages.withColumn(name, cut(F.col(html_col)))
 
 

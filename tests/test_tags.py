@@ -77,3 +77,19 @@ def test_scan_takes_no_long(page):
     t = time.perf_counter()
     G.scan(page)
     assert time.perf_counter() - t < 5
+
+
+def test_elements_of_few_pages_are_held():
+    """Of a batch of many pages, elements are Python objects for a few at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pages = pa.array(["<p class='a'>text</p>" * 500] * 100 + [None])
+    tracemalloc.start()
+    try:
+        got = G.tag_array(pages)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got) == 101 and len(got[0]["nodes"]) == 500 and len(got[100]["nodes"]) == 0 and peak < 24 << 20, peak
