@@ -59,12 +59,41 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     words = list(words)
     if not words:
         return F.lit(False)
+    # In a lambda, what stands for the text would be evaluated anew for each word.
     if len(words) > LONG:
-        return F.exists(word_list(words), lambda w: text.contains(w))
-    out = text.contains(words[0])
-    for w in words[1:]:
-        out = out | text.contains(w)
-    return out
+        return let(text, lambda t: F.exists(word_list(words), lambda w: t.contains(w)))
+
+    def chain(t: Column) -> Column:
+        out = t.contains(words[0])
+        for w in words[1:]:
+            out = out | t.contains(w)
+        return out
+
+    return let(text, chain) if len(words) > 1 else chain(text)
+
+
+def replace_each(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
+    """Replaces one string after the other; those that a text lacks cost it one look."""
+    table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+    return F.aggregate(table, text, lambda acc, p: F.when(acc.contains(p["a"]), F.replace(acc, p["a"], p["b"])).otherwise(acc))
+
+
+def first_distinct(items: Column, key: Callable[[Column], Column], fit: Callable[[Column], Column], most: int, make: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The first ``most`` of the made, fit strings whose key is new; what stands behind them is not looked at."""
+    zero = F.struct(strings(()).alias("k"), strings(()).alias("v"))
+
+    def add(acc: Column, x: Column) -> Column:
+        return let(key(x), lambda k: F.when(F.array_contains(acc["k"], k), acc).otherwise(F.struct(F.concat(acc["k"], F.array(k)).alias("k"), F.concat(acc["v"], F.array(x)).alias("v"))))
+
+    def fold(acc: Column, x: Column) -> Column:
+        return F.when(F.size(acc["v"]) >= most, acc).otherwise(let(make(x), lambda y: F.when(fit(y), add(acc, y)).otherwise(acc)))
+
+    return F.aggregate(items, zero, fold)["v"]
+
+
+def first_fit(items: Column, fit: Callable[[Column], Column], most: int) -> Column:
+    """The first ``most`` strings that fit; what stands behind them is not looked at."""
+    return F.aggregate(items, strings(()), lambda acc, x: F.when(F.size(acc) >= most, acc).when(fit(x), F.concat(acc, F.array(x))).otherwise(acc))
 
 
 def count_present(text: Column, words: Iterable[str]) -> Column:

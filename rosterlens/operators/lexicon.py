@@ -81,7 +81,7 @@ def first_match(low: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 def words_present(low: Column, words: Sequence[str]) -> Column:
     """The words that occur, in the order of the list."""
-    return F.filter(F.array(*(F.lit(w) for w in words)), lambda w: low.contains(w))
+    return let(low, lambda t: F.filter(F.array(*(F.lit(w) for w in words)), lambda w: t.contains(w)))
 
 
 def whole_word(word: str) -> str:

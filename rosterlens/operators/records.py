@@ -85,17 +85,22 @@ def meaningful_product(value: Column) -> Column:
     return (F.size(tokens) > 0) & ~F.get(tokens, F.lit(0)).isin("the", "this", "that", "these", "those", "it") & ~F.forall(tokens, lambda t: t.isin("solution", "system", "platform"))
 
 
-def product_bigrams(text: Column, most: int = 5) -> Column:
+def product_bigrams(text: Column, most: int = 5, low: Column | None = None) -> Column:
     """Words before a product term, and the terms themselves."""
-    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z][A-Za-z0-9-]+"), F.lit(0)), lambda tokens: _bigrams(tokens, most))
+    text = F.coalesce(text, F.lit(""))
+    found = let(F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9-]+"), F.lit(0)), lambda tokens: _bigrams(tokens, most))
+    return F.when(contains_any(F.lower(text) if low is None else low, L.PRODUCT_TERMS), found).otherwise(strings(()))
 
 
 def _bigrams(tokens: Column, most: int) -> Column:
-    term = lambda t: F.lower(t).isin(*L.PRODUCT_TERMS)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 2, F.lit(0))), lambda i: i <= F.size(tokens) - 2)
+    return let(F.struct(tokens.alias("t"), F.transform(tokens, lambda t: F.lower(t).isin(*L.PRODUCT_TERMS)).alias("term")), lambda x: _beside_terms(x["t"], x["term"], most))
+
+
+def _beside_terms(tokens: Column, term: Column, most: int) -> Column:
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 2, F.lit(0))), lambda i: (F.get(term, i) | F.get(term, i + 1)) & (i <= F.size(tokens) - 2))
     found = F.flatten(F.transform(at, lambda i: F.concat(
-        F.when(term(F.get(tokens, i + 1)), F.array(F.concat(F.get(tokens, i), F.lit(" "), F.get(tokens, i + 1)))).otherwise(strings(())),
-        F.when(term(F.get(tokens, i)), F.array(F.get(tokens, i))).otherwise(strings(())),
+        F.when(F.get(term, i + 1), F.array(F.concat(F.get(tokens, i), F.lit(" "), F.get(tokens, i + 1)))).otherwise(strings(())),
+        F.when(F.get(term, i), F.array(F.get(tokens, i))).otherwise(strings(())),
     )))
     return F.slice(distinct_ignoring_case(F.filter(found, meaningful_product)), 1, most)
 
@@ -106,8 +111,8 @@ def titled_products(names: Column, most: int = 6) -> Column:
     return F.slice(F.transform(titled, lambda t: _item(t, F.lit(""))), 1, most)
 
 
-def record_technologies(text: Column) -> Column:
-    found = words_present(F.lower(text), L.RECORD_TECH_TERMS)
+def record_technologies(text: Column, low: Column | None = None) -> Column:
+    found = words_present(F.lower(text) if low is None else low, L.RECORD_TECH_TERMS)
     return T.blank_to_null(F.array_join(F.transform(found, lambda t: F.when(t == "ai", "AI").otherwise(F.initcap(t))), ", "))
 
 
@@ -122,22 +127,22 @@ def company_record(df: DataFrame, company: str = "company", website: str = "webs
     already grounded; without it everything is native.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(body)
-    section = T.sentences_with(body, L.SECTION_WORDS, 80)
-    source = T.extraction_text(F.when(F.size(section) > 0, F.array_join(section, " ")).otherwise(body))
+    # The text is lowered once, and cut into sentences only where it holds a word that is looked for.
+    low = F.col("__low")
+    section = T.sentences_with(body, L.SECTION_WORDS, 80, low)
+    source = T.extraction_text(let(section, lambda s: F.when(F.size(s) > 0, F.array_join(s, " ")).otherwise(body)))
     listed = F.col(f"{model}.products") if model else strings(())
-    named = structured_products(source)
-    listed = F.when(F.size(F.coalesce(listed, strings(()))) > 0, listed).otherwise(product_bigrams(body))
-    items = finalized(F.when(F.size(named) > 0, named).otherwise(titled_products(listed)))
+    listed = F.when(F.size(F.coalesce(listed, strings(()))) > 0, listed).otherwise(product_bigrams(body, low=low))
+    items = finalized(let(structured_products(source), lambda named: F.when(F.size(named) > 0, named).otherwise(titled_products(listed))))
     own = F.col(f"{model}.industry") if model else F.lit(None).cast("string")
     tech = T.blank_to_null(F.array_join(F.col(f"{model}.technologies"), ", ")) if model else F.lit(None).cast("string")
     specs = T.blank_to_null(F.array_join(distinct_ignoring_case(F.slice(F.filter(F.transform("__items", lambda x: x["specifications"]), lambda s: s != ""), 1, 5)), ", "))
-    df = df.withColumn("__items", items)
+    df = df.withColumn("__low", F.lower(body)).withColumn("__items", items)
     return df.select(
         T.blank_to_null(F.col(company)).alias("company_name"), T.blank_to_null(F.col(website)).alias("website"),
         F.coalesce(T.blank_to_null(own), first_match(low, L.FIRST_MATCH_INDUSTRIES)).alias("industry"), products_json(F.col("__items")).alias("products"),
-        F.coalesce(tech, record_technologies(body)).alias("technologies"), F.coalesce(specs, T.spec_sentence(body)).alias("product_specifications"),
-        T.price_bucket(body).alias("price_range"), T.email(body).alias("contact_email"), T.phone(body).alias("phone"), T.address(body).alias("address"), T.description(body).alias("description"),
+        F.coalesce(tech, record_technologies(body, low)).alias("technologies"), F.coalesce(specs, T.spec_sentence(body, low)).alias("product_specifications"),
+        T.price_bucket(body, low).alias("price_range"), T.email(body).alias("contact_email"), T.phone(body).alias("phone"), T.address(body, low).alias("address"), T.description(body).alias("description"),
     )
 
 
@@ -148,7 +153,7 @@ def _product_like(name: Column) -> Column:
     return (F.size(T.words(name)) >= 2) | name.rlike(r"^[A-Z0-9\-]*[A-Z][A-Z0-9\-]*\z") | name.rlike(r"^[A-Z].*[A-Z]")
 
 
-def pattern_products(text: Column, most: int = 5) -> Column:
+def pattern_products(text: Column, most: int = 5, low: Column | None = None) -> Column:
     """Products by what follows or introduces a capitalised phrase, else by the head of a product sentence."""
     text = F.coalesce(text, F.lit(""))
     lead = "|".join(L.LEADING_WORDS)
@@ -162,16 +167,18 @@ def pattern_products(text: Column, most: int = 5) -> Column:
         stop = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.lower(F.get(w, i)), r"[.,;:]+\z", "").isin(*L.NAME_STOP))
         return T.strip_chars(F.array_join(F.slice(w, F.lit(1), F.coalesce(F.get(stop, F.lit(0)), F.lit(8))), " "), " -|,;:.!?")
 
-    fit = F.filter(T.sentences(text), lambda s: contains_any(F.lower(s), L.HYBRID_PRODUCT_HINTS) & ~F.lower(s).rlike("^(?:" + "|".join(L.SKIP_PREFIXES) + ")"))
+    fit = T.holding(T.sentences(text), F.lower(text) if low is None else low, L.HYBRID_PRODUCT_HINTS, lambda s: ~F.lower(s).rlike("^(?:" + "|".join(L.SKIP_PREFIXES) + ")"))
     heads = F.filter(F.transform(fit, head), lambda p: F.length(p).between(6, 60))
-    return F.slice(F.array_distinct(F.when(F.size(hits) > 0, hits).otherwise(heads)), 1, most)
+    return F.slice(F.array_distinct(let(hits, lambda h: F.when(F.size(h) > 0, h).otherwise(heads))), 1, most)
 
 
-def spec_lines(text: Column, most: int = 5) -> Column:
-    lines = F.filter(split_values(F.coalesce(text, F.lit("")), "[\n•]"), lambda s: F.length(s).between(15, 130))
-    hinted = F.filter(lines, lambda s: contains_any(F.lower(s), L.HYBRID_SPEC_HINTS))
-    other = F.filter(lines, lambda s: contains_any(F.lower(s), L.HYBRID_SPEC_VERBS))
-    return F.slice(F.array_distinct(F.when(F.size(hinted) > 0, hinted).otherwise(other)), 1, most)
+def spec_lines(text: Column, most: int = 5, low: Column | None = None) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    fit = lambda s: F.length(s).between(15, 130)
+    low = F.lower(text) if low is None else low
+    lines = split_values(text, "[\n•]")
+    hinted, other = T.holding(lines, low, L.HYBRID_SPEC_HINTS, fit), T.holding(lines, low, L.HYBRID_SPEC_VERBS, fit)
+    return F.slice(F.array_distinct(let(hinted, lambda h: F.when(F.size(h) > 0, h).otherwise(other))), 1, most)
 
 
 def mixed_profile(df: DataFrame, text: str = "text", model_summary: Column | None = None) -> DataFrame:
@@ -180,9 +187,10 @@ def mixed_profile(df: DataFrame, text: str = "text", model_summary: Column | Non
     Where the summary is weak or nothing was found, a model's summary takes its place, or,
     without one, the longer extractive summary.
     """
-    body = T.strip(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({
-        "products": pattern_products(body), "product_specifications": spec_lines(body), "technologies": words_present(F.lower(body), L.HYBRID_TECH_TERMS),
+    df = df.withColumn("__body", T.strip(F.coalesce(F.col(text), F.lit(""))))
+    body, low = F.col("__body"), F.col("__low")
+    df = df.withColumn("__low", F.lower(body)).withColumns({
+        "products": pattern_products(body, low=low), "product_specifications": spec_lines(body, low=low), "technologies": words_present(low, L.HYBRID_TECH_TERMS),
         "price_range": T.prices(body), "contact_email": T.email(body), "phone": T.phone(body), "summary": T.fast_summary(body),
     })
     joined = lambda c: F.array_join(c, " ")
@@ -198,4 +206,4 @@ def mixed_profile(df: DataFrame, text: str = "text", model_summary: Column | Non
         given("contact_email").alias("contact_email"), given("phone").alias("phone"), T.confidence_label(joined("technologies"), 3, 14).alias("technologies"),
     ))
     df = df.withColumn("summary", F.when(weak, other).otherwise(F.col("summary")))
-    return df.withColumn("technologies", F.when(F.col("confidence.technologies") == "low", strings(())).otherwise(F.slice("technologies", 1, 6)))
+    return df.withColumn("technologies", F.when(F.col("confidence.technologies") == "low", strings(())).otherwise(F.slice("technologies", 1, 6))).drop("__body", "__low")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions import urls as U
-from ..functions.arrays import append_missing, distinct_ignoring_case, split_values, without
+from ..functions.arrays import append_missing, distinct_ignoring_case, let, replace_each, split_values, without
 from ..operators import crawl as C
 from ..operators import html as H
 from ..operators import profile as P
@@ -101,9 +101,7 @@ PIECES = tuple(s for _, t in TEXTS if t for s in re.split(r"(?<=[.!?])\s", t)) +
 
 
 def worded(text: Column) -> Column:
-    for needle, piece in zip(NEEDLES, PIECES, strict=False):
-        text = F.replace(text, F.lit(needle), F.lit(f" {piece} "))
-    return text
+    return replace_each(text, ((needle, f" {piece} ") for needle, piece in zip(NEEDLES, PIECES, strict=False)))
 
 
 def _dealt(spark: SparkSession, df: DataFrame, rows: Sequence[tuple], schema: str, key: str = "doc_id") -> DataFrame:
@@ -116,8 +114,9 @@ def _table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
     return spark.createDataFrame(list(rows), schema)
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return readers.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).withColumn("text", worded(F.col("text")))
+def _texts(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """``where`` holds of the texts as they are: a condition on worded ones would have them worded twice."""
+    return readers.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).filter(where).withColumn("text", worded(F.col("text")))
 
 
 def _csv(items: Column) -> Column:
@@ -247,11 +246,12 @@ def case_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @case
 def case_product_records(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
+    t, low = F.col("text"), F.col("low")
     named = F.transform(R.structured_products(t), lambda x: F.concat(x["name"], F.lit(":"), x["specifications"]))
-    return _texts(spark, d).withColumnRenamed("doc_id", "id").select(
-        "id", _csv(named).alias("named"), _csv(R.product_bigrams(t)).alias("bigrams"), _csv(F.transform(R.titled_products(R.product_bigrams(t)), lambda x: x["name"])).alias("titled"),
-        F.coalesce(R.record_technologies(t), F.lit("")).alias("technologies"), _csv(R.spec_lines(t)).alias("lines"), _csv(R.pattern_products(t)).alias("patterns"),
+    df = _texts(spark, d).withColumnRenamed("doc_id", "id").withColumn("low", F.lower(F.coalesce(t, F.lit("")))).withColumn("pairs", R.product_bigrams(t, low=low))
+    return df.select(
+        "id", _csv(named).alias("named"), _csv(F.col("pairs")).alias("bigrams"), _csv(F.transform(R.titled_products(F.col("pairs")), lambda x: x["name"])).alias("titled"),
+        F.coalesce(R.record_technologies(t, low), F.lit("")).alias("technologies"), _csv(R.spec_lines(t, low=low)).alias("lines"), _csv(R.pattern_products(t, low=low)).alias("patterns"),
     )
 
 
@@ -268,7 +268,7 @@ def case_outcomes(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d)
     roster = texts.select(F.col("doc_id").alias("ord"), F.concat(F.lit("Firm "), "doc_id").alias("name"), F.concat(F.lit("site"), "doc_id").alias("website"))
     long = F.repeat(F.concat("text", F.lit(" ")), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(3))
-    pages = texts.filter("text is not null and doc_id % 11 <> 4").select(F.concat(F.lit("site"), "doc_id").alias("website"), long.alias("all"), *(F.lit("").alias(c) for c in ("products", "services", "specifications")), F.lit("GOOD").alias("quality"), F.lit(1).alias("fetched"))
+    pages = _texts(spark, d, "text is not null and doc_id % 11 <> 4").select(F.concat(F.lit("site"), "doc_id").alias("website"), long.alias("all"), *(F.lit("").alias(c) for c in ("products", "services", "specifications")), F.lit("GOOD").alias("quality"), F.lit(1).alias("fetched"))
     return ranking.outcomes(roster, pages, order="fetched").select("ord", F.coalesce("skip_reason", F.lit("")).alias("skip_reason"))
 
 
@@ -304,8 +304,9 @@ def cached_vectors(spark: SparkSession, d: str) -> DataFrame:
 @case
 def letter_classifier(spark: SparkSession, d: str) -> DataFrame:
     """The classifier with vectors of letter counts, which SQL can count too."""
-    letters = lambda t: F.transform(F.array(*(F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz")), lambda c: (F.length(t) - F.length(F.replace(F.lower(t), c, F.lit("")))).cast("double"))
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    count = lambda x: F.transform(F.array(*(F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz")), lambda c: (x["n"] - F.length(F.replace(x["low"], c, F.lit("")))).cast("double"))
+    letters = lambda t: let(F.struct(F.length(t).alias("n"), F.lower(t).alias("low")), count)
+    docs = readers.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
     return V.classify(docs, embed=letters).select("doc_id", "industry", F.round("confidence", 3).alias("confidence"))
 
 
