@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.arrays import count_present, let
+from ..functions.arrays import let
 from ..functions.text import strip
 
 SIZE = 256
@@ -28,18 +28,14 @@ def hash_vector(text: Column, size: int = SIZE, slot: Callable[[Column], Column]
     """Token counts by hash bucket; the same in every process. ``slot`` gives a token's hash."""
     slots = F.transform(tokens(text), lambda t: F.pmod(slot(t), F.lit(size)).cast("int"))
 
-    def count(ordered: Column) -> Column:
-        n = F.size(ordered)
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))))
-
-        def table(runs: Column) -> Column:
-            ends = F.concat(F.slice(runs, 2, 1 << 20), F.array(n))
-            pairs = F.zip_with(runs, F.slice(ends, F.lit(1), F.size(runs)), lambda a, b: F.struct(F.get(ordered, a), (b - a).cast("double")))
-            return let(F.map_from_entries(pairs), lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
+    # Each slot is there once more than it was met, so that its run is found at its own place.
+    every = F.concat(slots, F.sequence(F.lit(0), F.lit(size - 1)))
 
-        return let(starts, table)
+    def count(ordered: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return let(ends, lambda e: F.transform(e, lambda end, i: (end - F.when(i == 0, 0).otherwise(F.get(e, i - 1)) - 1).cast("double")))
 
-    return let(F.array_sort(slots), count)
+    return let(F.sort_array(every), count)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -81,14 +77,26 @@ def cached_embeddings(docs: DataFrame, cache: DataFrame, text_col: str = "text",
 def classify(docs: DataFrame, text_col: str = "text", categories=L.CLASSIFIER, embed: Callable[[Column], Column] = hash_vector, hint: float = 0.03) -> DataFrame:
     """``docs`` with ``industry`` and its ``confidence``: likeness to a description plus hints for words present."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.withColumn("__v", embed(text))
-    low = F.lower(text)
-    scored = [F.struct((cosine(F.col("__v"), embed(F.lit(d))) + count_present(low, w) * hint).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("label")) for i, (name, d, w) in enumerate(categories)]
-    best = F.array_max(F.array(*scored))
+    docs = docs.withColumns({"__v": embed(text), "__low": F.lower(text)})
+    # Vectors of the descriptions are made once, not for each text; so is the text's own product.
+    known = docs.sparkSession.range(1).select(*(embed(F.lit(d)).cast("array<double>") for _, d, _ in categories)).first()
+    rows = [{"at": -i, "label": name, "v": known[i], "square": sum(x * x for x in known[i]), "words": list(w), "slots": [k for k, x in enumerate(known[i]) if x]} for i, (name, _, w) in enumerate(categories)]
+    options = F.from_json(F.lit(json.dumps(rows)), "array<struct<at: int, label: string, v: array<double>, square: double, words: array<string>, slots: array<int>>>")
+
+    def likeness(v: Column, square: Column, o: Column) -> Column:
+        product = F.aggregate(o["slots"], F.lit(0.0), lambda acc, k: acc + F.get(v, k).cast("double") * F.get(o["v"], k))
+        return let(F.sqrt(square * o["square"]), lambda norm: F.when((F.size(v) == 0) | (norm == 0), 0.0).otherwise(product / norm))
+
+    def scored(x: Column) -> Column:
+        held = lambda o: F.size(F.filter(o["words"], lambda w: x["low"].contains(w)))
+        return F.transform(options, lambda o: F.struct((likeness(x["v"], x["square"], o) + held(o) * hint).alias("score"), o["at"].alias("at"), o["label"].alias("label")))
+
+    v = F.col("__v")
+    best = F.array_max(let(F.struct(v.alias("v"), dot(v, v).alias("square"), F.col("__low").alias("low")), scored))
     blank = strip(text) == ""
     docs = docs.withColumn("__b", best)
     confidence = F.round(F.greatest(F.least(F.col("__b.score"), F.lit(1.0)), F.lit(0.0)), 4)
-    return docs.withColumns({"industry": F.when(blank, "Other").otherwise(F.col("__b.label")), "confidence": F.when(blank, 0.0).otherwise(confidence)}).drop("__v", "__b")
+    return docs.withColumns({"industry": F.when(blank, "Other").otherwise(F.col("__b.label")), "confidence": F.when(blank, 0.0).otherwise(confidence)}).drop("__v", "__low", "__b")
 
 
 def nearest_centroid(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, size: int) -> DataFrame:
