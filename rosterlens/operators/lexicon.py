@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -34,21 +35,46 @@ def best_weight(low: Column, weights: Mapping[str, int]) -> Column:
     return F.greatest(F.lit(0), *cases) if cases else F.lit(0)
 
 
-def label_scores(low: Column, rules: Sequence[Rule], most: int = 3, lone_words_twice: bool = False) -> Column:
+#: Letters from the rarest to the most frequent one; strings that begin with a rare one are found sooner.
+_RARE = "zqjxkvbpygwfmucldrhsnioate"
+
+
+def gates(words: Sequence[str], least: int = 6) -> list[tuple[str, list[str]]]:
+    """The words in groups by a string that all words of a group hold: what a text lacks needs one look a group."""
+    parts = {w: {w[i:j] for i in range(len(w)) for j in range(i + least, len(w) + 1)} | {w} for w in dict.fromkeys(words)}
+    rare = {c: i for i, c in enumerate(_RARE)}
+    out = []
+    while parts:
+        n = Counter(p for own in parts.values() for p in own)
+        gate = min(n, key=lambda p: (-n[p], rare.get(p[:1], len(rare)), -len(p), p))
+        out.append((gate, [w for w, own in parts.items() if gate in own]))
+        parts = {w: own for w, own in parts.items() if gate not in own}
+    return out
+
+
+def held_words(low: Column, words: Sequence[str]) -> Column:
+    """The words that occur, in any order; for lists of more than a few."""
+    rows = [{"gate": gate, "words": own} for gate, own in gates(words)]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<gate: string, words: array<string>>>")
+    return let(low, lambda t: F.flatten(F.transform(F.filter(table, lambda g: t.contains(g["gate"])), lambda g: F.filter(g["words"], lambda w: t.contains(w)))))
+
+
+def label_scores(low: Column, rules: Sequence[Rule], most: int = 3, lone_words_twice: bool = False, held: Column | None = None) -> Column:
     """Array of (minus score, first rule, label) of labels with a score, best first.
 
     A label's score sums weight times occurrences, of which up to ``most`` count; ties go to
     the label whose rule matched first. ``lone_words_twice``: a word without a space needs
-    two occurrences.
+    two occurrences. ``held``: words that occur, those of other lists among them, if they are at hand.
     """
     # The rules are one literal array; what follows looks at rules that hit alone.
     rows = [{"o": i, "word": word, "label": label, "weight": weight, "least": 2 if lone_words_twice and " " not in word else 1} for i, (word, label, weight) in enumerate(rules)]
     table = F.from_json(F.lit(json.dumps(rows)), "array<struct<o: int, word: string, label: string, weight: int, least: int>>")
 
     def found(low: Column) -> Column:
-        held = F.filter(table, lambda r: low.contains(r["word"]))
-        count = lambda w: ((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int")
-        return F.filter(F.transform(held, lambda r: F.struct(r["o"].alias("o"), r["label"].alias("label"), r["weight"].alias("weight"), r["least"].alias("least"), count(r["word"]).alias("n"))), lambda h: h["n"] >= h["least"])
+        own = let(held_words(low, [w for w, _, _ in rules]) if held is None else held, lambda names: F.filter(table, lambda r: F.array_contains(names, r["word"])))
+        count = lambda w, n: ((n - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int")
+        counted = lambda n: F.transform(own, lambda r: F.struct(r["o"].alias("o"), r["label"].alias("label"), r["weight"].alias("weight"), r["least"].alias("least"), count(r["word"], n).alias("n")))
+        return F.filter(let(F.length(low), counted), lambda h: h["n"] >= h["least"])
 
     def score(hits: Column) -> Column:
         def one(label: Column) -> Column:
@@ -67,9 +93,9 @@ def top_labels(low: Column, rules: Sequence[Rule], n: int, **options) -> Column:
     return F.transform(F.slice(label_scores(low, rules, **options), 1, n), lambda e: e["label"])
 
 
-def best_label(low: Column, rules: Sequence[Rule]) -> Column:
+def best_label(low: Column, rules: Sequence[Rule], **options) -> Column:
     """The label with the highest score, else an empty string."""
-    return F.coalesce(F.get(top_labels(low, rules, 1), F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(top_labels(low, rules, 1, **options), F.lit(0)), F.lit(""))
 
 
 def first_match(low: Column, rules: Sequence[tuple[str, str]]) -> Column:

@@ -16,13 +16,14 @@ from ..functions import lexicons as L
 from ..functions import variants
 from ..functions.arrays import STRINGS, append_missing, contains_any, count_present, let, strings, without
 from ..functions.text import SENTENCE, clean_string, sentences, strip, strip_chars, words
-from .lexicon import best_label, top_labels
+from .lexicon import best_label, held_words, top_labels
 from .score import extraction_confidence, fallback_confidence
 
 #: Bounds of words in ASCII, spelled out: what ``\b`` makes of other letters changed between versions of Java.
 _B, _E = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 #: Patterns of product sentences, brands and names. Results hang on them.
-CONTEXT = rf"(?i){_B}(?:product|platform|software|system|solution|tool|suite|robot|drone|vehicle|device|sensor|engine|sdk|api){_E}"
+CONTEXT_WORDS = ("product", "platform", "software", "system", "solution", "tool", "suite", "robot", "drone", "vehicle", "device", "sensor", "engine", "sdk", "api")
+CONTEXT = rf"(?i){_B}(?:{'|'.join(CONTEXT_WORDS)}){_E}"
 BRAND = rf"{_B}[A-Z][a-z]+(?:[A-Z][a-z]*)+{_E}|{_B}[A-Z]{{2,5}}(?:[0-9]+)?{_E}|{_B}[A-Z][a-z]+ [A-Z][a-z]+"
 NAME_LIKE = rf"{_B}[A-Z][a-z]+(?:[A-Z][a-z]*)+{_E}|{_B}[A-Z]{{2,}}[0-9]+{_E}|{_B}[A-Z][a-z]+ [A-Z][a-z]+{_E}"
 PUNCTUATION = ".,;:!?"
@@ -46,9 +47,16 @@ def brand_token(token: Column) -> Column:
     )
 
 
-def infer_technologies(text: Column, existing: Column | None = None, rules: Sequence[tuple[str, str]] = L.TECHNOLOGIES) -> Column:
-    """Existing names, then canonical names of keywords present, unless one holds another."""
-    low = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+def _lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def infer_technologies(text: Column, existing: Column | None = None, rules: Sequence[tuple[str, str]] = L.TECHNOLOGIES, low: Column | None = None, held: Column | None = None) -> Column:
+    """Existing names, then canonical names of keywords present, unless one holds another.
+
+    ``low``: the text in lower case, and ``held``: ``words_held`` of it, if they are at hand.
+    """
+    low = F.concat(F.lit(" "), _lowered(text) if low is None else low, F.lit(" "))
     existing = strings(()) if existing is None else existing
     table = F.from_json(F.lit(json.dumps([{"word": k, "name": c, "low": c.lower()} for k, c in rules])), "array<struct<word: string, name: string, low: string>>")
 
@@ -56,15 +64,21 @@ def infer_technologies(text: Column, existing: Column | None = None, rules: Sequ
         near = lambda names: F.exists(names, lambda n: F.lower(n).contains(r["low"]) | r["low"].contains(F.lower(n)))
         return F.when(~near(existing) & ~near(acc), F.concat(acc, F.array(r["name"]))).otherwise(acc)
 
-    return F.array_distinct(F.concat(existing, let(low, lambda x: F.aggregate(F.filter(table, lambda r: x.contains(r["word"])), strings(()), lambda acc, r: fold(acc, r)))))
+    held = held_words(low, [k for k, _ in rules]) if held is None else held
+    return F.array_distinct(F.concat(existing, let(held, lambda names: F.aggregate(F.filter(table, lambda r: F.array_contains(names, r["word"])), strings(()), lambda acc, r: fold(acc, r)))))
 
 
-def infer_industry(text: Column, rules=L.INDUSTRY_SIGNALS) -> Column:
-    return best_label(F.lower(F.coalesce(text, F.lit(""))), rules)
+def words_held(low: Column) -> Column:
+    """The words of the default lists of technologies, industries and use cases that a lowered text holds, a space before and behind it."""
+    return held_words(F.concat(F.lit(" "), low, F.lit(" ")), [r[0] for r in (*L.TECHNOLOGIES, *L.INDUSTRY_SIGNALS, *L.USE_CASE_SIGNALS)])
 
 
-def infer_use_cases(text: Column, rules=L.USE_CASE_SIGNALS, most: int = 4) -> Column:
-    return top_labels(F.lower(F.coalesce(text, F.lit(""))), rules, most, lone_words_twice=True)
+def infer_industry(text: Column, rules=L.INDUSTRY_SIGNALS, low: Column | None = None, held: Column | None = None) -> Column:
+    return best_label(_lowered(text) if low is None else low, rules, held=held)
+
+
+def infer_use_cases(text: Column, rules=L.USE_CASE_SIGNALS, most: int = 4, low: Column | None = None, held: Column | None = None) -> Column:
+    return top_labels(_lowered(text) if low is None else low, rules, most, lone_words_twice=True, held=held)
 
 
 def validate_industry(label: Column, technologies: Column, text: Column, overrides=L.INDUSTRY_OVERRIDES) -> Column:
@@ -83,7 +97,7 @@ def validate_industry(label: Column, technologies: Column, text: Column, overrid
     return rest if out is None else out.otherwise(rest)
 
 
-def rescue_products(text: Column, most: int = 3) -> Column:
+def rescue_products(text: Column, most: int = 3, low: Column | None = None) -> Column:
     """Brand-like tokens from sentences about products, up to the sentence that brings three."""
     banned = sorted(set(L.RESCUE_SKIP) | set(L.GENERIC_TERMS))
 
@@ -92,7 +106,9 @@ def rescue_products(text: Column, most: int = 3) -> Column:
         found = F.filter(found, lambda t: ~F.lower(t).isin(*banned) & F.length(t).between(3, 40))
         return F.when((F.size(acc) >= 3) | ~s.rlike(CONTEXT), acc).otherwise(F.array_distinct(F.concat(acc, found)))
 
-    candidates = F.aggregate(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), strings(()), fold)
+    # A text without such a word has no such sentence, and isn't cut up.
+    folded = F.aggregate(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), strings(()), fold)
+    candidates = F.when(contains_any(_lowered(text) if low is None else low, CONTEXT_WORDS), folded).otherwise(strings(()))
     return F.slice(without(candidates, [c for _, c in L.TECHNOLOGIES]), 1, most)
 
 
@@ -196,8 +212,11 @@ FIELDS = ("products", "services", "technologies", "industry", "use_cases", "conf
 
 def fallback_profile(df: DataFrame, text_col: str = "text", most_technologies: int = 8) -> DataFrame:
     """``df`` with products, services, technologies, industry, use_cases and confidence from keywords."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumns({"technologies": infer_technologies(text), "products": rescue_products(text), "services": strings(()), "industry": infer_industry(text), "use_cases": infer_use_cases(text)})
+    text, low, held = F.coalesce(F.col(text_col), F.lit("")), F.col("__low"), F.col("__held")
+    df = df.withColumn("__low", F.lower(text)).withColumn("__held", words_held(low)).withColumns({
+        "technologies": infer_technologies(text, low=low, held=held), "products": rescue_products(text, low=low), "services": strings(()), "industry": infer_industry(text, low=low, held=held),
+        "use_cases": infer_use_cases(text, low=low, held=held),
+    }).drop("__low", "__held")
     df = df.withColumn("confidence", fallback_confidence(F.col("technologies"), F.col("industry"), F.col("use_cases")))
     return df.withColumn("technologies", F.slice("technologies", 1, most_technologies))
 

@@ -60,3 +60,13 @@ def test_descriptions_are_embedded_once(spark, texts):
     assert got[2] == got[3] == ("Other", 0.0) and got[4][0] == "Finance"
     vector = spark.range(1).select(V.hash_vector(F.lit("a b A"), 8)).first()[0]
     assert len(vector) == 8 and sum(vector) == 3.0 and max(vector) >= 2.0
+
+
+def test_words_are_found_by_gates(spark):
+    words = ["machine learning", "deep learning", "learning kit", "drone", " ros ", "ros2", "ml"]
+    groups = X.gates(words)
+    assert sorted(w for _, own in groups for w in own) == sorted(words) and len(groups) < len(words)
+    assert all(gate in w for gate, own in groups for w in own)
+    df = spark.createDataFrame([("a learning drone",), ("deep learning kit ros ros2",), ("html",), ("",), (None,)], "low string")
+    got = [sorted(r["w"] or []) for r in df.select(X.held_words(F.col("low"), words).alias("w")).collect()]
+    assert got == [sorted(w for w in words if w in (r["low"] or "")) for r in df.collect()]
