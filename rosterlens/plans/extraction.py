@@ -25,8 +25,9 @@ def page_sections(visited: DataFrame) -> DataFrame:
 
 def keyword_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with products, technologies and industry of their text from keywords."""
-    t = F.col("text")
-    return pages.withColumns({"products": P.rescue_products(t), "technologies": F.slice(P.infer_technologies(t), 1, 8), "industry": P.infer_industry(t)})
+    t, low, held = F.col("text"), F.col("__low"), F.col("__held")
+    found = {"products": P.rescue_products(t, low=low), "technologies": F.slice(P.infer_technologies(t, low=low, held=held), 1, 8), "industry": P.infer_industry(t, low=low, held=held)}
+    return pages.withColumn("__low", F.lower(F.coalesce(t, F.lit("")))).withColumn("__held", P.words_held(low)).withColumns(found).drop("__low", "__held")
 
 
 def replied_pages(extractor: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
