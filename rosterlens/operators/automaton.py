@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import localcontext
 
 import numpy as np
 import pyarrow as pa
@@ -145,9 +146,36 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def _found(batches: Iterator[pa.RecordBatch], automaton: Automaton, size: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each slice of (id, text): the ids, and row, word, n and n_apart of what the texts hold, by row and word."""
+    for b in batches:
+        for lo, hi in _slices(b.column(1)):
+            part = b.slice(lo, hi - lo)
+            row, end, word = automaton.matches(*_texts(part.column(1)))
+            order = np.lexsort((end, word, row))
+            row, end, word = row[order], end[order], word[order]
+            group = row * max(len(size), 1) + word
+            cut = np.flatnonzero(np.diff(group, prepend=-1))
+            n = np.diff(np.append(cut, len(group)))
+            free = apart(group, end - size[word], size[word]) if len(group) else np.zeros(0, bool)
+            alone = np.add.reduceat(free.astype(np.int64), cut) if len(cut) else n
+            yield part.column(0), row[cut], word[cut], n, alone
+
+
+def _lowered(docs: DataFrame, text_col: str, id_col: str, text: Column | None) -> DataFrame:
+    low = F.lower(F.coalesce(F.col(text_col) if text is None else text, F.lit("")))
+    return docs.select(F.col(id_col).alias("__id"), low.alias("__low"))
+
+
+def _built(names: list[str]) -> tuple[Automaton, np.ndarray]:
+    """The automaton of sorted words, and their bytes."""
+    coded = [w.encode() for w in names]
+    return Automaton.build(coded), np.array([len(w) for w in coded], np.int64)
+
+
 def _lots(words: DataFrame, word_col: str) -> list[DataFrame]:
-    """The distinct words in lots, of which each has an automaton within ENTRIES transitions."""
-    size = words.agg(F.coalesce(F.sum(F.octet_length(word_col)), F.lit(0)).alias("n")).first()["n"]
+    """Rows of words in lots, of which each has an automaton within ENTRIES transitions."""
+    size = words.select(word_col).distinct().agg(F.coalesce(F.sum(F.octet_length(word_col)), F.lit(0)).alias("n")).first()["n"]
     lots = max(1, -(-int(size) * 256 // ENTRIES))
     return [words if lots == 1 else words.filter(F.pmod(F.xxhash64(word_col), F.lit(lots)) == k) for k in range(lots)]
 
@@ -159,30 +187,19 @@ def occurrences(docs: DataFrame, words: DataFrame, text_col: str = "text", word_
     begins behind the one before. Null texts hold nothing; null and empty words occur nowhere.
     """
     spark = docs.sparkSession
-    low = F.lower(F.coalesce(F.col(text_col) if text is None else text, F.lit("")))
-    source = docs.select(F.col(id_col).alias("__id"), low.alias("__low"))
+    source = _lowered(docs, text_col, id_col, text)
     table = words.select(F.lower(F.col(word_col).cast("string")).alias("word")).filter("word <> ''").distinct()
     kind = source.schema["__id"].dataType.simpleString()
     out = None
     for lot in _lots(table, "word"):
         # Bounded by ENTRIES; sorted, so that the automaton hangs on the words alone.
         names = sorted(r["word"] for r in lot.collect())
-        shared = spark.sparkContext.broadcast((Automaton.build([w.encode() for w in names]), pa.array(names, pa.string()), np.array([len(w.encode()) for w in names], np.int64)))
+        shared = spark.sparkContext.broadcast((*_built(names), pa.array(names, pa.string())))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton, names, size = shared.value
-            for b in batches:
-                for lo, hi in _slices(b.column(1)):
-                    part = b.slice(lo, hi - lo)
-                    row, end, word = automaton.matches(*_texts(part.column(1)))
-                    order = np.lexsort((end, word, row))
-                    row, end, word = row[order], end[order], word[order]
-                    group = row * max(len(names), 1) + word
-                    cut = np.flatnonzero(np.diff(group, prepend=-1))
-                    n = np.diff(np.append(cut, len(group)))
-                    free = apart(group, end - size[word], size[word]) if len(group) else np.zeros(0, bool)
-                    alone = np.add.reduceat(free.astype(np.int64), cut) if len(cut) else n
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[cut])), names.take(pa.array(word[cut])), pa.array(n), pa.array(alone)], ["__id", "word", "n", "n_apart"])
+            automaton, size, names = shared.value
+            for ids, row, word, n, alone in _found(batches, automaton, size):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), names.take(pa.array(word)), pa.array(n), pa.array(alone)], ["__id", "word", "n", "n_apart"])
 
         found = source.mapInArrow(search, f"__id {kind}, word string, n long, n_apart long")
         out = found if out is None else out.unionByName(found)
@@ -195,12 +212,88 @@ def rule_hits(docs: DataFrame, rules: DataFrame, word_col: str = "word", id_col:
     return found.join(rules, F.col("__word") == F.lower(F.col(word_col))).drop("__word")
 
 
-def label_totals(docs: DataFrame, rules: DataFrame, most: int = 3, id_col: str = "doc_id", lone_words_twice: bool = False, **options) -> DataFrame:
+@dataclass
+class _Rules:
+    """Rules of sorted words, by word: those of word w are ``first[w]`` to ``first[w + 1]``."""
+
+    first: np.ndarray
+    label: np.ndarray  # of each rule, as a place in labels
+    labels: pa.Array
+    weight: np.ndarray  # 0 where there is none
+    known: np.ndarray
+    kind: pa.DataType  # of weights and totals
+    spaced: np.ndarray  # of each word
+
+    @classmethod
+    def of(cls, table: pa.Table, most: int) -> tuple[list[str], _Rules]:
+        """The words and rules of a table sorted by word."""
+        names, first = np.unique(np.array(table["word"].to_pylist(), object), return_index=True) if len(table) else ([], np.zeros(0, np.int64))
+        label = table["label"].combine_chunks().dictionary_encode(null_encoding="encode")
+        weight = table["weight"].combine_chunks()
+        known = np.array(weight.is_valid().to_pylist(), bool)
+        values = np.array([x or 0 for x in weight.to_pylist()], np.float64 if pa.types.is_floating(weight.type) else object)
+        if pa.types.is_integer(weight.type) and sum(map(abs, values)) * max(most, 1) < 1 << 63:
+            values = values.astype(np.int64)
+        return list(names), cls(np.append(first, len(table)), label.indices.to_numpy(), label.dictionary, values, known, weight.type, np.array([" " in w for w in names], bool))
+
+    def totals(self, row: np.ndarray, word: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, label, total, whether a weight is known, and number of words, by row and label."""
+        many = self.first[word + 1] - self.first[word]
+        rule = np.repeat(self.first[word] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        row, times = np.repeat(row, many), np.repeat(times, many)
+        order = np.lexsort((self.label[rule], row))
+        row, rule, times = row[order], rule[order], times[order]
+        group = row * len(self.labels) + self.label[rule]
+        cut = np.flatnonzero(np.diff(group, prepend=-1))
+        if not len(cut):
+            return row, self.label[rule], times.astype(self.weight.dtype), self.known[rule], times
+        with localcontext(prec=76):
+            total = np.add.reduceat(times.astype(self.weight.dtype) * self.weight[rule], cut)
+        return row[cut], self.label[rule[cut]], total, np.logical_or.reduceat(self.known[rule], cut), np.diff(np.append(cut, len(group)))
+
+
+def label_totals(docs: DataFrame, rules: DataFrame, most: int = 3, id_col: str = "doc_id", lone_words_twice: bool = False, text_col: str = "text", text: Column | None = None) -> DataFrame:
     """(id, label, total, words): weights times occurrences, up to ``most`` of each word, summed by label; distinct words that hit.
 
     ``rules``: word, label, weight; a table of any size. ``lone_words_twice``: a word without a space needs two occurrences.
+    Totals are made where a text is read, so its hits go nowhere. Texts of one id count as one: ids that occur more
+    than once are looked for first, by an action over the ids alone, and hits of their texts are summed by word.
     """
-    hits = rule_hits(docs, rules, id_col=id_col, **options)
+    spark = docs.sparkSession
+    kind = rules.agg(F.sum(F.lit(most).cast("long") * F.col("weight")).alias("t")).schema["t"].dataType.simpleString()
+    table = rules.select(F.lower(F.col("word").cast("string")).alias("word"), "label", "weight").filter("word <> ''")
+    table = table.groupBy("word", "label").agg(F.sum("weight").cast(kind).alias("weight"))
+    source = _lowered(docs, text_col, id_col, text)
+    schema = f"__id {source.schema['__id'].dataType.simpleString()}, label {table.schema['label'].dataType.simpleString()}, total {kind}, words long"
+    lots = _lots(table, "word")
+    out = None
+    for lot in lots:
+        names, by_word = _Rules.of(lot.toArrow().sort_by([("word", "ascending")]), most)
+        shared = spark.sparkContext.broadcast((*_built(names), by_word))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton, size, by_word = shared.value
+            for ids, row, word, _, alone in _found(batches, automaton, size):
+                if lone_words_twice:
+                    some = (alone > 1) | by_word.spaced[word]
+                    row, word, alone = row[some], word[some], alone[some]
+                row, label, total, known, words = by_word.totals(row, word, np.minimum(alone, most))
+                total = pa.array(total, by_word.kind, mask=~known)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), by_word.labels.take(pa.array(label)), total, pa.array(words)], ["__id", "label", "total", "words"])
+
+        found = source.mapInArrow(search, schema)
+        out = found if out is None else out.unionByName(found)
+    if len(lots) > 1:
+        # A word is in one lot.
+        out = out.groupBy("__id", "label").agg(F.sum("total").cast(kind).alias("total"), F.sum("words").alias("words"))
+    out = out.withColumnRenamed("__id", id_col)
+    again = docs.groupBy(F.col(id_col).alias("__again")).count().filter("count > 1").select("__again")
+    if not again.count():
+        return out
+    same = F.col(id_col).eqNullSafe(F.col("__again"))
+    hits = rule_hits(docs.join(again, same, "left_semi"), table, id_col=id_col, text_col=text_col, text=text)
+    hits = hits.groupBy(id_col, "word", "label", "weight").agg(F.sum("n_apart").alias("n_apart"))
     if lone_words_twice:
         hits = hits.filter((F.col("n_apart") > 1) | F.col("word").contains(" "))
-    return hits.groupBy(id_col, "label").agg(F.sum(F.least("n_apart", F.lit(most)) * F.col("weight")).alias("total"), F.count_distinct(F.lower("word")).alias("words"))
+    some = hits.groupBy(id_col, "label").agg(F.sum(F.least("n_apart", F.lit(most)) * F.col("weight")).cast(kind).alias("total"), F.count("*").alias("words"))
+    return out.join(again, same, "left_anti").unionByName(some)
