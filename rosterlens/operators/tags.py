@@ -157,8 +157,8 @@ def _longer(texts: Column, least: int, most: int) -> Column:
     return F.filter(texts, lambda t: (F.length(t) > least) & (F.length(t) < most))
 
 
-def main_text(tags: Column, most: int = 4000) -> Column:
-    """Meta descriptions, headings and small blocks of the main part; a nested block repeats its text."""
+def main_text(tags: Column, most: int | None = 4000) -> Column:
+    """Meta descriptions, headings and small blocks of the main part, all of them where ``most`` is null; a nested block repeats its text."""
 
     def of(nodes: Column) -> Column:
         first = lambda test: F.get(F.filter(nodes, test), F.lit(0))
@@ -178,7 +178,8 @@ def main_text(tags: Column, most: int = 4000) -> Column:
 
     texts = let(F.filter(tags["nodes"], lambda n: ~n["hidden"]), of)
     joined = F.regexp_replace(F.array_join(texts, " "), r"(?U)\s+", " ")
-    return F.substring(T.collapse(F.regexp_replace(joined, r"(?U)[^\w\s.,;:!?()'\"/-]", " ")), 1, most)
+    whole = T.collapse(F.regexp_replace(joined, r"(?U)[^\w\s.,;:!?()'\"/-]", " "))
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def section_text(tags: Column, words: tuple[str, ...], most: int = 5) -> Column:

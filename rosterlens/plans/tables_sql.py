@@ -34,15 +34,17 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-def _parts() -> str:
+def _parts(most: int | None = None) -> str:
     """Pages there have one article: a heading, and paragraphs of which some, beginning with <b>, stay open to its end."""
+    main = """trim(regexp_replace(regexp_replace(t, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s.,;:!?()''"/-]', ' ', 'g'), '\\s+', ' ', 'g'))"""
+    main = main if most is None else f"left({main}, {most})"
     block = f"CASE WHEN starts_with(parts[i], '<b>') THEN {_strip(_plain("array_to_string(parts[i:], '')"))} ELSE {_strip(_plain("regexp_replace(parts[i], '(?s)</p>.*$', '')"))} END"
     return f"""
 a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS art FROM pages),
 b AS (SELECT page_id, {_strip(_plain("regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1)"))} AS h, string_split(art, '<p>')[2:] AS parts FROM a),
 c AS (SELECT page_id, list_filter([h], lambda t: length(t) > 10 AND length(t) < 200) || list_filter(list_transform(range(1, len(parts) + 1), lambda i: {block}), lambda t: length(t) > 20 AND length(t) < 800) AS l FROM b),
 j AS (SELECT page_id, regexp_replace(array_to_string(l, ' '), '\\s+', ' ', 'g') AS t FROM c)
-SELECT page_id, left(trim(regexp_replace(regexp_replace(t, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s.,;:!?()''"/-]', ' ', 'g'), '\\s+', ' ', 'g')), 4000) AS main FROM j"""
+SELECT page_id, {main} AS main FROM j"""
 
 
 def _sections() -> str:
@@ -124,7 +126,7 @@ def oracles() -> dict[str, str]:
         "input_health": "SELECT 'supplier' AS input, true AS file_exists, true AS file_readable, count(*) AS row_count FROM supplier UNION ALL SELECT 'customer', true, true, count(*) FROM customer UNION ALL SELECT 'nation', true, true, count(*) FROM nation UNION ALL SELECT 'missing', false, false, 0",
         "service_answers": """WITH n AS (SELECT count(*) AS n FROM supplier) SELECT step, status, coalesce(k, n) AS n_rows, running, n_started
           FROM n, (VALUES ('none yet', 202, -1, true, 1), ('still none', 202, -1, true, 1), ('fresh', 200, NULL, false, 1), ('old', 200, NULL, true, 2), ('error', 500, -1, true, 2)) v(step, status, k, running, n_started)""",
-        "main_text": f"SELECT page_id, length(main) AS n_main, length(listed) AS n_spec, length(headings) AS n_head FROM (WITH {_parts()}) JOIN ({cases_sql.headings()}) USING (page_id)",
+        "main_text": f"SELECT page_id, length(main) AS n_main, length(listed) AS n_spec, length(headings) AS n_head FROM (WITH {_parts(4000)}) JOIN ({cases_sql.headings()}) USING (page_id)",
         "name_postings": """WITH cq AS (SELECT right(c_name, 4) AS query FROM customer WHERE c_custkey % 50 = 0 UNION SELECT upper(substr(c_name, 6, 9)) FROM customer WHERE c_custkey % 70 = 0),
           pq AS (SELECT unnest(list_filter(string_split_regex(p_name, '\\s+'), lambda w: w <> '')) AS query FROM part UNION SELECT substr(p_name, 3, 2) FROM part UNION SELECT substr(p_name, 2, 7) FROM part)
           SELECT 'customer' AS kind, query, c_custkey AS id FROM cq JOIN customer ON contains(lower(c_name), lower(query)) WHERE query <> '' UNION ALL SELECT 'part', query, p_partkey FROM pq JOIN part ON contains(lower(p_name), lower(query)) WHERE query <> ''""",
